@@ -13,6 +13,7 @@ from assayloom import attach
 
 #: Rows of an Arrow batch turned into Python objects at once.
 SLICE = 256
+ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +48,14 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, row: Callable[[str |
     """
     src = docs.select(id_col, text_col)
     kind = src.schema[id_col].dataType.simpleString()
-    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+    names, kinds = zip(*((n, ARROW[k]) for n, k in (f.split() for f in fields.split(","))), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 rows = [row(t) for t in batch.column(1).to_pylist()]
-                cols = [pa.array(c) for c in zip(*rows, strict=True)]
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], [id_col, *names])
 
     return src.mapInArrow(run, f"`{id_col}` {kind}, {fields}")

@@ -16,7 +16,6 @@ from collections.abc import Callable
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from assayloom.llm._shared import map_texts, table
 
@@ -116,7 +115,7 @@ def row_measurer() -> Callable[[str | None], tuple]:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each of ``docs`` with its measures and the verdict ``kept``; one pass, no shuffle."""
-    return map_texts(docs, id_col, text_col, row_measurer(), FIELDS).withColumn("reason", F.col("reason").cast("string"))
+    return map_texts(docs, id_col, text_col, row_measurer(), FIELDS)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
