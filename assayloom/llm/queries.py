@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from assayloom.llm.quality_rules import op9_quality_rules
 from assayloom.llm.secret_scans import op10_secret_scans
+from assayloom.llm.simhash_dedup import op2_simhash_dedup
 from assayloom.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }
