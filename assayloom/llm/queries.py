@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from assayloom.llm.license_scans import op8_license_scans
+from assayloom.llm.license_scans import oracle as op8_oracle
 from assayloom.llm.quality_rules import op9_quality_rules
 from assayloom.llm.secret_scans import op10_secret_scans
 from assayloom.llm.simhash_dedup import op2_simhash_dedup
@@ -10,7 +12,10 @@ from assayloom.llm.token_counts import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op8_license_scans": op8_license_scans,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_license_scans": op8_oracle(),
+}
