@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assayloom.llm.embedding_dedup import op4_embedding_dedup
 from assayloom.llm.license_scans import op8_license_scans
 from assayloom.llm.license_scans import oracle as op8_oracle
 from assayloom.llm.quality_rules import op9_quality_rules
@@ -12,6 +13,7 @@ from assayloom.llm.token_counts import op1_token_counts
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op8_license_scans": op8_license_scans,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
