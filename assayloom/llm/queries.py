@@ -9,15 +9,23 @@ from assayloom.llm.quality_rules import op9_quality_rules
 from assayloom.llm.secret_scans import op10_secret_scans
 from assayloom.llm.simhash_dedup import op2_simhash_dedup
 from assayloom.llm.token_counts import op1_token_counts
+from assayloom.llm.url_filters import op5_url_filters
+from assayloom.llm.url_filters import oracle as op5_oracle
+from assayloom.llm.warc_fixity import op3_warc_fixity
+from assayloom.llm.warc_fixity import oracle as op3_oracle
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_url_filters": op5_url_filters,
     "op8_license_scans": op8_license_scans,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_fixity": op3_oracle(),
+    "op5_url_filters": op5_oracle(),
     "op8_license_scans": op8_oracle(),
 }
