@@ -5,6 +5,8 @@ from __future__ import annotations
 from assayloom.llm.embedding_dedup import op4_embedding_dedup
 from assayloom.llm.license_scans import op8_license_scans
 from assayloom.llm.license_scans import oracle as op8_oracle
+from assayloom.llm.mixing import op6_mixing
+from assayloom.llm.packing import op7_packing
 from assayloom.llm.quality_rules import op9_quality_rules
 from assayloom.llm.secret_scans import op10_secret_scans
 from assayloom.llm.simhash_dedup import op2_simhash_dedup
@@ -20,6 +22,8 @@ QUERIES = {
     "op3_warc_fixity": op3_warc_fixity,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_url_filters": op5_url_filters,
+    "op6_mixing": op6_mixing,
+    "op7_packing": op7_packing,
     "op8_license_scans": op8_license_scans,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,

@@ -6,6 +6,10 @@ within that half, the variants are shuffled, and fingerprints that meet are veri
 by more fingerprints than there are masks (65 for r = 2), however many documents are alike, because equal fingerprints are
 one before the expansion; so no group is unbounded and neighbours in a group suffice as links.
 
+For similarity on longer shingles 64 bits are too few: texts that share 80 % of their shingles differ in about 15 % of the
+bits. ``similar_groups`` takes 256 bits (the same hashes, mixed anew for each further word), emits the ball of radius 1 around each
+of eight blocks of 28 bits, and verifies the documents that meet by the distance of all 256 bits.
+
 Edge cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle give one
 shingle of all words; a row with a null id takes part in no link and has a null component unless its fingerprint has
 other rows; rows that repeat an id are fingerprinted each; other columns are ignored.
@@ -13,6 +17,7 @@ other rows; rows that repeat an id are fingerprinted each; other columns are ign
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -24,6 +29,7 @@ from assayloom.llm._shared import map_texts, table, written
 from assayloom.llm.components import components
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
+SIMILARITY, WIDE_SHINGLE, WORDS, BLOCK_BITS = 0.8, 5, 4, 28
 BLOCK = 65_536  # hashes whose bits are counted at once
 
 
@@ -93,6 +99,71 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, i
     return seen.join(named, "fp").select(id_col, "fp", "component")
 
 
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes for the k-th word of a wide fingerprint, from the first ones (the finalizer of splitmix64)."""
+    if k == 0:
+        return h
+    with np.errstate(over="ignore"):
+        z = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def wide_fingerprint(text: str | None, size: int = WIDE_SHINGLE) -> tuple[int, ...]:
+    """WORDS signed longs, from the same words as ``fingerprint``."""
+    hashes = np.array(shingle_hashes((text or "").encode().lower().split(), size), dtype=np.uint64)
+    out = []
+    for k in range(WORDS):
+        ones = np.zeros(BITS, dtype=np.int64)
+        for i in range(0, len(hashes), BLOCK):
+            block = mixed(hashes[i : i + BLOCK], k).view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0]))
+    return tuple(out)
+
+
+def most_bits(similarity: float) -> int:
+    """The expected distance of wide fingerprints of two sets with this Jaccard similarity."""
+    return math.floor(WORDS * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) for every row of ``docs``, linking texts estimated to be ``similarity`` alike or more.
+
+    Where many documents meet at a variant, each is compared with the two before it in the order of ids, not with all: what meets at
+    one variant meets at many, and a group of copies is connected by its neighbours.
+    """
+    names = [f"w{k}" for k in range(WORDS)]
+    seen = written(map_texts(docs, id_col, text_col, lambda text: wide_fingerprint(text, size), ", ".join(f"{w} bigint" for w in names)), "fingerprints")
+    prints = written(seen.groupBy(*names).agg(F.min(id_col).alias("rep")), "prints")
+    ball = F.array(*(F.lit(m).cast("long") for m in [0, *(1 << i for i in range(BLOCK_BITS))]))
+    whole = F.lit((1 << BLOCK_BITS) - 1).cast("long")
+    blocks = [F.shiftrightunsigned(w, 32 * half).bitwiseAND(whole).bitwiseOR(F.lit((2 * k + half) << 32).cast("long")) for k, w in enumerate(names) for half in (0, 1)]
+    met = prints.where("rep is not null").select("rep", F.explode(F.concat(*(F.transform(ball, b.bitwiseXOR) for b in blocks))).alias("variant"))
+    w = Window.partitionBy("variant").orderBy("rep")
+    near = met.select("rep", F.array(F.lag("rep", 1).over(w), F.lag("rep", 2).over(w)).alias("before")).where(F.col("before")[0].isNotNull())
+    pairs = near.select(F.col("rep").alias("b"), F.explode("before").alias("a")).where("a is not null").distinct()
+    of = lambda c: prints.where("rep is not null").select(F.col("rep").alias(c), F.array(*names).alias(f"fp_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    found = components(both.where(apart <= most_bits(similarity)).select("a", "b"))
+    named = written(prints.join(found, prints["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component")), "named")
+    return seen.join(named, names).select(id_col, "component")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id names their group, once each; rows with a null id stay.
+
+    The ids are the small side of a hash join, so texts are shuffled once and not sorted.
+    """
+    kept = groups.where(F.col(id_col) == F.col("component")).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
+    kept = written(kept, "kept")
+    once = docs.join(kept.where("__n = 1").select(id_col).hint("shuffle_hash"), id_col, "left_semi")
+    again = docs.join(kept.where("__n > 1").select(id_col).hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col])
+    return once.union(again).union(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = simhash_groups(table(spark, sf_dir, "documents"))
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
