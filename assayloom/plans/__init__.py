@@ -1 +1 @@
-"""See the README for the layout."""
+"""Views over the given tables, and the queries on them."""
