@@ -238,7 +238,9 @@ def agg_05b(t):
     return R.peptide_to_protein(t.peptide, how="top", shared="explode", min_peptides=2).withColumn("value", r6("value"))
 
 
-@query("agg_06_max_mean_collapse", "select study_id, feature_id, row_id, round(mean, 6) as mean from (select study_id, feature_id, row_id, avg(value) as mean, row_number() over (partition by study_id, feature_id order by avg(value) desc, row_id) as pos from (select study_id, 'G' || (substr(feature_id, 2)::int % 40) as feature_id, feature_id as row_id, value from {measure}) group by all) where pos = 1")
+@query("agg_06_max_mean_collapse", """
+with m as (select study_id, 'G' || (substr(feature_id, 2)::int % 40) as feature_id, feature_id as row_id, avg(value) as mean from {measure} group by 1, 2, 3)
+select study_id, feature_id, row_id, round(mean, 6) as mean from m qualify row_number() over (partition by study_id, feature_id order by mean desc, row_id) = 1""")
 def agg_06(t):
     rows = t.measure.select("study_id", F.concat(F.lit("G"), F.substring("feature_id", 2, 9).cast("int") % 40).alias("feature_id"), F.col("feature_id").alias("row_id"), "value")
     return R.max_mean(rows).withColumn("mean", r6("mean"))

@@ -74,7 +74,7 @@ from (select concat('run', l_returnflag) as run_id, concat('F', cast(l_partkey %
   cast(sum(case when l_suppkey % 2 = 1 then l_quantity else 0 end) as bigint) as a, cast(sum(case when l_suppkey % 2 = 0 then l_quantity else 0 end) as bigint) as b
   from {lineitem} group by l_returnflag, l_partkey % 200) t""",
     "gsea": """
-select d.study_id, d.contrast_id, g.set_id, round(avg(d.stat), 6) as nes, round(least(1.0, exp(-abs(avg(d.stat)) * 2)), 6) as fdr_q, count(*) as n_genes
+select d.study_id, d.contrast_id, g.set_id, round(cast(sum(cast(round(d.stat * 1000000) as bigint)) as double) / count(*) / 1000000 + 1e-9, 5) as nes, round(exp(-abs(cast(sum(cast(round(d.stat * 1000000) as bigint)) as double) / count(*) / 1000000) * 2), 5) as fdr_q, count(*) as n_genes
 from {deg} d join {gene_set} g on d.feature_id = g.gene where d.method = 'log_cpm' group by d.study_id, d.contrast_id, g.set_id""",
     "finding": """
 select concat('ST', cast(l.doc_id % 2 as string)) as study_id, l.doc_id as finding_id,
@@ -95,7 +95,7 @@ from {conversations}""",
 select claim_id, evidence_id, case when (claim_id + evidence_id) % 3 = 0 then 'supports' when (claim_id + evidence_id) % 3 = 1 then 'contradicts' else 'context' end as relation
 from (select doc_id as claim_id, doc_id % 17 as evidence_id from {labels} where doc_id % 4 <> 1 union all select doc_id as claim_id, 20 + doc_id % 5 as evidence_id from {labels} where doc_id % 2 = 0) t""",
 }
-NAME = re.compile(r"\{(\w+)\}")
+NAME = re.compile(r"\{([a-z_]\w*)\}")
 
 
 @cache
