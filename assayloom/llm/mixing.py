@@ -28,6 +28,8 @@ DOMAINS = ("good", "poor", "toxic")
 #: Token shares to reach. The total is set so that the first domain's tokens stay as many as they are.
 WEIGHTS = (0.94, 0.05, 0.01)
 SAMPLE, WORDS, LEAST_DOCS = 6_000, 20_000, 4
+#: Least chi-square of a word's counts over the domains for it to be a feature.
+CHI = 20.0
 STEPS, CLOSE, SEED = 24, 1e-7, 42
 EDGES = " \t\n\x0b\x0c\r.,;:!?\"'()[]|*#$%&<>-"
 UPPER_RUN = re.compile(r"[A-Z]{2,}")
@@ -76,11 +78,20 @@ class Classifier:
         """``rows``: word numbers, shape, domain. Full-batch Adam."""
         if not rows:
             return Classifier()
-        k, v = len(DOMAINS), max(len(vocabulary), 1)
+        k = len(DOMAINS)
         row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
         word = np.concatenate([np.asarray(r[0], dtype=np.int64) for r in rows] or [np.empty(0, np.int64)])
         x = np.column_stack([np.array([r[1] for r in rows], dtype=float), np.ones(len(rows))])
         y = np.eye(k)[[r[2] for r in rows]]
+        # only words whose share differs between the domains beyond chance: the rest is noise to learn by heart
+        seen = np.array([np.bincount(word, y[row, c], len(vocabulary)) for c in range(k)])
+        expected = seen.sum(axis=0) * y.mean(axis=0)[:, None]
+        chi = np.where(expected > 0, (seen - expected) ** 2 / np.maximum(expected, 1e-9), 0).sum(axis=0)
+        telling = np.flatnonzero(chi > CHI)
+        place = np.full(len(vocabulary) + 1, -1)
+        place[telling] = np.arange(len(telling))
+        row, word = row[place[word] >= 0], place[word][place[word] >= 0]
+        vocabulary, v = [vocabulary[i] for i in telling], max(len(telling), 1)
         params = [np.zeros((v, k)), np.zeros((x.shape[1], k))]
         first, second = ([np.zeros_like(p) for p in params] for _ in range(2))
         for t in range(1, rounds + 1):
@@ -145,20 +156,32 @@ def rate(steps: list[np.ndarray]) -> Column:
 
 
 def fit_rates(members: DataFrame, weights=WEIGHTS, most: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps, the targets, and the expected totals reached. ``members`` should be a written table: each step reads it once."""
+    """Steps, the targets, and the expected totals reached. ``members`` should be a written table: each step reads it once.
+
+    A step is scaled by the second moments of the documents whose rate isn't held at zero; if it made things worse, the next is scaled
+    by those of all documents, for which full steps are sound.
+    """
     ks = range(len(weights))
     n = F.col("n_tokens")
-    moments = members.agg(*(F.sum(n * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}{j}") for i in ks for j in ks), *(F.sum(n * F.col(f"p{i}")).alias(f"t{i}") for i in ks)).first()
-    m = np.array([[moments[f"m{i}{j}"] or 0.0 for j in ks] for i in ks])
-    now = np.array([moments[f"t{i}"] or 0.0 for i in ks])
+
+    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        rated = members.withColumn("r", rate(steps))
+        live = F.when(F.col("r") > 0, n).otherwise(0)
+        row = rated.agg(*(F.sum(n * F.col(f"p{i}") * F.col("r")).alias(f"t{i}") for i in ks), *(F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}{j}") for i in ks for j in ks)).first()
+        return np.array([row[f"t{i}"] or 0.0 for i in ks]), np.array([[row[f"m{i}{j}"] or 0.0 for j in ks] for i in ks])
+
+    steps: list[np.ndarray] = []
+    now, moments = sums(steps)
+    whole = moments
     goal = np.asarray(weights) / weights[0] * now[0]
     goal[now <= 0] = 0.0
-    inverse = np.linalg.pinv(m)
-    steps: list[np.ndarray] = []
-    while len(steps) < most and np.abs(goal - now).max() > CLOSE * max(goal.sum(), 1.0):
-        steps.append(inverse @ (goal - now))
-        got = members.withColumn("r", rate(steps)).agg(*(F.sum(n * F.col(f"p{i}") * F.col("r")).alias(f"t{i}") for i in ks)).first()
-        now = np.array([got[f"t{i}"] or 0.0 for i in ks])
+    off = np.abs(goal - now).max()
+    while len(steps) < most and off > CLOSE * max(goal.sum(), 1.0):
+        steps.append(np.linalg.pinv(moments, rcond=1e-10) @ (goal - now))
+        now, moments = sums(steps)
+        before, off = off, np.abs(goal - now).max()
+        if off > before:
+            moments = whole
     return steps, goal, now
 
 

@@ -84,7 +84,7 @@ def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         pairs = met.select(F.col("rep").alias("b"), "flip", F.lag("rep").over(w).alias("a"), F.lag("flip").over(w).alias("flip_a"))
     else:
         seen = F.collect_list(F.struct(F.col("rep").alias("a"), F.col("flip").alias("flip_a"))).over(w.rowsBetween(-gaps, -1))
-        pairs = met.select(F.col("rep").alias("b"), "flip", F.inline(seen))
+        pairs = met.select(F.col("rep").alias("b"), "flip", seen.alias("seen")).select("b", "flip", F.inline("seen"))
     # both differ from the variant by their flips, so from each other by the two flips together
     near = F.bit_count(F.col("flip").bitwiseXOR(F.col("flip_a"))) <= radius
     return pairs.where(F.col("a").isNotNull() & near).select("a", "b").distinct()
