@@ -13,10 +13,14 @@ from assayloom import attach
 
 #: Rows of an Arrow batch turned into Python objects at once.
 SLICE = 256
+ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``. Texts go to Python in batches of BATCH rows unless the session says otherwise: memory beside the heap is small."""
+    if spark.conf.get(ROWS) == "10000":
+        spark.conf.set(ROWS, str(BATCH))
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 

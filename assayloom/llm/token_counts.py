@@ -31,13 +31,15 @@ from assayloom.llm._shared import map_texts, table
 
 CHUNK, LIMIT = 65_536, 2048
 #: Memory bounds of a worker: beyond them the tables are emptied and filled anew.
-MOST_STATES, MOST_WORDS, MOST_PAIRS = 200_000, 400_000, 2_000_000
+MOST_STATES, MOST_WORDS, MOST_PAIRS = 150_000, 200_000, 300_000
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = regex.compile(f"[{SPACES}]")
 #: Characters whose class, case and composition are alike in every Unicode version; for others the library is asked.
 SETTLED = "\0-\u052f\u05d0-\u05ea\u2000-\u206f\u20a0-\u20bf\u2100-\u214f\u2190-\u22ff\u3000-\u303f\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufe00-\ufe0f\uff01-\uff5e\U0001f300-\U0001f64f"
 UNSETTLED = re.compile(f"[^{SETTLED}]")
 ROOT = 0
+#: An element of a state as one number: trie node, entry before (one more than its number; 0 for none), tokens beyond the smallest.
+NODE, BEFORE = 1 << 23, 1 << 6
 
 
 def byte_letters() -> list[str]:
@@ -66,7 +68,7 @@ class WordTransducer:
                 raise ValueError("entries must be numbered in the order of their merges")
             self.parts[z], self.joined[x, y] = (x, y), z
         self.symbols: dict[int, tuple[int, ...]] = {x: (x,) for x in (*self.inner, *self.last)}
-        self.child: dict[tuple[int, int], int] = {}
+        self.child: dict[int, int] = {}
         self.entry = [-1]
         for z in (*self.symbols, *self.parts):
             if z in self.parts:
@@ -74,8 +76,8 @@ class WordTransducer:
                 self.symbols[z] = self.symbols[x] + self.symbols[y]
             node = ROOT
             for s in self.symbols[z]:
-                if (after := self.child.get((node, s))) is None:
-                    after = self.child[node, s] = len(self.entry)
+                if (after := self.child.get(node << 10 | s)) is None:
+                    after = self.child[node << 10 | s] = len(self.entry)
                     self.entry.append(-1)
                 node = after
             self.entry[node] = z
@@ -83,11 +85,11 @@ class WordTransducer:
         self.reset()
 
     def reset(self) -> None:
-        start = ((ROOT, -1, 0),)
+        start = (ROOT * NODE,)
         self.states, self.number = [start], {start: 0}
         self.step: dict[int, int] = {}
         self.stop: dict[int, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def stands_alone(self, z: int) -> bool:
         """Whether merging the letters of entry z gives z itself."""
@@ -119,7 +121,7 @@ class WordTransducer:
         Undo merges on both sides of the border, latest first; the border falls if at some time the two entries that touch
         it had a merge earlier than the one undone next.
         """
-        key = (left, right)
+        key = left << 20 | right
         if (known := self.pairs.get(key)) is not None:
             return known
         limit, answer = 1 << 60, None
@@ -145,13 +147,14 @@ class WordTransducer:
     def advance(self, state: int, symbol: int) -> int:
         """The transition, as next state * 64 + tokens emitted."""
         after = []
-        for node, before, more in self.states[state]:
-            if (to := self.child.get((node, symbol))) is not None:
-                after.append((to, before, more))
+        for element in self.states[state]:
+            node, before, more = element // NODE, element % NODE // BEFORE - 1, element % BEFORE
+            if (to := self.child.get(node << 10 | symbol)) is not None:
+                after.append((to * NODE + (before + 1) * BEFORE, more))
                 if self.closes(to, before):
-                    after.append((ROOT, self.entry[to], more + 1))
-        least = min(m for _, _, m in after)
-        key = tuple(sorted((n, b, m - least) for n, b, m in after))
+                    after.append((ROOT * NODE + (self.entry[to] + 1) * BEFORE, more + 1))
+        least = min(m for _, m in after)
+        key = tuple(sorted(e + m - least for e, m in after))
         if (to := self.number.get(key)) is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
@@ -159,7 +162,11 @@ class WordTransducer:
 
     def finish(self, state: int, symbol: int) -> int:
         """The tokens emitted by the last letter."""
-        return next(more + 1 for node, before, more in self.states[state] if (to := self.child.get((node, symbol))) is not None and self.closes(to, before))
+        for element in self.states[state]:
+            to = self.child.get(element // NODE << 10 | symbol)
+            if to is not None and self.closes(to, element % NODE // BEFORE - 1):
+                return element % BEFORE + 1
+        raise AssertionError("every word has one reading")
 
     def count(self, word: bytes) -> int:
         if len(self.states) > MOST_STATES or len(self.pairs) > MOST_PAIRS:
