@@ -17,10 +17,14 @@ ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of ``sf_dir``. Texts go to Python in batches of BATCH rows unless the session says otherwise: memory beside the heap is small."""
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Texts go to Python in batches of BATCH rows unless the session says otherwise: memory beside the heap is small."""
     if spark.conf.get(ROWS) == "10000":
         spark.conf.set(ROWS, str(BATCH))
+    return attach(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,6 +54,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, row: Callable[[str |
 
     ``row`` sees the whole text, or None. Other columns of ``docs`` are pruned from the scan.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(id_col, text_col)
     kind = src.schema[id_col].dataType.simpleString()
     names, kinds = zip(*((n, ARROW[k]) for n, k in (f.split() for f in fields.split(","))), strict=True)

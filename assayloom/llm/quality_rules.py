@@ -17,7 +17,7 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from assayloom.llm._shared import map_texts, table
+from assayloom.llm._shared import map_texts, small_batches, table
 
 LEVEL, CHUNK = 3, 8192
 #: (up to this many bytes, least ratio, greatest ratio). Below 256 bytes the frame dominates, so nothing is too dense.
@@ -125,6 +125,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index(text_col)
     measure = row_measurer()
 

@@ -19,7 +19,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayloom.llm._shared import map_texts, table
+from assayloom.llm._shared import map_texts, small_batches, table
 
 #: The order of kinds at the same start.
 KINDS = ("assign", "access", "hex", "jwt", "key", "pem")
@@ -160,6 +160,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the secrets in ``text_col`` masked; all rows and columns stay, and texts without secrets stay as they are."""
     import pyarrow as pa
 
+    small_batches(docs.sparkSession)
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches):
