@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayloom.plans import matrix_queries, result_queries, study_queries  # noqa: F401
+from assayloom.plans import matrix_queries, result_queries, study_queries, text_queries  # noqa: F401
 from assayloom.plans.registry import ORACLE, QUERIES, entry
 
 __all__ = ["ORACLE", "QUERIES", "entry"]
