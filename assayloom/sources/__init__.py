@@ -1 +1 @@
-"""See the README for the layout."""
+"""Scans of matrices, sample tables and result files, and sinks."""
