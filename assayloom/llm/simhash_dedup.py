@@ -131,8 +131,8 @@ def most_bits(similarity: float) -> int:
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) for every row of ``docs``, linking texts estimated to be ``similarity`` alike or more.
 
-    Where many documents meet at a variant, each is compared with the two before it in the order of ids, not with all: what meets at
-    one variant meets at many, and a group of copies is connected by its neighbours.
+    Where many documents meet at a variant, each is compared with the one with the smallest id, not with all: what meets at one
+    variant meets at many, in other company, so copies of copies are still linked.
     """
     names = [f"w{k}" for k in range(WORDS)]
     seen = written(map_texts(docs, id_col, text_col, lambda text: wide_fingerprint(text, size), ", ".join(f"{w} bigint" for w in names)), "fingerprints")
@@ -141,9 +141,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     whole = F.lit((1 << BLOCK_BITS) - 1).cast("long")
     blocks = [F.shiftrightunsigned(w, 32 * half).bitwiseAND(whole).bitwiseOR(F.lit((2 * k + half) << 32).cast("long")) for k, w in enumerate(names) for half in (0, 1)]
     met = prints.where("rep is not null").select("rep", F.explode(F.concat(*(F.transform(ball, b.bitwiseXOR) for b in blocks))).alias("variant"))
-    w = Window.partitionBy("variant").orderBy("rep")
-    near = met.select("rep", F.array(F.lag("rep", 1).over(w), F.lag("rep", 2).over(w)).alias("before")).where(F.col("before")[0].isNotNull())
-    pairs = near.select(F.col("rep").alias("b"), F.explode("before").alias("a")).where("a is not null").distinct()
+    first = F.first("rep").over(Window.partitionBy("variant").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pairs = met.select(F.col("rep").alias("b"), first.alias("a")).where("a <> b").distinct()
     of = lambda c: prints.where("rep is not null").select(F.col("rep").alias(c), F.array(*names).alias(f"fp_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
