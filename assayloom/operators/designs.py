@@ -144,3 +144,78 @@ def pairing_signal(a: DataFrame, primary: str) -> DataFrame:
 def strata_scan(a: DataFrame) -> DataFrame:
     """Attributes named for time or dose with two levels or more."""
     return a.where(any_of(F.col("attr"), ("time", "dose", "age", "day", "week"))).groupBy("study_id", "attr").agg(F.countDistinct("value").alias("levels")).where("levels >= 2")
+
+
+#: Markers of a baseline level as whole words, and of columns that can hold the design.
+BASELINE = ("pre", "baseline", "basal", "sedentary", "untrained", "sham", "control", "vehicle", "naive", "wildtype", "wild-type")
+DESIGN_NAMES = ("characteristics", "title", "source", "treatment", "group", "condition", "phenotype", "time")
+
+
+def detect_contrasts(a: DataFrame, treatment: list[str], control: list[str], least: int = 2, every: bool = False) -> DataFrame:
+    """Control against every treatment level of the best column of each study.
+
+    A level is a control if it holds a control word and no treatment word, or a baseline marker as a whole word beside it; a treatment level
+    holds treatment words only. Columns with 2 to 8 levels and a usable pair score by their name and by arms of three or more. With ``every``
+    the pairs of all usable columns are returned.
+    """
+    v = a.where(F.col("value").isNotNull() & any_of(F.col("attr"), DESIGN_NAMES)).groupBy("study_id", "attr", "value").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"), F.min("sample_id").alias("first"))
+    few = v.groupBy("study_id", "attr").agg(F.count(F.lit(1)).alias("levels")).where("levels between 2 and 8")
+    low = F.lower("value")
+    is_c, is_t = low.rlike("|".join(control)), low.rlike("|".join(treatment))
+    base = low.rlike(r"\b(" + "|".join(BASELINE) + r")\b")
+    role = F.when(is_c & (~is_t | base), "control").when(is_t & ~is_c, "treatment")
+    r = v.join(few, ["study_id", "attr"]).withColumn("role", role)
+    c = first_by(r.where("role = 'control'"), ["study_id", "attr"], "first", "value").where(F.col("n") >= least).select("study_id", "attr", F.col("value").alias("control"), F.col("n").alias("n_control"))
+    t = r.where((F.col("role") == "treatment") & (F.col("n") >= least)).select("study_id", "attr", "ord", F.col("value").alias("treatment"), F.col("n").alias("n_treatment"))
+    j = t.join(c, ["study_id", "attr"])
+    if every:
+        return j
+    s = j.groupBy("study_id", "attr").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("n_control", "n_treatment")).alias("least"), F.min("ord").alias("ord"))
+    score = 1 + any_of(F.col("attr"), ("treatment", "condition", "time")).cast("int") + (F.col("least") >= 3).cast("int")
+    best = first_by(s.withColumn("score", score), ["study_id"], F.desc("score"), F.desc("k"), "ord", "attr").select("study_id", "attr", "score")
+    return j.join(best, ["study_id", "attr"]).select("study_id", "attr", "control", "treatment", "n_control", "n_treatment", "score")
+
+
+def confident(contrasts: DataFrame, viable: DataFrame, least: int = 3) -> DataFrame:
+    """A study is certain if one column only can hold its design and all arms have ``least`` samples."""
+    n = viable.groupBy("study_id").agg(F.countDistinct("attr").alias("n_columns"))
+    c = contrasts.groupBy("study_id").agg(F.min(F.least("n_control", "n_treatment")).alias("least"))
+    return c.join(n, "study_id").select("study_id", "n_columns", "least", ((F.col("n_columns") == 1) & (F.col("least") >= least)).alias("confident"))
+
+
+def split_study(a: DataFrame, attr: str) -> DataFrame:
+    """A study for each level of an attribute and the comparisons of all pairs; a baseline level is the control, else the earlier by order."""
+    o = level_order(a, attr)
+    n = a.where(F.col("attr") == attr).groupBy("study_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    o = o.join(n, ["study_id", "value"])
+    x, y = (o.select("study_id", F.col("value").alias(k), F.col("place").alias(f"place_{k}"), F.col("n").alias(f"n_{k}")) for k in ("control", "treatment"))
+    slug = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_")
+    j = x.join(y, "study_id").where("place_control < place_treatment")
+    return j.select("study_id", F.concat_ws("__", "study_id", slug(F.col("control"))).alias("control_study"), F.concat_ws("__", "study_id", slug(F.col("treatment"))).alias("treatment_study"), "control", "treatment", F.least("n_control", "n_treatment").alias("least_n"))
+
+
+def sex_split(s: DataFrame, least: int = 3) -> DataFrame:
+    """Per sex the sizes of both arms and whether it can be analysed on its own; ``s`` has study_id, condition, sex."""
+    c = s.where("sex is not null").groupBy("study_id", "sex", "condition").agg(F.count(F.lit(1)).alias("n"))
+    return c.groupBy("study_id", "sex").agg(F.count(F.lit(1)).alias("n_arms"), F.min("n").alias("least")).withColumn("analyzable", (F.col("n_arms") >= 2) & (F.col("least") >= least))
+
+
+def suitability(checks: DataFrame) -> DataFrame:
+    """One verdict a study from its checks (study_id, check, status): fail if any fails."""
+    failed = F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == "fail", F.col("check")))), ";")
+    return checks.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_checks"), F.count_if(F.col("status") == "fail").alias("n_failed"), failed.alias("failed")).withColumn("verdict", F.when(F.col("n_failed") > 0, "fail").otherwise("pass"))
+
+
+def design_rank(s: DataFrame, terms: list[str]) -> DataFrame:
+    """Samples, rank of the design, parameters and residual degrees of freedom of each study."""
+    import numpy as np
+    import pandas as pd
+
+    from assayloom.operators.stats import design
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        names, x = design(p.sort_values("sample_id"), terms)
+        rank = int(np.linalg.matrix_rank(x))
+        return pd.DataFrame({"study_id": [p["study_id"].iloc[0]], "n_samples": [len(p)], "n_columns": [len(names)], "rank": [rank], "residual_df": [len(p) - rank]})
+
+    return s.select("study_id", "sample_id", *terms).groupBy("study_id").applyInPandas(one, "study_id string, n_samples long, n_columns long, rank long, residual_df long")

@@ -163,3 +163,24 @@ def minprob(m: DataFrame, shift: float = 1.8, scale: float = 0.3, seed: int = 42
     z = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * F.pi() * u[1])
     drawn = F.col("mu") - shift * F.col("sd") + scale * F.col("sd") * z
     return m.join(s, ["study_id", "sample_id"]).select("study_id", "feature_id", "sample_id", F.coalesce("value", drawn).alias("value"), F.col("value").isNull().alias("imputed"))
+
+
+#: Phrases of series types and what they stand for.
+SERIES_TYPES = (
+    ("expression profiling by high throughput sequencing", "rnaseq"),
+    ("expression profiling by array", "microarray"),
+    ("methylation profiling", "methylation"),
+    ("non-coding rna profiling by high throughput sequencing", "ncrna_seq"),
+    ("non-coding rna profiling by array", "ncrna_array"),
+    ("genome binding/occupancy", "chromatin"),
+    ("genome variation", "genome_variation"),
+    ("protein profiling", "proteomics"),
+)
+
+
+def series_type(kind: Column, text: Column) -> Column:
+    """Data types of a series joined by +; sequencing of single cells by the words of its text."""
+    low = F.lower(F.coalesce(kind, F.lit("")))
+    single = F.coalesce(text, F.lit("")).rlike(r"(?i)single[- ]?(cell|nucle(us|i))|scRNA|snRNA|10x genomics|chromium|drop-?seq")
+    found = F.array_compact(F.array(*(F.when(low.contains(p), F.when(single, "scrnaseq").otherwise("rnaseq") if k == "rnaseq" else F.lit(k)) for p, k in SERIES_TYPES)))
+    return F.when(F.size(found) > 0, F.array_join(F.array_distinct(found), "+")).otherwise(F.when(low == "", "unknown").otherwise("other"))

@@ -18,3 +18,29 @@ def preview(items: Column, most: int = 60) -> Column:
     """The first items joined, and how many are left out."""
     more = F.size(items) - most
     return F.concat(F.array_join(F.slice(items, 1, most), ";"), F.when(more > 0, F.concat(F.lit(" (+"), more.cast("string"), F.lit(" more)"))).otherwise(""))
+
+
+def triage(rows: DataFrame, flags: list[Column], key: str) -> DataFrame:
+    """Rows of each batch in the order of flags, first to last, with a stable index."""
+    w = Window.partitionBy("batch").orderBy(*(F.desc(f) for f in flags), key)
+    return rows.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def head_and_random(rows: DataFrame, group: str, order: str, head: int, picks: int, seed: int = 42) -> DataFrame:
+    """The first ``head`` rows of each group and ``picks`` of the rest, drawn by a hash."""
+    first = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    r = rows.withColumn("is_head", first <= head)
+    draw = F.row_number().over(Window.partitionBy(group, "is_head").orderBy(F.xxhash64(F.lit(seed), order), order))
+    return r.withColumn("draw", draw).where(F.col("is_head") | (F.col("draw") <= picks)).drop("draw")
+
+
+def quota_select(rows: DataFrame, quotas: list[tuple[str, Column, int]], key: str, total: int) -> DataFrame:
+    """For each category in turn its first rows not taken yet, then others up to ``total``; categories are few, each is one pass."""
+    taken = None
+    for name, test, n in quotas:
+        free = rows.where(test) if taken is None else rows.where(test).join(taken.select(key), key, "left_anti")
+        got = free.orderBy(key).limit(n).select(key).withColumn("category", F.lit(name))
+        taken = got if taken is None else taken.union(got)
+    rest = rows.join(taken.select(key), key, "left_anti").orderBy(key).limit(total).select(key).withColumn("category", F.lit("fill"))
+    need = taken.withColumn("o", F.lit(0)).union(rest.withColumn("o", F.lit(1))).orderBy("o", key).limit(total)
+    return need.select(key, "category")

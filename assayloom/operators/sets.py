@@ -140,3 +140,13 @@ def rouge_l(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return pd.Series(out)
 
     return pairs.withColumn("rouge_l", F.pandas_udf(f1, "double", F.PandasUDFType.SCALAR)(a, b))
+
+
+def gold_verdicts(contrasts: DataFrame, samples: DataFrame, gold: DataFrame) -> DataFrame:
+    """Whether the arms of a contrast hold the samples that the gold roles (exercise, rest) put there."""
+    j = contrasts.join(samples, "study_id").join(gold, ["study_id", "sample_id"], "left")
+    n = lambda arm, role: F.count_if((F.col("condition") == F.col(arm)) & (F.col("role") == role))
+    c = j.groupBy("study_id", "contrast").agg(n("treatment", "exercise").alias("te"), n("treatment", "rest").alias("tr"), n("control", "exercise").alias("ce"), n("control", "rest").alias("cr"))
+    te, tr, ce, cr = map(F.col, ("te", "tr", "ce", "cr"))
+    verdict = F.when((te + tr == 0) | (ce + cr == 0), "unscorable").when((te > tr) & (cr > ce), "correct").when((tr > te) & (ce > cr), "reversed").otherwise("mixed")
+    return c.withColumn("verdict", verdict)
