@@ -91,3 +91,21 @@ def kg_edges(genes: DataFrame, contexts: DataFrame, best_set: DataFrame, finding
     claims = findings.where(F.col("entity_type").isin("gene", "protein")).select("study_id", F.col("entity").alias("object"), word(F.col("direction")).alias("predicate")).distinct()
     only = claims.join(data.select("study_id", "object"), ["study_id", "object"], "left_anti").withColumn("origin", F.lit("text"))
     return data.distinct().unionByName(only).join(F.broadcast(contexts), "study_id", "left").join(F.broadcast(best_set), "study_id", "left")
+
+
+def result_rows(d: DataFrame) -> DataFrame:
+    """Analysis rows of the results there are: one a study, contrast and method, numbered."""
+    n = d.groupBy("study_id", "contrast_id", "method").agg(F.count(F.lit(1)).alias("n_features"))
+    at = F.row_number().over(Window.partitionBy("study_id").orderBy("contrast_id", "method"))
+    return n.select("study_id", F.format_string("%s_ana%d", "study_id", at).alias("analysis_id"), "contrast_id", "method", "n_features")
+
+
+def inherit(children: DataFrame, parents: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows of split studies with the fields they lack taken from their parent."""
+    p = parents.select(F.col("study_id").alias("parent_id"), *(F.col(f).alias(f"__{f}") for f in fields))
+    return children.join(p, "parent_id", "left").select(*(F.coalesce(c, f"__{c}").alias(c) if c in fields else F.col(c) for c in children.columns))
+
+
+def scaffold(needed: DataFrame, there: DataFrame, prefix: str) -> DataFrame:
+    """Rows for studies that have none in a table yet."""
+    return needed.select("study_id").distinct().join(there.select("study_id").distinct(), "study_id", "left_anti").select("study_id", F.concat("study_id", F.lit(f"_{prefix}1")).alias("id"), F.lit("scaffold").alias("source"))

@@ -44,3 +44,11 @@ def quota_select(rows: DataFrame, quotas: list[tuple[str, Column, int]], key: st
     rest = rows.join(taken.select(key), key, "left_anti").orderBy(key).limit(total).select(key).withColumn("category", F.lit("fill"))
     need = taken.withColumn("o", F.lit(0)).union(rest.withColumn("o", F.lit(1))).orderBy("o", key).limit(total)
     return need.select(key, "category")
+
+
+def pick_matrix(files: DataFrame, preferred: Column, top: int = 3) -> DataFrame:
+    """Of the largest files of each study the first preferred one, else the largest."""
+    size = F.row_number().over(Window.partitionBy("study_id").orderBy(F.desc("size"), "name"))
+    r = files.withColumn("place", size).where(F.col("place") <= top).withColumn("good", preferred)
+    at = F.row_number().over(Window.partitionBy("study_id").orderBy(F.desc("good"), "place"))
+    return r.withColumn("at", at).where("at = 1").drop("at", "place", "good")

@@ -176,3 +176,29 @@ def segments(docs: DataFrame, size: int = 1200) -> DataFrame:
     bucket = F.floor((F.sum(F.length("line")).over(w) - F.length("line")) / size)
     g = lines.withColumn("block", bucket).groupBy("paper_id", "block")
     return g.agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def choose_own(blocks: DataFrame, width: int = 170) -> DataFrame:
+    """The series of each paper with the most own signals over cited ones around its mentions; a single one that isn't cited counts as own."""
+    a = accessions(blocks).where("repo = 'geo'").withColumn("i", F.instr("text", F.col("accession")))
+    around = F.expr(f"substring(text, greatest(1, i - {width}), 2 * {width})")
+    s = a.select("paper_id", "accession", F.regexp_count(around, F.lit(OWN_WORDS)).alias("own"), F.regexp_count(around, F.lit(CITED_WORDS)).alias("cited")).groupBy("paper_id", "accession").agg(F.sum("own").alias("own"), F.sum("cited").alias("cited"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("paper_id"))
+    at = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.desc(F.col("own") - F.col("cited")), "accession"))
+    best = s.withColumn("n", n).withColumn("at", at).where("at = 1")
+    return best.where((F.col("own") > F.col("cited")) | ((F.col("n") == 1) & (F.col("cited") == 0))).select("paper_id", "accession", "own", "cited")
+
+
+def relevance(docs: DataFrame, phrases: list[str]) -> DataFrame:
+    """The first of the phrases, in their order, that a text holds."""
+    out = F.lit(None).cast("string")
+    for p in reversed(phrases):
+        out = F.when(F.lower("text").contains(p), p).otherwise(out)
+    return docs.select("paper_id", out.alias("phrase"))
+
+
+def design_evidence(blocks: DataFrame, pattern: str, classes: list[str], most: int = 4) -> DataFrame:
+    """The first hits of a pattern in design sections of each paper, with their blocks."""
+    hits = blocks.where(F.col("section_class").isin(classes)).select("paper_id", "ord", "block_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("k", "hit"))
+    w = Window.partitionBy("paper_id").orderBy("ord", "k")
+    return hits.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("paper_id", "block_id", "hit", "place")
