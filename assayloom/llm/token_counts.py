@@ -31,7 +31,7 @@ from assayloom.llm._shared import map_texts, table
 
 CHUNK, LIMIT = 65_536, 2048
 #: Memory bounds of a worker: beyond them the tables are emptied and filled anew.
-MOST_STATES, MOST_WORDS, MOST_PAIRS = 150_000, 200_000, 300_000
+MOST_STATES, MOST_WORDS, MOST_PAIRS = 250_000, 250_000, 400_000
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = regex.compile(f"[{SPACES}]")
 #: Characters whose class, case and composition are alike in every Unicode version; for others the library is asked.
