@@ -152,3 +152,11 @@ def arm_summary(calls: DataFrame) -> DataFrame:
     modal = v.groupBy("arm").agg(F.max_by("verdict", F.struct("c", F.col("verdict"))).alias("modal"))
     s = calls.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("resolved").cast("double")), 6).alias("resolved_rate"), F.round(F.avg("tokens"), 4).alias("mean_tokens"))
     return s.join(modal, "arm")
+
+
+def provider_stability(runs: DataFrame) -> DataFrame:
+    """Pairs of providers (provider, key, value): keys both have, and how many values are the same."""
+    a, b = (runs.select("key", F.col("provider").alias(f"provider_{x}"), F.col("value").alias(f"value_{x}")) for x in "ab")
+    j = a.join(b, "key").where("provider_a < provider_b")
+    same = F.count_if(F.col("value_a").eqNullSafe(F.col("value_b")))
+    return j.groupBy("provider_a", "provider_b").agg(F.count(F.lit(1)).alias("n_common"), same.alias("n_same"), F.round(same / F.count(F.lit(1)), 6).alias("agreement"))

@@ -109,3 +109,26 @@ def inherit(children: DataFrame, parents: DataFrame, fields: list[str]) -> DataF
 def scaffold(needed: DataFrame, there: DataFrame, prefix: str) -> DataFrame:
     """Rows for studies that have none in a table yet."""
     return needed.select("study_id").distinct().join(there.select("study_id").distinct(), "study_id", "left_anti").select("study_id", F.concat("study_id", F.lit(f"_{prefix}1")).alias("id"), F.lit("scaffold").alias("source"))
+
+
+def flatten_extraction(papers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Study, group and subject rows of nested extractions (study_id, groups array<struct<label, n>>, subjects array<struct<name, group>>).
+
+    Groups and subjects are one for each label without regard to case and spaces, numbered by label; subjects point to their group or to 0.
+    """
+    norm = lambda c: F.lower(F.trim(c))
+    g = papers.select("study_id", F.inline("groups")).withColumn("key", norm(F.col("label")))
+    g = first_by(g, ["study_id", "key"], F.desc("n"), "label")
+    g = g.withColumn("group_id", F.format_string("%s_grp%d", "study_id", F.row_number().over(Window.partitionBy("study_id").orderBy("key"))))
+    s = papers.select("study_id", F.inline("subjects")).withColumn("who", norm(F.col("name"))).withColumn("key", norm(F.col("group")))
+    s = first_by(s, ["study_id", "who"], "key", "name").join(g.select("study_id", "key", "group_id"), ["study_id", "key"], "left")
+    s = s.withColumn("subject_id", F.format_string("%s_sub%d", "study_id", F.row_number().over(Window.partitionBy("study_id").orderBy("who"))))
+    studies = papers.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_extractions"))
+    return studies, g.select("study_id", "group_id", "label", "n"), s.select("study_id", "subject_id", "name", F.coalesce("group_id", F.lit("0")).alias("group_id"))
+
+
+def exercise_rows(interventions: DataFrame, terms: str) -> DataFrame:
+    """Interventions (study_id, ord, material, kind, dose, unit) whose material or kind is an exercise, numbered, with their parameters joined."""
+    hit = F.lower(F.concat_ws(" ", "material", "kind")).rlike(terms)
+    at = F.row_number().over(Window.partitionBy("study_id").orderBy("ord"))
+    return interventions.where(hit).select("study_id", F.format_string("%s_ex%d", "study_id", at).alias("exercise_id"), "material", F.concat_ws(" ", F.col("dose").cast("string"), "unit").alias("parameters"))

@@ -219,3 +219,34 @@ def design_rank(s: DataFrame, terms: list[str]) -> DataFrame:
         return pd.DataFrame({"study_id": [p["study_id"].iloc[0]], "n_samples": [len(p)], "n_columns": [len(names)], "rank": [rank], "residual_df": [len(p) - rank]})
 
     return s.select("study_id", "sample_id", *terms).groupBy("study_id").applyInPandas(one, "study_id string, n_samples long, n_columns long, rank long, residual_df long")
+
+
+def multifactor_plan(s: DataFrame, terms: list[str]) -> DataFrame:
+    """Per study the samples without gaps, terms with one level only, rank and degrees of freedom, and whether the plan stands."""
+    whole = s
+    for t in terms:
+        whole = whole.where(~is_blank(t))
+    levels = whole.groupBy("study_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_compact(F.array(*(F.when(F.countDistinct(t) < 2, t) for t in terms))), ";").alias("dropped"))
+    r = design_rank(whole, terms).select("study_id", "rank", "n_columns", "residual_df")
+    return levels.join(r, "study_id").withColumn("valid", (F.col("rank") == F.col("n_columns")) & (F.col("residual_df") >= 2))
+
+
+def series_screen(rows: DataFrame, layers: list[tuple[str, object]]) -> DataFrame:
+    """First failing layer of each series, and of each paper the series that came furthest; layers are conditions in order."""
+    n = F.lit(len(layers))
+    for k, (_, ok) in reversed(list(enumerate(layers))):
+        n = F.when(~F.coalesce(ok, F.lit(False)), F.lit(k)).otherwise(n)
+    names = F.array(*(F.lit(x) for x, _ in layers), F.lit("analyzable"))
+    r = rows.withColumn("depth", n)
+    p = r.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_series"), F.max("depth").alias("depth"), F.count_if(F.col("depth") == len(layers)).alias("n_analyzable"))
+    return p.select("paper_id", "n_series", "n_analyzable", F.element_at(names, F.col("depth") + 1).alias("reason"))
+
+
+def header_groups(a: DataFrame) -> DataFrame:
+    """The design column of each study, its smallest group and the sexes recorded."""
+    from assayloom.functions.columns import sex_label
+
+    d = pick_design(a).select("study_id", "attr")
+    size = a.join(d, ["study_id", "attr"]).groupBy("study_id", "attr", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("study_id", "attr").agg(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("n_groups"))
+    sex = a.where("attr = 'sex'").groupBy("study_id").agg(F.array_join(F.array_sort(F.collect_set(sex_label(F.col("value")))), ";").alias("sexes"))
+    return size.join(sex, "study_id", "left").withColumn("sexes", F.coalesce("sexes", F.lit("")))

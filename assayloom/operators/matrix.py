@@ -184,3 +184,30 @@ def series_type(kind: Column, text: Column) -> Column:
     single = F.coalesce(text, F.lit("")).rlike(r"(?i)single[- ]?(cell|nucle(us|i))|scRNA|snRNA|10x genomics|chromium|drop-?seq")
     found = F.array_compact(F.array(*(F.when(low.contains(p), F.when(single, "scrnaseq").otherwise("rnaseq") if k == "rnaseq" else F.lit(k)) for p, k in SERIES_TYPES)))
     return F.when(F.size(found) > 0, F.array_join(F.array_distinct(found), "+")).otherwise(F.when(low == "", "unknown").otherwise("other"))
+
+
+#: Words of data types in order, and the files they need.
+REQUIRED = (("single-cell", "matrix;barcodes;features"), ("methylation", "beta matrix;probe annotation"), ("proteomics", "abundance matrix;sample sheet"), ("microarray", "log matrix;platform annotation"), ("count", "raw counts;sample sheet"))
+
+
+def required_data(kind: Column) -> Column:
+    """The files of the first word of the list that a data type holds."""
+    out: Column = F.lit(None).cast("string")
+    for word, files in reversed(REQUIRED):
+        out = F.when(F.lower(kind).contains(word), files).otherwise(out)
+    return out
+
+
+def labelling(methods: Column, text: Column) -> Column:
+    """labelled or label-free by the quantification methods of a project, else by its text."""
+    tags, free = r"(?i)\b(tmt|itraq|silac|dimethyl)", r"(?i)label[- ]free|\blfq\b|\bdia\b"
+    return F.coalesce(*(F.when(c.rlike(tags), "labelled").when(c.rlike(free), "label_free") for c in (F.coalesce(methods, F.lit("")), F.coalesce(text, F.lit("")))), F.lit("unknown"))
+
+
+def sniff(m: DataFrame, estimated: Column) -> DataFrame:
+    """What values of a file say of it (file, value, note): raw counts, mostly integer or decimal, and how that agrees with the notes."""
+    near = (F.abs(F.col("value") - F.rint("value")) <= 0.01).cast("double")
+    s = m.groupBy("file").agg(F.avg(near).alias("whole"), F.min("value").alias("low"), F.bool_or(estimated).alias("estimated"))
+    kind = F.when((F.col("whole") >= INTEGER) & (F.col("low") >= 0), "raw_counts").when(F.col("whole") >= 0.5, "mostly_integer").otherwise("decimal")
+    s = s.withColumn("kind", kind)
+    return s.select("file", F.round("whole", 6).alias("whole"), "kind", F.when(F.col("kind") == "raw_counts", "as_expected").when(F.col("estimated"), "estimated").otherwise("unexplained").alias("verdict"))
