@@ -14,7 +14,7 @@ from assayloom import attach
 #: Rows of an Arrow batch turned into Python objects at once.
 SLICE = 256
 ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
-ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
 
 
 def small_batches(spark: SparkSession) -> SparkSession:

@@ -6,9 +6,10 @@ within that half, the variants are shuffled, and fingerprints that meet are veri
 by more fingerprints than there are masks (65 for r = 2), however many documents are alike, because equal fingerprints are
 one before the expansion; so no group is unbounded and neighbours in a group suffice as links.
 
-For similarity on longer shingles 64 bits are too few: texts that share 80 % of their shingles differ in about 15 % of the
-bits. ``similar_groups`` takes 256 bits (the same hashes, mixed anew for each further word), emits the ball of radius 1 around each
-of eight blocks of 28 bits, and verifies the documents that meet by the distance of all 256 bits.
+For similarity on longer shingles no fingerprint decides well: texts that share 80 % of their shingles differ in about 15 % of its
+bits, give or take. ``similar_groups`` is an exact set-similarity join instead: candidates share a shingle of their prefixes (the rarest
+fifth of the set, and one more, at 0.8), pass sound bounds from positions and parity sketches, and are decided by the Jaccard
+similarity of the sets themselves.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle give one
 shingle of all words; a row with a null id takes part in no link and has a null component unless its fingerprint has
@@ -22,14 +23,16 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayloom.llm._shared import map_texts, table, written
 from assayloom.llm.components import components
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
-SIMILARITY, WIDE_SHINGLE, WORDS, BLOCK_BITS = 0.8, 5, 4, 28
+SIMILARITY, WIDE_SHINGLE, WORDS, SKETCH = 0.8, 5, 4, 512
+#: One document of SAMPLE is counted for the order of shingles; RECURS times there is common; at most MOST_COMMON are ordered by count.
+SAMPLE, RECURS, MOST_COMMON = 16, 4, 200_000
 BLOCK = 65_536  # hashes whose bits are counted at once
 
 
@@ -111,7 +114,7 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: str | None, size: int = WIDE_SHINGLE) -> tuple[int, ...]:
-    """WORDS signed longs, from the same words as ``fingerprint``."""
+    """WORDS signed longs, from the same words as ``fingerprint``: a yardstick for tests, nothing is decided by it."""
     hashes = np.array(shingle_hashes((text or "").encode().lower().split(), size), dtype=np.uint64)
     out = []
     for k in range(WORDS):
@@ -128,27 +131,89 @@ def most_bits(similarity: float) -> int:
     return math.floor(WORDS * BITS * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
+def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes, ascending, from the same words as ``fingerprint``."""
+    return np.unique(np.array(shingle_hashes((text or "").encode().lower().split(), size), dtype="<u8"))
+
+
+def common_shingles(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and counts of shingles that recur in a sample of the documents.
+
+    They only decide which shingles a prefix starts with. Any order gives the same links, so what the sample misses costs time, not links.
+    """
+    sample = docs.where(F.pmod(F.xxhash64(id_col), F.lit(SAMPLE)) == 0)
+    seen = map_texts(sample, id_col, text_col, lambda text: (shingle_set(text, size).view("<i8"),), "shingles array<bigint>")
+    often = seen.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= RECURS)
+    rows = often.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
+    hashes, counts = rows["shingle"].to_numpy().view("<u8"), rows["count"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def set_columns(text: str | None, size: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple:
+    """Digest (two longs), number, parity sketch and prefix of the text's shingle set.
+
+    Sets of this similarity share a shingle of their prefixes, if prefixes follow one order of all shingles: here rare ones first, then
+    by hash. Each shingle flips one bit of the sketch, so sketches differ in at most as many bits as the sets differ in shingles.
+    """
+    h = shingle_set(text, size)
+    d0, d1 = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), dtype="<i8").tolist()
+    odd = (np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
+    often = np.zeros(len(h), dtype=np.int64)
+    if len(common) and len(h):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        often = np.where(common[at] == h, counts[at], 0)
+    first = h[np.lexsort((h, often))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
+    return d0, d1, len(h), np.packbits(odd, bitorder="little").view("<i8"), first.view("<i8")
+
+
+def enough(overlap: Column, n_a: Column, n_b: Column, similarity: float) -> Column:
+    """Whether sets of these sizes with this overlap have the similarity: o / (n_a + n_b - o) >= s."""
+    return overlap * (1 + similarity) + 1e-9 >= (n_a + n_b) * similarity
+
+
+def may_be_alike(x: str, y: str, similarity: float) -> Column:
+    """Sound test of rows (n, at) that share the shingle at ``at`` of their prefixes: what is before it in one can only be before it in the other."""
+    n_x, n_y, i, j = (F.col(f"{r}.{c}") for c in ("n", "at") for r in (x, y))
+    return enough(F.least(i, j) + F.least(n_x - i, n_y - j), n_x, n_y, similarity)
+
+
+def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The distinct pairs (a, b) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    of = lambda c: prints.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    # sets that differ in d shingles overlap in (n_a + n_b - d) / 2
+    left = written(both.where(enough((F.col("n_a") + F.col("n_b") - apart) / 2, F.col("n_a"), F.col("n_b"), similarity)).select("a", "b").distinct(), "candidates")
+    ids = left.select(F.col("a").alias(id_col)).union(left.select("b")).distinct()
+    sets = map_texts(docs.join(ids.hint("shuffle_hash"), id_col, "left_semi"), id_col, text_col, lambda text: (shingle_set(text, size).view("<i8"),), "shingles array<bigint>")
+    sets = written(sets.dropDuplicates(), "sets")
+    have = lambda c: sets.select(F.col(id_col).alias(c), F.col("shingles").alias(f"h_{c}"))
+    overlap = F.size(F.array_intersect("h_a", "h_b"))
+    return left.join(have("a"), "a").join(have("b"), "b").where(enough(overlap, F.size("h_a"), F.size("h_b"), similarity)).select("a", "b").distinct()
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) for every row of ``docs``, linking texts estimated to be ``similarity`` alike or more.
+    """(id, component) for every row of ``docs``, linking texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Where many documents meet at a variant, each is compared with the one with the smallest id, not with all: what meets at one
-    variant meets at many, in other company, so copies of copies are still linked.
+    Equal sets are one. What meets at a shingle of its prefix is compared with the one before it and the first one there.
     """
-    names = [f"w{k}" for k in range(WORDS)]
-    seen = written(map_texts(docs, id_col, text_col, lambda text: wide_fingerprint(text, size), ", ".join(f"{w} bigint" for w in names)), "fingerprints")
-    prints = written(seen.groupBy(*names).agg(F.min(id_col).alias("rep")), "prints")
-    ball = F.array(*(F.lit(m).cast("long") for m in [0, *(1 << i for i in range(BLOCK_BITS))]))
-    whole = F.lit((1 << BLOCK_BITS) - 1).cast("long")
-    blocks = [F.shiftrightunsigned(w, 32 * half).bitwiseAND(whole).bitwiseOR(F.lit((2 * k + half) << 32).cast("long")) for k, w in enumerate(names) for half in (0, 1)]
-    met = prints.where("rep is not null").select("rep", F.explode(F.concat(*(F.transform(ball, b.bitwiseXOR) for b in blocks))).alias("variant"))
-    first = F.first("rep").over(Window.partitionBy("variant").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pairs = met.select(F.col("rep").alias("b"), first.alias("a")).where("a <> b").distinct()
-    of = lambda c: prints.where("rep is not null").select(F.col("rep").alias(c), F.array(*names).alias(f"fp_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    found = components(both.where(apart <= most_bits(similarity)).select("a", "b"))
-    named = written(prints.join(found, prints["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component")), "named")
-    return seen.join(named, names).select(id_col, "component")
+    common, counts = common_shingles(docs, size, id_col, text_col)
+    fields = "d0 bigint, d1 bigint, n bigint, sketch array<bigint>, prefix array<bigint>"
+    seen = written(map_texts(docs, id_col, text_col, lambda text: set_columns(text, size, similarity, common, counts), fields), "sets")
+    same = F.first(F.struct("n", "sketch", "prefix")).alias("of")
+    prints = written(seen.groupBy("d0", "d1").agg(F.min(id_col).alias("rep"), same).select("d0", "d1", "rep", "of.*"), "prints")
+    reps = prints.where("rep is not null")
+    rows = reps.select("rep", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", F.struct("rep", "n", "at").alias("b"))
+    w = Window.partitionBy("shingle").orderBy("b.rep")
+    first = F.first("b").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = rows.select("shingle", "b", F.lag("b").over(w).alias("last"), first.alias("first"), F.lead("b").over(w).alias("next"))
+    met = written(met.where("last is not null or next is not null").drop("next"), "met")
+    near = met.select("b", F.explode(F.array("last", "first")).alias("a")).where("a.rep <> b.rep").where(may_be_alike("a", "b", similarity))
+    links = written(alike(near.select("a.rep", "b.rep").toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
+    found = components(links)
+    named = written(prints.join(found, prints["rep"] == found["node"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("component")), "named")
+    return seen.select(id_col, "d0", "d1").join(named, ["d0", "d1"]).select(id_col, "component")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -99,3 +99,30 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}, 6000: 6000, 6001: 6000}
     assert components(links.where("a < 0")).count() == 0
+
+
+def shingles(text, size=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))}
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+def edited(words, rng, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"neu{rng.randrange(10**9)}"
+    return out
+
+
+def test_pairs_are_decided_by_the_similarity_of_their_sets(make_docs, words):
+    rng, t = random.Random(11), []
+    for k in range(150):
+        base = words(5000 + k, 200).split(" ")
+        t += [" ".join(base), " ".join(edited(base, rng, 3 + k % 6))]
+    share = [jaccard(shingles(t[i]), shingles(t[i + 1])) for i in range(0, len(t), 2)]
+    assert sum(0.8 <= s < 0.85 for s in share) >= 15 and sum(0.7 <= s < 0.8 for s in share) >= 30
+    got = {r["doc_id"]: r["component"] for r in similar_groups(make_docs(t)).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(150)] == [s >= 0.8 for s in share]
