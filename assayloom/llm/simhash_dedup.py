@@ -196,7 +196,8 @@ def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: floa
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) for every row of ``docs``, linking texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Equal sets are one. What meets at a shingle of its prefix is compared with the one before it and the first one there.
+    Equal sets are one. What meets at a shingle of its prefix is compared with the one before it and the first one there,
+    and then with all that these links haven't brought to the same component; so no pair is missed.
     """
     common, counts = common_shingles(docs, size, id_col, text_col)
     fields = "d0 bigint, d1 bigint, n bigint, sketch array<bigint>, prefix array<bigint>"
@@ -212,6 +213,14 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     near = met.select("b", F.explode(F.array("last", "first")).alias("a")).where("a.rep <> b.rep").where(may_be_alike("a", "b", similarity))
     links = written(alike(near.select("a.rep", "b.rep").toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
     found = components(links)
+    # the rest of the pairs that meet, where they aren't in one component yet
+    held = met.select("shingle", "b", F.col("b.rep").alias("node")).join(found, "node", "left").select("shingle", "b", F.coalesce("component", "node").alias("of"))
+    open_ = held.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("shingle")
+    held = written(held.join(open_, "shingle", "left_semi"), "held")
+    x, y = held.select("shingle", F.col("b").alias("x"), F.col("of").alias("of_x")), held.select("shingle", F.col("b").alias("y"), F.col("of").alias("of_y"))
+    rest = x.join(y, "shingle").where("x.rep < y.rep and of_x <> of_y").where(may_be_alike("x", "y", similarity))
+    more = alike(rest.select("x.rep", "y.rep").toDF("a", "b"), reps, docs, similarity, size, id_col, text_col)
+    found = components(links.union(more))
     named = written(prints.join(found, prints["rep"] == found["node"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("component")), "named")
     return seen.select(id_col, "d0", "d1").join(named, ["d0", "d1"]).select(id_col, "component")
 

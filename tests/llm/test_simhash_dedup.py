@@ -126,3 +126,17 @@ def test_pairs_are_decided_by_the_similarity_of_their_sets(make_docs, words):
     assert sum(0.8 <= s < 0.85 for s in share) >= 15 and sum(0.7 <= s < 0.8 for s in share) >= 30
     got = {r["doc_id"]: r["component"] for r in similar_groups(make_docs(t)).collect()}
     assert [got[2 * k + 1] == 2 * k for k in range(150)] == [s >= 0.8 for s in share]
+
+
+def test_near_copies_are_found_in_a_crowd_of_half_similar_texts(make_docs, words):
+    rng, common = random.Random(12), words(7000, 150).split(" ")
+    crowd = [[*common, *words(7100 + k, 60 + 10 * (k % 3)).split(" ")] for k in range(60)]
+    t = [" ".join(x) for x in crowd] + [" ".join(edited(x, rng, 1 + k % 6)) for k, x in enumerate(crowd)]
+    base = words(7500, 300).split(" ")  # copies of copies, and near copies of each of them
+    for _ in range(40):
+        base = edited(base, rng, 2)
+        t += [" ".join(base), " ".join(edited(base, rng, 4))]
+    sets = [shingles(x) for x in t]
+    expected = classes([(i, j) for i in range(len(t)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8], range(len(t)))
+    got = {r["doc_id"]: r["component"] for r in similar_groups(make_docs(t)).collect()}
+    assert got == expected and len(set(got.values())) > 60
