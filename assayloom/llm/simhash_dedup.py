@@ -19,14 +19,16 @@ other rows; rows that repeat an id are fingerprinted each; other columns are ign
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assayloom.llm._shared import map_texts, table, written
+from assayloom.llm._shared import map_texts, small_batches, table, written
 from assayloom.llm.components import components
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
@@ -178,6 +180,11 @@ def may_be_alike(x: str, y: str, similarity: float) -> Column:
     return enough(F.least(i, j) + F.least(n_x - i, n_y - j), n_x, n_y, similarity)
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(len(x) + len(y) - both, 1)
+
+
 def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str) -> DataFrame:
     """The distinct pairs (a, b) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
     of = lambda c: prints.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
@@ -185,12 +192,16 @@ def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: floa
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     # sets that differ in d shingles overlap in (n_a + n_b - d) / 2
     left = written(both.where(enough((F.col("n_a") + F.col("n_b") - apart) / 2, F.col("n_a"), F.col("n_b"), similarity)).select("a", "b").distinct(), "candidates")
-    ids = left.select(F.col("a").alias(id_col)).union(left.select("b")).distinct()
-    sets = map_texts(docs.join(ids.hint("shuffle_hash"), id_col, "left_semi"), id_col, text_col, lambda text: (shingle_set(text, size).view("<i8"),), "shingles array<bigint>")
-    sets = written(sets.dropDuplicates(), "sets")
-    have = lambda c: sets.select(F.col(id_col).alias(c), F.col("shingles").alias(f"h_{c}"))
-    overlap = F.size(F.array_intersect("h_a", "h_b"))
-    return left.join(have("a"), "a").join(have("b"), "b").where(enough(overlap, F.size("h_a"), F.size("h_b"), similarity)).select("a", "b").distinct()
+    # texts are lighter than sets; the planner broadcasts the pairs while they are few
+    texts = lambda c: docs.select(F.col(id_col).alias(c), F.col(text_col).alias(f"t_{c}")).join(left.select(c).distinct(), c, "left_semi")
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [jaccard(shingle_set(x, size), shingle_set(y, size)) >= similarity - 1e-9 for x, y in zip(batch["t_a"].to_pylist(), batch["t_b"].to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return left.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
