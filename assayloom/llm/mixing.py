@@ -1,20 +1,33 @@
 """Mixing sources to target weights: soft membership.
 
 A softmax classifier, fitted on at most SAMPLE labelled rows, gives every document posteriors over the domains good, poor and
-toxic. A document belongs to all of them by its posteriors, and its tokens count for each. Nonnegative rates are then fitted
-by projected gradient least squares so that the expected token totals of the domains meet the targets: each
-iteration is one aggregation over (tokens, posteriors) to three sums, and a step for every document along its posteriors, clipped
-at zero. In the metric of document lengths and of the domains' second moments the gradient has Lipschitz constant 1,
-so full steps are sound. Rates are a fold of the steps over the posteriors and are never stored or collected.
+toxic. A document belongs to all of them by its posteriors, and its tokens count for each. Rates in [0, MOST] are then fitted by
+projected gradient least squares so that the expected token totals of the domains meet the targets, staying as near to rate 1 as
+they can:
+
+    least squares of totals and targets, in the metric of the second moments, + nearness * sum of tokens * (rate - 1)^2
+
+A gradient step moves every rate along its document's posteriors, so the steps of all documents add up in one vector of a number a
+domain, and the projection on [0, MOST] is taken where a rate is evaluated: rates are never stored or collected. Steps are scaled
+by the moments of the documents whose rate is free and halved where they would not improve. The first steps run on a
+histogram of the posteriors (at most GRID * GRID cells with exact sums, whatever the corpus); the last on all rows, until
+the gradient vanishes.
+
+Targets that no rates reach without giving up the corpus - where a domain's tokens are mostly small doubts about good documents -
+are met as far as distinct tokens allow: the smallest nearness of NEARNESS that leaves LEAST_KEPT of the first domain's
+distinct tokens is taken. ``fit_rates`` returns targets and totals reached; both are logged.
 
 Tokens are white-space words here. Edge cases: a null or blank text has 0 tokens, the prior as posteriors and a rate like others;
 without labels every document is good; a domain without documents keeps its total at 0; rows that repeat an id get
-the same rate; a null id is drawn like the id 0. Other columns are ignored or, in ``mixed``, kept.
+copies by the same draw; a null id is drawn like the id 0; labelled rows that repeat a text count each. Other columns are ignored
+or, in ``mixed``, kept.
 """
 
 from __future__ import annotations
 
+import logging
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayloom.llm._shared import SLICE, table, written
+from assayloom.llm._shared import SLICE, map_texts, small_batches, table, written
 
 DOMAINS = ("good", "poor", "toxic")
 #: Token shares to reach. The total is set so that the first domain's tokens stay as many as they are.
@@ -30,7 +43,11 @@ WEIGHTS = (0.94, 0.05, 0.01)
 SAMPLE, WORDS, LEAST_DOCS = 6_000, 20_000, 4
 #: Least chi-square of a word's counts over the domains for it to be a feature.
 CHI = 20.0
-STEPS, CLOSE, SEED = 24, 1e-7, 42
+STEPS, CLOSE, SEED = 100, 1e-7, 42
+#: Most copies of a document; bins of a posterior in the histogram.
+MOST, GRID = 3.0, 128
+#: Weights of staying near rate 1, in the order they are tried; share of the first domain's tokens to keep, not counting repeats.
+NEARNESS, LEAST_KEPT = tuple(10.0**k for k in range(-6, 4)), 0.8
 EDGES = " \t\n\x0b\x0c\r.,;:!?\"'()[]|*#$%&<>-"
 UPPER_RUN = re.compile(r"[A-Z]{2,}")
 
@@ -74,8 +91,8 @@ class Classifier:
         return e / e.sum(), n
 
     @staticmethod
-    def fit(vocabulary: list[str], rows: list[tuple[list[int], list[float], int]], rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Classifier:
-        """``rows``: word numbers, shape, domain. Full-batch Adam."""
+    def fit(vocabulary: list[str], rows: list[tuple[list[int], list[float], int, int]], rounds: int = 200, rate: float = 0.05, decay: float = 2e-4) -> Classifier:
+        """``rows``: word numbers, shape, domain, times. Full-batch Adam."""
         if not rows:
             return Classifier()
         k = len(DOMAINS)
@@ -83,9 +100,11 @@ class Classifier:
         word = np.concatenate([np.asarray(r[0], dtype=np.int64) for r in rows] or [np.empty(0, np.int64)])
         x = np.column_stack([np.array([r[1] for r in rows], dtype=float), np.ones(len(rows))])
         y = np.eye(k)[[r[2] for r in rows]]
+        times = np.array([r[3] for r in rows], dtype=float)
+        share = times[:, None] / times.sum()
         # only words whose share differs between the domains beyond chance: the rest is noise to learn by heart
-        seen = np.array([np.bincount(word, y[row, c], len(vocabulary)) for c in range(k)])
-        expected = seen.sum(axis=0) * y.mean(axis=0)[:, None]
+        seen = np.array([np.bincount(word, times[row] * y[row, c], len(vocabulary)) for c in range(k)])
+        expected = seen.sum(axis=0) * (share * y).sum(axis=0)[:, None]
         chi = np.where(expected > 0, (seen - expected) ** 2 / np.maximum(expected, 1e-9), 0).sum(axis=0)
         telling = np.flatnonzero(chi > CHI)
         place = np.full(len(vocabulary) + 1, -1)
@@ -98,7 +117,7 @@ class Classifier:
             sums = np.column_stack([np.bincount(row, params[0][word, c], len(rows)) for c in range(k)])
             z = x @ params[1] + sums
             e = np.exp(z - z.max(axis=1, keepdims=True))
-            off = (e / e.sum(axis=1, keepdims=True) - y) / len(rows)
+            off = (e / e.sum(axis=1, keepdims=True) - y) * share
             grads = [np.column_stack([np.bincount(word, off[row, c], v) for c in range(k)]) + decay * params[0], x.T @ off]
             for p, g, a, b in zip(params, grads, first, second, strict=True):
                 a += 0.1 * (g - a)
@@ -130,14 +149,13 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     number = F.broadcast(common.sparkSession.createDataFrame([(w, i) for i, w in enumerate(vocabulary)], "word string, i int"))
     keyed = got.select(F.xxhash64("words", "shape").alias("row"), "words", "shape", "domain")
     numbered = keyed.select("row", "domain", "shape", F.explode_outer("words").alias("word")).join(number, "word", "left").groupBy("row", "domain", "shape").agg(F.sort_array(F.collect_set("i")).alias("at"))
-    data = sorted((r["row"], r["domain"], list(r["at"]), list(r["shape"])) for r in numbered.collect())
-    return Classifier.fit(vocabulary, [(at, shape, d) for _, d, at, shape in data])
+    times = keyed.groupBy("row", "domain").count()
+    data = sorted((r["row"], r["domain"], list(r["at"]), list(r["shape"]), r["count"]) for r in numbered.join(times, ["row", "domain"]).collect())
+    return Classifier.fit(vocabulary, [(at, shape, d, n) for _, d, at, shape, n in data])
 
 
 def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, p0, p1, p2) for every row."""
-    from assayloom.llm._shared import map_texts
-
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def row(text: str | None) -> tuple:
@@ -147,42 +165,97 @@ def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text
     return map_texts(docs, id_col, text_col, row, "n_tokens bigint, " + ", ".join(f"p{k} double" for k in range(len(DOMAINS))))
 
 
-def rate(steps: list[np.ndarray]) -> Column:
-    """A document's rate after ``steps``, from its posteriors p0, p1, p2."""
-    r = F.lit(1.0)
-    for y in steps:
-        r = F.greatest(F.lit(0.0), r + sum(F.col(f"p{k}") * float(v) for k, v in enumerate(y)))
-    return r
+def score(y: np.ndarray) -> Column:
+    """What the steps, added up in ``y``, add to the rate of a document with posteriors p0, p1, p2."""
+    return sum((F.col(f"p{k}") * float(v) for k, v in enumerate(y)), F.lit(0.0))
 
 
-def fit_rates(members: DataFrame, weights=WEIGHTS, most: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps, the targets, and the expected totals reached. ``members`` should be a written table: each step reads it once.
+def rate(y: np.ndarray) -> Column:
+    """A document's rate, from its posteriors."""
+    return F.least(F.lit(MOST), F.greatest(F.lit(0.0), 1.0 + score(y)))
 
-    A step is scaled by the second moments of the documents whose rate isn't held at zero; if it made things worse, the next is scaled
-    by those of all documents, for which full steps are sound.
-    """
-    ks = range(len(weights))
-    n = F.col("n_tokens")
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rated = members.withColumn("r", rate(steps))
-        live = F.when(F.col("r") > 0, n).otherwise(0)
-        row = rated.agg(*(F.sum(n * F.col(f"p{i}") * F.col("r")).alias(f"t{i}") for i in ks), *(F.sum(live * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}{j}") for i in ks for j in ks)).first()
-        return np.array([row[f"t{i}"] or 0.0 for i in ks]), np.array([[row[f"m{i}{j}"] or 0.0 for j in ks] for i in ks])
-
-    steps: list[np.ndarray] = []
-    now, moments = sums(steps)
-    whole = moments
-    goal = np.asarray(weights) / weights[0] * now[0]
-    goal[now <= 0] = 0.0
-    off = np.abs(goal - now).max()
-    while len(steps) < most and off > CLOSE * max(goal.sum(), 1.0):
-        steps.append(np.linalg.pinv(moments, rcond=1e-10) @ (goal - now))
-        now, moments = sums(steps)
-        before, off = off, np.abs(goal - now).max()
-        if off > before:
-            moments = whole
-    return steps, goal, now
+@dataclass
+class Sums:
+    """What a step needs to know of all documents at one ``y``."""
+
+    totals: np.ndarray  # expected tokens by domain
+    moments: np.ndarray  # second moments of the documents whose rate is free
+    energy: float  # the tokens' part of the objective (of its dual)
+    kept: float  # distinct tokens of the first domain
+
+
+def sums_of_rows(members: DataFrame, y: np.ndarray) -> Sums:
+    """One aggregation over all rows."""
+    ks, n, s, top = range(len(y)), F.col("n_tokens"), F.col("__s"), MOST - 1
+    free = F.when((s > -1) & (s < top), n).otherwise(0)
+    energy = F.when(s < -1, F.lit(-0.5)).when(s > top, MOST * s - top * top / 2).otherwise(s + s * s / 2)
+    row = (
+        members.withColumn("__s", score(y))
+        .withColumn("__r", rate(y))
+        .agg(
+            *(F.sum(n * F.col(f"p{i}") * F.col("__r")).alias(f"t{i}") for i in ks),
+            *(F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}{j}") for i in ks for j in ks),
+            F.sum(n * energy).alias("energy"),
+            F.sum(n * F.col("p0") * F.least(F.lit(1.0), "__r")).alias("kept"),
+        )
+        .first()
+    )
+    return Sums(np.array([row[f"t{i}"] or 0.0 for i in ks]), np.array([[row[f"m{i}{j}"] or 0.0 for j in ks] for i in ks]), row["energy"] or 0.0, row["kept"] or 0.0)
+
+
+def sums_of_cells(n: np.ndarray, p: np.ndarray, y: np.ndarray) -> Sums:
+    """The same of cells with tokens ``n`` and mean posteriors ``p``."""
+    s, top = p @ y, MOST - 1
+    r = np.clip(1 + s, 0, MOST)
+    energy = np.where(s < -1, -0.5, np.where(s > top, MOST * s - top * top / 2, s + s * s / 2))
+    return Sums((n * r) @ p, (p * (n * ((s > -1) & (s < top)))[:, None]).T @ p, float(n @ energy), float((n * np.minimum(r, 1)) @ p[:, 0]))
+
+
+def cells(members: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and mean posteriors of the histogram's cells; finer bins near 0, where doubts about good documents lie."""
+    bins = [F.floor(F.sqrt(f"p{i}") * (GRID - 1)).cast("int").alias(f"b{i}") for i in range(1, k)]
+    n = F.col("n_tokens")
+    rows = members.where("n_tokens > 0").groupBy(*bins).agg(F.sum(n).cast("double").alias("n"), *(F.sum(n * F.col(f"p{i}")).alias(f"p{i}") for i in range(k))).drop(*(f"b{i}" for i in range(1, k))).collect()
+    table = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), k + 1)
+    return table[:, 0], table[:, 1:] / table[:, :1]
+
+
+def descend(sums: Callable[[np.ndarray], Sums], y: np.ndarray, goal: np.ndarray, whole: np.ndarray, nearness: float, most: int = STEPS) -> tuple[np.ndarray, Sums]:
+    """Gradient steps from ``y`` until the gradient of the least squares with ``nearness`` vanishes; ``whole``: moments of all documents."""
+    value = lambda y, s: s.energy + nearness / 2 * y @ whole @ y - y @ goal
+    now = sums(y)
+    for _ in range(most):
+        gradient = goal - now.totals - nearness * whole @ y
+        if np.abs(gradient).max() <= CLOSE * max(goal.sum(), 1.0):
+            break
+        step, least = np.linalg.pinv(now.moments + nearness * whole, rcond=1e-12) @ gradient, value(y, now)
+        size = 1.0
+        while (size := size / 2) > 1e-6:
+            then = sums(y + 2 * size * step)
+            if value(y + 2 * size * step, then) <= least + 1e-10 * abs(least):
+                break
+        else:
+            break
+        y, now = y + 2 * size * step, then
+    return y, now
+
+
+def fit_rates(members: DataFrame, weights=WEIGHTS, least_kept: float = LEAST_KEPT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sum of the steps, the targets, and the expected totals reached, of a written table of memberships."""
+    k, zero = len(weights), np.zeros(len(weights))
+    start = sums_of_rows(members, zero)
+    goal = np.asarray(weights) / weights[0] * start.totals[0]
+    goal[start.totals <= 0] = 0.0
+    n, p = cells(members, k)
+    y = zero
+    for nearness in NEARNESS:
+        y, there = descend(lambda y: sums_of_cells(n, p, y), zero, goal, start.moments, nearness)
+        if there.kept >= least_kept * start.totals[0]:
+            break
+    y, there = descend(lambda y: sums_of_rows(members, y), y, goal, start.moments, nearness)
+    logging.getLogger(__name__).info("mixing: targets %s, totals before %s, reached %s with nearness %g", goal.round(), start.totals.round(), there.totals.round(), nearness)
+    return y, goal, there.totals
 
 
 def copies(id_col: str) -> Column:
@@ -194,36 +267,35 @@ def copies(id_col: str) -> Column:
 def mixing(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Posteriors, rate and number of copies of every row."""
     members = written(memberships(docs, fitted(docs, labels, id_col=id_col, text_col=text_col), id_col, text_col), "members")
-    steps, _, _ = fit_rates(members, weights)
+    y, _, _ = fit_rates(members, weights)
     best = F.greatest(*(F.col(f"p{k}") for k in range(len(DOMAINS))))
     domain = F.when(F.col("p2") == best, DOMAINS[2]).when(F.col("p1") == best, DOMAINS[1]).otherwise(DOMAINS[0])
-    out = members.select(id_col, "n_tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), domain.alias("domain"), rate(steps).alias("rate"))
+    out = members.select(id_col, "n_tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)), domain.alias("domain"), rate(y).alias("rate"))
     return out.withColumn("copies", copies(id_col))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its number of copies; columns as they are.
 
-    Rates follow from a text alone once the steps are fitted, so they are computed again beside the text and texts aren't shuffled.
+    Rows are written once with their memberships beside them: the fit reads only those, and texts are never shuffled.
     """
-    model = fitted(docs, labels, id_col=id_col, text_col=text_col)
-    members = written(memberships(docs, model, id_col, text_col), "members")
-    steps, _, _ = fit_rates(members, weights)
-    shared, names, at = docs.sparkSession.sparkContext.broadcast((model, steps)), docs.columns, docs.columns.index(text_col)
-    extra = [f"p{k}" for k in range(len(DOMAINS))]
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, id_col=id_col, text_col=text_col))
+    names, at, ks = docs.columns, docs.columns.index(text_col), range(len(DOMAINS))
     clear = [f"__c{i}" for i in range(len(names))]  # whatever the columns are called
+    extra = ["n_tokens", *(f"p{k}" for k in ks)]
 
     def run(batches):
-        model, _ = shared.value
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE):
                 b = whole.slice(i, SLICE)
-                p = [model.posteriors(t)[0] for t in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([float(x[k]) for x in p], pa.float64()) for k in range(len(extra)))], [*clear, *extra])
-
-    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(clear, docs.schema, strict=True)) + ", " + ", ".join(f"{e} double" for e in extra)
-    out = docs.toDF(*clear).mapInArrow(run, schema).withColumn("rate", rate(steps))
-    times = out.withColumn("n", copies(clear[names.index(id_col)])).where("n > 0")
+                found = [model.value.posteriors(t) for t in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([n for _, n in found], pa.int64()), *(pa.array([float(p[k]) for p, _ in found], pa.float64()) for k in ks)], [*clear, *extra])
+
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(clear, docs.schema, strict=True)) + ", n_tokens bigint, " + ", ".join(f"p{k} double" for k in ks)
+    small_batches(docs.sparkSession)
+    members = written(docs.toDF(*clear).mapInArrow(run, schema), "members")
+    y, _, _ = fit_rates(members, weights)
+    times = members.withColumn("rate", rate(y)).withColumn("n", copies(clear[names.index(id_col)])).where("n > 0")
     return times.select(*clear, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("__copy")).select(*clear).toDF(*names)
 
 

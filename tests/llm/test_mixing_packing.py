@@ -3,10 +3,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from assayloom.llm import mixing as M
 from assayloom.llm import packing as P
+from assayloom.llm._shared import written
 
 
 def labelled(spark, words, n=400):
@@ -48,19 +51,50 @@ def test_expected_totals_meet_the_targets_and_rates_are_nonnegative(spark, words
     assert (np.abs(copies - rate) < 1).all()
 
 
-def test_rates_equal_numpy(spark):
+def dirichlet(spark, alpha, n=300):
     rng = np.random.default_rng(2)
-    p = rng.dirichlet([0.3, 0.3, 0.3], 300)
-    n = rng.integers(1, 500, 300)
-    rows = [(i, int(n[i]), *map(float, p[i])) for i in range(300)]
-    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
-    steps, goal, now = M.fit_rates(members, (0.8, 0.15, 0.05))
-    r = np.ones(300)
-    for y in steps:
-        r = np.maximum(0, r + p @ y)
-    assert np.allclose((n * r) @ p, now) and np.allclose(now, goal, rtol=1e-4)
-    spark_r = np.array([x[0] for x in members.orderBy("doc_id").select(M.rate(steps)).collect()])
-    assert np.allclose(spark_r, r)
+    p, n = rng.dirichlet(alpha, n), rng.integers(1, 500, n)
+    rows = [(i, int(n[i]), *map(float, p[i])) for i in range(len(n))]
+    return p, n, spark.createDataFrame(rows, "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+
+
+def test_rates_are_the_nearest_to_one_that_meet_the_targets(spark):
+    p, n, members = dirichlet(spark, [0.3, 0.3, 0.3])
+    y, goal, now = M.fit_rates(members, (0.8, 0.15, 0.05), 0.0)
+    r = np.array([x[0] for x in members.orderBy("doc_id").select(M.rate(y)).collect()])
+    assert r.min() >= 0 and r.max() <= M.MOST and np.allclose((n * r) @ p, now) and np.allclose(now, goal, rtol=1e-4)
+    # plain projected gradient on the rates themselves, with what was reached as targets
+    slow, whole = np.ones(300), np.linalg.inv((p * n[:, None]).T @ p)
+    seen = np.zeros(3)
+    for _ in range(60_000):
+        seen += whole @ (now - (n * slow) @ p) / 2
+        slow = np.clip(1 + p @ seen, 0, M.MOST)
+    assert np.allclose(slow, r, atol=1e-3)
+    others = np.random.default_rng(3).normal(0, 0.01, (200, 300))  # no feasible neighbour is nearer to 1
+    null = others - (others * n) @ p @ np.linalg.inv((p * n[:, None]).T @ (p * n[:, None])) @ (p * n[:, None]).T
+    for d in null:
+        z = r + d
+        if z.min() >= 0 and z.max() <= M.MOST:
+            assert n @ (z - 1) ** 2 >= n @ (r - 1) ** 2 - 1e-6
+
+
+def test_unreachable_targets_keep_the_corpus(spark):
+    p, n, members = dirichlet(spark, [30, 1, 1])
+    y, goal, now = M.fit_rates(members, (0.98, 0.01, 0.01))
+    r = np.clip(1 + p @ y, 0, M.MOST)
+    assert abs(now - goal).max() > 0.005 * goal.sum() and np.allclose((n * r) @ p, now)
+    before = n @ p
+    assert now[2] / now.sum() < before[2] / before.sum() and (n * np.minimum(r, 1)) @ p[:, 0] >= M.LEAST_KEPT * before[0]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_rates_of_what_reaches_the_stage(spark, sf):
+    """No document is repeated much, and most distinct ones stay."""
+    data = f"/root/testdata/{sf}"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = written(stages["near_duplicates"](spark, stages["quality"](spark, spark.read.parquet(f"{data}/documents.parquet"), data), data), "test")
+    out = M.mixed(docs, spark.read.parquet(f"{data}/labels.parquet")).groupBy("doc_id").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    assert out[0] >= 0.6 * docs.count() and out[1] <= 3
 
 
 def test_mixed_keeps_columns_and_repeats_by_copies(spark, words):
