@@ -29,11 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own if driver and executors are one process; else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_assayloom_folder", None)
     if not at:
-        at = getattr(spark, "_assayloom_folder", None) or tempfile.mkdtemp(prefix="spark-assayloom-")
-        spark._assayloom_folder = at
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = spark._assayloom_folder = tempfile.mkdtemp(prefix="spark-assayloom-")
     return at
 
 
@@ -49,22 +51,23 @@ def written(df: DataFrame, what: str, partitions: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_texts(docs: DataFrame, id_col: str, text_col: str, row: Callable[[str | None], tuple], fields: str) -> DataFrame:
-    """``id_col`` and the columns ``fields`` (a DDL string) that ``row(text)`` gives, for every row; no shuffle.
+def map_texts(docs: DataFrame, id_col: str | list[str], text_col: str, row: Callable[[str | None], tuple], fields: str) -> DataFrame:
+    """``id_col`` (one column or several) and the columns ``fields`` (a DDL string) that ``row(text)`` gives, for every row; no shuffle.
 
     ``row`` sees the whole text, or None. Other columns of ``docs`` are pruned from the scan.
     """
     small_batches(docs.sparkSession)
-    src = docs.select(id_col, text_col)
-    kind = src.schema[id_col].dataType.simpleString()
+    ids = [id_col] if isinstance(id_col, str) else id_col
+    src = docs.select(*ids, text_col)
+    kind = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in ids)
     names, kinds = zip(*((n, ARROW[k]) for n, k in (f.split() for f in fields.split(","))), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                rows = [row(t) for t in batch.column(1).to_pylist()]
+                rows = [row(t) for t in batch.column(len(ids)).to_pylist()]
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], [id_col, *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(ids)], *cols], [*ids, *names])
 
-    return src.mapInArrow(run, f"`{id_col}` {kind}, {fields}")
+    return src.mapInArrow(run, f"{kind}, {fields}")

@@ -12,8 +12,8 @@ fifth of the set, and one more, at 0.8), pass sound bounds from positions and pa
 similarity of the sets themselves.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle give one
-shingle of all words; a row with a null id takes part in no link and has a null component unless its fingerprint has
-other rows; rows that repeat an id are fingerprinted each; other columns are ignored.
+shingle of all words; a row with a null id takes part in no link and has a null component unless its fingerprint (or set) has
+other rows; rows that repeat an id are judged by their own texts, each; other columns are ignored or, in ``one_of_each``, kept.
 """
 
 from __future__ import annotations
@@ -98,9 +98,10 @@ def ball_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component) for every row of ``docs``; component is the smallest id reachable over links."""
     seen = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    prints = written(seen.groupBy("fp").agg(F.min(id_col).alias("rep")), "prints")
-    found = components(ball_links(prints, radius))
-    named = written(prints.join(found, prints["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component")), "named")
+    prints = written(seen.groupBy("fp").agg(F.min(id_col).alias("least")), "prints")
+    found = components(ball_links(prints.where("least is not null").select(F.col("fp").alias("rep"), "fp"), radius))
+    tops = written(prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("top")), "tops")
+    named = written(tops.join(tops.groupBy("top").agg(F.min("least").alias("component")), "top").select("fp", "component"), "named")
     return seen.join(named, "fp").select(id_col, "fp", "component")
 
 
@@ -138,6 +139,11 @@ def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
     return np.unique(np.array(shingle_hashes((text or "").encode().lower().split(), size), dtype="<u8"))
 
 
+def row_key(text_col: str) -> Column:
+    """Tells rows apart that repeat an id: equal for equal texts only, but for chance among the texts of one id."""
+    return F.xxhash64(F.coalesce(text_col, F.lit("")))
+
+
 def common_shingles(docs: DataFrame, size: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (ascending) and counts of shingles that recur in a sample of the documents.
 
@@ -186,14 +192,19 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str) -> DataFrame:
-    """The distinct pairs (a, b) whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
-    of = lambda c: prints.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    """The distinct pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    ``docs`` has one text at least for each (rep, key) of ``prints``.
+    """
+    of = lambda c: prints.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     # sets that differ in d shingles overlap in (n_a + n_b - d) / 2
     left = written(both.where(enough((F.col("n_a") + F.col("n_b") - apart) / 2, F.col("n_a"), F.col("n_b"), similarity)).select("a", "b").distinct(), "candidates")
-    # texts are lighter than sets; the planner broadcasts the pairs while they are few
-    texts = lambda c: docs.select(F.col(id_col).alias(c), F.col(text_col).alias(f"t_{c}")).join(left.select(c).distinct(), c, "left_semi")
+    # texts are lighter than sets, and only those of candidates are moved
+    wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(prints.select("node", "rep", "key"), "node")
+    named = docs.select(F.col(id_col).alias("rep"), row_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = written(named.join(wanted, ["rep", "key"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,51 +212,69 @@ def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: floa
             keep = [jaccard(shingle_set(x, size), shingle_set(y, size)) >= similarity - 1e-9 for x, y in zip(batch["t_a"].to_pylist(), batch["t_b"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return left.join(texts("a"), "a").join(texts("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint").distinct()
+    t = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}"))
+    return left.join(t("a"), "a").join(t("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) for every row of ``docs``, linking texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+    """(id, key, component, kept) for every row of ``docs``, linking texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Equal sets are one. What meets at a shingle of its prefix is compared with the one before it and the first one there,
-    and then with all that these links haven't brought to the same component; so no pair is missed.
+    ``component`` is the smallest id reachable. ``kept`` rows are those with the smallest id, and of its texts the one with the smallest
+    ``key``; rows with a null id are kept too. Equal sets are one. What meets at a shingle of its prefix is compared with the one
+    before it and the first one there, and then with all that these links haven't brought to the same component; so no pair is missed.
     """
     common, counts = common_shingles(docs, size, id_col, text_col)
     fields = "d0 bigint, d1 bigint, n bigint, sketch array<bigint>, prefix array<bigint>"
-    seen = written(map_texts(docs, id_col, text_col, lambda text: set_columns(text, size, similarity, common, counts), fields), "sets")
-    same = F.first(F.struct("n", "sketch", "prefix")).alias("of")
-    prints = written(seen.groupBy("d0", "d1").agg(F.min(id_col).alias("rep"), same).select("d0", "d1", "rep", "of.*"), "prints")
+    seen = written(map_texts(docs.withColumn("__key", row_key(text_col)), [id_col, "__key"], text_col, lambda text: set_columns(text, size, similarity, common, counts), fields).withColumnRenamed("__key", "key"), "sets")
+    same, least = F.first(F.struct("n", "sketch", "prefix")).alias("of"), F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("rep"), "key"))).alias("least")
+    prints = written(seen.groupBy("d0", "d1").agg(least, same).select("d0", "d1", "least.*", "of.*", F.monotonically_increasing_id().alias("node")), "prints")
     reps = prints.where("rep is not null")
-    rows = reps.select("rep", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", F.struct("rep", "n", "at").alias("b"))
-    w = Window.partitionBy("shingle").orderBy("b.rep")
+    rows = reps.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", F.struct("node", "n", "at").alias("b"))
+    w = Window.partitionBy("shingle").orderBy("b.node")
     first = F.first("b").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = rows.select("shingle", "b", F.lag("b").over(w).alias("last"), first.alias("first"), F.lead("b").over(w).alias("next"))
     met = written(met.where("last is not null or next is not null").drop("next"), "met")
-    near = met.select("b", F.explode(F.array("last", "first")).alias("a")).where("a.rep <> b.rep").where(may_be_alike("a", "b", similarity))
-    links = written(alike(near.select("a.rep", "b.rep").toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
+    near = met.select("b", F.explode(F.array("last", "first")).alias("a")).where("a.node <> b.node").where(may_be_alike("a", "b", similarity))
+    links = written(alike(near.select("a.node", "b.node").toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
     found = components(links)
     # the rest of the pairs that meet, where they aren't in one component yet
-    held = met.select("shingle", "b", F.col("b.rep").alias("node")).join(found, "node", "left").select("shingle", "b", F.coalesce("component", "node").alias("of"))
+    held = met.select("shingle", "b", F.col("b.node").alias("node")).join(found, "node", "left").select("shingle", "b", F.coalesce("component", "node").alias("of"))
     open_ = held.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("shingle")
     held = written(held.join(open_, "shingle", "left_semi"), "held")
     x, y = held.select("shingle", F.col("b").alias("x"), F.col("of").alias("of_x")), held.select("shingle", F.col("b").alias("y"), F.col("of").alias("of_y"))
-    rest = x.join(y, "shingle").where("x.rep < y.rep and of_x <> of_y").where(may_be_alike("x", "y", similarity))
-    more = alike(rest.select("x.rep", "y.rep").toDF("a", "b"), reps, docs, similarity, size, id_col, text_col)
+    rest = x.join(y, "shingle").where("x.node < y.node and of_x <> of_y").where(may_be_alike("x", "y", similarity))
+    more = alike(rest.select("x.node", "y.node").toDF("a", "b"), reps, docs, similarity, size, id_col, text_col)
     found = components(links.union(more))
-    named = written(prints.join(found, prints["rep"] == found["node"], "left").select("d0", "d1", F.coalesce("component", "rep").alias("component")), "named")
-    return seen.select(id_col, "d0", "d1").join(named, ["d0", "d1"]).select(id_col, "component")
+    tops = written(prints.join(found, "node", "left").select("d0", "d1", F.struct("rep", "key").alias("row"), F.coalesce("component", "node").alias("top")), "tops")
+    named = written(tops.join(tops.where("row.rep is not null").groupBy("top").agg(F.min("row").alias("least")), "top", "left").select("d0", "d1", "least"), "named")
+    kept = F.coalesce((F.col(id_col) == F.col("least.rep")) & (F.col("key") == F.col("least.key")), F.lit(True))
+    return seen.select(id_col, "key", "d0", "d1").join(named, ["d0", "d1"]).select(id_col, "key", F.col("least.rep").alias("component"), kept.alias("kept"))
+
+
+#: Dropped rows (id and key, 16 bytes each) that are broadcast at most; beyond that both sides are shuffled.
+MOST_BROADCAST = 1_000_000
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id names their group, once each; rows with a null id stay.
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ``kept`` rows of ``docs``, once each; rows with a null id stay.
 
-    The ids are the small side of a hash join, so texts are shuffled once and not sorted.
+    Of rows that repeat both id and text, the one whose columns come first as a string stays. What goes is the small side of an anti
+    join, so texts are shuffled only where it is too large to broadcast, and never sorted.
     """
-    kept = groups.where(F.col(id_col) == F.col("component")).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n"))
-    kept = written(kept, "kept")
-    once = docs.join(kept.where("__n = 1").select(id_col).hint("shuffle_hash"), id_col, "left_semi")
-    again = docs.join(kept.where("__n > 1").select(id_col).hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col])
-    return once.union(again).union(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    held = written(groups.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id"), F.col("key").alias("__key")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "held")
+    gone, again = held.where("not kept").select("__id", "__key"), held.where("kept and n > 1").select("__id", "__key")
+    names, keyed = docs.columns, docs.withColumns({"__id": F.col(id_col), "__key": row_key(text_col)})
+
+    def small(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if side.count() <= MOST_BROADCAST else side.hint("shuffle_hash")
+
+    left = keyed.join(small(gone), ["__id", "__key"], "left_anti")
+    if again.isEmpty():
+        return left.select(*names)
+    once = left.join(small(again), ["__id", "__key"], "left_anti").select(*names)
+    row = F.struct(*(F.col(c) for c in names))
+    first = left.join(small(again), ["__id", "__key"], "left_semi").groupBy("__id", "__key").agg(F.min_by(row, row.cast("string")).alias("row")).select("row.*")
+    return once.union(first)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
