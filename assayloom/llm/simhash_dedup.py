@@ -32,7 +32,11 @@ from assayloom.llm._shared import map_texts, small_batches, table, written
 from assayloom.llm.components import components
 
 SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
-SIMILARITY, WIDE_SHINGLE, WORDS, SKETCH = 0.8, 5, 4, 512
+SIMILARITY, WIDE_SHINGLE, WORDS = 0.8, 5, 4
+#: Least bits of a parity sketch, which has two bits a shingle at least; neighbours compared in a random order at a crowded shingle.
+SKETCH, NEIGHBOURS = 512, 4
+#: Rows of ids and keys that are broadcast at most, some 10 MB; beyond that both sides of a join are shuffled.
+MOST_BROADCAST = 250_000
 #: One document of SAMPLE is counted for the order of shingles; RECURS times there is common; at most MOST_COMMON are ordered by count.
 SAMPLE, RECURS, MOST_COMMON = 16, 4, 200_000
 BLOCK = 65_536  # hashes whose bits are counted at once
@@ -158,21 +162,42 @@ def common_shingles(docs: DataFrame, size: int, id_col: str, text_col: str) -> t
     return hashes[order], counts[order]
 
 
+def parities(h: np.ndarray, bits: int) -> np.ndarray:
+    """A sketch of ``bits`` bits, a power of two, as longs: each shingle flips one."""
+    odd = (np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def set_columns(text: str | None, size: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple:
-    """Digest (two longs), number, parity sketch and prefix of the text's shingle set.
+    """Digest (two longs), number, brief and full parity sketch, and prefix of the text's shingle set.
 
     Sets of this similarity share a shingle of their prefixes, if prefixes follow one order of all shingles: here rare ones first, then
-    by hash. Each shingle flips one bit of the sketch, so sketches differ in at most as many bits as the sets differ in shingles.
+    by hash. Each shingle flips one bit of a sketch, so sketches differ in at most as many bits as the sets differ in shingles.
     """
     h = shingle_set(text, size)
     d0, d1 = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), dtype="<i8").tolist()
-    odd = (np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
     often = np.zeros(len(h), dtype=np.int64)
     if len(common) and len(h):
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         often = np.where(common[at] == h, counts[at], 0)
     first = h[np.lexsort((h, often))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
-    return d0, d1, len(h), np.packbits(odd, bitorder="little").view("<i8"), first.view("<i8")
+    return d0, d1, len(h), parities(h, SKETCH), parities(h, max(SKETCH, 1 << (2 * len(h)).bit_length())), first.view("<i8")
+
+
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two sketches of the same length differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, a: n + a)
+
+
+def folded(x: Column) -> Column:
+    """The sketch of half as many bits."""
+    half = (F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+
+def apart(x: Column, y: Column) -> Column:
+    """At least so many shingles are in one set only; sketches of sets whose sizes allow the similarity differ in length by one octave at most."""
+    return F.when(F.size(x) == F.size(y), differing(x, y)).when(F.size(x) == 2 * F.size(y), differing(folded(x), y)).when(2 * F.size(x) == F.size(y), differing(x, folded(y))).otherwise(0)
 
 
 def enough(overlap: Column, n_a: Column, n_b: Column, similarity: float) -> Column:
@@ -186,6 +211,16 @@ def may_be_alike(x: str, y: str, similarity: float) -> Column:
     return enough(F.least(i, j) + F.least(n_x - i, n_y - j), n_x, n_y, similarity)
 
 
+def overlap_within(n_x: Column, n_y: Column, d: Column, similarity: float) -> Column:
+    """Whether sets that differ in ``d`` shingles at least may have the similarity: they overlap in (n_x + n_y - d) / 2 at most."""
+    return enough((n_x + n_y - d) / 2, n_x, n_y, similarity)
+
+
+def small(side: DataFrame) -> DataFrame:
+    """A hint for the small side of a join: broadcast if its size is known to allow it."""
+    return F.broadcast(side) if side.count() <= MOST_BROADCAST else side.hint("shuffle_hash")
+
+
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / max(len(x) + len(y) - both, 1)
@@ -197,14 +232,12 @@ def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: floa
     ``docs`` has one text at least for each (rep, key) of ``prints``.
     """
     of = lambda c: prints.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    both = pairs.distinct().join(of("a"), "a").join(of("b"), "b")
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    # sets that differ in d shingles overlap in (n_a + n_b - d) / 2
-    left = written(both.where(enough((F.col("n_a") + F.col("n_b") - apart) / 2, F.col("n_a"), F.col("n_b"), similarity)).select("a", "b").distinct(), "candidates")
+    may = overlap_within(F.col("n_a"), F.col("n_b"), apart(F.col("s_a"), F.col("s_b")), similarity)
+    left = written(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b"), "candidates")
     # texts are lighter than sets, and only those of candidates are moved
-    wanted = left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(prints.select("node", "rep", "key"), "node")
+    wanted = written(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(prints.select("node", "rep", "key"), "node"), "wanted")
     named = docs.select(F.col(id_col).alias("rep"), row_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = written(named.join(wanted, ["rep", "key"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = written(named.join(small(wanted), ["rep", "key"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,45 +249,58 @@ def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: floa
     return left.join(t("a"), "a").join(t("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def crowds(met: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of ``met`` (shingle, b) at shingles where more than one component of ``found`` meets; b gets its component and brief sketch."""
+    held = met.select("shingle", "b", F.col("b.node").alias("node")).join(found, "node", "left").select("shingle", "node", "b", F.coalesce("component", "node").alias("of"))
+    open_ = held.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("shingle")
+    sketched = held.join(open_, "shingle", "left_semi").join(reps.select("node", "brief"), "node")
+    return written(sketched.select("shingle", F.struct("b.node", "b.n", "b.at", "of", "brief").alias("b")), "held")
+
+
+def comparable(x: str, y: str, similarity: float) -> Column:
+    """Whether rows of crowds that share a shingle may be alike and aren't in one component yet."""
+    near = overlap_within(F.col(f"{x}.n"), F.col(f"{y}.n"), differing(F.col(f"{x}.brief"), F.col(f"{y}.brief")), similarity)
+    return (F.col(f"{x}.of") != F.col(f"{y}.of")) & may_be_alike(x, y, similarity) & near
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, component, kept) for every row of ``docs``, linking texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     ``component`` is the smallest id reachable. ``kept`` rows are those with the smallest id, and of its texts the one with the smallest
     ``key``; rows with a null id are kept too. Equal sets are one. What meets at a shingle of its prefix is compared with the one
-    before it and the first one there, and then with all that these links haven't brought to the same component; so no pair is missed.
+    before it and the first one there, then with a few at random, and then with all that these links haven't brought to the same
+    component and whose sketches allow it; so no pair is missed.
     """
     common, counts = common_shingles(docs, size, id_col, text_col)
-    fields = "d0 bigint, d1 bigint, n bigint, sketch array<bigint>, prefix array<bigint>"
+    fields = "d0 bigint, d1 bigint, n bigint, brief array<bigint>, sketch array<bigint>, prefix array<bigint>"
     seen = written(map_texts(docs.withColumn("__key", row_key(text_col)), [id_col, "__key"], text_col, lambda text: set_columns(text, size, similarity, common, counts), fields).withColumnRenamed("__key", "key"), "sets")
-    same, least = F.first(F.struct("n", "sketch", "prefix")).alias("of"), F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("rep"), "key"))).alias("least")
+    same, least = F.first(F.struct("n", "brief", "sketch", "prefix")).alias("of"), F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("rep"), "key"))).alias("least")
     prints = written(seen.groupBy("d0", "d1").agg(least, same).select("d0", "d1", "least.*", "of.*", F.monotonically_increasing_id().alias("node")), "prints")
     reps = prints.where("rep is not null")
+    decided = lambda pairs: written(alike(pairs.toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
     rows = reps.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", F.struct("node", "n", "at").alias("b"))
     w = Window.partitionBy("shingle").orderBy("b.node")
     first = F.first("b").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = rows.select("shingle", "b", F.lag("b").over(w).alias("last"), first.alias("first"), F.lead("b").over(w).alias("next"))
     met = written(met.where("last is not null or next is not null").drop("next"), "met")
     near = met.select("b", F.explode(F.array("last", "first")).alias("a")).where("a.node <> b.node").where(may_be_alike("a", "b", similarity))
-    links = written(alike(near.select("a.node", "b.node").toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
-    found = components(links)
-    # the rest of the pairs that meet, where they aren't in one component yet
-    held = met.select("shingle", "b", F.col("b.node").alias("node")).join(found, "node", "left").select("shingle", "b", F.coalesce("component", "node").alias("of"))
-    open_ = held.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("shingle")
-    held = written(held.join(open_, "shingle", "left_semi"), "held")
-    x, y = held.select("shingle", F.col("b").alias("x"), F.col("of").alias("of_x")), held.select("shingle", F.col("b").alias("y"), F.col("of").alias("of_y"))
-    rest = x.join(y, "shingle").where("x.node < y.node and of_x <> of_y").where(may_be_alike("x", "y", similarity))
-    more = alike(rest.select("x.node", "y.node").toDF("a", "b"), reps, docs, similarity, size, id_col, text_col)
-    found = components(links.union(more))
+    links = decided(near.select("a.node", "b.node"))
+    # then a few neighbours in a random order, and then all, where what meets isn't in one component yet
+    held = crowds(met.select("shingle", "b"), components(links), reps)
+    w = Window.partitionBy("shingle").orderBy(F.xxhash64("b.node", "shingle"))
+    beside = held.select("b", F.array(*(F.lag("b", k).over(w) for k in range(1, NEIGHBOURS + 1))).alias("before"))
+    some = beside.select("b", F.explode("before").alias("a")).where(comparable("a", "b", similarity))
+    links = links.union(decided(some.select("a.node", "b.node")))
+    held = crowds(held.select("shingle", "b"), components(links), reps)
+    x, y = held.withColumnRenamed("b", "x"), held.withColumnRenamed("b", "y")
+    rest = x.join(y, "shingle").where(F.col("x.node") < F.col("y.node")).where(comparable("x", "y", similarity))
+    found = components(links.union(decided(rest.select("x.node", "y.node"))))
     tops = written(prints.join(found, "node", "left").select("d0", "d1", F.struct("rep", "key").alias("row"), F.coalesce("component", "node").alias("top")), "tops")
     named = written(tops.join(tops.where("row.rep is not null").groupBy("top").agg(F.min("row").alias("least")), "top", "left").select("d0", "d1", "least"), "named")
     kept = F.coalesce((F.col(id_col) == F.col("least.rep")) & (F.col("key") == F.col("least.key")), F.lit(True))
     return seen.select(id_col, "key", "d0", "d1").join(named, ["d0", "d1"]).select(id_col, "key", F.col("least.rep").alias("component"), kept.alias("kept"))
 
 
-#: Dropped rows (id and key, 16 bytes each) that are broadcast at most; beyond that both sides are shuffled.
-MOST_BROADCAST = 1_000_000
-
-
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ``kept`` rows of ``docs``, once each; rows with a null id stay.
 
@@ -265,9 +311,6 @@ def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text
     gone, again = held.where("not kept").select("__id", "__key"), held.where("kept and n > 1").select("__id", "__key")
     names, keyed = docs.columns, docs.withColumns({"__id": F.col(id_col), "__key": row_key(text_col)})
 
-    def small(side: DataFrame) -> DataFrame:
-        return F.broadcast(side) if side.count() <= MOST_BROADCAST else side.hint("shuffle_hash")
-
     left = keyed.join(small(gone), ["__id", "__key"], "left_anti")
     if again.isEmpty():
         return left.select(*names)
