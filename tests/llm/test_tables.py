@@ -1,5 +1,6 @@
 """License scans, url filters and the fixity audit: hand-made cases; their SQL runs in test_queries."""
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
@@ -87,24 +88,59 @@ def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark):
     assert 0 < r["good3.site3.net"]["mean"] < 0.1
 
 
+def laid(rows, files):
+    """Records by file, id and digest, one by one, with their offsets."""
+    out, at = {}, {}
+    for page, url, html in rows:
+        page, url, html = -1 if page is None else page, url or "", html or ""
+        body = html.encode()
+        record = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Target-URI: {url}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        out.setdefault(page % files, []).append((page, hashlib.sha256(record).hexdigest(), len(record)))
+    for f, rs in out.items():
+        no = end = 0
+        for page, digest, size in sorted(rs):
+            first = at.get((f, page, digest), (no, end))  # equal records of one id are one leaf
+            at[f, page, digest] = (*first[:2], end + size)
+            no, end = no + 1, end + size
+    return at
+
+
+def compared(spark, before, after, file_bytes, **how):
+    schema = "page_id long, url string, html string, file string, place string"
+    a, b = (W.hashed(W.records(spark.createDataFrame([(*r, "x", "y") for r in rows], schema))) for rows in (before, after))
+    found = W.audit(*W.trees(a, b, file_bytes, **how)).collect()
+    files = max(1, -(-(a.agg(F.sum(F.col("size") * F.col("times"))).first()[0] or 0) // file_bytes))
+    x, y = laid(before, files), laid(after, files)
+    for r in found if "crowd" not in how else []:  # shards have an order of their own
+        if r["expected"]:
+            assert (r["record_no"], r["start"], r["end"]) == x[r["file"], r["page_id"], r["expected"]]
+        if r["found"]:
+            assert (r["found_start"], r["found_end"]) == y[r["file"], r["page_id"], r["found"]][1:]
+    return sorted((r["page_id"], r["kind"]) for r in found)
+
+
 def test_audit_finds_exactly_the_damage(spark):
-    pages = spark.createDataFrame([(i, f"http://x/{i}", "body %d é" % i, "x", "y") for i in range(3000)], "page_id long, url string, html string, file string, place string")
-    hurt = pages.withColumn("html", F.when(F.col("page_id").isin(5, 777, 2999), F.lit("BODY")).otherwise(F.col("html")))
-    good, copy = W.records(pages), W.records(hurt)
-    a, b = (W.tree(W.leaves(r, 3)) for r in (good, copy))
-    assert len(a) == 4
-    ids = {r["page_id"] for r in W.audit(a, b).collect() if r["expected"] != r["found"]}
-    assert ids == {5, 777, 2999}
-    assert W.audit(a, W.tree(W.leaves(good, 3))).count() == 0
+    rows = [(i, f"http://x/{i}", "body %d é" % i) for i in range(3000)]
+    now = list(rows)
+    now[5] = (5, rows[5][1], "BODY")
+    now[777] = (777, rows[777][1], rows[777][2] + " and more")
+    now[2999] = (2999, rows[2999][1], "")
+    del now[1234]
+    now += [(40, "http://x/40", "once more"), (4000, "http://x/4000", "new")]
+    assert compared(spark, rows, now, 200_000) == [(5, "changed"), (40, "added"), (777, "changed"), (1234, "lost"), (2999, "changed"), (4000, "added")]
+    assert compared(spark, rows, rows[::-1], 200_000) == []
+
+
+def test_audit_of_many_records_of_one_id(spark):
+    rows = [(None, f"u{i}", "x" * (i % 7)) for i in range(500)] + [(7, "u", "same")] * 300 + [(i, "v", "z") for i in range(20, 60)]
+    now = [r for r in rows if r[1] not in ("u3", "u400")] + [(None, "u999", "w")]
+    assert compared(spark, rows, now, 1 << 24, fan_in=4, crowd=8) == [(-1, "added"), (-1, "lost"), (-1, "lost")]
+    assert compared(spark, rows, rows[:-1], 1 << 24, fan_in=4, crowd=8) == [(59, "lost")]
 
 
 def test_audit_of_missing_odd_and_no_records(spark):
     rows = [(0, None, None), (1, "u", None), (None, "u", "x"), (2, "u", ""), (3, "u", "same"), (3, "u", "same"), (4, "u", "y" * 100_000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    a = W.tree(W.leaves(W.records(pages), 1))
-    assert a[0].count() == 7
-    fewer = W.tree(W.leaves(W.records(pages.where("page_id <> 4 or page_id is null")), 1))
-    lost = W.audit(a, fewer).collect()
-    assert [(r["page_id"], r["found"]) for r in lost] == [(4, None)]
-    none = W.tree(W.leaves(W.records(pages.where("page_id = 99")), 1))
-    assert W.audit(none, none).count() == 0 and W.audit(a, none).count() == 7
+    assert compared(spark, rows, rows, 1 << 24) == []
+    assert compared(spark, rows, rows[:-1], 1 << 24) == [(4, "lost")]
+    assert compared(spark, rows, [r for k, r in enumerate(rows) if k != 5], 1 << 24) == [(3, "changed")]  # once instead of twice
+    assert compared(spark, [], [], 1 << 24) == [] and len(compared(spark, rows, [], 1 << 24)) == 6
