@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayloom.llm import license_scans as L
 from assayloom.llm import url_filters as U
 from assayloom.llm import warc_fixity as W
+from assayloom.llm._shared import written
 
 
 def brute(text):
@@ -39,30 +40,53 @@ def test_phrases_equal_brute_force_and_blocks_meet_templates(make_docs):
     assert got[0]["score"] == 1.0 and got[9]["score"] == 0.0
 
 
-def test_license_hits_equal_all_pairs(make_docs):
+def hits(docs):
+    vocabulary = sorted({w for _, t in L.TEMPLATES for w in L.template_words(t)})
+    base = written(L.base_columns(docs, "doc_id", "text", vocabulary), "base")
+    return L.template_hits(docs, base, "doc_id", "text").collect()
+
+
+def test_license_hits_equal_all_pairs(make_docs, words):
     import random
 
     rng = random.Random(3)
     vocabulary = sorted({w for _, t in L.TEMPLATES for w in L.template_words(t)})
-    blocks = []
-    for _ in range(150):
-        words = L.template_words(rng.choice(L.TEMPLATES)[1])
-        words = [w for w in words if rng.random() < 0.93] + rng.sample(vocabulary, 3) + ["other"]
-        rng.shuffle(words)
-        blocks.append(" ".join(words))
-    got = {(r["doc_id"], r["label"], round(r["containment"], 9)) for r in L.template_hits(make_docs(blocks), "doc_id", "text").collect()}
+    texts = []
+    for k in range(150):
+        own = L.template_words(rng.choice(L.TEMPLATES)[1])
+        own = [w for w in own if rng.random() < 0.95] + rng.sample(vocabulary, 3) + ["other"]
+        rng.shuffle(own)
+        texts.append(" ".join([*words(k, k % 40).split(), *own, *words(k + 1, k % 70).split()]))
+    got = {(r["doc_id"], r["run"], r["start"], r["label"], round(r["containment"], 9)) for r in hits(make_docs(texts))}
     expected = set()
-    for i, b in enumerate(blocks):
+    for i, b in enumerate(texts):
+        all_ = [w for w in re.split(L.SEPARATORS, b.translate(str.maketrans(L.UPPER, L.LOWER))) if w]
         for label, t in L.TEMPLATES:
-            words = set(L.template_words(t))
-            share = len(words & set(b.split())) / len(words)
-            if share >= L.THRESHOLD - 1e-12:
-                expected.add((i, label, round(share, 9)))
+            own, run = set(L.template_words(t)), L.run_of(t)
+            for start in range(0, len(all_), run // 2):
+                share = len(own & set(all_[start : start + run])) / len(own)
+                if share >= L.THRESHOLD - 1e-12:
+                    expected.add((i, run, start, label, round(share, 9)))
     assert got == expected and len(got) > 40
 
 
-def test_odd_license_rows(odd_docs, no_docs):
+def test_a_notice_is_found_wherever_it_is_wrapped(make_docs, words):
+    """Over lines of any width, with comment marks, in texts with and without blank lines, short and of 20,000 words."""
+    texts, labels = [], []
+    for k, (label, notice) in enumerate(L.TEMPLATES):
+        w = notice.split()
+        for width, mark, before in ((4, " ", 0), (7, " * ", 3000), (9, "# ", 300 + k), (60, "", 20_000 if k % 9 == 0 else 450 + k)):
+            lines = [mark + " ".join(w[i : i + width]) for i in range(0, len(w), width)]
+            texts.append("\n".join([words(k, before), *lines, words(k + 1, before // 2)] if width != 60 else [words(k, before) + " " + " ".join(lines)]))
+            labels.append(label)
+    got = {r["doc_id"]: r for r in L.license_scans(make_docs(texts)).collect()}
+    assert all(label in got[i]["labels"].split(",") and got[i]["score"] == 1.0 for i, label in enumerate(labels))
+
+
+def test_odd_license_rows(spark, odd_docs, no_docs):
     assert L.license_scans(odd_docs).count() == 11 and L.license_scans(no_docs).count() == 0
+    docs = spark.createDataFrame([(1, "Released under the MIT License"), (1, "none"), (None, "Released under the MIT License"), (None, None)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["labels"]) for r in L.license_scans(docs).collect()) == [("1", ""), ("1", "mit"), ("None", ""), ("None", "mit")]
 
 
 def test_rules_and_hosts(spark):
