@@ -97,6 +97,48 @@ def test_structures_are_confirmed_before_they_are_reported():
     assert der_items(b"\x30\x81\x05hello") is None  # a length written longer than needed
 
 
+PBES2 = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, b"")) + der(4, b"e" * 160))
+WHOLE_SSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"aes256-ctr", b"bcrypt", b"salt")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"s" * 144))
+
+
+def lines(x, width, brk):
+    t = b64(x)
+    return brk.join(t[i : i + width] for i in range(0, len(t), width))
+
+
+def test_keys_are_found_however_they_are_wrapped():
+    for key in (PKCS1, PKCS8, PBES2, WHOLE_SSH):
+        for text in (b64(key), lines(key, 64, "\n"), lines(key, 76, "\r\n"), lines(key, 64, "\\n"), lines(key, 64, "\n    ")):
+            for before, after in (("see ", " here"), ("key-", "\nThe next line"), ("a_", "."), ('"', '"')):
+                got = find(before + text + after)[1]
+                assert got == [(len(before), 4, len(before) + len(text))], (before + text + after)
+        assert not [x for x in find("see " + b64(key[:-1] if key != WHOLE_SSH else key[:20]) + " here")[1]]
+    plain = b64(PKCS1).rstrip("=") + "QUJD"
+    assert not find(plain)[1]
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, b"h" * 32))  # a signed digest isn't a key
+    assert not find(b64(digest))[1]
+
+
+def test_armour_with_headers_and_escapes():
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    for kind, body in (("RSA PRIVATE KEY", head + lines(b"c" * 160, 64, "\n")), ("ENCRYPTED PRIVATE KEY", lines(PBES2, 64, "\n")), ("PRIVATE KEY", lines(PKCS8, 64, "\n")), ("OPENSSH PRIVATE KEY", lines(WHOLE_SSH, 70, "\n"))):
+        whole = f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----"
+        for t in (whole, whole.replace("\n", "\\n"), whole.replace("\n", "\r\n")):
+            assert find(f"see {t} here")[1] == [(4, 5, 4 + len(t))], t
+    for body in (head.replace("AES-256-CBC,", "AES") + b64(b"c" * 160), head + b64(b"c" * 161), head):
+        assert not find(f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----")[1]
+
+
+def test_token_headers():
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for head in (b'{"alg":"none"}', b'{ "alg": "HS256" }', b'{\n"alg":"ES256"}', b'{\r\n  "alg":"ES256"}'):
+        t = jwt(head)
+        assert find(f"see {t}. Then")[1] == [(4, 3, 4 + len(t))]
+    jwe = ".".join([part(b'{"alg":"dir","enc":"A256GCM"}'), "", part(b"iv" * 6), part(b"cipher" * 9), part(b"tag" * 5)])
+    assert find(f"see {jwe} here")[1] == [(4, 3, 4 + len(jwe))]
+    assert not find(jwe.replace(part(b"tag" * 5), "") + " here")[1] and not find("see " + jwt(b'["alg"]'))[1]
+
+
 def test_masking(make_docs, odd_docs, no_docs):
     t = TEXTS[0]
     assert masked(t) == "[assign]\"### x" and masked("clean") == "clean" and masked(None) is None
