@@ -81,12 +81,16 @@ class WordTransducer:
                     self.entry.append(-1)
                 node = after
             self.entry[node] = z
+        if max(map(len, self.symbols.values())) >= BEFORE or max(*self.inner, *self.last) >= 1 << 10 or max(self.symbols) + 1 >= NODE // BEFORE:
+            raise ValueError("entries are too long or their numbers too large for the packed fields")
         self.proper: dict[int, bool] = {}
         self.reset()
 
-    def reset(self) -> None:
+    def reset(self, *keep: tuple) -> None:
+        """Empties the tables, but for the states of ``keep``, which are numbered from 1."""
         start = (ROOT * NODE,)
-        self.states, self.number = [start], {start: 0}
+        self.states = [start, *(k for k in keep if k != start)]
+        self.number = {k: i for i, k in enumerate(self.states)}
         self.step: dict[int, int] = {}
         self.stop: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
@@ -169,12 +173,15 @@ class WordTransducer:
         raise AssertionError("every word has one reading")
 
     def count(self, word: bytes) -> int:
-        if len(self.states) > MOST_STATES or len(self.pairs) > MOST_PAIRS:
-            self.reset()
         state, total, inner, step = 0, 0, self.inner, self.step
         for b in word[:-1]:
             key = state * 256 + b
             if (to := step.get(key)) is None:
+                if len(self.states) > MOST_STATES or len(self.pairs) > MOST_PAIRS:  # within a long word, too
+                    now = self.states[state]
+                    self.reset(now)
+                    state, step = self.number[now], self.step
+                    key = state * 256 + b
                 to = step[key] = self.advance(state, inner[b])
             state, total = to >> 6, total + (to & 63)
         key = state * 256 + word[-1]

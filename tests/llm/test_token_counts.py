@@ -76,3 +76,30 @@ def test_documents_in_chunk_rows(spark, words, library):
     random.Random(3).shuffle(rows)
     got = token_counts_of_chunks(spark.createDataFrame(rows, "doc_id long, seq int, text string"), PATH, fan_in=4).collect()
     assert {r["doc_id"]: r["n_tokens"] for r in got} == {d: library(t) for d, t in texts.items()}
+
+
+def test_tables_stay_bounded_within_one_long_word(monkeypatch):
+    import random
+
+    from assayloom.llm import token_counts as T
+
+    monkeypatch.setattr(T, "MOST_STATES", 500)
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    fresh = T.TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert fresh.count(word) == len(library.encode(word, add_special_tokens=False).ids)
+    assert len(fresh.counts.transducer.states) <= 502
+
+
+def test_vocabularies_beyond_the_packed_fields_are_refused():
+    from assayloom.llm.token_counts import WordTransducer, byte_letters
+
+    vocab = {c: i for i, c in enumerate([*byte_letters(), *(c + "</w>" for c in byte_letters())])}
+    merges, word = [], "a"
+    for _ in range(70):
+        merges.append([word, "a"])
+        word += "a"
+        vocab[word] = len(vocab)
+    with pytest.raises(ValueError):
+        WordTransducer(vocab, merges, "</w>")
