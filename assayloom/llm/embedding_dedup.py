@@ -1,7 +1,7 @@
 """Embedding near-dedup: randomly rotated binary codes with stored correction factors.
 
 Equal vectors are one first, with their number. Unit vectors are filed in the cell of their nearest centre; the centres are
-fitted on a bounded sample (SAMPLE vectors) and every vector is indexed. A vector's code holds the signs of its rotated
+fitted on a bounded sample (SAMPLE vectors, or two a cell) and every vector is indexed. A vector's code holds the signs of its rotated
 residual from the centre, one bit a dimension, and the factor <code, residual> that makes estimated inner products unbiased. Each
 vector then visits its PROBES nearest cells as a query. For each pair in a cell the estimate and its confidence bound decide: pairs
 whose upper bound is below the threshold are dropped, all others are recomputed exactly in double precision from the vectors,
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from assayloom.llm._shared import table, written
 from assayloom.llm.components import components
 
-THRESHOLD, SAMPLE, PER_CELL, MOST_CELLS, PROBES = 0.9, 16_384, 64, 8_192, 32
+THRESHOLD, SAMPLE, PER_CELL, MOST_CELLS, PROBES = 0.9, 16_384, 64, 32_768, 32
 HOMES, VISITORS, PAIRS = 1_024, 4_096, 65_536
 #: Width of the confidence bound in units of the estimate's deviation.
 WIDTH = 3.0
@@ -151,8 +151,8 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, id_col: s
     good = good if kind == "<f4" else good.withColumn("vec", F.col("vec").cast("array<double>"))
     once = written(good.groupBy("vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
 
-    sample = once.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vec").toArrow().column("vec").to_pylist()
-    cells = min(-(-once.count() // PER_CELL), MOST_CELLS, max(SAMPLE // 2, 1))
+    cells = min(-(-once.count() // PER_CELL), MOST_CELLS)
+    sample = once.orderBy(F.xxhash64("rep")).limit(max(SAMPLE, 2 * cells)).select("vec").toArrow().column("vec").to_pylist()
     by_size: dict[int, list] = {}
     for v in sample:
         by_size.setdefault(len(v), []).append(v)

@@ -65,6 +65,15 @@ def test_recall_at_the_threshold(spark, monkeypatch):
     assert found >= 0.9, found
 
 
+def test_recall_with_thousands_of_cells():
+    """The share of pairs just above 0.9 that meet in a cell one of them is at home in, of 8,192 cells."""
+    rng = np.random.default_rng(9)
+    x, y = pairs_at(rng, 8_192, 64, 0.905)
+    index = E.Index(np.concatenate([x, y]), 8_192)
+    a, b = (np.concatenate([index.nearest(v[i : i + 1024], E.PROBES) for i in range(0, len(v), 1024)]) for v in (x, y))
+    assert ((a == b[:, :1]) | (b == a[:, :1])).any(axis=1).mean() >= 0.97
+
+
 def test_dense_groups_are_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(E, "HOMES", 16)
     monkeypatch.setattr(E, "VISITORS", 40)
