@@ -3,7 +3,7 @@
 The histogram of token lengths is global and small: every length up to EXACT has its own bin, longer ones STEPS bins an octave.
 Dynamic programming over it chooses the bucket boundaries that minimise padding exactly, a boundary being the longest length in
 its last bin. Batches of at most ``budget`` padded tokens form inside each bucket. Numbering is distributed: rows are counted in
-small shards by a hash, offsets are prefix sums over the counts, and each shard numbers its own rows, so every
+small shards by a hash, offsets are prefix sums over the counts, in two steps, and each shard numbers its own rows, so every
 batch but the last of a bucket is full and no task sees a whole bucket.
 
 Edge cases: a null text has length 0 and goes to the first bucket; a document longer than the budget is a batch of its own;
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from assayloom.llm._shared import table, written
 from assayloom.llm.token_counts import token_counts
 
-BUCKETS, BUDGET, EXACT, STEPS, SHARD_ROWS = 16, 65_536, 4_096, 256, 2_048
+BUCKETS, BUDGET, EXACT, STEPS, SHARD_ROWS, RUN = 16, 65_536, 4_096, 256, 2_048, 1_024
 
 
 def length_bin(n: Column) -> Column:
@@ -64,10 +64,15 @@ def pack(lengths: DataFrame, id_col: str = "doc_id", len_col: str = "n_tokens",
     shards = max(1, -(-sum(r["docs"] for r in hist) // SHARD_ROWS))
     bounds = F.array(*(F.lit(t).cast("long") for t in tops)) if tops else F.array().cast("array<bigint>")
     bucket = F.size(F.filter(bounds, lambda b: b < n))
-    rows = lengths.select(F.col(id_col), n.alias("n_tokens"), bucket.alias("bucket"), F.pmod(F.xxhash64(id_col, len_col), F.lit(shards)).alias("shard"))
-    counts = written(rows.groupBy("bucket", "shard").count(), "counts")
-    before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    # null ids of one length can't be told apart, so any of them may go to any shard
+    draw = F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(id_col, len_col))
+    rows = written(lengths.select(F.col(id_col), n.alias("n_tokens"), bucket.alias("bucket"), F.pmod(draw, F.lit(shards)).alias("shard")), "rows")
+    counts = written(rows.groupBy("bucket", "shard").count().withColumn("run", F.floor(F.col("shard") / RUN)), "counts")
+    # prefix sums in two steps, within runs of shards and over the runs of a bucket
+    sums = counts.groupBy("bucket", "run").agg(F.sum("count").alias("n"))
+    first = sums.select("bucket", "run", F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    within = F.coalesce(F.sum("count").over(Window.partitionBy("bucket", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("within", within).join(first, ["bucket", "run"]).select("bucket", "shard", (F.col("first") + F.col("within")).alias("offset"))
     own = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("n_tokens", id_col)) - 1
     placed = rows.withColumn("own", own).join(offsets, ["bucket", "shard"]).withColumn("place", F.col("offset") + F.col("own"))
     size = F.element_at(bounds, F.col("bucket") + 1)
