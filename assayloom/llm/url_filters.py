@@ -20,7 +20,7 @@ from assayloom.llm._shared import table, written
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Verdict, host and path of each rule.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Suffixes of two labels. Production passes the full public list.
+#: Suffixes of two labels, the default of a parameter. It is a short list; callers with many registries pass a longer one.
 LONG_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
 MAX_BAD, Z, LEAST_RHO, MOST_RHO = 0.5, 1.645, 0.001, 0.5
 
@@ -40,11 +40,19 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def domain_columns(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix: the suffix is the last label, or the last two if they are a known long suffix."""
-    two = F.substring_index(host, ".", -2)
-    long = two.isin(*LONG_SUFFIXES)
-    return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
+ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$"
+
+
+def domain_columns(host: Column, suffixes=LONG_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host, whose user and port don't count.
+
+    The suffix is the last label, or the last two if they are one of ``suffixes``. The domain and suffix of an address are the address.
+    """
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", "")
+    two = F.substring_index(name, ".", -2)
+    long = two.isin(*suffixes)
+    address = name.rlike(ADDRESS)
+    return F.when(address, name).when(long, F.substring_index(name, ".", -3)).otherwise(two), F.when(address, name).when(long, two).otherwise(F.substring_index(name, ".", -1))
 
 
 def strength(units: DataFrame) -> float:
@@ -59,10 +67,10 @@ def shrunk(k: Column, n: Column, s: float, m: Column) -> Column:
     return (k + s * m) / (n + s)
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, suffixes=LONG_SUFFIXES) -> DataFrame:
     """(host, mean, bound) for each of ``hosts`` (distinct) from ``outcomes`` (host, bad 0/1)."""
     counts = outcomes.where("bad is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
-    domain, suffix = domain_columns(F.col("host"))
+    domain, suffix = domain_columns(F.col("host"), suffixes)
     h = written(hosts.join(counts, "host", "left").select("host", domain.alias("domain"), suffix.alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("k", F.lit(0)).alias("k")), "hosts")
     total = F.sum("n").alias("n"), F.sum("k").alias("k")
     d = written(h.groupBy("domain", "suffix").agg(*total), "domains")
@@ -81,14 +89,14 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
     return below.select("host", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("bound"))
 
 
-def url_filters(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filters(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", suffixes=LONG_SUFFIXES) -> DataFrame:
     """Host, path, rule and verdict of every page; labels are (doc_id, quality, toxic) of the pages with these ids."""
     host, path = parts(F.col(url_col))
     rule, said = rule_columns(F.col("host"), F.col("path"), rules)
     seen = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     bad = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), ((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("long"))
     outcomes = seen.join(labels.select(F.col("doc_id").alias(id_col), bad.alias("bad")), id_col).select("host", "bad")
-    known = written(host_reputation(outcomes, seen.select("host").distinct()), "reputation")
+    known = written(host_reputation(outcomes, seen.select("host").distinct(), suffixes), "reputation")
     verdict = F.coalesce(said, F.when(F.col("bound") > MAX_BAD, "block").otherwise("allow"))
     return seen.join(known, "host").select(id_col, "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.round("bound", 6).alias("bad_bound"))
 
@@ -104,7 +112,8 @@ def oracle() -> str:
     rule = "case " + " ".join(f"when {t} then '{r}'" for t, r, _ in fits) + " end"
     said = "case " + " ".join(f"when {t} then '{v}'" for t, _, v in fits) + " end"
     long = ", ".join(f"'{x}'" for x in LONG_SUFFIXES)
-    last = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+    last = lambda n: f"array_to_string(list_slice(string_split(name, '.'), -{n}, -1), '.')"
+    address = f"regexp_matches(name, '{ADDRESS}')"
     rho = lambda units: f"(select 1 / least(greatest(case when coalesce(sum(n * (n - 1) * m * (1 - m)), 0) = 0 then {MOST_RHO} else sum((k - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)) end, {LEAST_RHO}), {MOST_RHO}) - 1 from {units})"
     return f"""
 with seen as (
@@ -113,9 +122,9 @@ counts as (
   select host, count(*) as n, sum(case when quality = 0 or toxic = 1 then 1 else 0 end) as k
   from seen join labels on page_id = doc_id where quality is not null or toxic is not null group by host),
 h as materialized (
-  select host, case when {last(2)} in ({long}) then {last(3)} else {last(2)} end as domain, case when {last(2)} in ({long}) then {last(2)} else {last(1)} end as suffix,
+  select host, case when {address} then name when {last(2)} in ({long}) then {last(3)} else {last(2)} end as domain, case when {address} then name when {last(2)} in ({long}) then {last(2)} else {last(1)} end as suffix,
     coalesce(n, 0)::double as n, coalesce(k, 0)::double as k
-  from (select distinct host from seen) left join counts using (host)),
+  from (select distinct host, regexp_replace(regexp_replace(host, '^.*@', ''), ':\\d*$', '') as name from seen) left join counts using (host)),
 d as materialized (select domain, suffix, sum(n) as n, sum(k) as k from h group by all),
 x as materialized (select suffix, sum(n) as n, sum(k) as k from d group by all),
 x0 as materialized (select x.*, (select (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) from x) as m from x),

@@ -112,6 +112,14 @@ def test_reputation_blocks_bad_hosts_and_shrinks_small_ones(spark):
     assert 0 < r["good3.site3.net"]["mean"] < 0.1
 
 
+def test_domains_of_ports_users_addresses_and_given_suffixes(spark):
+    cases = {"a.b.com:8080": ("b.com", "com"), "u:p@x.co.uk": ("x.co.uk", "co.uk"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"), "[::1]:443": ("[::1]", "[::1]"), "": ("", ""), "x.y.github.io": ("github.io", "io"), "localhost": ("localhost", "localhost")}
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string")
+    got = {r[0]: (r[1], r[2]) for r in hosts.select("host", *U.domain_columns(F.col("host"))).collect()}
+    assert got == cases
+    assert hosts.where("host = 'x.y.github.io'").select(*U.domain_columns(F.col("host"), ("github.io",))).first()[:] == ("y.github.io", "github.io")
+
+
 def laid(rows, files):
     """Records by file, id and digest, one by one, with their offsets."""
     out, at = {}, {}
