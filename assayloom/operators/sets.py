@@ -76,8 +76,8 @@ def set_stability(items: DataFrame, runs: int) -> DataFrame:
 
 def shared_claims(claims: DataFrame) -> DataFrame:
     """A resource claimed by several owners turns the verdict of each."""
-    n = F.size(F.collect_set("owner").over(Window.partitionBy("resource")))
-    return claims.withColumn("n_owners", n.cast("long")).withColumn("verdict", F.when(F.col("n_owners") > 1, "shared").otherwise("own"))
+    n = claims.groupBy("resource").agg(F.countDistinct("owner").alias("n_owners"))
+    return claims.join(n, "resource").select("owner", "resource", "n_owners").withColumn("verdict", F.when(F.col("n_owners") > 1, "shared").otherwise("own"))
 
 
 def dedupe_multi_key(df: DataFrame, keys: list[str], fill: list[str], order: str) -> DataFrame:
@@ -119,18 +119,30 @@ def output_hash(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).alias("digest"))
 
 
+def union_minus(batches: list[DataFrame], counted: DataFrame, key: str, order: str) -> DataFrame:
+    """Rows of all batches by ``key``, but for the keys already counted: the first in ``order`` and how many there are."""
+    new = batches[0].select(key, order)
+    for b in batches[1:]:
+        new = new.union(b.select(key, order))
+    return new.join(counted.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.min(order).alias(f"first_{order}"), F.count(F.lit(1)).alias("n"))
+
+
+def lcs(x: list, y: list) -> int:
+    """Length of the longest common subsequence; a row of the table is the bits of one number."""
+    places: dict = {}
+    for j, q in enumerate(y):
+        places[q] = places.get(q, 0) | 1 << j
+    row, full = 0, (1 << len(y)) - 1
+    for p in x:
+        more = row | places.get(p, 0)
+        row = (more & ~(more - ((row << 1) | 1))) & full
+    return row.bit_count()
+
+
 def rouge_l(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """F1 of the longest common subsequence of words, in Arrow batches."""
     import pandas as pd
 
-    def lcs(x: list[str], y: list[str]) -> int:
-        row = [0] * (len(y) + 1)
-        for p in x:
-            last = 0
-            for j, q in enumerate(y, 1):
-                last, row[j] = row[j], last + 1 if p == q else max(row[j], row[j - 1])
-        return row[-1]
-
     def f1(x, y):
         out = []
         for p, q in zip(x, y, strict=True):
@@ -142,6 +154,15 @@ def rouge_l(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("rouge_l", F.pandas_udf(f1, "double", F.PandasUDFType.SCALAR)(a, b))
 
 
+def rouge_stability(values: DataFrame, key: str, run: str, text: str, least: float = 0.9) -> DataFrame:
+    """ROUGE-L of all pairs of a key's runs: number, mean, minimum, and the pairs below ``least`` (as ``run|run``, in order)."""
+    x, y = (values.select(key, F.col(run).alias(f"run_{k}"), F.col(text).alias(f"text_{k}")) for k in "xy")
+    scored = rouge_l(x.join(y, key).where("run_x < run_y"), "text_x", "text_y")
+    low = F.when(F.col("rouge_l") < least, F.struct("run_x", "run_y"))
+    pairs = F.transform(F.array_sort(F.collect_list(low)), lambda p: F.concat_ws("|", p["run_x"].cast("string"), p["run_y"].cast("string")))
+    return scored.groupBy(key).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("rouge_l"), 6).alias("mean"), F.round(F.min("rouge_l"), 6).alias("least"), F.array_join(pairs, ",").alias("below"))
+
+
 def gold_verdicts(contrasts: DataFrame, samples: DataFrame, gold: DataFrame) -> DataFrame:
     """Whether the arms of a contrast hold the samples that the gold roles (exercise, rest) put there."""
     j = contrasts.join(samples, "study_id").join(gold, ["study_id", "sample_id"], "left")

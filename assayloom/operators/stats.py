@@ -6,7 +6,9 @@ sum. Tail probabilities are computed in Arrow batches; prior parameters are two
 
 from __future__ import annotations
 
+import itertools
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -121,30 +123,33 @@ def two_group(m: DataFrame, s: DataFrame, control: str, treatment: str, value: s
     return out.withColumn("t", F.when(F.col("s2") > 0, F.col("log2fc") / F.sqrt(F.col("s2") * F.col("u"))))
 
 
-def priors(fits: DataFrame) -> dict[str, tuple[float, float]]:
-    """(d0, s0^2) of each study from log variances. One row a study reaches the driver."""
-    dfs = [r["df"] for r in fits.where("s2 > 0").select("df").distinct().collect()]
-    if not dfs:
-        return {}
-    table = fits.sparkSession.createDataFrame([(d, float(digamma(np.array(d / 2)) - math.log(d / 2)), float(trigamma(np.array(d / 2)))) for d in dfs], "df double, shift double, tri double")
-    e = F.log("s2") - F.col("shift")
-    rows = fits.where("s2 > 0").join(F.broadcast(table), "df").groupBy("study_id").agg(F.avg(e).alias("mean"), F.var_samp(e).alias("var"), F.avg("tri").alias("tri"))
-    out = {}
-    for r in rows.collect():
-        v = (r["var"] or 0.0) - r["tri"]
-        if v > 0:
-            d0 = 2 * trigamma_inverse(v)
-            out[r["study_id"]] = (d0, math.exp(r["mean"] + float(digamma(np.array(d0 / 2))) - math.log(d0 / 2)))
-        else:
-            out[r["study_id"]] = (math.inf, math.exp(r["mean"]))
-    return out
+def priors(fits: DataFrame) -> DataFrame:
+    """(study_id, d0, s02, pooled): the prior of each study from its log variances, and its degrees of freedom in all.
+
+    Features are summed by (study, df) first; what a study's task sees is a row for each distinct df.
+    """
+    log = F.when(F.col("s2") > 0, F.log("s2"))
+    sums = fits.groupBy("study_id", "df").agg(F.count(log).alias("n"), F.sum(log).alias("x"), F.sum(log * log).alias("xx"), F.sum("df").alias("pooled"))
+
+    def prior(t: pd.DataFrame) -> pd.DataFrame:
+        pooled, t = t["pooled"].sum(), t[t["n"] > 0]
+        if t.empty:
+            return pd.DataFrame({"study_id": [], "d0": [], "s02": [], "pooled": []})
+        n, half = t["n"].to_numpy(float), t["df"].to_numpy(float) / 2
+        shift, tri = digamma(half) - np.log(half), trigamma(half)
+        mean = ((t["x"] - n * shift).sum()) / n.sum()
+        spread = (t["xx"] - 2 * (shift + mean) * t["x"] + n * (shift + mean) ** 2).sum() / max(n.sum() - 1, 1)
+        v = spread - (n * tri).sum() / n.sum()
+        d0 = 2 * trigamma_inverse(v) if v > 0 else math.inf
+        s02 = math.exp(mean + float(digamma(np.array(d0 / 2))) - math.log(d0 / 2)) if v > 0 else math.exp(mean)
+        return pd.DataFrame({"study_id": [t["study_id"].iloc[0]], "d0": [d0], "s02": [s02], "pooled": [pooled]})
+
+    return sums.groupBy("study_id").applyInPandas(prior, "study_id string, d0 double, s02 double, pooled double")
 
 
 def moderated(fits: DataFrame) -> DataFrame:
-    """Adds the prior, moderated variance, t, p-value and standard error to fits (log2fc, s2, df, u)."""
-    prior = fits.sparkSession.createDataFrame([(k, *v) for k, v in priors(fits).items()] or [("", 1.0, 1.0)], "study_id string, d0 double, s02 double")
-    pooled = F.sum("df").over(Window.partitionBy("study_id"))
-    j = fits.join(F.broadcast(prior), "study_id").withColumn("pooled", pooled)
+    """Adds the prior, moderated variance, t, p-value and standard error to fits (log2fc, s2, df, u). Priors are a row a study."""
+    j = fits.join(priors(fits), "study_id")
     inf = F.col("d0") == float("inf")
     post = F.when(inf, F.col("s02")).otherwise((F.col("d0") * F.col("s02") + F.col("df") * F.col("s2")) / (F.col("d0") + F.col("df")))
     total = F.least(F.when(inf, F.col("pooled")).otherwise(F.col("d0") + F.col("df")), F.col("pooled"))
@@ -158,41 +163,58 @@ def moderated_two_group(m: DataFrame, s: DataFrame, control: str, treatment: str
     return fit.select("study_id", F.lit(contrast or f"{treatment}_vs_{control}").alias("contrast_id"), F.lit(method).alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue", "s2", "t", "df", "df_total")
 
 
+def term_columns(terms: list[str]) -> list[str]:
+    """The columns that terms name, once each."""
+    return list(dict.fromkeys(re.sub(r"^C\((.*)\)$", r"\1", part) for term in terms for part in term.split(":")))
+
+
 def design(samples: pd.DataFrame, terms: list[str]) -> tuple[list[str], np.ndarray]:
-    """Names and columns of an intercept and the terms in treatment coding."""
+    """Names and columns of an intercept and the terms: numbers as they are, other values in treatment coding (``term=level``).
+
+    ``C(term)`` takes the numbers of a column as levels; ``a:b`` is the product of the columns of a and b, an interaction.
+    """
+
+    def columns(part: str) -> list[tuple[str, np.ndarray]]:
+        name = term_columns([part])[0]
+        if name == part and pd.api.types.is_numeric_dtype(samples[name]) and not pd.api.types.is_bool_dtype(samples[name]):
+            return [(name, samples[name].to_numpy(float))]
+        values = samples[name].astype(str)
+        return [(f"{name}={level}", (values == level).to_numpy(float)) for level in sorted(values.unique())[1:]]
+
     names, cols = ["intercept"], [np.ones(len(samples))]
     for term in terms:
-        values = samples[term].astype(str)
-        for level in sorted(values.unique())[1:]:
-            names.append(f"{term}={level}")
-            cols.append((values == level).to_numpy(float))
+        for parts in itertools.product(*map(columns, term.split(":"))):
+            names.append(":".join(n for n, _ in parts))
+            cols.append(np.prod([c for _, c in parts], axis=0))
     return names, np.column_stack(cols)
 
 
 def linear_model(m: DataFrame, s: DataFrame, terms: list[str], contrasts: dict[str, dict[str, float]], value: str = "value") -> DataFrame:
-    """Estimate, residual variance, degrees of freedom and t of each contrast for every feature.
+    """Estimate, residual variance, degrees of freedom and t of each contrast for every feature; ``terms`` as in ``design``.
 
-    The sample tables (tens to hundreds of rows a study) are broadcast; features are packed in sample order and fitted in Arrow batches,
-    all features of a batch with the same missing values at once. A contrast that the samples with values can't estimate gives no row.
+    Features are packed by sample and joined with one row of samples a study, and fitted in Arrow batches, all features of a batch
+    with the same missing values at once. Samples without a value of a term don't count. A contrast that the samples with values
+    can't estimate gives no row.
     """
-    shared = m.sparkSession.sparkContext.broadcast({k: g.sort_values("sample_id").reset_index(drop=True) for k, g in s.select("study_id", "sample_id", *terms).toPandas().groupby("study_id")})
+    used = term_columns(terms)
     entries = F.map_from_entries(F.collect_list(F.struct("sample_id", F.col(value).cast("double").alias("y"))))
-    packed = m.where(F.col(value).isNotNull()).groupBy("study_id", "feature_id").agg(entries.alias("y"))
+    features = m.where(F.col(value).isNotNull()).groupBy("study_id", "feature_id").agg(entries.alias("y"))
+    known = s.select("study_id", "sample_id", *used).dropna()
+    lists = known.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", *used))).alias("__s"))
+    packed = features.join(lists.select("study_id", F.col("__s.sample_id").alias("__order"), *(F.col("__s").getField(c).alias(f"__t{i}") for i, c in enumerate(used))), "study_id")
     columns = ["study_id", "contrast_id", "feature_id", "base_mean", "log2fc", "s2", "df", "u", "t"]
 
     def fit(batches):
         for t in batches:
             out = []
             for study, rows in t.groupby("study_id"):
-                samples = shared.value.get(study)
-                if samples is None:
-                    continue
-                order = samples["sample_id"].tolist()
+                samples = pd.DataFrame({c: list(rows[f"__t{i}"].iloc[0]) for i, c in enumerate(used)})
+                order = list(rows["__order"].iloc[0])
                 y = np.array([[dict(v).get(x, np.nan) for x in order] for v in rows["y"]], dtype=float)
                 patterns, which = np.unique(~np.isnan(y), axis=0, return_inverse=True)
                 for k, there in enumerate(patterns):
                     at = np.flatnonzero(which.ravel() == k)
-                    names, x = design(samples[there], terms)
+                    names, x = design(samples[there].reset_index(drop=True), terms) if used else (["intercept"], np.ones((int(there.sum()), 1)))
                     rank = int(np.linalg.matrix_rank(x))
                     df = int(there.sum()) - rank
                     if df <= 0:
@@ -224,16 +246,47 @@ def paired_change(m: DataFrame, s: DataFrame, baseline: str, follow_up: str) ->
     return a.join(b, ["study_id", "subject", "feature_id"]).withColumn("change", F.col("after") - F.col("before"))
 
 
-def sample_corr(m: DataFrame, method: str = "pearson") -> DataFrame:
-    """Correlation of all pairs of samples of a study over their features. For studies of up to some hundred samples."""
-    v = m.withColumn("v", F.col("value").cast("double"))
+#: Samples of a tile and features of a block of the products below.
+TILE, BLOCK = 128, 4096
+
+
+def sample_corr(m: DataFrame, method: str = "pearson", tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """Correlation of all pairs of samples of a study over the features that both have.
+
+    Samples are cut into tiles. A feature's values for a tile are one row, so rows meet once for each pair of tiles, not of
+    samples; the products of two tiles over a block of features are one matrix product, and blocks add up by pair.
+    """
+    v = m.where(F.col("value").isNotNull()).withColumn("v", F.col("value").cast("double"))
     if method == "spearman":
         v = average_rank(v, ["study_id", "sample_id"], "v").withColumn("v", F.col("avg_rank"))
-    mean = F.avg("v").over(Window.partitionBy("study_id", "sample_id"))
-    c = v.withColumn("c", F.col("v") - mean).select("study_id", "feature_id", "sample_id", "c")
-    a, b = (c.select("study_id", "feature_id", F.col("sample_id").alias(f"sample_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
-    j = a.join(b, ["study_id", "feature_id"]).where("sample_a < sample_b")
-    return j.groupBy("study_id", "sample_a", "sample_b").agg((F.sum(F.col("c_a") * F.col("c_b")) / F.sqrt(F.sum(F.col("c_a") ** 2) * F.sum(F.col("c_b") ** 2))).alias("r"))
+    means = v.groupBy("study_id", "sample_id").agg(F.avg("v").alias("mean"))
+    place = F.row_number().over(Window.partitionBy("study_id").orderBy("sample_id")) - 1
+    placed = means.withColumn("at", place)
+    blocks = max(1, -(-v.select("feature_id").distinct().count() // block))
+    c = v.select("study_id", "feature_id", "sample_id", "v").join(placed, ["study_id", "sample_id"])
+    tiles = c.groupBy("study_id", "feature_id", F.floor(F.col("at") / tile).cast("int").alias("tile")).agg(F.collect_list((F.col("at") % tile).cast("int")).alias("i"), F.collect_list(F.col("v") - F.col("mean")).alias("c"))
+    x, y = (tiles.select("study_id", "feature_id", F.col("tile").alias(f"tile_{k}"), F.col("i").alias(f"i_{k}"), F.col("c").alias(f"c_{k}")) for k in "xy")
+    both = x.join(y, ["study_id", "feature_id"]).where("tile_x <= tile_y").withColumn("block", F.pmod(F.xxhash64("feature_id"), F.lit(blocks)).cast("int"))
+
+    def products(t: pd.DataFrame) -> pd.DataFrame:
+        full = {}
+        for k in "xy":
+            z, there = np.zeros((len(t), tile)), np.zeros((len(t), tile))
+            for row, (i, c) in enumerate(zip(t[f"i_{k}"], t[f"c_{k}"], strict=True)):
+                z[row, i], there[row, i] = c, 1
+            full[k] = z, there
+        (a, ha), (b, hb) = full["x"], full["y"]
+        n = ha.T @ hb
+        i, j = np.nonzero(n)
+        at_x, at_y = i + int(t["tile_x"].iloc[0]) * tile, j + int(t["tile_y"].iloc[0]) * tile
+        keep = at_x < at_y
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"study_id": t["study_id"].iloc[0], "x": at_x[keep], "y": at_y[keep], "xy": (a.T @ b)[i, j], "xx": ((a * a).T @ hb)[i, j], "yy": (ha.T @ (b * b))[i, j]})
+
+    sums = both.groupBy("study_id", "tile_x", "tile_y", "block").applyInPandas(products, "study_id string, x int, y int, xy double, xx double, yy double")
+    r = sums.groupBy("study_id", "x", "y").agg((F.sum("xy") / F.sqrt(F.sum("xx") * F.sum("yy"))).alias("r"))
+    name = lambda k: placed.select("study_id", F.col("at").alias(k), F.col("sample_id").alias({"x": "sample_a", "y": "sample_b"}[k]))
+    return r.join(name("x"), ["study_id", "x"]).join(name("y"), ["study_id", "y"]).select("study_id", "sample_a", "sample_b", "r")
 
 
 def lowest_pair(corr: DataFrame) -> DataFrame:
@@ -266,7 +319,13 @@ def pca(m: DataFrame, n: int = 2, value: str = "value") -> DataFrame:
             out.append(pd.DataFrame({"study_id": pdf["study_id"].iloc[0], "component": i + 1, "sample_id": names, "score": v, "ratio": max(values[i], 0) / max(values.clip(0).sum(), 1e-300)}))
         return pd.concat(out)
 
-    blocks = rows.groupBy("study_id", "block").applyInPandas(gram, "study_id string, samples array<string>, g array<double>")
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"study_id": [pdf["study_id"].iloc[0]], "samples": [pdf["samples"].iloc[0]], "g": [np.sum(np.stack(pdf["g"].to_list()), axis=0)]})
+
+    form = "study_id string, block bigint, samples array<string>, g array<double>"
+    blocks = rows.groupBy("study_id", "block").applyInPandas(lambda t: gram(t).assign(block=int(t["block"].iloc[0])), form)
+    for n_left in (8, 1):  # matrices are added eight at a time
+        blocks = blocks.withColumn("block", F.pmod("block", F.lit(n_left))).groupBy("study_id", "block").applyInPandas(lambda t: added(t).assign(block=int(t["block"].iloc[0])), form)
     return blocks.groupBy("study_id").applyInPandas(solve, "study_id string, component int, sample_id string, score double, ratio double")
 
 

@@ -88,14 +88,32 @@ def provenance_rate(verified: DataFrame) -> DataFrame:
     return verified.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("verbatim").alias("n_verified"), F.round(F.avg(F.col("verbatim").cast("double")), 6).alias("rate"))
 
 
-def snap_quotes(quotes: DataFrame, docs: DataFrame, least: int = 24, window: int = 12) -> DataFrame:
-    """Longest run of up to ``window`` words of each quote that stands in its paper; runs are joined by paper, not searched in all."""
-    d = docs.select("paper_id", F.concat(F.lit(" "), normal(F.col("text")), F.lit(" ")).alias("body"))
-    w = quotes.withColumn("w", F.split(normal(F.col("quote")), " "))
-    runs = w.select("paper_id", "quote_id", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).select("paper_id", "quote_id", "w", "i", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(window), F.size("w"))))).alias("n"))
-    runs = runs.where(F.col("i") + F.col("n") - 1 <= F.size("w")).select("paper_id", "quote_id", F.array_join(F.slice("w", F.col("i"), F.col("n")), " ").alias("run"), "i").where(F.length("run") >= least)
-    hit = runs.join(d, "paper_id").where(F.contains("body", "run"))
-    return hit.groupBy("paper_id", "quote_id").agg(F.max_by("run", F.struct(F.length("run"), -F.col("i"))).alias("core"))
+def longest_core(words: list[str], body: str, least: int) -> str | None:
+    """The longest run of two words or more, ``least`` characters or more, that stands in ``body``; the first of equals."""
+    best, end = None, 0
+    for start in range(len(words)):
+        end = max(end, start + 1)
+        if end == start + 1 and words[start] not in body:
+            continue
+        while end < len(words) and " ".join(words[start : end + 1]) in body:
+            end += 1
+        run = " ".join(words[start:end])
+        if end - start >= 2 and len(run) >= least and len(run) > len(best or ""):
+            best = run
+    return best
+
+
+def snap_quotes(quotes: DataFrame, docs: DataFrame, least: int = 24) -> DataFrame:
+    """The longest run of words of each quote, of whatever length, that stands in its paper; quotes without one give no row."""
+    import pandas as pd
+
+    def core(quote, body):
+        return pd.Series([longest_core(q.split(" "), b, least) for q, b in zip(quote, body, strict=True)], dtype=object)
+
+    d = docs.where(F.col("text").isNotNull()).select("paper_id", normal(F.col("text")).alias("body"))
+    j = quotes.where(F.col("quote").isNotNull()).select("paper_id", "quote_id", normal(F.col("quote")).alias("q")).join(d, "paper_id")
+    found = j.select("paper_id", "quote_id", F.pandas_udf(core, "string", F.PandasUDFType.SCALAR)("q", "body").alias("core"))
+    return found.where("core is not null").groupBy("paper_id", "quote_id").agg(F.max_by("core", F.struct(F.length("core"), "core")).alias("core"))
 
 
 def find(blocks: DataFrame, terms: list[str], mode: str = "any", limit: int = 20, width: int = 160) -> DataFrame:

@@ -11,7 +11,7 @@ from assayloom.plans.matrix_queries import MAPPING, mapping
 from assayloom.plans.registry import query
 from assayloom.plans.result_queries import R
 from assayloom.plans.study_queries import BEST
-from assayloom.plans.text_queries import DOCS, FOUND, X, blocks
+from assayloom.plans.text_queries import FOUND, X, blocks
 
 
 @query("au_01_schema_conformance", """
@@ -81,7 +81,6 @@ def au_08b(t):
 def au_10(t):
     known = X.accessions(blocks(t)).select("paper_id", "accession").distinct()
     said = known.union(t.documents.where("doc_id % 9 = 0").select(F.col("doc_id"), F.concat(F.lit("GSE99"), "doc_id")))
-    assert DOCS
     return said.join(known, ["paper_id", "accession"], "left_anti")
 
 
@@ -201,9 +200,9 @@ def cat_09(t):
     return C.reconciliation(J.agreement(t.finding, t.deg, 0.6))
 
 
-@query("cat_11_manifest", "with s as (select distinct study_id from {sample}) select study_id, coalesce((select count(*) from {sample} x where x.study_id = s.study_id), 0) as samples, coalesce((select count(*) from {deg} x where x.study_id = s.study_id), 0) as results, coalesce((select count(*) from {finding} x where x.study_id = s.study_id and finding_id < 50), 0) as findings from s")
+@query("cat_11_manifest", "with s as (select distinct study_id from {sample}) select study_id, coalesce((select count(*) from {sample} x where x.study_id = s.study_id), 0) as samples, coalesce((select count(*) from {deg} x where x.study_id = s.study_id), 0) as results, coalesce((select count(*) from {finding} x where x.study_id = s.study_id), 0) as findings from s")
 def cat_11(t):
-    return C.manifest(t.sample.select("study_id").distinct(), {"samples": t.sample, "results": t.deg, "findings": t.finding.where("finding_id < 50")})
+    return C.manifest(t.sample.select("study_id").distinct(), {"samples": t.sample, "results": t.deg, "findings": t.finding})
 
 
 KG = f"""

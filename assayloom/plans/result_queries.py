@@ -109,29 +109,21 @@ def st_21(t):
     return R.concordance_of_methods(t.deg).withColumn("r", r6("r"))
 
 
-#: Three subjects a study keep the pair table small at any scale.
-FEW = "select m.* from {measure} m join {sample} s on m.study_id = s.study_id and m.sample_id = s.sample_id where s.ord < 40"
-
-
-def few(t):
-    return t.measure.join(t.sample.where("ord < 40").select("study_id", "sample_id"), ["study_id", "sample_id"], "left_semi")
-
-
-@query("st_01_sample_pearson", f"with f as ({FEW}) select a.study_id, a.sample_id as sample_a, b.sample_id as sample_b, round(corr(a.value, b.value), 6) as r from f a join f b on a.study_id = b.study_id and a.feature_id = b.feature_id and a.sample_id < b.sample_id group by all")
+@query("st_01_sample_pearson", "with f as (select * from {measure}) select a.study_id, a.sample_id as sample_a, b.sample_id as sample_b, round(corr(a.value, b.value), 6) as r from f a join f b on a.study_id = b.study_id and a.feature_id = b.feature_id and a.sample_id < b.sample_id group by all")
 def st_01(t):
-    return S.sample_corr(few(t)).withColumn("r", r6("r"))
+    return S.sample_corr(t.measure).withColumn("r", r6("r"))
 
 
-@query("st_01b_lowest_pair", f"with f as ({FEW}), c as (select a.study_id, a.sample_id as sample_a, b.sample_id as sample_b, round(corr(a.value, b.value), 6) as r from f a join f b on a.study_id = b.study_id and a.feature_id = b.feature_id and a.sample_id < b.sample_id group by all) select * from c qualify row_number() over (partition by study_id order by r, sample_a, sample_b) = 1")
+@query("st_01b_lowest_pair", "with f as (select * from {measure}), c as (select a.study_id, a.sample_id as sample_a, b.sample_id as sample_b, round(corr(a.value, b.value), 6) as r from f a join f b on a.study_id = b.study_id and a.feature_id = b.feature_id and a.sample_id < b.sample_id group by all) select * from c qualify row_number() over (partition by study_id order by r, sample_a, sample_b) = 1")
 def st_01b(t):
-    return S.lowest_pair(S.sample_corr(few(t)).withColumn("r", r6("r")))
+    return S.lowest_pair(S.sample_corr(t.measure).withColumn("r", r6("r")))
 
 
-@query("st_02_sample_spearman", f"""
-with f as ({FEW}), k as (select *, rank() over (partition by study_id, sample_id order by value) + (count(*) over (partition by study_id, sample_id, value) - 1) / 2 as x from f)
+@query("st_02_sample_spearman", """
+with f as (select * from {measure}), k as (select *, rank() over (partition by study_id, sample_id order by value) + (count(*) over (partition by study_id, sample_id, value) - 1) / 2 as x from f)
 select a.study_id, a.sample_id as sample_a, b.sample_id as sample_b, round(corr(a.x, b.x), 6) as r from k a join k b on a.study_id = b.study_id and a.feature_id = b.feature_id and a.sample_id < b.sample_id group by all""")
 def st_02(t):
-    return S.sample_corr(few(t), "spearman").withColumn("r", r6("r"))
+    return S.sample_corr(t.measure, "spearman").withColumn("r", r6("r"))
 
 
 @query("st_03_pca")
@@ -180,7 +172,12 @@ def st_08(t):
     return f.select("study_id", "feature_id", "contrast_id", r6("log2fc").alias("log2fc"))
 
 
-@query("st_10_paired_change", PAIRED + " select * from d")
+CHANGES = """
+select s.study_id, feature_id, subject, sum(case condition when 'treated' then value when 'control' then -value end) as change
+from {measure} m join {sample} s on m.study_id = s.study_id and m.sample_id = s.sample_id where condition in ('control', 'treated') group by all having count(distinct condition) = 2"""
+
+
+@query("st_10_paired_change", CHANGES)
 def st_10(t):
     return S.paired_change(t.measure, t.sample, "control", "treated").select("study_id", "feature_id", "subject", "change")
 

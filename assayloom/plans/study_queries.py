@@ -134,16 +134,20 @@ def set_03(t):
     return S.dedupe_multi_key(r, ["doi", "title"], ["note"], "id")
 
 
-@query("set_04_cross_batch_union", "select c_mktsegment as series, min(c_custkey) as first_id, count(*) as n from customer where c_custkey % 7 < 4 and c_mktsegment not in (select c_mktsegment from customer where c_custkey < 1) group by 1")
+@query("set_04_cross_batch_union", """
+with c as (select n_nationkey as series from nation join region on n_regionkey = r_regionkey where r_name = 'AFRICA'),
+b as (select c_nationkey as series, c_custkey as id from customer union all select s_nationkey, s_suppkey from supplier)
+select series, min(id) as first_id, count(*) as n from b where series not in (select series from c) group by series""")
 def set_04(t):
-    counted = t.customer.where("c_custkey < 1").select("c_mktsegment").distinct()
-    new = t.customer.where("c_custkey % 7 < 2").union(t.customer.where("c_custkey % 7 in (2, 3)"))
-    return new.join(counted, "c_mktsegment", "left_anti").groupBy(F.col("c_mktsegment").alias("series")).agg(F.min("c_custkey").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    """Customers and suppliers are two batches; the nations of one region were counted before."""
+    counted = t.nation.join(t.region.where("r_name = 'AFRICA'"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("series"))
+    batches = [t.customer.select(F.col("c_nationkey").alias("series"), F.col("c_custkey").alias("id")), t.supplier.select(F.col("s_nationkey").alias("series"), F.col("s_suppkey").alias("id"))]
+    return S.union_minus(batches, counted, "series", "id")
 
 
-@query("set_05_shared_claims", "with c as (select distinct l_suppkey as owner, l_partkey as resource from lineitem where l_orderkey % 50 = 0), n as (select resource, count(*) as n_owners from c group by resource) select owner, resource, n_owners, case when n_owners > 1 then 'shared' else 'own' end as verdict from c join n using (resource)")
+@query("set_05_shared_claims", "with c as (select distinct l_suppkey as owner, l_partkey as resource from lineitem), n as (select resource, count(*) as n_owners from c group by resource) select owner, resource, n_owners, case when n_owners > 1 then 'shared' else 'own' end as verdict from c join n using (resource)")
 def set_05(t):
-    return S.shared_claims(t.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("resource")).distinct())
+    return S.shared_claims(t.lineitem.select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("resource")).distinct())
 
 
 @query("set_06_set_stability", "with n as (select l_suppkey as key, l_partkey as item, count(distinct l_returnflag) as r from lineitem group by all) select key, count(case when r = 3 then 1 end) as n_all, count(*) as n_any, count(case when r = 1 then 1 end) as n_single from n group by key")
@@ -167,8 +171,7 @@ def set_07(t):
 
 @query("set_08_rouge_l")
 def set_08(t):
-    a, b = (t.conversations.where(F.col("turn") == k).select("conv_id", F.col("text").alias(n)) for k, n in ((0, "a"), (1, "b")))
-    return S.rouge_l(a.join(b, "conv_id"), "a", "b").select("conv_id", "rouge_l")
+    return S.rouge_stability(t.conversations, "conv_id", "turn", "text")
 
 
 STABILITY = """

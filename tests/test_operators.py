@@ -175,3 +175,81 @@ def test_lgamma():
 
     x = np.array([0.01, 0.5, 1.0, 3.3, 50.0, 1e6])
     assert np.allclose(lgamma(x), [math.lgamma(v) for v in x], rtol=1e-10)
+
+
+def test_numbers_and_interactions_in_the_linear_model(spark):
+    rng = np.random.default_rng(8)
+    n = 24
+    age, arm, batch = rng.normal(50, 10, n), np.arange(n) % 2, np.arange(n) % 3
+    rows, y = [], {}
+    for f in range(5):
+        y[f] = 3 + 0.1 * age + 2 * arm + 0.2 * age * arm + 0.5 * batch + rng.normal(0, 0.3, n)
+        rows += [("st", f"f{f}", f"s{j:02d}", float(y[f][j])) for j in range(n)]
+    m = spark.createDataFrame(rows, "study_id string, feature_id string, sample_id string, value double")
+    samples = [("st", f"s{j:02d}", float(age[j]), "case" if arm[j] else "a", int(batch[j])) for j in range(n)] + [("st", "s99", None, "a", 1), ("other", "s00", 1.0, "a", 1)]
+    s = spark.createDataFrame(samples, "study_id string, sample_id string, age double, arm string, batch int")
+    names = ["intercept", "age", "arm=case", "batch=1", "batch=2", "age:arm=case"]
+    out = S.linear_model(m, s, ["age", "arm", "C(batch)", "age:arm"], {k: {k: 1.0} for k in names}).collect()
+    x = np.column_stack([np.ones(n), age, arm, batch == 1, batch == 2, age * arm])
+    inv = np.linalg.inv(x.T @ x)
+    assert len(out) == 30
+    for r in out:
+        v, k = y[int(r["feature_id"][1:])], names.index(r["contrast_id"])
+        beta = inv @ x.T @ v
+        s2 = ((v - x @ beta) ** 2).sum() / (n - 6)
+        assert np.allclose([r["log2fc"], r["s2"], r["df"], r["t"]], [beta[k], s2, n - 6, beta[k] / math.sqrt(s2 * inv[k, k])], rtol=1e-6)
+
+
+def test_sample_correlation_in_tiles_equals_pandas(spark):
+    rng = np.random.default_rng(9)
+    rows = [("st", f"f{i}", f"s{j:02d}", float(rng.normal() + i * (j % 3)) if rng.random() > 0.1 else None) for i in range(30) for j in range(11)]
+    m = spark.createDataFrame(rows, "study_id string, feature_id string, sample_id string, value double")
+    got = {(r["sample_a"], r["sample_b"]): r["r"] for r in S.sample_corr(m, tile=4, block=8).collect()}
+    whole = {}
+    for _, f, s, v in rows:
+        if v is not None:
+            whole.setdefault(s, {})[f] = v
+    names = sorted(whole)
+    assert set(got) == {(a, b) for a in names for b in names if a < b}
+    for (a, b), r in got.items():
+        ma, mb = (np.mean(list(whole[k].values())) for k in (a, b))
+        both = [f for f in whole[a] if f in whole[b]]
+        x, y = np.array([whole[a][f] - ma for f in both]), np.array([whole[b][f] - mb for f in both])
+        assert abs(r - (x @ y) / math.sqrt((x @ x) * (y @ y))) < 1e-9
+
+
+def test_longest_common_subsequences_and_cores_equal_brute_force(spark):
+    import random
+
+    from assayloom.operators import sets, texts
+
+    rng = random.Random(2)
+
+    def table(x, y):
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                t[i + 1][j + 1] = t[i][j] + 1 if p == q else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    for _ in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 90))] for _ in range(2))
+        assert sets.lcs(x, y) == table(x, y)
+    for _ in range(200):
+        words = [rng.choice(["ab", "cde", "f", "gh"]) for _ in range(rng.randint(1, 30))]
+        body = " ".join(rng.choice(["ab", "cde", "f", "gh"]) for _ in range(60))
+        runs = [" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+        fits = [r for r in runs if len(r) >= 8 and r in body]
+        assert texts.longest_core(words, body, 8) == (max(fits, key=len) if fits else None)
+    whole = "A quote of more than twelve words that stands in its paper from the very first word to the last one"
+    quotes = spark.createDataFrame([(1, 1, whole), (1, 2, "nothing of it"), (1, 3, None), (2, 1, whole)], "paper_id long, quote_id long, quote string")
+    docs = spark.createDataFrame([(1, "Before. " + whole + " After."), (2, None)], "paper_id long, text string")
+    assert [tuple(r) for r in texts.snap_quotes(quotes, docs).collect()] == [(1, 1, whole.lower())]
+
+
+def test_rouge_of_all_pairs_of_runs(spark):
+    from assayloom.operators import sets
+
+    rows = [("k", 0, "a b c d"), ("k", 1, "a b c e"), ("k", 2, "a b c d"), ("z", 0, "x")]
+    got = [tuple(r) for r in sets.rouge_stability(spark.createDataFrame(rows, "key string, run int, text string"), "key", "run", "text").collect()]
+    assert got == [("k", 3, round((0.75 + 1 + 0.75) / 3, 6), 0.75, "0|1,1|2")]
