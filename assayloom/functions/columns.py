@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+#: What stands for no value.
 BLANK = ("", "nan", "none", "na", "n/a", "null", "missing", "not applicable", "unknown", "--")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -70,11 +72,11 @@ def enrichment_score(ranked: DataFrame, sets: DataFrame, least: int = 15, most:
     return es.join(genes, [*keys, "collection", "set_id"])
 
 
-def gsea(ranked: DataFrame, sets: DataFrame, permutations: int = 200, seed: int = 42, least: int = 15, most: int = 500) -> DataFrame:
-    """Normalised score, nominal p and FDR q against gene permutations, seeded by a hash and so the same on any cluster.
+def gsea(ranked: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 42, least: int = 15, most: int = 500) -> DataFrame:
+    """Normalised score, nominal p and FDR q against gene permutations, seeded by the result's keys and so the same on any cluster.
 
     A permutation gives a gene a random rank and keeps the scores at their ranks; the null depends on the set's size alone, so a null of
-    each size is drawn once per result, in Arrow batches of ranks.
+    each size is drawn once per result, in Arrow batches of ranks. The nulls of a result's sets, which a library bounds, are pooled in one task.
     """
     keys = ["study_id", "contrast_id", "method"]
     observed = enrichment_score(ranked, sets, least, most)
@@ -86,35 +88,44 @@ def gsea(ranked: DataFrame, sets: DataFrame, permutations: int = 200, seed: int
             out = []
             for r in t.itertuples(index=False):
                 w, size, n = np.abs(np.asarray(r.scores, dtype=float)), int(r.size), len(r.scores)
-                rng = np.random.default_rng([seed, size, n])
-                at = np.argsort(rng.random((permutations, n)), axis=1)[:, :size]
-                at.sort(axis=1)
-                hit = w[at]
-                cum = np.cumsum(hit, axis=1)
-                total = np.maximum(cum[:, -1:], 1e-300)
-                miss = (at + 1 - np.arange(1, size + 1)) / max(n - size, 1)
-                top, low = (cum / total - miss).max(axis=1), ((cum - hit) / total - miss).min(axis=1)
-                es = np.where(top >= -low, top, low)
+                rng = np.random.default_rng([seed, size, n, zlib.crc32(f"{r.study_id}|{r.contrast_id}|{r.method}".encode())])
+                es = np.empty(permutations)
+                for k in range(0, permutations, 100):
+                    at = np.argsort(rng.random((min(100, permutations - k), n)), axis=1)[:, :size]
+                    at.sort(axis=1)
+                    hit = w[at]
+                    cum = np.cumsum(hit, axis=1)
+                    total = np.maximum(cum[:, -1:], 1e-300)
+                    miss = (at + 1 - np.arange(1, size + 1)) / max(n - size, 1)
+                    top, low = (cum / total - miss).max(axis=1), ((cum - hit) / total - miss).min(axis=1)
+                    es[k : k + 100] = np.where(top >= -low, top, low)
                 out.append((r.study_id, r.contrast_id, r.method, size, es.tolist()))
             yield pd.DataFrame(out, columns=[*keys, "size", "null"])
 
     nulls = sizes.join(scores, keys).mapInPandas(null, "study_id string, contrast_id string, method string, size long, null array<double>")
-    j = observed.join(nulls, [*keys, "size"])
-    same = F.expr("filter(`null`, x -> (x >= 0) = (es >= 0))")
-    j = j.withColumn("same", same)
-    mean = F.expr("abs(aggregate(same, 0D, (a, x) -> a + x) / size(same))")
-    j = j.withColumn("nes", F.when(F.size("same") > 0, F.col("es") / mean)).withColumn("nom_p", F.when(F.size("same") > 0, F.expr("size(filter(same, x -> abs(x) >= abs(es))) / size(same)")))
-    j = j.withColumn("null_nes", F.expr(" transform(same, x -> x / abs(aggregate(same, 0D, (a, y) -> a + y) / size(same)))"))
-    side = F.col("nes") >= 0
-    w = Window.partitionBy(*keys, side)
-    pooled = j.where("nes is not null").select(*keys, side.alias("side"), F.explode("null_nes").alias("v"), F.lit(None).cast("string").alias("collection"), F.lit(None).cast("string").alias("set_id"))
-    real = j.where("nes is not null").select(*keys, side.alias("side"), F.col("nes").alias("v"), "collection", "set_id")
-    down = Window.partitionBy(*keys, "side").orderBy(F.desc(F.abs("v")))
-    both = pooled.union(real).withColumn("is_null", F.col("set_id").isNull())
-    counted = both.select("*", F.sum(F.col("is_null").cast("long")).over(down).alias("nulls"), F.sum((~F.col("is_null")).cast("long")).over(down).alias("reals"), F.sum(F.col("is_null").cast("long")).over(Window.partitionBy(*keys, "side")).alias("all_nulls"), F.sum((~F.col("is_null")).cast("long")).over(Window.partitionBy(*keys, "side")).alias("all_reals"))
-    q = counted.where("not is_null").select(*keys, "collection", "set_id", F.least(F.lit(1.0), (F.col("nulls") / F.col("all_nulls")) / (F.col("reals") / F.col("all_reals"))).alias("fdr_q"))
-    del w
-    return j.join(q, [*keys, "collection", "set_id"], "left").select(*keys, "collection", "set_id", "size", "es", "nes", "nom_p", "fdr_q", "lead_genes")
+    result = [*keys, "collection", "set_id", "size", "es", "nes", "nom_p", "fdr_q", "lead_genes"]
+
+    def judged(t: pd.DataFrame) -> pd.DataFrame:
+        nes, p, pool = np.full(len(t), np.nan), np.full(len(t), np.nan), {True: [], False: []}
+        for i, (es, drawn) in enumerate(zip(t["es"], t["null"], strict=True)):
+            drawn = np.asarray(drawn)
+            same = drawn[(drawn >= 0) == (es >= 0)]
+            mean = abs(same.mean()) if len(same) else 0.0
+            if mean > 0:
+                nes[i], p[i] = es / mean, (np.abs(same) >= abs(es)).mean()
+                pool[bool(es >= 0)].append(np.abs(same) / mean)
+        q = np.full(len(t), np.nan)
+        for side in (True, False):
+            at = np.flatnonzero(~np.isnan(nes) & ((nes >= 0) == side))
+            if len(at):
+                drawn, real = np.sort(np.concatenate(pool[side])), np.sort(np.abs(nes[at]))
+                above = lambda x, v: (len(x) - np.searchsorted(x, v)) / len(x)
+                q[at] = np.minimum(1.0, above(drawn, np.abs(nes[at])) / above(real, np.abs(nes[at])))
+        return t.assign(nes=nes, nom_p=p, fdr_q=q)[result]
+
+    out = observed.join(nulls, [*keys, "size"]).groupBy(*keys).applyInPandas(judged, "study_id string, contrast_id string, method string, collection string, set_id string, size long, es double, nes double, nom_p double, fdr_q double, lead_genes string")
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select(*(known(c) if c in ("nes", "nom_p", "fdr_q") else c for c in result))
 
 
 def top_terms(g: DataFrame, n: int = 10, limit: float = 0.25) -> DataFrame:

@@ -15,8 +15,20 @@ REPOSITORIES = (
     ("dbgap", r"\bphs\d{6}\b"),
 )
 #: Words near an accession that make it the paper's own, or somebody else's.
-OWN_WORDS = r"(?i)(have been|has been|were|was|are|is|been) (deposited|submitted|uploaded)|\bdeposited (in|at|to|under|with)|we (have )?(deposited|submitted|uploaded)|generated (in|for|during) (this|the present|the current) stud"
-CITED_WORDS = r"(?i)(downloaded|obtained|retrieved|accessed|acquired|extracted|compiled)\b|publicly (available|accessible)|previously (published|reported|described|deposited|generated)|re-?analy[sz]|meta-?analy[sz]"
+OWN_WORDS = (
+    r"(?i)(have been|has been|were|was|are|is|been) (deposited|submitted|uploaded)|\bdeposited (in|at|to|under|with)|"
+    r"we (have )?(deposited|submitted|uploaded)|generated (in|for|during) (this|the present|the current) stud|"
+    r"(produced|reported|sequenced) (in|for) (this|the present|the current) stud|"
+    r"data (from|of|for) this (study|article|paper)|(this|the present|the current) study (are|is) available"
+)
+CITED_WORDS = (
+    r"(?i)(downloaded|obtained|retrieved|accessed|acquired|extracted|compiled)\b|publicly (available|accessible)|"
+    r"public (data ?sets?|data|repositor)|previously (published|reported|described|deposited|generated)|"
+    r"re-?analy[sz]|meta-?analy[sz]|re-?used?\b|from (a|the|our) (previous|prior|earlier|published)|(previous|prior|earlier) stud|"
+    r"(data ?sets?|data|profiles?) (were |was )?(from|of) (the )?(GEO|Gene Expression Omnibus)|"
+    r"available (from|in|at|on) (the )?(GEO|Gene Expression Omnibus)|published data|"
+    r"(data ?sets?|data|profiles?) (from|of|by|published by|reported by) (the )?[A-Z][\w'-]+ et al"
+)
 #: Section classes by title, first match wins.
 TITLES = (
     ("data_availability", r"(?i)data\b.{0,30}\b(availab|access|deposit|sharing)|availability of (data|materials)|accession (number|code)|code availab|data and code|data access|^data statement"),
@@ -29,6 +41,7 @@ TITLES = (
     ("abstract", r"(?i)^\s*(abstract|summary)\s*$"),
 )
 CITED_SECTIONS = ("introduction", "discussion")
+#: Words that say nothing about a pathway.
 STOP = ("hallmark", "of", "the", "and", "or", "to", "in", "a", "an", "via", "by", "with", "pathway", "pathways", "signaling", "signalling", "response", "regulation", "process", "processes", "system", "activity", "metabolism", "metabolic", "function", "related")
 
 

@@ -12,12 +12,12 @@ from assayloom.operators import stats as S
 from assayloom.operators import texts as X
 from assayloom.plans.registry import query
 from assayloom.plans.study_queries import COLUMNS, columns
-from assayloom.plans.text_queries import BLOCKS, DOCS, FOUND, blocks, docs
+from assayloom.plans.text_queries import BLOCKS, CITED, DOCS, FOUND, OWN, blocks, docs
 
 
 @query("txt_03_chosen_series", f"""
 with {FOUND}, g as (select *, instr(text, accession) as i from a where repo = 'geo'), w as (select paper_id, accession, substring(text, greatest(1, i - 170), 340) as t from g),
-s as (select paper_id, accession, sum(len(regexp_extract_all(t, '{X.OWN_WORDS}')))::bigint as own, sum(len(regexp_extract_all(t, '{X.CITED_WORDS}')))::bigint as cited from w group by all),
+s as (select paper_id, accession, sum(len(regexp_extract_all(t, '{OWN}')))::bigint as own, sum(len(regexp_extract_all(t, '{CITED}')))::bigint as cited from w group by all),
 z as (select *, count(*) over (partition by paper_id) as n, row_number() over (partition by paper_id order by own - cited desc, accession) as pos from s) select paper_id, accession, own, cited from z where pos = 1 and (own > cited or (n = 1 and cited = 0))""")
 def txt_03(t):
     return X.choose_own(blocks(t))

@@ -16,6 +16,9 @@ BLOCKS = f"""
 select paper_id, i - 1 as ord, 'B' || (i - 1) as block_id, ['abstract', 'introduction', 'methods', 'results', 'discussion'][1 + ((i - 1) % 5)] as section_class, 'S' || ((i - 1) % 3 + 1) || case when i % 2 = 0 then '.1' else '' end as section_id, text
 from (select paper_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as i from ({DOCS})) where trim(text) <> ''"""
 
+#: The phrases as SQL strings.
+OWN, CITED = (w.replace("'", "''") for w in (X.OWN_WORDS, X.CITED_WORDS))
+
 
 def docs(t):
     k = F.col("doc_id")
@@ -53,7 +56,7 @@ def agg_25(t):
 with {FOUND}, w as (select *, instr(text, accession) as i from a),
 c as (select *, substring(text, greatest(1, i - 300), i - greatest(1, i - 300)) as before from w),
 p as (select *, regexp_replace(list_extract(string_split(before, '. '), -1), '(?s)^.*\\b(GSE|PXD|PRJNA|SRP)\\w*', '') || substring(text, i, 80) as win from c),
-q as (select *, case when regexp_matches(win, '{X.OWN_WORDS}') then 'own' when regexp_matches(win, '{X.CITED_WORDS}') then 'cited' else '' end as phrase from p),
+q as (select *, case when regexp_matches(win, '{OWN}') then 'own' when regexp_matches(win, '{CITED}') then 'cited' else '' end as phrase from p),
 g as (select paper_id, repo, accession, bool_or(phrase = 'own') as said_own, bool_or(phrase = 'cited') as said_cited, bool_and(section_class in ('introduction', 'discussion')) as only_cited, count(*) as n_mentions from q group by all),
 k as (select *, case when said_own then 'own' when said_cited or only_cited then 'cited' else 'own' end as kind from g)
 select paper_id, repo, accession, n_mentions, case when repo = 'geo' and count(case when kind = 'own' and repo = 'geo' then 1 end) over (partition by paper_id) > 8 and not said_own then 'cited' else kind end as kind from k""")

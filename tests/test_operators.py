@@ -253,3 +253,19 @@ def test_rouge_of_all_pairs_of_runs(spark):
     rows = [("k", 0, "a b c d"), ("k", 1, "a b c e"), ("k", 2, "a b c d"), ("z", 0, "x")]
     got = [tuple(r) for r in sets.rouge_stability(spark.createDataFrame(rows, "key string, run int, text string"), "key", "run", "text").collect()]
     assert got == [("k", 3, round((0.75 + 1 + 0.75) / 3, 6), 0.75, "0|1,1|2")]
+
+
+def test_scans_of_quoted_and_mixed_tables(spark, tmp_path):
+    from assayloom.sources import tables as T
+
+    (tmp_path / "m.csv").write_text('gene,"note, long",S.1,S2\n"A, or ""a""",x,1,2.5\nB,"y,z",,4\n')
+    assert sorted(map(tuple, T.scan_matrix(spark, str(tmp_path / "m.csv")).collect()), key=str) == [('A, or "a"', "S.1", 1.0), ('A, or "a"', "S2", 2.5), ("B", "S.1", None), ("B", "S2", 4.0)]
+    (tmp_path / "one.tsv").write_text("gene\tS1\tnote\nA\t1\tx\n")
+    with pytest.raises(ValueError):
+        T.scan_matrix(spark, str(tmp_path / "one.tsv"))
+    (tmp_path / "q.tsv").write_text("PG.Pvalue\tPG.Qvalue\tPG.ProteinGroups\tPG.Cscore\tMol weight [kDa]\tUnique peptides\tGenes\ts1.raw.Quantity\ts2.raw.Quantity\n0.1\t0.2\tP1;P2\t7\t33\t4\tG1\t10\t\n0.3\t0.1\tP3\t8\t12\t1\tG2\t5\tNaN?\n0.3\t0.1\tP4\t8\t12\t1\tG2\t5\t6\n")
+    got = {(r["feature_id"], r["sample_id"]): r["value"] for r in T.scan_quant(spark, str(tmp_path / "q.tsv")).collect()}
+    assert {k[1] for k in got} == {"s1.raw.Quantity", "s2.raw.Quantity"} and got["P1;P2", "s1.raw.Quantity"] == 10 and got["P3", "s2.raw.Quantity"] is None and got["P4", "s2.raw.Quantity"] == 6
+    assert T.column_roles(["x", "Entry", "Majority protein IDs", "PEP", "Peptide 1"]) == (2, [3]) and T.column_roles(["a", "b"])[0] == 0
+    (tmp_path / "p.mztab").write_text("PRH\taccession\tprotein_abundance_assay[1]\nPRT\tP1\t5\n")
+    assert [tuple(r) for r in T.scan_quant(spark, str(tmp_path / "p.mztab")).collect()] == [("P1", "1", 5.0)]
