@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayloom.operators import catalogue as C
+from assayloom.operators import evaluation as E
 from assayloom.operators import joins as J
 from assayloom.operators import matrix as M
 from assayloom.operators import selection as L
@@ -70,41 +71,32 @@ def cat_10(t):
 @query("prj_13_derived_columns", """
 select study_id, sample_id, 'arm' as attr, condition || '_' || batch as value from {sample} union all select study_id, sample_id, 'number', regexp_extract(sample_id, '^S(\\d+)$', 1) from {sample} union all select study_id, sample_id, 'treated', case condition when 'treated' then 'yes' when 'control' then 'no' end from {sample}""")
 def prj_13(t):
-    named = lambda n, c: F.struct(F.lit(n).alias("attr"), c.alias("value"))
-    recode = F.element_at(F.create_map(F.lit("treated"), F.lit("yes"), F.lit("control"), F.lit("no")), F.col("condition"))
-    rows = F.array(named("arm", F.concat_ws("_", "condition", "batch")), named("number", F.regexp_extract("sample_id", r"^S(\d+)$", 1)), named("treated", recode))
-    return t.sample.select("study_id", "sample_id", F.inline(rows))
+    derived, _ = E.derive_columns(t.sample, {"treated": "condition"}, {"number": ("sample_id", r"^S(\d+)$")}, {"arm": ["condition", "batch"]}, {"treated": {"treated": "yes", "control": "no"}})
+    return derived.unpivot(["study_id", "sample_id"], ["arm", "number", "treated"], "attr", "value")
 
 
 @query("typ_08_metadata_rejection", "with c as (select study_id, attr from {sample_attr} union all select study_id, feature_id from {measure}) select study_id, count(distinct attr) as n_columns, count(distinct case when attr in ('age', 'sex', 'condition', 'treatment', 'title', 'organism', 'batch', 'subject') then attr end) as n_metadata, count(distinct case when attr in ('age', 'sex', 'condition', 'treatment', 'title', 'organism', 'batch', 'subject') then attr end) * 2 >= count(distinct attr) as rejected from c group by study_id")
 def typ_08(t):
-    words = F.col("attr").isin("age", "sex", "condition", "treatment", "title", "organism", "batch", "subject")
-    c = t.sample_attr.select("study_id", "attr").union(t.measure.select("study_id", "feature_id")).groupBy("study_id").agg(F.countDistinct("attr").alias("n_columns"), F.countDistinct(F.when(words, F.col("attr"))).alias("n_metadata"))
-    return c.withColumn("rejected", F.col("n_metadata") * 2 >= F.col("n_columns"))
+    return E.metadata_rejection(t.sample_attr.select("study_id", "attr").union(t.measure.select("study_id", "feature_id")))
 
 
 @query("typ_11_assay_label", "select p_partkey, case when p_partkey % 3 = 0 then 'RNA-Seq' when contains(lower(p_name), 'ring') or p_partkey % 3 = 1 then 'microarray gene expression profiling' else 'high-throughput sequencing' end as assay from part")
 def typ_11(t):
     k = F.col("p_partkey") % 3
     text = F.concat(F.when(k == 1, "Affymetrix GeneChip").otherwise(""), F.when(F.lower("p_name").contains("ring"), " hybridization").otherwise(""))
-    strategy = F.when(k == 0, "RNA-Seq")
-    array = F.lower(text).rlike(r"affymetrix|microarray|hybridization|hybridisation|\.cel| cel |genechip|beadchip|agilent array")
-    return t.part.select("p_partkey", F.coalesce(strategy, F.when(array, "microarray gene expression profiling").otherwise("high-throughput sequencing")).alias("assay"))
+    return t.part.select("p_partkey", E.assay_label(F.when(k == 0, "RNA-Seq"), text).alias("assay"))
 
 
 @query("ev_07_arm_comparison", "with a as (select feature_id, log2fc, padj < 0.3 as sig from {run_deg} where run_id = 'runA'), b as (select feature_id, log2fc, padj < 0.3 as sig from {run_deg} where run_id = 'runR') select count(*) as n_common, count(case when abs(a.log2fc - b.log2fc) < 0.5 then 1 end) as n_close, count(case when a.sig and b.sig then 1 end) as sig_both, count(case when a.sig <> b.sig then 1 end) as sig_one from a join b using (feature_id)")
 def ev_07(t):
-    a, b = (t.run_deg.where(F.col("run_id") == r).select("feature_id", F.col("log2fc").alias(f"fc_{x}"), (F.col("padj") < 0.3).alias(f"sig_{x}")) for r, x in (("runA", "a"), ("runR", "b")))
-    return a.join(b, "feature_id").agg(F.count(F.lit(1)).alias("n_common"), F.count_if(F.abs(F.col("fc_a") - F.col("fc_b")) < 0.5).alias("n_close"), F.count_if(F.col("sig_a") & F.col("sig_b")).alias("sig_both"), F.count_if(F.col("sig_a") != F.col("sig_b")).alias("sig_one"))
+    return E.arm_comparison(t.run_deg.where("run_id = 'runA'"), t.run_deg.where("run_id = 'runR'"), 0.3, 0.5)
 
 
 @query("ev_19_parse_comparison", f"""
 with a as (select paper_id, section_class, count(*) as n from ({BLOCKS}) group by all), b as (select paper_id, section_class, count(*) as n from ({BLOCKS}) where ord % 7 <> 3 group by all)
 select coalesce(a.paper_id, b.paper_id) as paper_id, coalesce(a.section_class, b.section_class) as section_class, coalesce(a.n, 0) as n_first, coalesce(b.n, 0) as n_second, coalesce(a.n, 0) = coalesce(b.n, 0) as same from a full join b on a.paper_id = b.paper_id and a.section_class = b.section_class""")
 def ev_19(t):
-    n = lambda b, c: b.groupBy("paper_id", "section_class").agg(F.count(F.lit(1)).alias(c))
-    j = n(blocks(t), "n_first").join(n(blocks(t).where("ord % 7 <> 3"), "n_second"), ["paper_id", "section_class"], "full_outer")
-    return j.select("paper_id", "section_class", F.coalesce("n_first", F.lit(0)).alias("n_first"), F.coalesce("n_second", F.lit(0)).alias("n_second")).withColumn("same", F.col("n_first") == F.col("n_second"))
+    return E.parse_comparison(blocks(t), blocks(t).where("ord % 7 <> 3"))
 
 
 @query("src_09_matrix_choice", "with f as (select p_partkey % 50 as study_id, p_name || '_' || p_partkey as name, p_size as size, p_type as kind from part where p_name not like '%ring%'), r as (select *, row_number() over (partition by study_id order by size desc, name) as pos from f) select study_id, name, size, kind from r where pos <= 3 qualify row_number() over (partition by study_id order by kind = 'STANDARD' desc, pos) = 1")

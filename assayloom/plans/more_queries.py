@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayloom.functions.columns import sex_label
 from assayloom.operators import designs as D
+from assayloom.operators import evaluation as E
 from assayloom.operators import results as R
 from assayloom.operators import selection as L
 from assayloom.operators import sets as S
@@ -67,18 +68,14 @@ def ds_17(t):
 with g as (select study_id as run_id, set_id, nes, fdr_q < 0.6 as sig from {gsea})
 select a.run_id as run_a, b.run_id as run_b, count(*) as n_common, round(corr(a.nes, b.nes), 6) as r, count(case when a.sig and b.sig then 1 end) as sig_both, count(case when a.sig or b.sig then 1 end) as sig_any from g a join g b using (set_id) where a.run_id < b.run_id group by all""")
 def ev_02(t):
-    a, b = (t.gsea.select(F.col("study_id").alias(f"run_{x}"), "set_id", F.col("nes").alias(f"nes_{x}"), (F.col("fdr_q") < 0.6).alias(f"sig_{x}")) for x in "ab")
-    j = a.join(b, "set_id").where("run_a < run_b")
-    return j.groupBy("run_a", "run_b").agg(F.count(F.lit(1)).alias("n_common"), F.round(F.corr("nes_a", "nes_b"), 6).alias("r"), F.count_if(F.col("sig_a") & F.col("sig_b")).alias("sig_both"), F.count_if(F.col("sig_a") | F.col("sig_b")).alias("sig_any"))
+    return E.set_run_stability(t.gsea.withColumnRenamed("study_id", "run_id"), 0.6)
 
 
 @query("ev_04_stability_gate", """
 with p as (select a.run_id as x, b.run_id as y, corr(a.log2fc, b.log2fc) as r, count(case when a.padj < 0.3 and b.padj < 0.3 then 1 end) / count(case when a.padj < 0.3 or b.padj < 0.3 then 1 end) as j from {run_deg} a join {run_deg} b using (feature_id) where a.run_id < b.run_id group by all)
 select count(*) as n_pairs, round(min(r), 6) as least_r, round(min(j), 6) as least_jaccard, min(r) >= 0.99 and min(j) >= 0.95 as stable from p""")
 def ev_04(t):
-    a, b = (t.run_deg.select(F.col("run_id").alias(f"run_{x}"), "feature_id", F.col("log2fc").alias(f"fc_{x}"), (F.col("padj") < 0.3).alias(f"sig_{x}")) for x in "ab")
-    p = a.join(b, "feature_id").where("run_a < run_b").groupBy("run_a", "run_b").agg(F.corr("fc_a", "fc_b").alias("r"), (F.count_if(F.col("sig_a") & F.col("sig_b")) / F.count_if(F.col("sig_a") | F.col("sig_b"))).alias("j"))
-    return p.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.min("r"), 6).alias("least_r"), F.round(F.min("j"), 6).alias("least_jaccard"), ((F.min("r") >= 0.99) & (F.min("j") >= 0.95)).alias("stable"))
+    return E.stability_gate(t.run_deg, 0.3)
 
 
 @query("ev_08_contrast_gold", """
@@ -95,37 +92,32 @@ def ev_08(t):
 
 @query("ev_09_decision_routing", "select case_id, stage, seq, case when decision_status = 'blocked' and confidence = 'high' then 'refuse' when decision_status = 'blocked' then 'override' when confidence = 'high' then 'confident' else 'confirm' end as route from {decision}")
 def ev_09(t):
-    blocked, sure = F.col("decision_status") == "blocked", F.col("confidence") == "high"
-    return t.decision.select("case_id", "stage", "seq", F.when(blocked & sure, "refuse").when(blocked, "override").when(sure, "confident").otherwise("confirm").alias("route"))
+    return E.route_decisions(t.decision)
 
 
 @query("ev_16_production_gate", "with o as (select case_id, count(*) as n, count(case when decision_status = 'blocked' then 1 end) as b from {decision} group by case_id) select case_id, n >= 2 as enough_records, b = 0 as unblocked, array_to_string(list_filter([case when n < 2 then 'enough_records' end, case when b > 0 then 'unblocked' end], lambda x: x is not null), ',') as blocking from o")
 def ev_16(t):
-    o = t.decision.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision_status") == "blocked").alias("b"))
-    return o.select("case_id", (F.col("n") >= 2).alias("enough_records"), (F.col("b") == 0).alias("unblocked"), F.array_join(F.array_compact(F.array(F.when(F.col("n") < 2, "enough_records"), F.when(F.col("b") > 0, "unblocked"))), ",").alias("blocking"))
+    return E.production_gate(t.decision)
 
 
 @query("agg_09_result_sanity", "with s as (select study_id, min(n) as arm from (select study_id, condition, count(*) as n from {sample} group by all) group by study_id), d as (select study_id, method, round(count(case when padj < 0.9 then 1 end) / count(padj), 6) as share from {deg} group by all) select study_id, method, share, arm, array_to_string(list_filter([case when share > 0.5 then 'most features significant' end, case when arm < 3 then 'small arm' end], lambda x: x is not null), ';') as flags from d join s using (study_id)")
 def agg_09(t):
-    s = t.sample.groupBy("study_id", "condition").agg(F.count(F.lit(1)).alias("n")).groupBy("study_id").agg(F.min("n").alias("arm"))
-    d = t.deg.groupBy("study_id", "method").agg(F.round(F.count_if(F.col("padj") < 0.9) / F.count("padj"), 6).alias("share"))
-    return d.join(F.broadcast(s), "study_id").withColumn("flags", F.array_join(F.array_compact(F.array(F.when(F.col("share") > 0.5, "most features significant"), F.when(F.col("arm") < 3, "small arm"))), ";"))
+    return E.result_sanity(t.deg, t.sample, 0.9)
 
 
 @query("agg_18_gold_sample_dedupe", "select o_custkey as sample_id, array_to_string(list_sort(list(distinct o_orderpriority)), ';') as priorities, count(*) as n, count(distinct o_orderstatus) > 1 as conflict from orders group by o_custkey")
 def agg_18(t):
-    return t.orders.groupBy(F.col("o_custkey").alias("sample_id")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ";").alias("priorities"), F.count(F.lit(1)).alias("n"), (F.countDistinct("o_orderstatus") > 1).alias("conflict"))
+    return E.gold_dedupe(t.orders.withColumnRenamed("o_custkey", "sample_id"), "sample_id", "o_orderpriority", "o_orderstatus").withColumnRenamed("labels", "priorities")
 
 
 @query("agg_19_series_summary", "select study_id, count(case when condition = 'control' then 1 end) as n_rest, count(case when condition = 'treated' then 1 end) as n_exercise, count(distinct batch) as n_strata, case when count(distinct subject) < count(*) then 'paired' else 'independent' end as design from {sample} group by study_id")
 def agg_19(t):
-    return t.sample.groupBy("study_id").agg(F.count_if(F.col("condition") == "control").alias("n_rest"), F.count_if(F.col("condition") == "treated").alias("n_exercise"), F.countDistinct("batch").alias("n_strata"), F.when(F.countDistinct("subject") < F.count(F.lit(1)), "paired").otherwise("independent").alias("design"))
+    return E.series_summary(t.sample, "control", "treated", "batch")
 
 
 @query("agg_26_dataset_labels", "with n as (select study_id, count(distinct attr) as k, count(distinct sample_id) as s from {sample_attr} group by study_id) select study_id, case when k >= 6 then 'complex_metadata;' else '' end || case when s > 200 then 'large' else 'routine' end as labels from n")
 def agg_26(t):
-    n = t.sample_attr.groupBy("study_id").agg(F.countDistinct("attr").alias("k"), F.countDistinct("sample_id").alias("s"))
-    return n.select("study_id", F.array_join(F.array_compact(F.array(F.when(F.col("k") >= 6, "complex_metadata"), F.when(F.col("s") > 200, "large").otherwise("routine"))), ";").alias("labels"))
+    return E.dataset_labels(t.sample_attr)
 
 
 @query("win_10_triage_order", "select source as batch, doc_id, row_number() over (partition by source order by contains(text, 'token') desc, n_chars > 2000 desc, doc_id) as place from documents")

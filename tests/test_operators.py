@@ -269,3 +269,15 @@ def test_scans_of_quoted_and_mixed_tables(spark, tmp_path):
     assert T.column_roles(["x", "Entry", "Majority protein IDs", "PEP", "Peptide 1"]) == (2, [3]) and T.column_roles(["a", "b"])[0] == 0
     (tmp_path / "p.mztab").write_text("PRH\taccession\tprotein_abundance_assay[1]\nPRT\tP1\t5\n")
     assert [tuple(r) for r in T.scan_quant(spark, str(tmp_path / "p.mztab")).collect()] == [("P1", "1", 5.0)]
+
+
+def test_derived_columns_and_their_errors(spark):
+    from assayloom.operators import evaluation as E
+
+    s = spark.createDataFrame([("st", "a", "x_1", "lo"), ("st", "b", "x_2", "hi"), ("st", "c", "y", None)], "study_id string, sample_id string, title string, `dose level` string")
+    out, errors = E.derive_columns(s, {"dose": "dose level"}, {"n": ("title", r"x_(\d)")}, {"both": ["dose", "n"]}, {"dose": {"lo": "low", "hi": "high"}, "both": {"low_1": "first"}})
+    assert {r["sample_id"]: (r["dose"], r["n"], r["both"]) for r in out.collect()} == {"a": ("low", "1", "first"), "b": ("high", "2", None), "c": (None, None, None)}
+    assert sorted((r["sample_id"], r["column"], r["value"], r["reason"]) for r in errors.collect()) == [("b", "both", "high_2", "not mapped"), ("c", "both", "", "not mapped"), ("c", "dose", None, "not mapped"), ("c", "n", "y", "no match")]
+    for bad in ({"aliases": {"a b": "title"}}, {"aliases": {"x": "none"}}, {"combine": {"x": ["none"]}}):
+        with pytest.raises(ValueError):
+            E.derive_columns(s, **bad)
