@@ -1,7 +1,7 @@
 """Count models: negative-binomial Wald test, its shrunken effects, quasi-likelihood F test and precision-weighted logs.
 
-Features are packed in sample order and fitted in Arrow batches, all features of a batch at once; designs and size factors are a row a
-sample and are broadcast. Trends and prior widths are aggregates over features between two passes.
+Features are packed, joined with a row of samples a study and fitted in Arrow batches, all features of a batch at once. Trends and
+prior widths are aggregates over features between two passes; nothing is collected.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.operators.stats import design, moderated, size_factors, trigamma
+from assayloom.functions.tables import once
+from assayloom.operators.stats import beta_tail, design, moderated, size_factors, term_columns, trigamma
 
 GRID = np.exp(np.linspace(math.log(1e-8), math.log(20.0), 60))
 RIDGE, FLOOR = 1e-6, 0.25
@@ -31,8 +32,11 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + inv * (1 / 12 - inv**2 * (1 / 360 - inv**2 / 1260)) - shift
 
 
-def fit_means(y: np.ndarray, x: np.ndarray, log_size: np.ndarray, alpha: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, means and inverse information of log-linear models of all rows of y, by weighted least squares."""
+def fit_means(y: np.ndarray, x: np.ndarray, log_size: np.ndarray, alpha: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, means and inverse information of log-linear models of all rows of y, by weighted least squares.
+
+    A step moves no log mean by more than 2, so that a far count doesn't throw the fit beyond what the rounds can mend.
+    """
     beta = np.log((y + 0.5) / np.exp(log_size)) @ np.linalg.pinv(x).T
     eye = RIDGE * np.eye(x.shape[1])
     for _ in range(rounds):
@@ -40,7 +44,8 @@ def fit_means(y: np.ndarray, x: np.ndarray, log_size: np.ndarray, alpha: np.ndar
         mu = np.exp(eta)
         w = mu / (1 + alpha[:, None] * mu)
         info = np.einsum("gn,np,nq->gpq", w, x, x) + eye
-        beta = np.linalg.solve(info, np.einsum("gn,np->gp", w * (eta - log_size + (y - mu) / mu), x)[:, :, None])[:, :, 0]
+        step = np.linalg.solve(info, np.einsum("gn,np->gp", w * (eta - log_size + (y - mu) / mu), x)[:, :, None])[:, :, 0] - beta
+        beta = beta + step * np.minimum(1, 2 / np.maximum(np.abs(step @ x.T).max(axis=1), 1e-12))[:, None]
     mu = np.exp(np.clip(beta @ x.T + log_size, -30, 30))
     info = np.einsum("gn,np,nq->gpq", mu / (1 + alpha[:, None] * mu), x, x) + eye
     return beta, mu, np.linalg.inv(info)
@@ -67,99 +72,151 @@ def best(curve: np.ndarray) -> np.ndarray:
     return np.exp(np.log(GRID[at]) + move * step)
 
 
-def designs(m: DataFrame, s: DataFrame, terms: list[str]) -> dict:
-    """Sample order, design and log size factor of each study: a row a sample reaches the driver."""
-    both = s.select("study_id", "sample_id", *terms).join(size_factors(m), ["study_id", "sample_id"]).toPandas()
-    out = {}
-    for study, g in both.groupby("study_id"):
-        g = g.sort_values("sample_id").reset_index(drop=True)
-        names, x = design(g, terms)
-        out[study] = (g["sample_id"].tolist(), names, x, np.log(g["size_factor"].to_numpy()))
-    return out
+def designs(s: DataFrame, terms: list[str], sizes: DataFrame, size: str) -> DataFrame:
+    """A row a study: its samples in order, their sizes and the values of their terms, to be joined with packed features."""
+    used = term_columns(terms)
+    known = s.select("study_id", "sample_id", *used).dropna().join(sizes.select("study_id", "sample_id", F.col(size).cast("double").alias("__size")), ["study_id", "sample_id"])
+    lists = known.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "__size", *used))).alias("__s"))
+    return lists.select("study_id", F.col("__s.sample_id").alias("__order"), F.col("__s.__size").alias("__size"), *(F.col("__s").getField(c).alias(f"__t{i}") for i, c in enumerate(used)))
 
 
-def packed(m: DataFrame) -> DataFrame:
-    return m.groupBy("study_id", "feature_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col("value").cast("double").alias("v")))).alias("y")).where(F.exists(F.map_values("y"), lambda v: v > 0))
+def packed(m: DataFrame, lists: DataFrame) -> DataFrame:
+    """A row a feature with a positive count, with the samples of its study."""
+    y = m.groupBy("study_id", "feature_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col("value").cast("double").alias("v")))).alias("y"))
+    return y.where(F.exists(F.map_values("y"), lambda v: v > 0)).join(lists, "study_id")
 
 
-def by_study(batches, shared):
-    """(study, feature ids, rows, y in sample order, design) of each batch; features that lack a sample count as zero there."""
+def by_study(batches, terms: list[str]):
+    """(study, rows, y in sample order, names, design, sizes) of each batch; features that lack a sample count as zero there."""
     for t in batches:
         for study, rows in t.groupby("study_id"):
-            d = shared.value.get(study)
-            if d is not None and d[2].shape[0] > np.linalg.matrix_rank(d[2]):
-                yield study, rows, np.array([[dict(v).get(k, 0.0) for k in d[0]] for v in rows["y"]]), d
+            samples = pd.DataFrame({c: list(rows[f"__t{i}"].iloc[0]) for i, c in enumerate(term_columns(terms))})
+            names, x = design(samples, terms)
+            if len(x) > np.linalg.matrix_rank(x):
+                order = list(rows["__order"].iloc[0])
+                yield study, rows, np.array([[dict(v).get(k, 0.0) for k in order] for v in rows["y"]], dtype=float), names, x, np.asarray(rows["__size"].iloc[0], dtype=float)
 
 
-def genewise(m: DataFrame, shared) -> DataFrame:
+def genewise(features: DataFrame, terms: list[str]) -> DataFrame:
     """Base mean, gene-wise dispersion and residual degrees of freedom."""
 
     def run(batches):
-        for study, rows, y, (_, _, x, size) in by_study(batches, shared):
+        for study, rows, y, _, x, size in by_study(batches, terms):
             start = np.full(len(y), 0.1)
             for _ in range(2):
-                _, mu, _ = fit_means(y, x, size, start)
+                _, mu, _ = fit_means(y, x, np.log(size), start)
                 start = best(profile(y, mu, x))
-            yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": (y / np.exp(size)).mean(axis=1), "dispersion": start, "df": float(x.shape[0] - x.shape[1])})
+            yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": (y / size).mean(axis=1), "dispersion": start, "df": float(x.shape[0] - x.shape[1])})
 
-    return packed(m).mapInPandas(run, "study_id string, feature_id string, base_mean double, dispersion double, df double")
+    return features.mapInPandas(run, "study_id string, feature_id string, base_mean double, dispersion double, df double")
 
 
-def trends(g: DataFrame, bins: int = 20) -> dict[str, tuple[float, float, float]]:
-    """(a0, a1, prior variance) of each study: dispersion a0 + a1 / mean through medians of bins of means, and the spread around it."""
+def trends(g: DataFrame, bins: int = 20) -> DataFrame:
+    """(study_id, a0, a1, spread): dispersion a0 + a1 / mean through medians of bins of means, and the variance of logs around it.
+
+    ``g`` is read three times and so written first. A study's task sees a row a bin.
+    """
     w = Window.partitionBy("study_id").orderBy("base_mean", "feature_id")
-    use = g.where("dispersion > 1e-7 and base_mean > 0").withColumn("bin", F.ntile(bins).over(w))
-    out = {}
-    for study, t in use.groupBy("study_id", "bin").agg(F.avg("base_mean").alias("m"), F.percentile("dispersion", F.lit(0.5)).alias("a")).toPandas().groupby("study_id"):
+    use = once(g.where("dispersion > 1e-7 and base_mean > 0")).withColumn("bin", F.ntile(bins).over(w))
+
+    def line(t: pd.DataFrame) -> pd.DataFrame:
         x = np.column_stack([np.ones(len(t)), 1 / t["m"]])
-        c = np.linalg.lstsq(x, t["a"], rcond=None)[0]
+        c = np.linalg.lstsq(x, t["a"].to_numpy(), rcond=None)[0]
         if c[0] <= 0 or c[1] < 0:
             c = np.array([max(float(t["a"].median()), 1e-8), 0.0])
-        out[study] = (float(c[0]), float(c[1]))
-    spark = g.sparkSession
-    table = F.broadcast(spark.createDataFrame([(k, *v) for k, v in out.items()] or [("", 1.0, 0.0)], "study_id string, a0 double, a1 double"))
-    r = use.join(table, "study_id").withColumn("r", F.log("dispersion") - F.log(F.col("a0") + F.col("a1") / F.col("base_mean")))
+        return pd.DataFrame({"study_id": [t["study_id"].iloc[0]], "a0": [float(c[0])], "a1": [float(c[1])]})
+
+    points = use.groupBy("study_id", "bin").agg(F.avg("base_mean").alias("m"), F.percentile("dispersion", F.lit(0.5)).alias("a"))
+    lines = points.groupBy("study_id").applyInPandas(line, "study_id string, a0 double, a1 double")
+    r = use.join(lines, "study_id").withColumn("r", F.log("dispersion") - F.log(F.col("a0") + F.col("a1") / F.col("base_mean")))
     mid = r.groupBy("study_id").agg(F.percentile("r", F.lit(0.5)).alias("mid"))
-    mad = r.join(F.broadcast(mid), "study_id").groupBy("study_id").agg((1.4826 * F.percentile(F.abs(F.col("r") - F.col("mid")), F.lit(0.5))).alias("sd"), F.first("df").alias("df"))
-    for x in mad.collect():
-        out[x["study_id"]] = (*out[x["study_id"]], max(FLOOR, x["sd"] ** 2 - float(trigamma(np.array(x["df"] / 2)))))
-    return out
+    mad = r.join(mid, "study_id").groupBy("study_id", "a0", "a1").agg((1.4826 * F.percentile(F.abs(F.col("r") - F.col("mid")), F.lit(0.5))).alias("sd"), F.first("df").alias("df"))
+    noise = F.pandas_udf(lambda df: pd.Series(trigamma(df.to_numpy() / 2)), "double", F.PandasUDFType.SCALAR)("df")
+    return mad.select("study_id", "a0", "a1", F.greatest(F.lit(FLOOR), F.col("sd") * F.col("sd") - noise).alias("spread"))
+
+
+#: Fixed values of the published outlier rule: share trimmed at each end and scale of a trimmed variance, for up to 3, 23 and more samples.
+TRIM, SCALE = (1 / 3, 1 / 4, 1 / 8), (2.04, 1.86, 1.51)
+REPLACED, FILTERED = 7, 3
+
+
+def trimmed(v: np.ndarray, share: float) -> np.ndarray:
+    """Row means without the share of lowest and highest values."""
+    cut = int(v.shape[1] * share)
+    return np.sort(v, axis=1)[:, cut : v.shape[1] - cut].mean(axis=1)
+
+
+def cooks(y: np.ndarray, mu: np.ndarray, x: np.ndarray, alpha: np.ndarray, size: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Cook's distance of each count; the variance has a dispersion by trimmed moments within cells, so that an outlier doesn't hide itself."""
+    q, n = y / size, np.bincount(cells)
+    v = np.zeros(len(y))
+    for cell in np.flatnonzero(n >= FILTERED):
+        part, k = q[:, cells == cell], int(np.searchsorted([3, 23], n[cell]))
+        v = np.maximum(v, SCALE[k] * trimmed((part - trimmed(part, TRIM[k])[:, None]) ** 2, TRIM[k]))
+    if n.max() < FILTERED:
+        v = SCALE[2] * trimmed((q - trimmed(q, TRIM[2])[:, None]) ** 2, TRIM[2])
+    mean = q.mean(axis=1)
+    robust = np.maximum(0.04, (v - mean) / np.maximum(mean, 1e-8) ** 2)[:, None]
+    w = mu / (1 + alpha[:, None] * mu)
+    inverse = np.linalg.inv(np.einsum("gn,np,nq->gpq", w, x, x) + RIDGE * np.eye(x.shape[1]))
+    h = np.clip(w * np.einsum("np,gpq,nq->gn", x, inverse, x), 0, 1 - 1e-9)
+    return (y - mu) ** 2 / (mu + robust * mu * mu) / x.shape[1] * h / (1 - h) ** 2
+
+
+def f_quantile(p: float, a: int, b: int) -> float:
+    """The p-quantile of Fisher's F by halving."""
+    low, high = 0.0, 1.0
+    for _ in range(80):
+        x = (low + high) / 2
+        low, high = (x, high) if beta_tail(np.array(a / 2), np.array(b / 2), np.array(x)) < p else (low, x)
+    return b * x / (a * (1 - x))
 
 
 def nb_wald(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, method: str = "nb_wald") -> DataFrame:
     """Dispersions shrunken to the trend, Wald statistic and normal p-value of a coefficient (``term=level``), its shrunken effect beside it.
 
     The shrunken effect has a heavy-tailed prior (Cauchy) whose scale is the spread of the estimates in its study; statistic and p-value
-    stay those of the plain estimate.
+    stay those of the plain estimate. Counts beyond the 0.99 quantile of Cook's distance are replaced by the feature's trimmed mean and
+    the feature is fitted again where a cell of the design has seven samples or more; in cells of three to six its p-value is NULL.
     """
-    spark = m.sparkSession
-    shared = spark.sparkContext.broadcast(designs(m, s, terms))
-    trend = spark.sparkContext.broadcast(trends(genewise(m, shared)))
+    features = packed(m, designs(s, terms, size_factors(m), "size_factor"))
+
+    def fit(y, x, size, a0, a1, spread):
+        mean = (y / size).mean(axis=1)
+        line = a0 + a1 / np.maximum(mean, 1e-8)
+        _, mu, _ = fit_means(y, x, np.log(size), line)
+        alpha = best(profile(y, mu, x) - (np.log(GRID)[None, :] - np.log(line)[:, None]) ** 2 / (2 * spread))
+        return mean, alpha, *fit_means(y, x, np.log(size), alpha)
 
     def run(batches):
-        for study, rows, y, (_, names, x, size) in by_study(batches, shared):
-            if coefficient not in names or study not in trend.value:
+        for study, rows, y, names, x, size in by_study(batches, terms):
+            if coefficient not in names:
                 continue
-            k = names.index(coefficient)
-            a0, a1, var = trend.value[study]
-            mean = (y / np.exp(size)).mean(axis=1)
-            line = a0 + a1 / np.maximum(mean, 1e-8)
-            _, mu, _ = fit_means(y, x, size, line)
-            alpha = best(profile(y, mu, x) - (np.log(GRID)[None, :] - np.log(line)[:, None]) ** 2 / (2 * var))
-            beta, _, inverse = fit_means(y, x, size, alpha)
+            k, trend = names.index(coefficient), rows[["a0", "a1", "spread"]].iloc[0]
+            mean, alpha, beta, mu, inverse = fit(y, x, size, *trend)
+            cells = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+            n = np.bincount(cells)[cells]
+            far = cooks(y, mu, x, alpha, size, cells) > f_quantile(0.99, x.shape[1], len(x) - x.shape[1])
+            again = np.flatnonzero((far & (n >= REPLACED)).any(axis=1))
+            if len(again):
+                usual = np.floor(trimmed(y[again] / size, 0.2)[:, None] * size)
+                mended = np.where(far[again] & (n >= REPLACED), usual, y[again])
+                _, alpha[again], beta[again], _, inverse[again] = fit(mended, x, size, *trend)
             se = np.sqrt(inverse[:, k, k])
             z = beta[:, k] / se
             p = np.array([math.erfc(abs(v) / math.sqrt(2)) for v in z])
+            p[(far & (n >= FILTERED) & (n < REPLACED)).any(axis=1)] = np.nan
             yield pd.DataFrame({"study_id": study, "contrast_id": coefficient, "method": method, "feature_id": rows["feature_id"].to_numpy(), "base_mean": mean, "log2fc": beta[:, k] / math.log(2), "lfc_se": se / math.log(2), "stat": z, "pvalue": p, "dispersion": alpha})
 
-    out = packed(m).mapInPandas(run, "study_id string, contrast_id string, method string, feature_id string, base_mean double, log2fc double, lfc_se double, stat double, pvalue double, dispersion double")
-    return shrink(out)
+    form = "study_id string, contrast_id string, method string, feature_id string, base_mean double, log2fc double, lfc_se double, stat double, pvalue double, dispersion double"
+    out = features.join(trends(genewise(features, terms)), "study_id").mapInPandas(run, form)
+    return shrink(out.withColumn("pvalue", F.when(~F.isnan("pvalue"), F.col("pvalue"))))
 
 
 def shrink(d: DataFrame) -> DataFrame:
     """Adds log2fc_shrunk: the mode of a normal likelihood under a Cauchy prior, by fixed-point steps that stay in the row."""
     scale = d.groupBy("study_id", "contrast_id").agg(F.greatest(F.lit(1e-3), F.sqrt(F.greatest(F.lit(0.0), F.percentile(F.pow(F.col("log2fc"), 2) - F.pow(F.col("lfc_se"), 2), F.lit(0.75))))).alias("scale"))
-    j = d.join(F.broadcast(scale), ["study_id", "contrast_id"])
+    j = d.join(scale, ["study_id", "contrast_id"])
     b = F.expr("aggregate(sequence(1, 30), log2fc, (b, i) -> log2fc / (1 + 2 * lfc_se * lfc_se / (scale * scale + b * b)))")
     return j.withColumn("log2fc_shrunk", b).drop("scale")
 
@@ -179,9 +236,7 @@ def independent_filter(d: DataFrame, alpha: float = 0.05, cuts: int = 20) -> Dat
 
 def ql_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str) -> DataFrame:
     """Quasi-likelihood F test: deviance over its degrees of freedom squeezed like a variance; stat is the signed root of F."""
-    spark = m.sparkSession
-    shared = spark.sparkContext.broadcast(designs(m, s, terms))
-    trend = spark.sparkContext.broadcast(trends(genewise(m, shared)))
+    features = packed(m, designs(s, terms, size_factors(m), "size_factor"))
 
     def deviance(y, mu, a):
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -189,59 +244,51 @@ def ql_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str) -> D
         return 2 * (part - (y + 1 / a) * np.log((1 + a * y) / (1 + a * mu))).sum(axis=1)
 
     def run(batches):
-        for study, rows, y, (_, names, x, size) in by_study(batches, shared):
-            if coefficient not in names or study not in trend.value:
+        for study, rows, y, names, x, size in by_study(batches, terms):
+            if coefficient not in names:
                 continue
-            k = names.index(coefficient)
-            a0, a1, _ = trend.value[study]
-            mean = (y / np.exp(size)).mean(axis=1)
+            k, (a0, a1) = names.index(coefficient), rows[["a0", "a1"]].iloc[0]
+            mean = (y / size).mean(axis=1)
             a = a0 + a1 / np.maximum(mean, 1e-8)
-            beta, mu, _ = fit_means(y, x, size, a)
-            _, mu0, _ = fit_means(y, np.delete(x, k, axis=1), size, a)
+            beta, mu, _ = fit_means(y, x, np.log(size), a)
+            _, mu0, _ = fit_means(y, np.delete(x, k, axis=1), np.log(size), a)
             df = float(x.shape[0] - x.shape[1])
             full, less = deviance(y, mu, a[:, None]), deviance(y, mu0, a[:, None])
             yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": mean, "fc": beta[:, k] / math.log(2), "log2fc": np.sign(beta[:, k]) * np.sqrt(np.maximum(less - full, 0)), "s2": np.maximum(full / df, 1e-8), "df": df, "u": 1.0})
 
-    fits = packed(m).mapInPandas(run, "study_id string, feature_id string, base_mean double, fc double, log2fc double, s2 double, df double, u double")
+    fits = features.join(trends(genewise(features, terms)), "study_id").mapInPandas(run, "study_id string, feature_id string, base_mean double, fc double, log2fc double, s2 double, df double, u double")
     out = moderated(fits.withColumn("t", F.lit(None).cast("double")))
     return out.select("study_id", F.lit(coefficient).alias("contrast_id"), F.lit("ql").alias("method"), "feature_id", "base_mean", F.col("fc").alias("log2fc"), "stat", "pvalue")
 
 
 def voom_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, bins: int = 40) -> DataFrame:
     """log2 CPM with offsets, a trend of the root of residual deviations on mean log counts, its -4th power as weights, a weighted moderated fit."""
-    spark = m.sparkSession
-    lib = m.groupBy("study_id", "sample_id").agg(F.sum("value").cast("double").alias("lib"))
-    both = s.select("study_id", "sample_id", *terms).join(lib, ["study_id", "sample_id"]).toPandas()
-    table = {}
-    for study, g in both.groupby("study_id"):
-        g = g.sort_values("sample_id").reset_index(drop=True)
-        names, x = design(g, terms)
-        table[study] = (g["sample_id"].tolist(), names, x, g["lib"].to_numpy())
-    shared = spark.sparkContext.broadcast(table)
+    lib = m.groupBy("study_id", "sample_id").agg(F.sum("value").alias("lib"))
+    features = packed(m, designs(s, terms, lib, "lib"))
 
     def logs(y, lib):
         return np.log2((y + 0.5) / (lib + 1) * 1e6)
 
     def first(batches):
-        for study, rows, y, (_, _, x, lib) in by_study(batches, shared):
+        for study, rows, y, _, x, lib in by_study(batches, terms):
             v = logs(y, lib)
             rest = v - v @ np.linalg.pinv(x).T @ x.T
             sd = np.sqrt((rest**2).sum(axis=1) / (x.shape[0] - x.shape[1]))
             yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "mean": v.mean(axis=1) + np.mean(np.log2(lib + 1)) - math.log2(1e6), "root": np.sqrt(sd)})
 
-    spread = packed(m).mapInPandas(first, "study_id string, feature_id string, mean double, root double")
+    spread = features.mapInPandas(first, "study_id string, feature_id string, mean double, root double")
     w = Window.partitionBy("study_id").orderBy("mean", "feature_id")
-    points = spread.withColumn("bin", F.ntile(bins).over(w)).groupBy("study_id", "bin").agg(F.avg("mean").alias("mean"), F.avg("root").alias("root")).toPandas()
-    line = spark.sparkContext.broadcast({k: (g.sort_values("mean")["mean"].to_numpy(), g.sort_values("mean")["root"].to_numpy()) for k, g in points.groupby("study_id")})
+    points = spread.withColumn("bin", F.ntile(bins).over(w)).groupBy("study_id", "bin").agg(F.avg("mean").alias("mean"), F.avg("root").alias("root"))
+    line = points.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("mean", "root"))).alias("p")).select("study_id", F.col("p.mean").alias("mean"), F.col("p.root").alias("root"))
 
     def second(batches):
-        for study, rows, y, (_, names, x, lib) in by_study(batches, shared):
-            if coefficient not in names or study not in line.value:
+        for study, rows, y, names, x, lib in by_study(batches, terms):
+            if coefficient not in names:
                 continue
             k = names.index(coefficient)
             v = logs(y, lib)
             fitted = v @ np.linalg.pinv(x).T @ x.T + np.log2(lib + 1) - math.log2(1e6)
-            weight = np.interp(fitted, *line.value[study]) ** -4
+            weight = np.interp(fitted, rows["mean"].iloc[0], rows["root"].iloc[0]) ** -4
             info = np.einsum("gn,np,nq->gpq", weight, x, x)
             inverse = np.linalg.pinv(info)
             beta = np.einsum("gpq,gq->gp", inverse, np.einsum("gn,np->gp", weight * v, x))
@@ -249,6 +296,6 @@ def voom_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, bi
             s2 = (weight * (v - beta @ x.T) ** 2).sum(axis=1) / df
             yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": v.mean(axis=1), "log2fc": beta[:, k], "s2": s2, "df": df, "u": inverse[:, k, k]})
 
-    fits = packed(m).mapInPandas(second, "study_id string, feature_id string, base_mean double, log2fc double, s2 double, df double, u double")
+    fits = features.join(line, "study_id").mapInPandas(second, "study_id string, feature_id string, base_mean double, log2fc double, s2 double, df double, u double")
     out = moderated(fits.withColumn("t", F.lit(None).cast("double")))
     return out.select("study_id", F.lit(coefficient).alias("contrast_id"), F.lit("voom").alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue")

@@ -170,6 +170,44 @@ def test_count_models_recover_planted_effects(spark, test):
         assert (out["log2fc_shrunk"].abs() <= out["log2fc"].abs() + 1e-12).all()
 
 
+def test_an_outlying_count_is_replaced_or_leaves_no_p_value(spark):
+    from assayloom.operators import counts as N
+
+    rng = np.random.default_rng(11)
+    for per_arm in (8, 4):
+        arms = ["a"] * per_arm + ["b"] * per_arm
+        y = rng.negative_binomial(10, 10 / (10 + 100.0), size=(120, 2 * per_arm))
+        y[0, per_arm] = 60_000
+        rows = [("st", f"f{i}", f"s{j:02}", int(v)) for i, r in enumerate(y) for j, v in enumerate(r)]
+        m = spark.createDataFrame(rows, "study_id string, feature_id string, sample_id string, value long")
+        s = spark.createDataFrame([("st", f"s{j:02}", a) for j, a in enumerate(arms)], "study_id string, sample_id string, condition string")
+        out = {r["feature_id"]: r for r in N.nb_wald(m, s, ["condition"], "condition=b").collect()}
+        assert len(out) == 120 and sum(r["pvalue"] is None for r in out.values()) <= 3
+        if per_arm == 8:
+            assert abs(out["f0"]["log2fc"]) < 1 and out["f0"]["pvalue"] > 0.01
+        else:
+            assert out["f0"]["pvalue"] is None and out["f0"]["log2fc"] > 3
+
+
+def test_f_quantiles():
+    from assayloom.operators.counts import f_quantile
+
+    assert abs(f_quantile(0.99, 2, 10) - 7.5594) < 1e-3 and abs(f_quantile(0.95, 1, 1) - 161.4476) < 1e-2
+
+
+def test_a_sample_table_of_many_studies_stays_on_spark(spark):
+    """Two studies with other samples and sizes give each what it gives alone."""
+    from assayloom.operators import counts as N
+
+    m, s = counts(spark)
+    low = m.where("sample_id not in ('s0', 's11')")
+    two = m.unionByName(low.selectExpr("'other' as study_id", "feature_id", "sample_id", "value"))
+    s2 = s.unionByName(s.selectExpr("'other' as study_id", "sample_id", "condition"))
+    alone = {r["feature_id"]: r["stat"] for r in N.ql_test(low, s, ["condition"], "condition=control").collect()}
+    both = {r["feature_id"]: r["stat"] for r in N.ql_test(two, s2, ["condition"], "condition=control").where("study_id = 'other'").collect()}
+    assert alone.keys() == both.keys() and all(abs(alone[k] - both[k]) < 1e-9 for k in alone)
+
+
 def test_lgamma():
     from assayloom.operators.counts import lgamma
 
