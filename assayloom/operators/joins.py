@@ -113,7 +113,8 @@ def align_cascade(columns: DataFrame, attrs: DataFrame, share: float = 0.5, toke
     """Matrix columns to metadata rows: exactly, else by a row's text that holds the name as a word, else by shared words, one to one.
 
     Each level pairs mutual bests (ties by name; the order of rows plays no part); the first level that pairs at least ``share`` of the
-    smaller side of a study counts.
+    smaller side of a study counts. Two sides that share ``tokens`` words share one outside each side's ``tokens`` - 1 most frequent
+    words of the study, so only those words are joined and whole word lists are compared after it: frequent words pair nobody.
     """
     from pyspark.sql import Window
 
@@ -121,9 +122,19 @@ def align_cascade(columns: DataFrame, attrs: DataFrame, share: float = 0.5, toke
     rows = attrs.groupBy("study_id", F.col("sample_id").alias("row")).agg(F.lower(F.concat_ws(" ", F.sort_array(F.collect_list("value")))).alias("text"))
     split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != ""))
     exact = m.join(rows.select("study_id", "row"), (m["study_id"] == rows["study_id"]) & (F.col("col") == F.col("row"))).select(m["study_id"], "col", "row", F.lit(1).alias("level"), F.lit(1).alias("score"))
-    words = rows.select("study_id", "row", F.explode(split("text")).alias("word"))
+    sides = m.select("study_id", "col", split("col").alias("words")), rows.select("study_id", "row", split("text").alias("words"))
+    words = sides[1].select("study_id", "row", F.explode("words").alias("word"))
     named = m.withColumn("word", F.lower("col")).join(words, ["study_id", "word"]).select("study_id", "col", "row", F.lit(2).alias("level"), F.lit(1).alias("score"))
-    shared = m.select("study_id", "col", F.explode(split("col")).alias("word")).join(words, ["study_id", "word"]).groupBy("study_id", "col", "row").agg(F.count(F.lit(1)).alias("score")).where(F.col("score") >= tokens)
+    often = words.groupBy("study_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+    def rare(side: DataFrame, key: str) -> DataFrame:
+        w = Window.partitionBy("study_id", key).orderBy(F.desc("n"), "word")
+        each = side.where(F.size("words") >= tokens).select("study_id", key, F.explode("words").alias("word")).join(often, ["study_id", "word"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        return each.withColumn("at", F.row_number().over(w)).where(F.col("at") >= tokens).select("study_id", "word", key)
+
+    meet = rare(sides[0], "col").join(rare(sides[1], "row"), ["study_id", "word"]).select("study_id", "col", "row").distinct()
+    both = meet.join(sides[0].withColumnRenamed("words", "a"), ["study_id", "col"]).join(sides[1].withColumnRenamed("words", "b"), ["study_id", "row"])
+    shared = both.select("study_id", "col", "row", F.size(F.array_intersect("a", "b")).alias("score")).where(F.col("score") >= tokens)
     every = exact.union(named).union(shared.select("study_id", "col", "row", F.lit(3).alias("level"), F.col("score").cast("int")))
     a, b = (Window.partitionBy("study_id", "level", x).orderBy(F.desc("score"), y) for x, y in (("col", "row"), ("row", "col")))
     pairs = every.withColumn("ra", F.row_number().over(a)).withColumn("rb", F.row_number().over(b)).where("ra = 1 and rb = 1")
@@ -139,3 +150,37 @@ def sex_triage(calls: DataFrame, said: DataFrame) -> DataFrame:
     differs = F.col("recorded").isNotNull() & (F.col("inferred") != "ambiguous") & (F.col("recorded") != F.col("inferred"))
     status = F.when(F.col("recorded").isNull(), "not_recorded").when(differs & (F.col("confidence") == "high"), "mismatch").when(differs, "check").otherwise("agrees")
     return j.select("study_id", "sample_id", "inferred", "recorded", status.alias("status"), F.coalesce("recorded", F.when(F.col("inferred") != "ambiguous", F.col("inferred"))).alias("resolved"))
+
+
+#: Ensembl gene ids, gene symbols, and parts of the names of columns that hold symbols.
+ENSEMBL, SYMBOL, SYMBOL_COLUMNS = r"(?i)^ENS[A-Z]*G\d{6,}", r"^[A-Za-z][A-Za-z0-9._-]*$", r"(?i)gene_name|symbol|genename"
+
+
+def id_bridge(ids: DataFrame, notes: DataFrame, genes: DataFrame) -> DataFrame:
+    """The gene symbol, in capitals, of each feature id (study_id, feature_id); ids without one give no row.
+
+    A study without Ensembl ids and plain numbers has symbols already. Where more than half are Ensembl ids, ``genes`` (ensembl, symbol;
+    ids without version) names them. Else the annotations of the count table, ``notes`` (study_id, feature_id, column, place, value),
+    name them: by the first column of which more than 0.7 look like symbols, columns named so before others, else through the first
+    column of which more than half are Ensembl ids. All rows of a study decide, not the first ones. An id with several annotations takes
+    the smallest. NULL ids and values don't count.
+    """
+    ensembl = lambda c: c.rlike(ENSEMBL)
+    stem = lambda c: F.split_part(c, F.lit("."), F.lit(1))
+    ids = ids.where(F.col("feature_id").isNotNull()).select("study_id", "feature_id").distinct()
+    e, number = ensembl(F.col("feature_id")), F.col("feature_id").rlike(r"^\d+$")
+    kind = F.when(F.count_if(e | number) == 0, "symbol").when(F.count_if(e) > 0.5 * F.count(F.lit(1)), "ensembl").otherwise("notes")
+    kinds = ids.groupBy("study_id").agg(kind.alias("kind"))
+    known = ids.join(kinds, "study_id")
+    named = genes.where(F.col("symbol").isNotNull()).groupBy("ensembl").agg(F.upper(F.min("symbol")).alias("symbol"))
+    v = F.col("value")
+    cells = notes.where(v.isNotNull()).join(kinds.where("kind = 'notes'").select("study_id"), "study_id")
+    rates = cells.groupBy("study_id", "column").agg(F.min("place").alias("place"), F.avg((v.rlike(SYMBOL) & ~ensembl(v)).cast("int")).alias("symbols"), F.avg(ensembl(v).cast("int")).alias("ensembls"))
+    order = F.struct(F.when(F.col("symbols") > 0.7, 0).otherwise(1).alias("a"), F.when((F.col("symbols") > 0.7) & F.col("column").rlike(SYMBOL_COLUMNS), 0).otherwise(1).alias("b"), "place", "column")
+    chosen = rates.where("symbols > 0.7 or ensembls > 0.5").groupBy("study_id").agg(F.min_by(F.struct("column", (F.col("symbols") > 0.7).alias("direct")), order).alias("c")).select("study_id", "c.*")
+    told = cells.join(chosen, ["study_id", "column"]).groupBy("study_id", "feature_id", "direct").agg(F.min("value").alias("value"))
+    told = known.where("kind = 'notes'").join(told, ["study_id", "feature_id"])
+    through = known.where("kind = 'ensembl'").select("study_id", "feature_id", stem(F.col("feature_id")).alias("ensembl")).union(told.where(~F.col("direct") & ensembl(v)).select("study_id", "feature_id", stem(v).alias("ensembl")))
+    out = known.where("kind = 'symbol'").select("study_id", "feature_id", F.upper("feature_id").alias("symbol"))
+    out = out.union(told.where("direct").select("study_id", "feature_id", F.upper("value").alias("symbol")))
+    return out.union(through.join(named, "ensembl").select("study_id", "feature_id", "symbol"))

@@ -99,6 +99,6 @@ def stratified_subsets(s: DataFrame, runs: int = 3, fraction: float = 0.8, least
     """Per study and arm max(least, floor(fraction * n)) samples, drawn by a hash for each run."""
     rows = s.select("*", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
     w = Window.partitionBy("study_id", "condition", "run")
-    at = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "run", "study_id", "sample_id"), "sample_id"))
+    at = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(seed), "run", "study_id", "sample_id")), "sample_id"))
     n = F.count(F.lit(1)).over(w)
     return rows.withColumn("at", at).withColumn("n", n).where(F.col("at") <= F.greatest(F.lit(least), F.floor(F.col("n") * fraction))).select("study_id", "condition", "run", "sample_id")

@@ -30,7 +30,7 @@ def head_and_random(rows: DataFrame, group: str, order: str, head: int, picks: i
     """The first ``head`` rows of each group and ``picks`` of the rest, drawn by a hash."""
     first = F.row_number().over(Window.partitionBy(group).orderBy(order))
     r = rows.withColumn("is_head", first <= head)
-    draw = F.row_number().over(Window.partitionBy(group, "is_head").orderBy(F.xxhash64(F.lit(seed), order), order))
+    draw = F.row_number().over(Window.partitionBy(group, "is_head").orderBy(F.md5(F.concat_ws("|", F.lit(seed), order)), order))
     return r.withColumn("draw", draw).where(F.col("is_head") | (F.col("draw") <= picks)).drop("draw")
 
 

@@ -29,6 +29,11 @@ CITED_WORDS = (
     r"available (from|in|at|on) (the )?(GEO|Gene Expression Omnibus)|published data|"
     r"(data ?sets?|data|profiles?) (from|of|by|published by|reported by) (the )?[A-Z][\w'-]+ et al"
 )
+#: Accessions of a list, a citation right after one, a reference mark right before one.
+LISTED = r"\b(?:GSE|PXD|E-[A-Z]{4}-|PRJNA|SRP)\w*"
+LIST_GAP = r"[\s,;/()\[\]]*(?i:(?:and|or|&)[\s,;()]*)?"
+CITE_AFTER = r"^\s*[(\[]\s*[A-Z][A-Za-z'’-]+(?:\s+et\s+al\.?|\s+(?:and|&)\s+[A-Z][A-Za-z'’-]+)?,?\s*\(?(?:19|20)\d{2}[a-z]?\s*\)?\s*[)\];]"
+REF_BEFORE = r"(\^\d+(?:[,–-]\^?\d+)*|\[\d+(?:[,–-]\d+)*\]|\(\d+(?:[,–-]\d+)*\))\s*[(\[]?\s*$"
 #: Section classes by title, first match wins.
 TITLES = (
     ("data_availability", r"(?i)data\b.{0,30}\b(availab|access|deposit|sharing)|availability of (data|materials)|accession (number|code)|code availab|data and code|data access|^data statement"),
@@ -65,13 +70,17 @@ def mention_class(blocks: DataFrame, many: int = 8) -> DataFrame:
     """own or cited for each accession of a paper: the words around its mentions first, then the sections they are in.
 
     The words are those of the sentence before the mention, at most 300 characters and not beyond the accession before it, and 80
-    characters from its start. A paper with more than ``many`` series keeps only those with own words.
+    characters from its start. What stands before a list of accessions counts for each of them. A citation right after the accession
+    makes it cited, a reference mark right before it too unless own words are there. A paper with more than ``many`` series keeps only
+    those with own words.
     """
     a = accessions(blocks).withColumn("i", F.instr("text", F.col("accession")))
-    before = F.expr("substring(text, greatest(1, i - 300), i - greatest(1, i - 300))")
-    cut = F.regexp_replace(F.substring_index(before, ". ", -1), r"(?s)^.*\b(GSE|PXD|PRJNA|SRP)\w*", "")
-    window = F.concat(cut, F.expr("substring(text, i, 80)"))
-    phrase = F.when(window.rlike(OWN_WORDS), "own").when(window.rlike(CITED_WORDS), "cited").otherwise("")
+    a = a.withColumn("before", F.expr("substring(text, greatest(1, i - 300), i - greatest(1, i - 300))"))
+    a = a.withColumn("head", F.regexp_replace("before", f"(?:{LISTED}{LIST_GAP})+$", ""))
+    cut = F.regexp_replace(F.substring_index("head", ". ", -1), f"(?s)^.*{LISTED}", "")
+    window = F.concat(cut, F.expr("substring(before, length(head) + 1)"), F.expr("substring(text, i, 80)"))
+    after, near = F.expr("substring(text, i + length(accession), 60)"), F.expr("right(before, 40)")
+    phrase = F.when(after.rlike(CITE_AFTER), "cited").when(window.rlike(OWN_WORDS), "own").when(window.rlike(CITED_WORDS) | near.rlike(REF_BEFORE), "cited").otherwise("")
     p = a.withColumn("phrase", phrase).groupBy("paper_id", "repo", "accession").agg(
         F.bool_or(F.col("phrase") == "own").alias("said_own"), F.bool_or(F.col("phrase") == "cited").alias("said_cited"), F.bool_and(F.col("section_class").isin(*CITED_SECTIONS)).alias("only_cited_sections"), F.count(F.lit(1)).alias("n_mentions")
     )
@@ -201,12 +210,24 @@ def rank_chunks(docs: DataFrame, terms: list[str], size: int = 1400, step: int =
 
 
 def segments(docs: DataFrame, size: int = 1200) -> DataFrame:
-    """Blocks of about ``size`` characters: lines gather by the running length, cut at multiples of it (greedy packing would need the order of a loop)."""
-    lines = docs.select("paper_id", F.posexplode(F.split("text", "\n")).alias("ord", "line")).where(F.trim("line") != "")
-    w = Window.partitionBy("paper_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    bucket = F.floor((F.sum(F.length("line")).over(w) - F.length("line")) / size)
-    g = lines.withColumn("block", bucket).groupBy("paper_id", "block")
-    return g.agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """Whole sentences packed in order: a block closes before the sentence that takes it beyond ``size`` characters; a longer one stands alone.
+
+    A sentence ends at ``.``, ``!`` or ``?`` before white space and a capital or an opening bracket; the text has single spaces first.
+    Lengths fold inside the row, which keeps where each block starts; nothing is shuffled. Texts without words give no block.
+    """
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    said = docs.select("paper_id", F.filter(F.split(flat, r"(?<=[.!?]) (?=[A-Z(\[])"), lambda x: x != "").alias("said")).where(F.size("said") > 0)
+
+    def add(acc, x):
+        full = (acc["n"] == 0) | (acc["n"] + F.length(x) > size)
+        n = F.when(full, F.length(x)).otherwise(acc["n"] + 1 + F.length(x))
+        return F.struct((acc["i"] + 1).alias("i"), n.alias("n"), F.when(full, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"))
+
+    zero = F.struct(F.lit(1).alias("i"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"))
+    starts = said.withColumn("starts", F.aggregate("said", zero, add, lambda acc: acc["starts"]))
+    each = starts.select("paper_id", "said", "starts", F.posexplode("starts").alias("block", "start"))
+    n = F.coalesce(F.get("starts", F.col("block") + 1), F.size("said") + 1) - F.col("start")
+    return each.select("paper_id", F.col("block").cast("long").alias("block"), n.cast("long").alias("n_sentences"), F.array_join(F.slice("said", F.col("start"), n), " ").alias("text"))
 
 
 def choose_own(blocks: DataFrame, width: int = 170) -> DataFrame:

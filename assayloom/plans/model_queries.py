@@ -25,9 +25,17 @@ def st_13(t):
     return N.nb_wald(big(t), big_samples(t), ["condition"], TREATED)
 
 
-@query("st_15_independent_filtering")
+@query("st_15_independent_filtering", """
+with d as (select study_id, contrast_id, method, feature_id, base_mean, pvalue from {deg}), r as (select *, percent_rank() over (partition by study_id, contrast_id, method order by base_mean) as q from d),
+z as (select r.*, cut from r, range(0, 20) t(cut) where q >= cut / 20 * 0.95),
+w as (select *, least(1.0, pvalue * count(pvalue) over (partition by study_id, contrast_id, method, cut) / row_number() over (partition by study_id, contrast_id, method, cut order by pvalue nulls last, feature_id)) as raw from z),
+a as (select *, min(raw) over (partition by study_id, contrast_id, method, cut order by pvalue nulls last, feature_id rows between current row and unbounded following) as padj from w),
+n as (select study_id, contrast_id, method, cut, count(case when padj < 0.5 then 1 end) as n from a group by all),
+c as (select * from n qualify row_number() over (partition by study_id, contrast_id, method order by n desc, cut) = 1)
+select d.*, round(k.padj, 6) as padj from d left join (select a.* from a join c using (study_id, contrast_id, method, cut)) k using (study_id, contrast_id, method, feature_id)""")
 def st_15(t):
-    return N.independent_filter(t.deg.select("study_id", "contrast_id", "method", "feature_id", "base_mean", "pvalue"), 0.5)
+    d = N.independent_filter(t.deg.select("study_id", "contrast_id", "method", "feature_id", "base_mean", "pvalue"), 0.5)
+    return d.withColumn("padj", r6("padj"))
 
 
 @query("st_16_quasi_likelihood")

@@ -126,7 +126,10 @@ def win_10(t):
     return L.triage(d, [F.col("a"), F.col("b")], "doc_id").select("batch", "doc_id", "place")
 
 
-@query("win_13_head_and_random")
+@query("win_13_head_and_random", """
+with r as (select c_mktsegment, c_custkey, row_number() over (partition by c_mktsegment order by c_custkey) <= 5 as is_head from customer),
+d as (select *, row_number() over (partition by c_mktsegment, is_head order by md5('42|' || c_custkey), c_custkey) as draw from r)
+select c_mktsegment, c_custkey, is_head from d where is_head or draw <= 5""")
 def win_13(t):
     return L.head_and_random(t.customer.select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 5, 5)
 

@@ -319,6 +319,23 @@ def ds_21(t):
 
 @query("jn_07_mapping_share", "with g as (select distinct feature_id from {deg}) select count(*) as n_features, count(case when regexp_matches(feature_id, '^[A-Za-z][A-Za-z0-9.-]*$') then 1 end) as n_symbol_like from g")
 def jn_07(t):
-    assert mapping and R
     g = t.deg.select("feature_id").distinct()
     return g.agg(F.count(F.lit(1)).alias("n_features"), F.count_if(F.col("feature_id").rlike("^[A-Za-z][A-Za-z0-9.-]*$")).alias("n_symbol_like"))
+
+
+@query("jn_07_id_bridge", """
+with n as (select s_suppkey as k, 'G' || s_suppkey as sym, 'ENSG' || lpad(s_suppkey::varchar, 11, '0') as ens, s_suppkey % 3 <> 0 as known from supplier)
+select 'SYM' as study_id, feature_id, upper(feature_id) as symbol from (select distinct feature_id from {deg})
+union all select 'ENS', ens || '.2', sym from n where known union all select 'BRIDGED', k::varchar, sym from n where known
+union all select 'NAMED', p_partkey::varchar, upper(replace(p_brand, '#', '-') || '.' || p_size) from part""")
+def jn_07b(t):
+    k = F.col("s_suppkey").cast("string")
+    ens = F.concat(F.lit("ENSG"), F.lpad(k, 11, "0"))
+    part, p = F.col("p_partkey").cast("string"), t.part
+    ids = t.deg.select(F.lit("SYM").alias("study_id"), "feature_id")
+    ids = ids.union(t.supplier.select(F.lit("ENS"), F.concat(ens, F.lit(".2")))).union(t.supplier.select(F.lit("BRIDGED"), k)).union(p.select(F.lit("NAMED"), part))
+    cell = lambda study, key, column, place, value: (F.lit(study).alias("study_id"), key.alias("feature_id"), F.lit(column).alias("column"), F.lit(place).alias("place"), value.alias("value"))
+    notes = t.supplier.select(*cell("BRIDGED", k, "label", 1, F.col("s_name"))).union(t.supplier.select(*cell("BRIDGED", k, "gene", 2, F.concat(ens, F.lit(".7")))))
+    notes = notes.union(p.select(*cell("NAMED", part, "type", 1, F.split_part("p_type", F.lit(" "), F.lit(1))))).union(p.select(*cell("NAMED", part, "annot_gene_name", 2, F.concat(F.translate("p_brand", "#", "-"), F.lit("."), F.col("p_size")))))
+    genes = t.supplier.where("s_suppkey % 3 <> 0").select(ens.alias("ensembl"), F.concat(F.lit("g"), k).alias("symbol"))
+    return J.id_bridge(ids, notes, genes)

@@ -17,7 +17,7 @@ select paper_id, i - 1 as ord, 'B' || (i - 1) as block_id, ['abstract', 'introdu
 from (select paper_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as i from ({DOCS})) where trim(text) <> ''"""
 
 #: The phrases as SQL strings.
-OWN, CITED = (w.replace("'", "''") for w in (X.OWN_WORDS, X.CITED_WORDS))
+OWN, CITED, CITE = (w.replace("'", "''") for w in (X.OWN_WORDS, X.CITED_WORDS, X.CITE_AFTER))
 
 
 def docs(t):
@@ -55,8 +55,9 @@ def agg_25(t):
 @query("txt_02_mention_class", f"""
 with {FOUND}, w as (select *, instr(text, accession) as i from a),
 c as (select *, substring(text, greatest(1, i - 300), i - greatest(1, i - 300)) as before from w),
-p as (select *, regexp_replace(list_extract(string_split(before, '. '), -1), '(?s)^.*\\b(GSE|PXD|PRJNA|SRP)\\w*', '') || substring(text, i, 80) as win from c),
-q as (select *, case when regexp_matches(win, '{OWN}') then 'own' when regexp_matches(win, '{CITED}') then 'cited' else '' end as phrase from p),
+h as (select *, regexp_replace(before, '(?:{X.LISTED}{X.LIST_GAP})+$', '') as head from c),
+p as (select *, regexp_replace(list_extract(string_split(head, '. '), -1), '(?s)^.*{X.LISTED}', '') || substring(before, length(head) + 1) || substring(text, i, 80) as win from h),
+q as (select *, case when regexp_matches(substring(text, i + length(accession), 60), '{CITE}') then 'cited' when regexp_matches(win, '{OWN}') then 'own' when regexp_matches(win, '{CITED}') or regexp_matches(right(before, 40), '{X.REF_BEFORE}') then 'cited' else '' end as phrase from p),
 g as (select paper_id, repo, accession, bool_or(phrase = 'own') as said_own, bool_or(phrase = 'cited') as said_cited, bool_and(section_class in ('introduction', 'discussion')) as only_cited, count(*) as n_mentions from q group by all),
 k as (select *, case when said_own then 'own' when said_cited or only_cited then 'cited' else 'own' end as kind from g)
 select paper_id, repo, accession, n_mentions, case when repo = 'geo' and count(case when kind = 'own' and repo = 'geo' then 1 end) over (partition by paper_id) > 8 and not said_own then 'cited' else kind end as kind from k""")
@@ -72,7 +73,16 @@ def quotes(t):
     i = F.col("item_id")
     text = F.when(i % 4 == 1, F.concat(F.substring("b_text", 1, 40), F.lit(" ... "), F.right("b_text", F.lit(30)))).when(i % 4 == 2, F.concat("b_text", F.lit(" added"))).otherwise(F.col("b_text"))
     b = t.benchmark.select("item_id", F.col("text").alias("b_text"))
-    j = t.documents.join(F.broadcast(b), (F.col("doc_id") % 40 == i % 40) | F.contains("text", "b_text"))
+    # what holds a whole text shares its second to sixth words (texts have more), which meet by hash before they are looked up
+    def runs(words):
+        return F.transform(F.arrays_zip(*(F.slice(words, k, F.greatest(F.size(words), F.lit(1))).alias(f"w{k}") for k in range(1, 6))), lambda x: F.xxhash64(x))
+
+    windows = t.documents.select("doc_id", F.split("text", " ").alias("w")).select("doc_id", F.explode(F.array_distinct(runs(F.col("w")))).alias("h"))
+    second = b.select("item_id", F.split("b_text", " ").alias("w")).select("item_id", F.get(runs(F.col("w")), F.lit(1)).alias("h"))
+    meet = windows.join(second, "h").select("doc_id", "item_id").distinct()
+    inside = meet.join(t.documents.select("doc_id", "text"), "doc_id").join(b, "item_id").where(F.contains("text", "b_text")).select("doc_id", "item_id")
+    same = t.documents.select("doc_id", (F.col("doc_id") % 40).alias("k")).join(b.select("item_id", (i % 40).alias("k")), "k").select("doc_id", "item_id")
+    j = same.union(inside).distinct().join(b, "item_id")
     return j.select(F.col("doc_id").alias("paper_id"), i.alias("quote_id"), text.alias("quote"))
 
 
@@ -187,8 +197,11 @@ def txt_20(t):
 
 
 @query("txt_10_segments", """
-with l as (select doc_id as paper_id, i, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where trim(line) <> ''),
-b as (select *, floor((sum(length(line)) over (partition by paper_id order by i) - length(line)) / 1200)::bigint as block from l) select paper_id, block, count(*) as n_lines, array_to_string(list(line order by i), chr(10)) as text from b group by all""")
+with recursive f as (select doc_id as paper_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ([A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: x <> '') as said from documents),
+s as (select paper_id, unnest(said) as x, generate_subscripts(said, 1) as i from f),
+g as (select paper_id, i, x, 0::bigint as block, length(x) as n from s where i = 1 union all
+select s.paper_id, s.i, s.x, case when g.n + length(s.x) > 1200 then block + 1 else block end, case when g.n + length(s.x) > 1200 then length(s.x) else g.n + 1 + length(s.x) end from g join s on s.paper_id = g.paper_id and s.i = g.i + 1)
+select paper_id, block, count(*) as n_sentences, array_to_string(list(x order by i), ' ') as text from g group by all""")
 def txt_10(t):
     return X.segments(t.documents.select(F.col("doc_id").alias("paper_id"), "text"))
 

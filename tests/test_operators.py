@@ -319,3 +319,57 @@ def test_derived_columns_and_their_errors(spark):
     for bad in ({"aliases": {"a b": "title"}}, {"aliases": {"x": "none"}}, {"combine": {"x": ["none"]}}):
         with pytest.raises(ValueError):
             E.derive_columns(s, **bad)
+
+
+def test_shared_words_pair_beside_frequent_ones(spark):
+    """Frequent words pair nobody by themselves, but no pair with three shared words is lost."""
+    cols = [("st", "control_rep_a1_x1"), ("st", "control_rep_b2_x2"), ("st", "control_rep")]
+    rows = [("st", "r1", "t", "control rep x1 a1"), ("st", "r2", "t", "rep control b2"), ("st", "r3", "t", "control rep other")]
+    m = spark.createDataFrame(cols, "study_id string, sample_id string")
+    attrs = spark.createDataFrame(rows, "study_id string, sample_id string, attr string, value string")
+    got = {(r["matrix_column"], r["sample_id"], r["level"]) for r in J.align_cascade(m, attrs).collect()}
+    assert got == {("control_rep_a1_x1", "r1", 3), ("control_rep_b2_x2", "r2", 3)}
+
+
+def test_segments_are_packed_greedily(spark):
+    import re
+
+    from assayloom.operators import texts as T
+
+    def packed(text, size):
+        out = []
+        for s in re.split(r"(?<=[.!?])\s+(?=[A-Z(\[])", " ".join(text.split())):
+            if out and len(out[-1]) + len(s) > size:
+                out.append(s)
+            elif s:
+                out = [*out[:-1], f"{out[-1]} {s}"] if out else [s]
+        return out
+
+    rng = np.random.default_rng(4)
+    texts = ["", "   \n", "one", "A" * 90 + ". B.", *(" ".join("".join(rng.choice(list("abAB.!( \n"), rng.integers(1, 9))) for _ in range(60)) for _ in range(20))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "paper_id long, text string")
+    got = {}
+    for r in sorted(T.segments(df, 40).collect(), key=lambda r: (r["paper_id"], r["block"])):
+        got.setdefault(r["paper_id"], []).append(r["text"])
+    assert got == {i: p for i, t in enumerate(texts) if (p := packed(t, 40))}
+
+
+def test_words_around_lists_of_accessions(spark):
+    from assayloom.operators import texts as T
+
+    said = [
+        ("Data were deposited at GSE11111, GSE22222 and GSE33333.", {"GSE11111": "own", "GSE22222": "own", "GSE33333": "own"}),
+        ("We deposited GSE44444. Reads downloaded from GSE55555 (SRP7).", {"GSE44444": "own", "GSE55555": "cited"}),
+        ("Were deposited in GSE66666 (Nolt et al. 2024).", {"GSE66666": "cited"}),
+        ("The cohort [12] (GSE77777) is large.", {"GSE77777": "cited"}),
+    ]
+    blocks = spark.createDataFrame([(i, 0, "b", "methods", t) for i, (t, _) in enumerate(said)], "paper_id int, ord int, block_id string, section_class string, text string")
+    got = {(r["paper_id"], r["accession"]): r["kind"] for r in T.mention_class(blocks).collect() if r["repo"] == "geo"}
+    assert got == {(i, a): k for i, (_, kinds) in enumerate(said) for a, k in kinds.items()}
+
+
+def test_id_bridge_without_annotations_or_names(spark):
+    ids = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "TP53"), ("b", None), ("c", "ENSG00000000001.3")], "study_id string, feature_id string")
+    notes = spark.createDataFrame([], "study_id string, feature_id string, column string, place int, value string")
+    genes = spark.createDataFrame([("ENSG00000000001", "abc"), ("ENSG00000000001", "abd"), ("ENSG00000000002", None)], "ensembl string, symbol string")
+    assert {tuple(r) for r in J.id_bridge(ids, notes, genes).collect()} == {("b", "TP53", "TP53"), ("c", "ENSG00000000001.3", "ABC")}
