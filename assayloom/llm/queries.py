@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from assayloom.llm.dataset_manifest import op12_dataset_manifest
+from assayloom.llm.dataset_manifest import oracle as op12_oracle
 from assayloom.llm.embedding_dedup import op4_embedding_dedup
 from assayloom.llm.license_scans import op8_license_scans
 from assayloom.llm.license_scans import oracle as op8_oracle
@@ -27,9 +29,11 @@ QUERIES = {
     "op8_license_scans": op8_license_scans,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
+    "op12_dataset_manifest": op12_dataset_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_warc_fixity": op3_oracle(),
     "op5_url_filters": op5_oracle(),
     "op8_license_scans": op8_oracle(),
+    "op12_dataset_manifest": op12_oracle(),
 }
