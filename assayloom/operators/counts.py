@@ -1,4 +1,4 @@
-"""Count models: negative-binomial Wald test, its shrunken effects, quasi-likelihood F test and precision-weighted logs.
+"""Count models: the negative-binomial Wald test with its shrunken effects; quasi-likelihood and precision weights are in modules of their own.
 
 Features are packed, joined with a row of samples a study and fitted in Arrow batches, all features of a batch at once. Trends and
 prior widths are aggregates over features between two passes; nothing is collected.
@@ -14,125 +14,76 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.tables import once
-from assayloom.operators.stats import beta_tail, design, moderated, size_factors, term_columns, trigamma
+from assayloom.operators.negbin import GRID, RIDGE, best, by_study, designs, fit_means, lgamma, packed, profile
+from assayloom.operators.precision import voom_test
+from assayloom.operators.quasi import ql_test
+from assayloom.operators.stats import beta_tail, size_factors, trigamma
 
-GRID = np.exp(np.linspace(math.log(1e-8), math.log(20.0), 60))
-RIDGE, FLOOR = 1e-6, 0.25
+__all__ = ["independent_filter", "lgamma", "nb_wald", "ql_test", "shrink", "voom_test"]
+FLOOR = 0.25
 
 
-def lgamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series after shifting the argument above 8."""
-    x = np.asarray(x, dtype=float)
-    shift, y = np.zeros_like(x), x.copy()
-    for _ in range(8):
-        low = y < 8
-        shift += np.where(low, np.log(np.where(low, y, 1.0)), 0.0)
-        y = np.where(low, y + 1, y)
-    inv = 1 / y
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + inv * (1 / 12 - inv**2 * (1 / 360 - inv**2 / 1260)) - shift
-
-
-def fit_means(y: np.ndarray, x: np.ndarray, log_size: np.ndarray, alpha: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, means and inverse information of log-linear models of all rows of y, by weighted least squares.
-
-    A step moves no log mean by more than 2, so that a far count doesn't throw the fit beyond what the rounds can mend.
-    """
-    beta = np.log((y + 0.5) / np.exp(log_size)) @ np.linalg.pinv(x).T
-    eye = RIDGE * np.eye(x.shape[1])
-    for _ in range(rounds):
-        eta = np.clip(beta @ x.T + log_size, -30, 30)
-        mu = np.exp(eta)
-        w = mu / (1 + alpha[:, None] * mu)
-        info = np.einsum("gn,np,nq->gpq", w, x, x) + eye
-        step = np.linalg.solve(info, np.einsum("gn,np->gp", w * (eta - log_size + (y - mu) / mu), x)[:, :, None])[:, :, 0] - beta
-        beta = beta + step * np.minimum(1, 2 / np.maximum(np.abs(step @ x.T).max(axis=1), 1e-12))[:, None]
-    mu = np.exp(np.clip(beta @ x.T + log_size, -30, 30))
-    info = np.einsum("gn,np,nq->gpq", mu / (1 + alpha[:, None] * mu), x, x) + eye
-    return beta, mu, np.linalg.inv(info)
-
-
-def profile(y: np.ndarray, mu: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Adjusted profile likelihood (rows, GRID) of the dispersion at fixed means."""
-    out = np.empty((len(y), len(GRID)))
-    for k, a in enumerate(GRID):
-        r = 1 / a
-        ll = lgamma(y + r) - lgamma(np.full_like(y, r)) + y * np.log(a * mu / (1 + a * mu)) - r * np.log1p(a * mu)
-        info = np.einsum("gn,np,nq->gpq", mu / (1 + a * mu), x, x) + RIDGE * np.eye(x.shape[1])
-        out[:, k] = ll.sum(axis=1) - 0.5 * np.linalg.slogdet(info)[1]
-    return out
-
-
-def best(curve: np.ndarray) -> np.ndarray:
-    """The dispersion at the top of each curve, between grid points by a parabola in log dispersion."""
-    at = np.clip(curve.argmax(axis=1), 1, len(GRID) - 2)
-    a, b, c = (np.take_along_axis(curve, (at + d)[:, None], 1)[:, 0] for d in (-1, 0, 1))
-    down = a - 2 * b + c
-    move = np.where(down < 0, np.clip(0.5 * (a - c) / np.where(down < 0, down, -1.0), -1, 1), 0.0)
-    step = math.log(GRID[1] / GRID[0])
-    return np.exp(np.log(GRID[at]) + move * step)
-
-
-def designs(s: DataFrame, terms: list[str], sizes: DataFrame, size: str) -> DataFrame:
-    """A row a study: its samples in order, their sizes and the values of their terms, to be joined with packed features."""
-    used = term_columns(terms)
-    known = s.select("study_id", "sample_id", *used).dropna().join(sizes.select("study_id", "sample_id", F.col(size).cast("double").alias("__size")), ["study_id", "sample_id"])
-    lists = known.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("sample_id", "__size", *used))).alias("__s"))
-    return lists.select("study_id", F.col("__s.sample_id").alias("__order"), F.col("__s.__size").alias("__size"), *(F.col("__s").getField(c).alias(f"__t{i}") for i, c in enumerate(used)))
-
-
-def packed(m: DataFrame, lists: DataFrame) -> DataFrame:
-    """A row a feature with a positive count, with the samples of its study."""
-    y = m.groupBy("study_id", "feature_id").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col("value").cast("double").alias("v")))).alias("y"))
-    return y.where(F.exists(F.map_values("y"), lambda v: v > 0)).join(lists, "study_id")
-
-
-def by_study(batches, terms: list[str]):
-    """(study, rows, y in sample order, names, design, sizes) of each batch; features that lack a sample count as zero there."""
-    for t in batches:
-        for study, rows in t.groupby("study_id"):
-            samples = pd.DataFrame({c: list(rows[f"__t{i}"].iloc[0]) for i, c in enumerate(term_columns(terms))})
-            names, x = design(samples, terms)
-            if len(x) > np.linalg.matrix_rank(x):
-                order = list(rows["__order"].iloc[0])
-                yield study, rows, np.array([[dict(v).get(k, 0.0) for k in order] for v in rows["y"]], dtype=float), names, x, np.asarray(rows["__size"].iloc[0], dtype=float)
+def gene_dispersion(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The dispersion of each row on its own: top of its profile at means that are fitted with it."""
+    start = np.full(len(y), 0.1)
+    for _ in range(2):
+        _, mu, _ = fit_means(y, x, np.log(size), start)
+        start = best(profile(y, mu, x))
+    return start
 
 
 def genewise(features: DataFrame, terms: list[str]) -> DataFrame:
-    """Base mean, gene-wise dispersion and residual degrees of freedom."""
+    """``features`` with base mean, gene-wise dispersion and residual degrees of freedom."""
 
     def run(batches):
-        for study, rows, y, _, x, size in by_study(batches, terms):
-            start = np.full(len(y), 0.1)
-            for _ in range(2):
-                _, mu, _ = fit_means(y, x, np.log(size), start)
-                start = best(profile(y, mu, x))
-            yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": (y / size).mean(axis=1), "dispersion": start, "df": float(x.shape[0] - x.shape[1])})
+        for _, rows, y, _, x, size in by_study(batches, terms):
+            yield rows.assign(base_mean=(y / size).mean(axis=1), dispersion=gene_dispersion(y, x, size), df=float(x.shape[0] - x.shape[1]))
 
-    return features.mapInPandas(run, "study_id string, feature_id string, base_mean double, dispersion double, df double")
+    return features.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields) + ", base_mean double, dispersion double, df double")
 
 
-def trends(g: DataFrame, bins: int = 20) -> DataFrame:
-    """(study_id, a0, a1, spread): dispersion a0 + a1 / mean through medians of bins of means, and the variance of logs around it.
+#: Fixed values of the published trend: least dispersion that counts, ratios to the trend that count, coefficients to begin with.
+USED, RATIOS, BEGIN = 1e-6, (1e-4, 15.0), (0.1, 1.0)
+#: Standard deviations of log dispersions above the trend at which a feature keeps its own.
+OUTLYING = 2.0
 
-    ``g`` is read three times and so written first. A study's task sees a row a bin.
+
+def trends(g: DataFrame, rounds: int = 30, near: float = 1e-12) -> DataFrame:
+    """(study_id, a0, a1, spread, sd): dispersion a0 + a1 / mean, the spread and the standard deviation of logs around it.
+
+    A gamma regression with identity link: each round adds up weighted normal equations by study, over the features whose
+    ratio to the last trend is within RATIOS, and solves them in two columns; all studies go on until none changes. A study whose
+    coefficients turn negative or don't settle takes the mean dispersion as a flat trend. ``g`` is a written table.
     """
-    w = Window.partitionBy("study_id").orderBy("base_mean", "feature_id")
-    use = once(g.where("dispersion > 1e-7 and base_mean > 0")).withColumn("bin", F.ntile(bins).over(w))
-
-    def line(t: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(t)), 1 / t["m"]])
-        c = np.linalg.lstsq(x, t["a"].to_numpy(), rcond=None)[0]
-        if c[0] <= 0 or c[1] < 0:
-            c = np.array([max(float(t["a"].median()), 1e-8), 0.0])
-        return pd.DataFrame({"study_id": [t["study_id"].iloc[0]], "a0": [float(c[0])], "a1": [float(c[1])]})
-
-    points = use.groupBy("study_id", "bin").agg(F.avg("base_mean").alias("m"), F.percentile("dispersion", F.lit(0.5)).alias("a"))
-    lines = points.groupBy("study_id").applyInPandas(line, "study_id string, a0 double, a1 double")
-    r = use.join(lines, "study_id").withColumn("r", F.log("dispersion") - F.log(F.col("a0") + F.col("a1") / F.col("base_mean")))
+    use = g.where(f"dispersion > {USED} and base_mean > 0").select("study_id", F.col("base_mean").alias("m"), F.col("dispersion").alias("a"), "df")
+    state = once(use.groupBy("study_id").agg(F.lit(BEGIN[0]).alias("a0"), F.lit(BEGIN[1]).alias("a1"), F.lit(float("inf")).alias("change")))
+    fit, ratio = F.col("a0") + F.col("a1") / F.col("m"), F.col("a") / (F.col("a0") + F.col("a1") / F.col("m"))
+    w = F.when((ratio > RATIOS[0]) & (ratio < RATIOS[1]), 1 / (fit * fit))
+    x = 1 / F.col("m")
+    c = F.col
+    for _ in range(rounds):
+        sums = use.join(state, "study_id").where("a0 > 0 and a1 > 0").groupBy("study_id").agg(F.max("a0").alias("b0"), F.max("a1").alias("b1"), F.sum(w).alias("s"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"), F.sum(w * c("a")).alias("sa"), F.sum(w * x * c("a")).alias("sxa"))
+        det = c("s") * c("sxx") - c("sx") * c("sx")
+        a0, a1 = F.try_divide(c("sxx") * c("sa") - c("sx") * c("sxa"), det), F.try_divide(c("s") * c("sxa") - c("sx") * c("sa"), det)
+        solved = sums.select("study_id", "b0", "b1", F.coalesce(a0, F.lit(-1.0)).alias("a0"), F.coalesce(a1, F.lit(-1.0)).alias("a1"))
+        moved = F.when((c("a0") > 0) & (c("a1") > 0), F.pow(F.log(c("a0") / c("b0")), 2) + F.pow(F.log(c("a1") / c("b1")), 2)).otherwise(0.0)
+        new = solved.select("study_id", "a0", "a1", moved.alias("change"))
+        failed = state.where("a0 <= 0 or a1 <= 0").select("study_id", "a0", "a1", F.lit(0.0).alias("change"))
+        state = once(new.unionByName(failed))
+        if (state.agg(F.max("change")).first()[0] or 0.0) < near:
+            break
+    flat = use.groupBy("study_id").agg(F.avg("a").alias("mean"))
+    good = (c("a0") > 0) & (c("a1") > 0) & (c("change") < near)
+    line = state.join(flat, "study_id").select("study_id", F.when(good, c("a0")).otherwise(c("mean")).alias("a0"), F.when(good, c("a1")).otherwise(0.0).alias("a1"))
+    r = use.join(line, "study_id").withColumn("r", F.log("a") - F.log(fit))
+
+    def chance(df: pd.Series) -> pd.Series:
+        return pd.Series(trigamma(df.to_numpy() / 2))
+
     mid = r.groupBy("study_id").agg(F.percentile("r", F.lit(0.5)).alias("mid"))
-    mad = r.join(mid, "study_id").groupBy("study_id", "a0", "a1").agg((1.4826 * F.percentile(F.abs(F.col("r") - F.col("mid")), F.lit(0.5))).alias("sd"), F.first("df").alias("df"))
-    noise = F.pandas_udf(lambda df: pd.Series(trigamma(df.to_numpy() / 2)), "double", F.PandasUDFType.SCALAR)("df")
-    return mad.select("study_id", "a0", "a1", F.greatest(F.lit(FLOOR), F.col("sd") * F.col("sd") - noise).alias("spread"))
+    mad = r.join(mid, "study_id").groupBy("study_id", "a0", "a1").agg((1.4826 * F.percentile(F.abs(c("r") - c("mid")), F.lit(0.5))).alias("sd"), F.first("df").alias("df"))
+    noise = F.pandas_udf(chance, "double")("df")
+    return mad.select("study_id", "a0", "a1", F.greatest(F.lit(FLOOR), c("sd") * c("sd") - noise).alias("spread"), "sd")
 
 
 #: Fixed values of the published outlier rule: share trimmed at each end and scale of a trimmed variance, for up to 3, 23 and more samples.
@@ -175,25 +126,29 @@ def f_quantile(p: float, a: int, b: int) -> float:
 def nb_wald(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, method: str = "nb_wald") -> DataFrame:
     """Dispersions shrunken to the trend, Wald statistic and normal p-value of a coefficient (``term=level``), its shrunken effect beside it.
 
+    A feature whose own dispersion is far above the trend (OUTLYING) keeps it.
+
     The shrunken effect has a heavy-tailed prior (Cauchy) whose scale is the spread of the estimates in its study; statistic and p-value
     stay those of the plain estimate. Counts beyond the 0.99 quantile of Cook's distance are replaced by the feature's trimmed mean and
     the feature is fitted again where a cell of the design has seven samples or more; in cells of three to six its p-value is NULL.
     """
-    features = packed(m, designs(s, terms, size_factors(m), "size_factor"))
+    features = once(genewise(packed(m, designs(s, terms, size_factors(m), "size_factor")), terms))
 
-    def fit(y, x, size, a0, a1, spread):
+    def fit(y, x, size, own, a0, a1, spread, sd):
         mean = (y / size).mean(axis=1)
         line = a0 + a1 / np.maximum(mean, 1e-8)
         _, mu, _ = fit_means(y, x, np.log(size), line)
         alpha = best(profile(y, mu, x) - (np.log(GRID)[None, :] - np.log(line)[:, None]) ** 2 / (2 * spread))
+        alpha = np.where(np.log(own) > np.log(line) + OUTLYING * sd, own, alpha)
         return mean, alpha, *fit_means(y, x, np.log(size), alpha)
 
     def run(batches):
         for study, rows, y, names, x, size in by_study(batches, terms):
             if coefficient not in names:
                 continue
-            k, trend = names.index(coefficient), rows[["a0", "a1", "spread"]].iloc[0]
-            mean, alpha, beta, mu, inverse = fit(y, x, size, *trend)
+            k, trend = names.index(coefficient), rows[["a0", "a1", "spread", "sd"]].iloc[0]
+            own = rows["dispersion"].to_numpy(float)
+            mean, alpha, beta, mu, inverse = fit(y, x, size, own, *trend)
             cells = np.unique(x, axis=0, return_inverse=True)[1].ravel()
             n = np.bincount(cells)[cells]
             far = cooks(y, mu, x, alpha, size, cells) > f_quantile(0.99, x.shape[1], len(x) - x.shape[1])
@@ -201,7 +156,7 @@ def nb_wald(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, meth
             if len(again):
                 usual = np.floor(trimmed(y[again] / size, 0.2)[:, None] * size)
                 mended = np.where(far[again] & (n >= REPLACED), usual, y[again])
-                _, alpha[again], beta[again], _, inverse[again] = fit(mended, x, size, *trend)
+                _, alpha[again], beta[again], _, inverse[again] = fit(mended, x, size, gene_dispersion(mended, x, size), *trend)
             se = np.sqrt(inverse[:, k, k])
             z = beta[:, k] / se
             p = np.array([math.erfc(abs(v) / math.sqrt(2)) for v in z])
@@ -209,7 +164,7 @@ def nb_wald(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, meth
             yield pd.DataFrame({"study_id": study, "contrast_id": coefficient, "method": method, "feature_id": rows["feature_id"].to_numpy(), "base_mean": mean, "log2fc": beta[:, k] / math.log(2), "lfc_se": se / math.log(2), "stat": z, "pvalue": p, "dispersion": alpha})
 
     form = "study_id string, contrast_id string, method string, feature_id string, base_mean double, log2fc double, lfc_se double, stat double, pvalue double, dispersion double"
-    out = features.join(trends(genewise(features, terms)), "study_id").mapInPandas(run, form)
+    out = features.join(trends(features), "study_id").mapInPandas(run, form)
     return shrink(out.withColumn("pvalue", F.when(~F.isnan("pvalue"), F.col("pvalue"))))
 
 
@@ -232,70 +187,3 @@ def independent_filter(d: DataFrame, alpha: float = 0.05, cuts: int = 20) -> Dat
     chosen = q.groupBy(*keys, "cut").agg(F.count_if(F.col("padj") < alpha).alias("n")).groupBy(*keys).agg(F.min_by("cut", F.struct(-F.col("n"), F.col("cut"))).alias("cut"))
     kept = q.join(F.broadcast(chosen), [*keys, "cut"], "left_semi").select(*keys, "feature_id", "padj")
     return d.join(kept, [*keys, "feature_id"], "left")
-
-
-def ql_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str) -> DataFrame:
-    """Quasi-likelihood F test: deviance over its degrees of freedom squeezed like a variance; stat is the signed root of F."""
-    features = packed(m, designs(s, terms, size_factors(m), "size_factor"))
-
-    def deviance(y, mu, a):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            part = np.where(y > 0, y * np.log(y / mu), 0.0)
-        return 2 * (part - (y + 1 / a) * np.log((1 + a * y) / (1 + a * mu))).sum(axis=1)
-
-    def run(batches):
-        for study, rows, y, names, x, size in by_study(batches, terms):
-            if coefficient not in names:
-                continue
-            k, (a0, a1) = names.index(coefficient), rows[["a0", "a1"]].iloc[0]
-            mean = (y / size).mean(axis=1)
-            a = a0 + a1 / np.maximum(mean, 1e-8)
-            beta, mu, _ = fit_means(y, x, np.log(size), a)
-            _, mu0, _ = fit_means(y, np.delete(x, k, axis=1), np.log(size), a)
-            df = float(x.shape[0] - x.shape[1])
-            full, less = deviance(y, mu, a[:, None]), deviance(y, mu0, a[:, None])
-            yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": mean, "fc": beta[:, k] / math.log(2), "log2fc": np.sign(beta[:, k]) * np.sqrt(np.maximum(less - full, 0)), "s2": np.maximum(full / df, 1e-8), "df": df, "u": 1.0})
-
-    fits = features.join(trends(genewise(features, terms)), "study_id").mapInPandas(run, "study_id string, feature_id string, base_mean double, fc double, log2fc double, s2 double, df double, u double")
-    out = moderated(fits.withColumn("t", F.lit(None).cast("double")))
-    return out.select("study_id", F.lit(coefficient).alias("contrast_id"), F.lit("ql").alias("method"), "feature_id", "base_mean", F.col("fc").alias("log2fc"), "stat", "pvalue")
-
-
-def voom_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, bins: int = 40) -> DataFrame:
-    """log2 CPM with offsets, a trend of the root of residual deviations on mean log counts, its -4th power as weights, a weighted moderated fit."""
-    lib = m.groupBy("study_id", "sample_id").agg(F.sum("value").alias("lib"))
-    features = packed(m, designs(s, terms, lib, "lib"))
-
-    def logs(y, lib):
-        return np.log2((y + 0.5) / (lib + 1) * 1e6)
-
-    def first(batches):
-        for study, rows, y, _, x, lib in by_study(batches, terms):
-            v = logs(y, lib)
-            rest = v - v @ np.linalg.pinv(x).T @ x.T
-            sd = np.sqrt((rest**2).sum(axis=1) / (x.shape[0] - x.shape[1]))
-            yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "mean": v.mean(axis=1) + np.mean(np.log2(lib + 1)) - math.log2(1e6), "root": np.sqrt(sd)})
-
-    spread = features.mapInPandas(first, "study_id string, feature_id string, mean double, root double")
-    w = Window.partitionBy("study_id").orderBy("mean", "feature_id")
-    points = spread.withColumn("bin", F.ntile(bins).over(w)).groupBy("study_id", "bin").agg(F.avg("mean").alias("mean"), F.avg("root").alias("root"))
-    line = points.groupBy("study_id").agg(F.array_sort(F.collect_list(F.struct("mean", "root"))).alias("p")).select("study_id", F.col("p.mean").alias("mean"), F.col("p.root").alias("root"))
-
-    def second(batches):
-        for study, rows, y, names, x, lib in by_study(batches, terms):
-            if coefficient not in names:
-                continue
-            k = names.index(coefficient)
-            v = logs(y, lib)
-            fitted = v @ np.linalg.pinv(x).T @ x.T + np.log2(lib + 1) - math.log2(1e6)
-            weight = np.interp(fitted, rows["mean"].iloc[0], rows["root"].iloc[0]) ** -4
-            info = np.einsum("gn,np,nq->gpq", weight, x, x)
-            inverse = np.linalg.pinv(info)
-            beta = np.einsum("gpq,gq->gp", inverse, np.einsum("gn,np->gp", weight * v, x))
-            df = float(x.shape[0] - x.shape[1])
-            s2 = (weight * (v - beta @ x.T) ** 2).sum(axis=1) / df
-            yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": v.mean(axis=1), "log2fc": beta[:, k], "s2": s2, "df": df, "u": inverse[:, k, k]})
-
-    fits = features.join(line, "study_id").mapInPandas(second, "study_id string, feature_id string, base_mean double, log2fc double, s2 double, df double, u double")
-    out = moderated(fits.withColumn("t", F.lit(None).cast("double")))
-    return out.select("study_id", F.lit(coefficient).alias("contrast_id"), F.lit("voom").alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue")
