@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.operators.negbin import by_study, designs, packed
-from assayloom.operators.stats import moderated
+from assayloom.operators.stats import log_odds, moderated
 
 #: Share of the points that a local line is fitted to, rounds of reweighting, and points a study.
 SPAN, ROUNDS, POINTS = 0.5, 3, 2000
@@ -116,5 +116,5 @@ def voom_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, po
             yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": v.mean(axis=1), "log2fc": beta[:, k], "s2": s2, "df": df, "u": inverse[:, k, k]})
 
     fits = features.join(line, "study_id").mapInPandas(second, "study_id string, feature_id string, base_mean double, log2fc double, s2 double, df double, u double")
-    out = moderated(fits.withColumn("t", F.lit(None).cast("double")))
-    return out.select("study_id", F.lit(coefficient).alias("contrast_id"), F.lit("voom").alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue")
+    out = log_odds(moderated(fits))
+    return out.select("study_id", F.lit(coefficient).alias("contrast_id"), F.lit("voom").alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue", "b")

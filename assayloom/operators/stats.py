@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.functions.tables import once
 from assayloom.operators.results import average_rank
 
 
@@ -158,9 +159,67 @@ def moderated(fits: DataFrame) -> DataFrame:
     return out.withColumn("pvalue", t_pvalue("stat", "df_total")).withColumn("lfc_se", F.abs(F.col("log2fc") / F.col("stat"))).drop("pooled")
 
 
+def t_critical(p: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """|t| whose two-sided tail is ``p``, by halving on a log scale."""
+    p, df = np.broadcast_arrays(np.asarray(p, dtype=float), np.asarray(df, dtype=float))
+    low, high = np.full(p.shape, -30.0), np.full(p.shape, 60.0)
+    for _ in range(90):
+        mid = (low + high) / 2
+        above = t_two_sided(np.exp(mid), df) > p
+        low, high = np.where(above, mid, low), np.where(above, high, mid)
+    return np.exp((low + high) / 2)
+
+
+#: Share of features taken to be changed, and limits of the standard deviation of their changes, in prior deviations.
+CHANGED, CHANGE_LIMITS = 0.01, (0.1, 4.0)
+
+
+def log_odds(fits: DataFrame, keys: tuple[str, ...] = ("study_id",), changed: float = CHANGED) -> DataFrame:
+    """Adds ``b``, the log odds that a feature is changed, to moderated fits (stat, u, df_total, d0, s02).
+
+    The variance of true changes matches the largest t statistics, half the changed share of a study's features, to their quantiles under
+    a mixture. Only these few come together in a study's task; a bound from a sketch of quantiles leaves the rest out before they are
+    ranked. Statistics with fewer degrees of freedom than the most of their study count as the ones with the same tail there. NULL
+    where stat is.
+    """
+    keys = list(keys)
+
+    def alike(t: pd.Series, df: pd.Series, most: pd.Series) -> pd.Series:
+        out = t.abs().to_numpy(float)
+        low = (df < most).to_numpy() & t.notna().to_numpy()
+        out[low] = t_critical(t_two_sided(out[low], df[low].to_numpy()), most[low].to_numpy())
+        return pd.Series(out)
+
+    most = fits.where(F.col("stat").isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("df_total").alias("most"))
+    j = fits.where(F.col("stat").isNotNull()).join(most, keys).select(*keys, "feature_id", "u", "s02", "n", "most", F.pandas_udf(alike, "double")("stat", "df_total", "most").alias("t"))
+    j = once(j)
+    cut = j.groupBy(*keys).agg(F.percentile_approx("t", 1 - changed, F.lit(100_000)).alias("cut"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("t"), "feature_id"))
+    high = j.join(cut, keys).where("t >= cut").withColumn("rank", rank).where(F.col("rank") <= F.ceil(F.col("n") * (changed / 2)))
+
+    def scale(t: pd.DataFrame) -> pd.DataFrame:
+        n, most, s02 = float(t["n"].iloc[0]), float(t["most"].iloc[0]), float(t["s02"].iloc[0])
+        x, own = t["t"].to_numpy(float), 0.0
+        p = max(len(t) / n, changed)
+        null = t_two_sided(x, np.full(len(x), most))
+        wanted = ((t["rank"].to_numpy(float) - 0.5) / n - (1 - p) * null) / p
+        more = wanted > null
+        v = np.zeros(len(t))
+        if more.any():
+            v[more] = t["u"].to_numpy(float)[more] * ((x[more] / t_critical(wanted[more], np.full(int(more.sum()), most))) ** 2 - 1)
+        own = float(np.clip(v, *(k * k / s02 for k in CHANGE_LIMITS)).mean())
+        return pd.DataFrame({**{k: [t[k].iloc[0]] for k in keys}, "v0": [own]})
+
+    kinds = ", ".join(f"`{k}` {fits.schema[k].dataType.simpleString()}" for k in keys)
+    scales = high.groupBy(*keys).applyInPandas(scale, f"{kinds}, v0 double")
+    r, t2, df = (F.col("u") + F.col("v0")) / F.col("u"), F.col("stat") * F.col("stat"), F.col("df_total")
+    kernel = F.when(F.col("d0") > 1e6, t2 * (1 - 1 / r) / 2).otherwise((1 + df) / 2 * F.log((t2 + df) / (t2 / r + df)))
+    return fits.join(scales, keys, "left").withColumn("b", F.lit(math.log(changed / (1 - changed))) - F.log(r) / 2 + kernel).drop("v0")
+
+
 def moderated_two_group(m: DataFrame, s: DataFrame, control: str, treatment: str, value: str = "value", contrast: str | None = None, method: str = "limma") -> DataFrame:
-    fit = moderated(two_group(m, s, control, treatment, value))
-    return fit.select("study_id", F.lit(contrast or f"{treatment}_vs_{control}").alias("contrast_id"), F.lit(method).alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue", "s2", "t", "df", "df_total")
+    fit = log_odds(moderated(two_group(m, s, control, treatment, value)))
+    return fit.select("study_id", F.lit(contrast or f"{treatment}_vs_{control}").alias("contrast_id"), F.lit(method).alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue", "b", "s2", "t", "df", "df_total")
 
 
 def term_columns(terms: list[str]) -> list[str]:

@@ -189,14 +189,14 @@ SIZE = """
 with p as (select *, ln(value) as l from {measure} qualify min(value) over (partition by study_id, feature_id) > 0),
 d as (select *, l - avg(l) over (partition by study_id, feature_id) as d from p)
 select study_id, sample_id, exp(quantile_cont(d, 0.5)) as size_factor from d group by all"""
-#: Counts of a few big samples, so that features positive everywhere exist.
-BIG = "select 'B' || (s_nationkey % 2) as study_id, 'F' || (l_partkey % 50) as feature_id, 'N' || s_nationkey as sample_id, sum(l_quantity)::bigint as value from lineitem join supplier on l_suppkey = s_suppkey group by all"
+#: Counts of a few big samples, with every part as a feature.
+BIG = "select 'B' || (s_nationkey % 2) as study_id, 'F' || l_partkey as feature_id, 'N' || s_nationkey as sample_id, sum(l_quantity)::bigint as value from lineitem join supplier on l_suppkey = s_suppkey group by all"
 
 
 def big(t):
     return (
         t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(F.concat(F.lit("B"), F.col("s_nationkey") % 2).alias("study_id"), F.concat(F.lit("F"), F.col("l_partkey") % 50).alias("feature_id"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("sample_id"))
+        .groupBy(F.concat(F.lit("B"), F.col("s_nationkey") % 2).alias("study_id"), F.concat(F.lit("F"), F.col("l_partkey")).alias("feature_id"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("sample_id"))
         .agg(F.sum("l_quantity").cast("long").alias("value"))
     )
 

@@ -4,17 +4,78 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayloom.operators import sections as Z
 from assayloom.operators import texts as X
 from assayloom.plans.registry import query
 
-#: Texts with a sentence about data added, so that accessions occur.
-DOCS = """
-select doc_id as paper_id, coalesce(text, '') || chr(10) || case doc_id % 5 when 0 then 'The reads have been deposited in GEO under GSE' || (10000 + doc_id) || '.' when 1 then 'Counts were downloaded from GSE' || (20000 + doc_id % 50) || ' and PXD' || lpad((doc_id % 900000)::varchar, 6, '0') || '.'
-  when 2 then 'Data access: PRJNA' || (3000 + doc_id) || ', GSE' || (40000 + doc_id) || '.' when 3 then 'See GSE' || (50000 + doc_id) || '. It is publicly available as E-MTAB-' || doc_id else 'No data.' end as text from documents"""
-SECTIONS = ("abstract", "introduction", "methods", "results", "discussion")
-BLOCKS = f"""
-select paper_id, i - 1 as ord, 'B' || (i - 1) as block_id, ['abstract', 'introduction', 'methods', 'results', 'discussion'][1 + ((i - 1) % 5)] as section_class, 'S' || ((i - 1) % 3 + 1) || case when i % 2 = 0 then '.1' else '' end as section_id, text
-from (select paper_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as i from ({DOCS})) where trim(text) <> ''"""
+#: Lines that are planted as headings and captions, one before every third line.
+HEADS = (
+    "# Abstract", "1. Introduction", "2 Materials and methods", "2.1 Cohort", "2.1.1 Blood sampling", "## Statistical analysis", "**Results**", "Figure 1. Flow of samples",
+    "Table 2 | Measures of [the cohort](x)", "Discussion:", "References", "Data availability", "3.2 Main findings", "Acknowledgements", "### Limits", "STAR Methods",
+)
+#: Texts with a sentence about data added, so that accessions occur, headings planted, and a blank line after every second line.
+DOCS = f"""
+select paper_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when i % 3 = 1 then [{", ".join(f"'{h}'" for h in HEADS)}][1 + ((paper_id + i // 3) % {len(HEADS)})::int] || chr(10) else '' end || x || case when i % 2 = 0 then chr(10) else '' end), chr(10)) as text
+from (select doc_id as paper_id, coalesce(text, '') || chr(10) || case doc_id % 5 when 0 then 'The reads have been deposited in GEO under GSE' || (10000 + doc_id) || '.' when 1 then 'Counts were downloaded from GSE' || (20000 + doc_id % 50) || ' and PXD' || lpad((doc_id % 900000)::varchar, 6, '0') || '.'
+  when 2 then 'Data access: PRJNA' || (3000 + doc_id) || ', GSE' || (40000 + doc_id) || '.' when 3 then 'See GSE' || (50000 + doc_id) || '. It is publicly available as E-MTAB-' || doc_id else 'No data.' end as text from documents)"""
+
+
+def structure_sql(docs: str) -> str:
+    """Common tables of ``docs`` (paper_id, text), down to ``st`` (its lines with their sections) and ``bl`` (its blocks)."""
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    m = lambda c, p: f"regexp_matches({c}, {q(p)})"
+    said = "case when hashes <> '' then regexp_extract(line, {0}, 2) else line end".format(q(Z.HASHES))
+    for pattern, by in ((r"\[([^\]]*)\]\([^)]*\)", "\\1"), (r"</?[A-Za-z][^>]*>", ""), (r"[*_`]", ""), (r"\s+", " ")):
+        said = f"regexp_replace({said}, {q(pattern)}, {q(by)}, 'g')"
+    w = "over (partition by paper_id order by ord rows between unbounded preceding and {})"
+    last = lambda x, upto: f"last_value({x} ignore nulls) {w.format(upto)}"
+    now, before = "current row", "1 preceding"
+    title = "case " + " ".join(f"when regexp_matches(title, '{p}') then '{n}'" for n, p in X.TITLES) + " else 'other' end"
+    named, vague = f"({m('title', Z.MAIN)} or {m('title', Z.BACK)})", "(own = 'methods' and not regexp_matches(title, '(?i)method|material'))"
+    deep = Z.DEEPEST
+    above = [f"coalesce({last(f'case when depth = {k} then ord end', before)}, -1)" for k in range(1, deep)]
+    up = "case " + " ".join(f"when depth = {k} then greatest({', '.join(above[: k - 1])}, -1)" for k in range(2, deep + 1)) + " else -1 end"
+    section = "{{'spot': ord, 'section_id': {0}, 'title': title, 'section_class': {1}, 'level': {2}, 'up': up}}"
+    out = [
+        f"d0 as ({docs})",
+        "l0 as (select paper_id, i - 1 as ord, line from (select paper_id, unnest(x) as line, generate_subscripts(x, 1) as i from (select paper_id, string_split(coalesce(text, ''), chr(10)) as x from d0)))",
+        f"l1 as (select *, regexp_extract(line, {q(Z.HASHES)}, 1) as hashes from l0)",
+        f"l2 as (select *, trim(regexp_replace(trim({said}), ':+$', '')) as said from l1)",
+        f"l3 as (select *, case when {m('said', '^[0-9]{4}' + chr(92) + 'b')} then '' else regexp_extract(said, {q(Z.NUMBERED)}, 1) end as number from l2)",
+        f"l4 as (select *, case when number <> '' then regexp_extract(said, {q(Z.NUMBERED)}, 2) else said end as title from l3)",
+        f"l5 as (select paper_id, ord, case when hashes <> '' then said else trim(line) end as text, title, number, case when trim(line) = '' or {m('trim(line)', Z.RULE)} then 'blank' when hashes <> '' and title = '' then 'blank' when hashes <> '' and {m('title', Z.TABLE_CAPTION)} then 'table' when hashes <> '' and {m('title', Z.FIGURE_CAPTION)} then 'figure' when title <> '' and (hashes <> '' or {m('title', Z.MAIN)}) then 'heading' when starts_with(trim(line), '|') then 'row' when {m('trim(line)', Z.FIGURE_CAPTION)} then 'figure' when {m('trim(line)', Z.TABLE_CAPTION)} then 'table' else 'body' end as kind from l4)",
+        "l6 as (select *, count(case when kind = 'body' and length(text) <= 90 then 1 end) over (partition by paper_id, text) as n from l5)",
+        "l7 as (select paper_id, ord, text, title, number, case when kind = 'body' and length(text) <= 90 and (n >= 3 or (n = 2 and length(text) >= 15 and not regexp_matches(text, '[.!?]$'))) then 'blank' else kind end as kind from l6)",
+        f"l8 as (select *, {last(f'case when kind = {q("heading")} and {m("title", Z.STOP)} then true when kind = {q("heading")} and {m("title", Z.RESUME)} then false end', now)} as stopped from l7)",
+        f"h1 as (select *, case when kind = 'heading' then {title} end as own from l8 where not coalesce(stopped, false))",
+        f"h2 as (select *, kind = 'heading' and case when number <> '' then not contains(number, '.') else {named} or (own <> 'other' and not {vague}) end as opens from h1)",
+        f"h3 as (select *, coalesce({last('case when opens then own end', before)}, 'other') as open from h2)",
+        f"h4 as (select *, case when kind = 'heading' then case when number <> '' then least(len(string_split(number, '.')), {deep}) when not {named} and open <> 'other' and (own = 'other' or own = open or {vague}) then 2 else 1 end end as depth from h3)",
+        f"h5 as (select *, case when kind = 'heading' then {up} end as up from h4)",
+        f"h6 as (select *, case when up = -1 and own = 'abstract' and count(case when up = -1 and own = 'abstract' then 1 end) {w.format(now)} = 1 then 'ABS' when up = -1 and own = 'data_availability' and count(case when up = -1 and own = 'data_availability' then 1 end) {w.format(now)} = 1 then 'DA' end as special from h5)",
+        f"h7 as (select *, count(case when up = -1 and special is null then 1 end) {w.format(now)} as nr, count(case when kind = 'heading' then 1 end) over (partition by paper_id, up order by ord rows between unbounded preceding and current row) as nth from h6)",
+        "s1 as (select *, case when up = -1 then " + section.format("coalesce(special, 'S' || nr)", "own", "1") + " end as s from h7)",
+    ]
+    for level in range(2, deep + 1):
+        p = last(f"case when s.level = {level - 1} then s end", before)
+        here = section.format("p.section_id || '.' || nth", "case when own in ('data_availability', 'supplementary') then own else p.section_class end", str(level))
+        out.append(f"s{level} as (select * exclude (s, p), coalesce(s, case when kind = 'heading' and p.spot = up then {here} end) as s from (select *, {p} as p from s{level - 1}))")
+    none = "{'spot': -1, 'section_id': 'S0', 'title': '', 'section_class': 'other', 'level': 1, 'up': -1}"
+    out += [
+        f"st as (select paper_id, ord, kind, text, unnest(sec) from (select paper_id, ord, kind, text, coalesce({last('s', now)}, {none}) as sec from s{deep}))",
+        "g1 as (select *, case when kind in ('figure', 'table') then 'caption' else kind end as grp from st)",
+        "g2 as (select *, lag(grp) over (partition by paper_id order by ord) as prior from g1)",
+        "g3 as (select *, sum(case when prior is null or grp = 'caption' or (grp <> prior and not (grp = 'body' and prior = 'caption')) then 1 else 0 end) over (partition by paper_id order by ord) as island from g2)",
+        "g4 as (select paper_id, section_id, section_class, island, min(ord) as ord, arg_min(kind, ord) as kind, list(trim(text) order by ord) as l from g3 where kind in ('body', 'row', 'figure', 'table') group by all)",
+        "g5 as (select paper_id, ord, case kind when 'body' then 'paragraph' when 'row' then 'table' else kind end as kind, section_class, section_id, case when kind = 'row' then array_to_string(l, chr(10)) else array_to_string(l, ' ') end as text from g4)",
+        "g6 as (select *, lag(kind) over o as k, lag(section_id) over o as i, lag(text) over o as t from g5 window o as (partition by paper_id order by ord))",
+        "g7 as (select *, sum(case when kind = 'paragraph' and k = 'paragraph' and i = section_id and regexp_matches(text, '^[a-z(]') and not regexp_matches(t, '[.!?:]\\)?$') then 0 else 1 end) over (partition by paper_id order by ord) as run from g6)",
+        "bl as (select paper_id, min(ord) as ord, 'B' || (run - 1)::bigint as block_id, arg_min(kind, ord) as kind, arg_min(section_class, ord) as section_class, arg_min(section_id, ord) as section_id, string_agg(text, ' ' order by ord) as text from g7 group by paper_id, run)",
+    ]
+    return ", ".join(out)
+
+
+BLOCKS = f"with {structure_sql(DOCS)} select paper_id, ord, block_id, section_class, section_id, text from bl"
 
 #: The phrases as SQL strings.
 OWN, CITED, CITE = (w.replace("'", "''") for w in (X.OWN_WORDS, X.CITED_WORDS, X.CITE_AFTER))
@@ -29,14 +90,18 @@ def docs(t):
         .when(k % 5 == 3, F.concat(F.lit("See GSE"), k + 50000, F.lit(". It is publicly available as E-MTAB-"), k))
         .otherwise("No data.")
     )
-    return t.documents.select(k.alias("paper_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said).alias("text"))
+    whole = t.documents.select(k.alias("paper_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said).alias("text"))
+    heads = F.array(*map(F.lit, HEADS))
+
+    def planted(x, i):
+        head = F.when(i % 3 == 0, F.concat(F.element_at(heads, ((F.col("paper_id") + F.floor(i / 3)) % len(HEADS) + 1).cast("int")), F.lit("\n"))).otherwise("")
+        return F.concat(head, x, F.when(i % 2 == 1, "\n").otherwise(""))
+
+    return whole.select("paper_id", F.array_join(F.transform(F.split("text", "\n"), planted), "\n").alias("text"))
 
 
 def blocks(t):
-    b = docs(t).select("paper_id", F.posexplode(F.split("text", "\n")).alias("ord", "text")).where(F.trim("text") != "")
-    section = F.element_at(F.array(*map(F.lit, SECTIONS)), F.col("ord") % 5 + 1)
-    sid = F.concat(F.lit("S"), F.col("ord") % 3 + 1, F.when(F.col("ord") % 2 == 1, ".1").otherwise(""))
-    return b.select("paper_id", F.col("ord").cast("long").alias("ord"), F.concat(F.lit("B"), "ord").alias("block_id"), section.alias("section_class"), sid.alias("section_id"), "text")
+    return Z.section_blocks(docs(t)).select("paper_id", "ord", "block_id", "section_class", "section_id", "text")
 
 
 FOUND = "b as (" + BLOCKS + "), a as (" + " union all ".join(f"select paper_id, ord, block_id, section_class, '{r}' as repo, unnest(list_distinct(regexp_extract_all(text, '{p}'))) as accession, text from b" for r, p in X.REPOSITORIES) + ")"
@@ -206,6 +271,16 @@ def txt_10(t):
     return X.segments(t.documents.select(F.col("doc_id").alias("paper_id"), "text"))
 
 
+@query("txt_10_sections", f"with {structure_sql(DOCS)}, e as (select paper_id, spot, section_id, title, section_class, level, up, count(case when kind in ('body', 'row', 'figure', 'table') then 1 end) as n_lines from st where spot >= 0 group by all) select e.paper_id, e.spot as ord, e.section_id, e.title, e.section_class, e.level, p.section_id as parent_id, e.n_lines from e left join e p on e.paper_id = p.paper_id and e.up = p.spot")
+def txt_10_sections(t):
+    return Z.sections(docs(t))
+
+
+@query("txt_10_blocks", f"with {structure_sql(DOCS)} select paper_id, ord, block_id, kind, section_class, section_id, text from bl")
+def txt_10_blocks(t):
+    return Z.section_blocks(docs(t))
+
+
 @query("win_11_chunk_ranking", """
 with w as (select doc_id as paper_id, text, unnest(range(0, greatest(0, ceil((length(text) - 1400) / 1200))::bigint + 1)) as chunk from documents), p as (select paper_id, chunk, lower(substring(text, (chunk * 1200 + 1)::int, 1400)) as part from w),
 s as (select paper_id, chunk, len(regexp_extract_all(part, 'the')) + len(regexp_extract_all(part, 'ing')) as score from p)

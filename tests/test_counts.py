@@ -229,3 +229,37 @@ def test_precision_weights_keep_their_level(spark):
     m, s = table(spark, draw(11, 1200, 10, extra=1.0))
     out = N.voom_test(m, s, ["condition"], "condition=b")
     assert 0.03 <= out.selectExpr("avg(cast(pvalue < 0.05 as int))").first()[0] <= 0.07
+
+
+def test_log_odds_equal_numpy(spark):
+    rng = np.random.default_rng(12)
+    n = 800
+    effect = np.where(np.arange(n) < 40, rng.normal(0, 3, n), 0.0)
+    rows, df = [], np.where(np.arange(n) % 7 == 0, 9.0, 12.0)
+    u = np.where(np.arange(n) % 7 == 0, 0.4, 0.3)
+    t = effect + rng.standard_t(8, n)
+    for i in range(n):
+        rows.append(("st", f"f{i}", float(t[i]) if i != 700 else None, float(u[i]), float(df[i]), 4.0, 0.5))
+    got = {r["feature_id"]: r["b"] for r in S.log_odds(spark.createDataFrame(rows, "study_id string, feature_id string, stat double, u double, df_total double, d0 double, s02 double")).collect()}
+    there = np.arange(n) != 700
+    same = np.abs(t).copy()
+    low = there & (df < 12)
+    same[low] = S.t_critical(S.t_two_sided(same[low], df[low]), np.full(low.sum(), 12.0))
+    order = np.argsort(-np.where(there, same, -1))[: math.ceil(799 * 0.005)]
+    null = S.t_two_sided(same[order], np.full(len(order), 12.0))
+    p = max(len(order) / 799, 0.01)
+    wanted = ((np.arange(len(order)) + 0.5) / 799 - (1 - p) * null) / p
+    v = np.zeros(len(order))
+    for k in range(len(order)):
+        if wanted[k] > null[k]:
+            v[k] = u[order[k]] * ((same[order[k]] / S.t_critical(wanted[k], 12.0)) ** 2 - 1)
+    v0 = np.clip(v, 0.01 / 0.5, 16 / 0.5).mean()
+    r = (u + v0) / u
+    b = math.log(0.01 / 0.99) - np.log(r) / 2 + (1 + df) / 2 * np.log((t**2 + df) / (t**2 / r + df))
+    assert got["f700"] is None and max(abs(got[f"f{i}"] - b[i]) for i in range(n) if i != 700) < 1e-6
+    assert np.median([got[f"f{i}"] for i in range(40)]) > np.median([got[f"f{i}"] for i in range(41, 699)])
+
+
+def test_critical_values():
+    assert np.allclose(S.t_critical(np.array([0.05, 0.05, 0.01]), np.array([10.0, math.inf, 1.0])), [2.228139, 1.959964, 63.656741], rtol=1e-6)
+    assert np.allclose(S.t_two_sided(S.t_critical(np.array([0.3, 1e-12]), np.array([4.0, 50.0])), np.array([4.0, 50.0])), [0.3, 1e-12], rtol=1e-6)
