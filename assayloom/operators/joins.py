@@ -109,41 +109,6 @@ def best_phenotype(genes: DataFrame, findings: DataFrame) -> DataFrame:
     return first_by(j, ["study_id", "gene_id"], F.desc("same"), "finding_id").select("study_id", "gene_id", "phenotype", "finding_id")
 
 
-def align_cascade(columns: DataFrame, attrs: DataFrame, share: float = 0.5, tokens: int = 3) -> DataFrame:
-    """Matrix columns to metadata rows: exactly, else by a row's text that holds the name as a word, else by shared words, one to one.
-
-    Each level pairs mutual bests (ties by name; the order of rows plays no part); the first level that pairs at least ``share`` of the
-    smaller side of a study counts. Two sides that share ``tokens`` words share one outside each side's ``tokens`` - 1 most frequent
-    words of the study, so only those words are joined and whole word lists are compared after it: frequent words pair nobody.
-    """
-    from pyspark.sql import Window
-
-    m = columns.select("study_id", F.col("sample_id").alias("col")).distinct()
-    rows = attrs.groupBy("study_id", F.col("sample_id").alias("row")).agg(F.lower(F.concat_ws(" ", F.sort_array(F.collect_list("value")))).alias("text"))
-    split = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != ""))
-    exact = m.join(rows.select("study_id", "row"), (m["study_id"] == rows["study_id"]) & (F.col("col") == F.col("row"))).select(m["study_id"], "col", "row", F.lit(1).alias("level"), F.lit(1).alias("score"))
-    sides = m.select("study_id", "col", split("col").alias("words")), rows.select("study_id", "row", split("text").alias("words"))
-    words = sides[1].select("study_id", "row", F.explode("words").alias("word"))
-    named = m.withColumn("word", F.lower("col")).join(words, ["study_id", "word"]).select("study_id", "col", "row", F.lit(2).alias("level"), F.lit(1).alias("score"))
-    often = words.groupBy("study_id", "word").agg(F.count(F.lit(1)).alias("n"))
-
-    def rare(side: DataFrame, key: str) -> DataFrame:
-        w = Window.partitionBy("study_id", key).orderBy(F.desc("n"), "word")
-        each = side.where(F.size("words") >= tokens).select("study_id", key, F.explode("words").alias("word")).join(often, ["study_id", "word"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        return each.withColumn("at", F.row_number().over(w)).where(F.col("at") >= tokens).select("study_id", "word", key)
-
-    meet = rare(sides[0], "col").join(rare(sides[1], "row"), ["study_id", "word"]).select("study_id", "col", "row").distinct()
-    both = meet.join(sides[0].withColumnRenamed("words", "a"), ["study_id", "col"]).join(sides[1].withColumnRenamed("words", "b"), ["study_id", "row"])
-    shared = both.select("study_id", "col", "row", F.size(F.array_intersect("a", "b")).alias("score")).where(F.col("score") >= tokens)
-    every = exact.union(named).union(shared.select("study_id", "col", "row", F.lit(3).alias("level"), F.col("score").cast("int")))
-    a, b = (Window.partitionBy("study_id", "level", x).orderBy(F.desc("score"), y) for x, y in (("col", "row"), ("row", "col")))
-    pairs = every.withColumn("ra", F.row_number().over(a)).withColumn("rb", F.row_number().over(b)).where("ra = 1 and rb = 1")
-    size = m.groupBy("study_id").agg(F.count(F.lit(1)).alias("nm")).join(rows.groupBy("study_id").agg(F.count(F.lit(1)).alias("nr")), "study_id")
-    enough = pairs.groupBy("study_id", "level").agg(F.count(F.lit(1)).alias("k")).join(size, "study_id").where(F.col("k") >= F.ceil(share * F.least("nm", "nr")))
-    first = enough.groupBy("study_id").agg(F.min("level").alias("level"))
-    return pairs.join(first, ["study_id", "level"]).select("study_id", F.col("col").alias("matrix_column"), F.col("row").alias("sample_id"), "level")
-
-
 def sex_triage(calls: DataFrame, said: DataFrame) -> DataFrame:
     """Inferred against recorded sex: only a confident difference is a mismatch; the resolved sex is the recorded one, else the inferred."""
     j = calls.select("study_id", "sample_id", F.col("sex").alias("inferred"), "confidence").join(said.select("study_id", "sample_id", F.col("sex").alias("recorded")), ["study_id", "sample_id"], "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayloom.operators import alignment as A
 from assayloom.operators import catalogue as C
 from assayloom.operators import evaluation as E
 from assayloom.operators import joins as J
@@ -36,9 +37,38 @@ def txt_05(t):
     return X.design_evidence(blocks(t), r"\b[Tt]h\w+", ["methods", "abstract"])
 
 
-@query("jn_04_alignment_cascade", f"select study_id, sample_id as matrix_column, sample_id, 1 as level from ({COLUMNS}) where not starts_with(sample_id, 'X')")
+#: Studies for each level: suppliers by name, and customers whose columns stand in their texts, share tokens with them, or neither.
+ALIGNED = f"""
+c as (select * from ({COLUMNS}) union all select case when c_custkey % 3 = 0 then 'IN' when c_custkey % 3 = 1 then 'TOK' else 'NO' end || c_nationkey % 4,
+  case when c_custkey % 3 = 0 then c_custkey % 97 || 'B' when c_custkey % 3 = 1 then lower(c_mktsegment) || '_' || c_nationkey || '_' || c_custkey % 50 else 'Q' || c_custkey end from customer),
+r as (select study_id, sample_id, value from {{sample_attr}} where study_id like 'ST%' union all select case when c_custkey % 3 = 0 then 'IN' when c_custkey % 3 = 1 then 'TOK' else 'NO' end || c_nationkey % 4, 'R' || c_custkey,
+  case when c_custkey % 3 = 0 then 'biopsy ' || c_custkey % 89 || 'b left' when c_custkey % 3 = 1 then 'lane ' || c_custkey % 45 || ' ' || c_nationkey || ' of ' || c_mktsegment else 'nothing' end from customer)"""
+
+
+def aligned(t):
+    k = F.col("c_custkey")
+    kind = lambda *x: F.when(k % 3 == 0, x[0]).when(k % 3 == 1, x[1]).otherwise(x[2])
+    study = F.concat(kind("IN", "TOK", "NO"), F.col("c_nationkey") % 4).alias("study_id")
+    name = kind(F.concat(k % 97, F.lit("B")), F.concat(F.lower("c_mktsegment"), F.lit("_"), "c_nationkey", F.lit("_"), k % 50), F.concat(F.lit("Q"), k))
+    said = kind(F.concat(F.lit("biopsy "), k % 89, F.lit("b left")), F.concat(F.lit("lane "), k % 45, F.lit(" "), "c_nationkey", F.lit(" of "), "c_mktsegment"), F.lit("nothing"))
+    c = columns(t).unionByName(t.customer.select(study, name.alias("sample_id")))
+    return c, t.sample_attr.where("study_id like 'ST%'").select("study_id", "sample_id", "value").unionByName(t.customer.select(study, F.concat(F.lit("R"), k).alias("sample_id"), said.alias("value")))
+
+
+@query("jn_04_alignment_cascade", f"""
+with recursive {ALIGNED}, m as (select distinct study_id, sample_id as col from c), w as (select study_id, sample_id as row, lower(array_to_string(list(value order by value), ' ')) as text from r group by all),
+x as (select study_id, col from m join (select study_id, row as col from w) using (study_id, col)), n as (select study_id, greatest(1, ceil(least(count(distinct m.col), count(distinct w.row)) * 0.5)) as need from m join w using (study_id) group by study_id),
+f as (select m.* from m anti join x using (study_id, col)), g as (select w.* from w anti join (select study_id, col as row from x) using (study_id, row)),
+ft as (select *, list_distinct(list_transform(regexp_extract_all(col, '[A-Za-z][A-Za-z0-9]+|[0-9]+'), lambda v: lower(v))) as a from f), gt as (select *, list_distinct(regexp_extract_all(text, '[a-z][a-z0-9]+|[0-9]+')) as b from g),
+e as (select study_id, 2 as level, row, col, 0 as score from f join g using (study_id) where contains(text, lower(col)) union all select study_id, 3, row, col, len(list_intersect(a, b)) from ft join gt using (study_id) where len(list_intersect(a, b)) >= 3),
+q as (select study_id, level, row, list(col order by score desc, col) as wants, row_number() over (partition by study_id, level order by row) as i from e group by study_id, level, row),
+s as (select study_id, level, 0::bigint as i, null::varchar as row, null::varchar as col, []::varchar[] as used from (select distinct study_id, level from q)
+  union all select study_id, level, i, row, got, case when got is null then used else list_append(used, got) end from (select q.study_id, q.level, q.i, q.row, s.used, list_filter(q.wants, lambda v: not list_contains(s.used, v))[1] as got from s join q on q.study_id = s.study_id and q.level = s.level and q.i = s.i + 1)),
+p as (select study_id, 1 as level, col as row, col from x union all select study_id, l, col, col from x, (values (2), (3)) v(l) union all select study_id, level, row, col from s where col is not null),
+k as (select study_id, min(level) as level from (select study_id, level, count(*) as n from p group by all) join n using (study_id) where n >= need group by study_id)
+select p.study_id, p.col as matrix_column, p.row as sample_id, p.level from p join k using (study_id, level)""")
 def jn_04(t):
-    return J.align_cascade(columns(t), t.sample_attr.where("study_id like 'ST%'"))
+    return A.align_cascade(*aligned(t))
 
 
 @query("st_05_sex_triage", """

@@ -323,11 +323,13 @@ def test_derived_columns_and_their_errors(spark):
 
 def test_shared_words_pair_beside_frequent_ones(spark):
     """Frequent words pair nobody by themselves, but no pair with three shared words is lost."""
+    from assayloom.operators.alignment import align_cascade
+
     cols = [("st", "control_rep_a1_x1"), ("st", "control_rep_b2_x2"), ("st", "control_rep")]
     rows = [("st", "r1", "t", "control rep x1 a1"), ("st", "r2", "t", "rep control b2"), ("st", "r3", "t", "control rep other")]
     m = spark.createDataFrame(cols, "study_id string, sample_id string")
     attrs = spark.createDataFrame(rows, "study_id string, sample_id string, attr string, value string")
-    got = {(r["matrix_column"], r["sample_id"], r["level"]) for r in J.align_cascade(m, attrs).collect()}
+    got = {(r["matrix_column"], r["sample_id"], r["level"]) for r in align_cascade(m, attrs).collect()}
     assert got == {("control_rep_a1_x1", "r1", 3), ("control_rep_b2_x2", "r2", 3)}
 
 
