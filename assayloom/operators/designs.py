@@ -56,23 +56,6 @@ def level_order(a: DataFrame, attr: str) -> DataFrame:
     return v.withColumn("number", number).withColumn("is_control", control).withColumn("place", F.row_number().over(w).cast("long"))
 
 
-def comparisons(s: DataFrame, factor: str, within: str, least: int = 3) -> DataFrame:
-    """All pairs of levels of a factor inside every level of another, with sizes and whether they can be analysed."""
-    cells = s.groupBy("study_id", within, factor).agg(F.count(F.lit(1)).alias("n"))
-    a, b = (cells.select("study_id", within, F.col(factor).alias(k), F.col("n").alias(f"n_{k}")) for k in ("reference", "test"))
-    j = a.join(b, ["study_id", within]).where("reference < test")
-    name = F.concat_ws("_", F.col("test"), F.lit("vs"), F.col("reference"), F.lit("in"), F.col(within))
-    return j.select("study_id", name.alias("name"), "reference", "test", F.col(within).alias("within"), "n_reference", "n_test", (F.least("n_reference", "n_test") >= least).alias("analyzable"))
-
-
-def interactions(s: DataFrame, factor: str, within: str, least: int = 3) -> DataFrame:
-    """2x2 interactions: pairs of levels of both factors, where all four cells hold samples."""
-    c = comparisons(s, factor, within, least)
-    keys = ["study_id", "reference", "test"]
-    x, y = (c.select(*keys, F.col("within").alias(f"within_{k}"), F.least("n_reference", "n_test").alias(f"n_{k}")) for k in "ab")
-    return x.join(y, keys).where("within_a < within_b").select(*keys, "within_a", "within_b", F.least("n_a", "n_b").alias("least_cell"), (F.least("n_a", "n_b") >= least).alias("analyzable"))
-
-
 def confounding(a: DataFrame, primary: str) -> DataFrame:
     """How each attribute relates to the primary factor."""
     p = a.where(F.col("attr") == primary).select("study_id", "sample_id", F.col("value").alias("p"))

@@ -52,6 +52,45 @@ def parse_comparison(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.select("paper_id", "section_class", F.coalesce("n_first", F.lit(0)).alias("n_first"), F.coalesce("n_second", F.lit(0)).alias("n_second")).withColumn("same", F.col("n_first") == F.col("n_second"))
 
 
+def normal_cell(text: Column) -> Column:
+    """A cell or text without emphasis and white space, in lower case, with plain signs."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[*_`\\]", "")
+    for sign, by in (("\u2212", "-"), ("\u2013", "-"), ("\u00b1", "+-")):
+        bare = F.replace(bare, F.lit(sign), F.lit(by))
+    return F.regexp_replace(bare, r"\s+", "")
+
+
+def table_cells(tables: DataFrame) -> DataFrame:
+    """(paper_id, table_id, cell, n): how often a cell stands in a table of pipes; rules, empty cells and single dashes don't count."""
+    rows = tables.select("paper_id", "table_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").startswith("|") & ~F.col("line").rlike(r"^\|[-:\s|]+$"))
+    cells = rows.select("paper_id", "table_id", F.explode(F.split(F.regexp_replace(F.trim("line"), r"^\|+|\|+$", ""), r"\|")).alias("raw")).select("paper_id", "table_id", normal_cell(F.col("raw")).alias("cell"))
+    return cells.where(~F.col("cell").isin("", "-")).groupBy("paper_id", "table_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def table_match(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(paper_id, table_id, n_cells, match_id, share): for each table of one parse the table of the other that holds most of its cells.
+
+    Tables meet in an index of cells by paper, so only those that share a cell are compared; the first by id wins a tie, and a table without any
+    has no match and a share of 0. Tables without cells have no row.
+    """
+    a, b = table_cells(first), table_cells(second).select("paper_id", "cell", F.col("table_id").alias("match_id"))
+    size = a.groupBy("paper_id", "table_id").agg(F.sum("n").alias("n_cells"))
+    held = a.join(b, ["paper_id", "cell"]).groupBy("paper_id", "table_id", "match_id").agg(F.sum("n").alias("k"))
+    best = held.groupBy("paper_id", "table_id").agg(F.min(F.struct((-F.col("k")).alias("k"), "match_id")).alias("m"))
+    j = size.join(best, ["paper_id", "table_id"], "left")
+    return j.select("paper_id", "table_id", "n_cells", F.col("m.match_id").alias("match_id"), F.round(F.coalesce(-F.col("m.k"), F.lit(0)) / F.col("n_cells"), 6).alias("share"))
+
+
+def accession_comparison(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(paper_id, accession, first_classes, second_classes, found, same_class): in which section classes two parses hold each accession.
+
+    Both have paper_id, accession and section_class. ``same_class`` is NULL where the first parse lacks it.
+    """
+    of = lambda x, name: x.groupBy("paper_id", "accession").agg(F.array_sort(F.collect_set("section_class")).alias(name))
+    j = of(first, "a").join(of(second, "b"), ["paper_id", "accession"], "full_outer")
+    return j.select("paper_id", "accession", F.coalesce(F.array_join("a", ","), F.lit("")).alias("first_classes"), F.coalesce(F.array_join("b", ","), F.lit("")).alias("second_classes"), F.col("b").isNotNull().alias("found"), F.when(F.col("a").isNotNull(), F.coalesce(F.arrays_overlap("a", "b"), F.lit(False))).alias("same_class"))
+
+
 def result_sanity(results: DataFrame, samples: DataFrame, alpha: float = 0.05, most: float = 0.5, least_arm: int = 3) -> DataFrame:
     """Share of significant features by study and method, the smallest arm, and flags for either."""
     s = samples.groupBy("study_id", "condition").agg(F.count(F.lit(1)).alias("n")).groupBy("study_id").agg(F.min("n").alias("arm"))

@@ -6,12 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interleave(lists: DataFrame, order: list[Column], most_each: int, most: int) -> DataFrame:
-    """Ranked lists of sources one after another by place; ``most`` bounds what the final order sorts in one task."""
+def interleave(lists: DataFrame, order: list[Column], most: int, shares: dict[str, float] | None = None) -> DataFrame:
+    """Ranked lists of sources one after another by place, ``most`` rows in all.
+
+    With ``shares`` a source gets at most that share of ``most``; room that a short source leaves goes to the rows beyond the caps, in
+    the same order of merging, behind all others. A source without a share has none. Of each source only the first ``most`` can
+    matter, so that many a task leave it, and the order of all sorts a bounded list.
+    """
     place = F.row_number().over(Window.partitionBy("source").orderBy(*order))
-    ranked = lists.withColumn("place", place.cast("long")).where(F.col("place") <= most_each)
-    first = ranked.orderBy("place", "source").limit(most)
-    return first.withColumn("position", F.row_number().over(Window.orderBy("place", "source")).cast("long"))
+    ranked = lists.withColumn("place", place.cast("long")).where(F.col("place") <= most)
+    cap = F.lit(most)
+    if shares is not None:
+        cap = F.lit(0)
+        for source, share in shares.items():
+            cap = F.when(F.col("source") == source, round(most * share)).otherwise(cap)
+    ranked = ranked.withColumn("beyond", F.col("place") > cap)
+    first = ranked.orderBy("beyond", "place", "source").limit(most)
+    return first.withColumn("position", F.row_number().over(Window.orderBy("beyond", "place", "source")).cast("long"))
 
 
 def preview(items: Column, most: int = 60) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.functions.tables import once
+
 
 def jaccard(shared: Column, a: Column, b: Column) -> Column:
     """Of two set sizes and what they share; two empty sets are alike."""
@@ -80,22 +82,44 @@ def shared_claims(claims: DataFrame) -> DataFrame:
     return claims.join(n, "resource").select("owner", "resource", "n_owners").withColumn("verdict", F.when(F.col("n_owners") > 1, "shared").otherwise("own"))
 
 
+def kept_rows(keys: DataFrame, order: str) -> DataFrame:
+    """(``order``, key): rows of ``keys`` that are kept, with their keys. Going by ``order``, a row is kept if no row kept before it has one of its keys.
+
+    Settled in rounds: a row that is the first at all its keys is kept, and all others that have a key of it are out. What is out no
+    longer stands in the way, so each round has new firsts, until none is left.
+    """
+    open_rows, kept = once(keys), None
+    while not open_rows.isEmpty():
+        first = open_rows.withColumn("first", F.min(order).over(Window.partitionBy("key")))
+        mine = first.groupBy(order).agg(F.bool_and(F.col("first") == F.col(order)).alias("all")).where("all").select(order)
+        new = once(open_rows.join(mine, order, "left_semi"))
+        kept = new if kept is None else once(kept.unionByName(new))
+        out = open_rows.join(new.select("key").distinct(), "key", "left_semi").select(order).distinct()
+        open_rows = once(open_rows.join(out, order, "left_anti"))
+    return keys.limit(0) if kept is None else kept
+
+
 def dedupe_multi_key(df: DataFrame, keys: list[str], fill: list[str], order: str) -> DataFrame:
-    """One row for each identity, where any equal key makes rows identical through the row kept; missing fields are filled from the others.
+    """One row for each identity, in the order of ``order``: a row with a key of a kept row before it is a duplicate of that row, else it is kept.
 
-    Rows point to the smallest ``order`` that shares a key, twice, as duplicates merge through the kept row only.
+    A duplicate's own keys aren't registered, so two rows that only a duplicate connects both stay. With keys of several kept rows it
+    belongs to the one of its first key, in the order of ``keys``. Missing fields are filled from the duplicates, the
+    first one first. Null keys are none; ``order`` is unique.
     """
-    rows = df.withColumn("root", F.col(order))
-    for _ in range(2):
-        roots = rows.select(order, "root")
-        for k in keys:
-            least = rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("root").alias("least"))
-            roots = roots.union(rows.join(least, k).select(order, F.col("least").alias("root")))
-        rows = df.join(roots.groupBy(order).agg(F.min("root").alias("root")), order)
+    given = df.select(order, F.explode(F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.struct(F.lit(i).alias("place"), F.concat(F.lit(f"{k}:"), F.col(k).cast("string")).alias("key"))) for i, k in enumerate(keys))))).alias("k"))
+    given = once(given.select(order, "k.place", "k.key"))
+    kept = kept_rows(given.select(order, "key"), order).select(F.col(order).alias("owner"), "key")
+    owners = given.join(kept, "key").where(F.col("owner") <= F.col(order)).groupBy(order).agg(F.min_by("owner", "place").alias("root"))
+    rows = df.join(owners, order, "left").withColumn("root", F.coalesce("root", order))
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in [*keys, *fill]]
     return rows.groupBy("root").agg(*first, F.count(F.lit(1)).alias("n_merged")).withColumnRenamed("root", order)
 
 
+def title_key(title: Column, size: int = 80) -> Column:
+    """A title's letters and digits in lower case, the first ``size``; NULL where there are none."""
+    return F.nullif(F.substring(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_]+", ""), 1, size), F.lit(""))
+
+
 def token_recall(got: DataFrame, gold: DataFrame, least: float = 0.6) -> DataFrame:
     """Best share of a gold item's tokens in any candidate of its key, and whether that counts as found."""
     tokens = lambda df, name: df.select("key", F.col("text").alias(name), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != ""))).alias("token"))
@@ -114,9 +138,16 @@ def field_stability(rows: DataFrame, runs: int, fields: list[str]) -> DataFrame:
 
 
 def output_hash(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One digest for each key that doesn't depend on the order of rows."""
-    row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns)), 256)
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).alias("digest"))
+    """One digest for each key that depends on the rows and how often each is there, not on their order.
+
+    Row digests are added up, word by word of 64 bits as exact decimals, so a key is a few partial sums, whatever its rows. Two outputs
+    with the same digest and count have the same rows but for a chance of about 2^-256.
+    """
+    text = F.concat_ws("|", *(F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~")) for c in columns))
+    d = rows.select(key, F.sha2(text, 256).alias("d"))
+    word = lambda i: F.conv(F.substring("d", 16 * i + 1, 16), 16, 10).cast("decimal(28,0)")
+    sums = d.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(word(i)).alias(f"w{i}") for i in range(4)))
+    return sums.select(key, "n", F.sha2(F.concat_ws(",", *(F.col(f"w{i}").cast("string") for i in range(4))), 256).alias("digest"))
 
 
 def union_minus(batches: list[DataFrame], counted: DataFrame, key: str, order: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.functions.tables import once
+
 #: Accession formats by repository.
 REPOSITORIES = (
     ("geo", r"\bGSE\d{3,}\b"),
@@ -195,9 +197,59 @@ def contrast_label(name: Column) -> Column:
     return F.translate(F.regexp_replace(name, "_vs_", " vs "), "_", " ")
 
 
-def leaks(blocks: DataFrame, headers: DataFrame) -> DataFrame:
-    """Blocks that hold a repeated line of their own paper among other text."""
-    return blocks.join(headers.select("paper_id", "line"), "paper_id").where(F.contains("text", "line") & (F.length("text") > F.length("line"))).groupBy("paper_id", "block_id").agg(F.count(F.lit(1)).alias("n_leaks"))
+#: Length of a gram and grams of a window: two texts that share GRAM + WINDOW - 1 characters share the least gram of a window.
+GRAM, WINDOW = 6, 7
+#: Characters of a reference title that are looked for, and the fewest that count; the fewest of a running header.
+TITLE_HEAD, LEAST_TITLE, LEAST_HEADER = 60, 40, 12
+
+
+def squeezed(text: Column) -> Column:
+    """Text without white space, emphasis and case."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[*_`\\]", ""), r"\s+", "")
+
+
+def ahead(items: str, k: int, f) -> Column:
+    """``f`` of each item and the one ``k`` places on; the last ``k`` items have none."""
+    n = F.greatest(F.size(items) - k, F.lit(0))
+    return F.zip_with(F.slice(items, F.lit(1), n), F.slice(items, F.lit(k + 1), n), f)
+
+
+def marked(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``__m``: the least hash of each WINDOW grams in a row, the same for the same stretch of text, wherever it stands.
+
+    Grams of 6 and windows of 7 are put together from twos and fours, so the work is a few passes over the characters. Take the marks apart by
+    explode_outer: a plain explode brings a filter on ``__m``, and pushing it down repeats the columns below many times over.
+    """
+    mix, least = lambda a, b: F.xxhash64(a, b), lambda a, b: F.least(a, b)
+    rows = rows.withColumn("__1", F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.xxhash64(c)))
+    rows = rows.withColumn("__2", ahead("__1", 1, mix)).withColumn("__4", ahead("__2", 2, mix))
+    n = F.greatest(F.size("__4") - 2, F.lit(0))
+    rows = rows.withColumn("__g", F.zip_with(F.slice("__4", F.lit(1), n), F.slice("__2", F.lit(5), n), mix))
+    rows = rows.withColumn("__2", ahead("__g", 1, least)).withColumn("__4", ahead("__2", 2, least))
+    return rows.withColumn("__m", F.array_distinct(ahead("__4", 3, least))).drop("__1", "__2", "__4", "__g")
+
+
+def leaks(blocks: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(paper_id, block_id, n_headers, n_titles): blocks that hold a running header or the title of a reference of their own paper.
+
+    ``patterns`` have paper_id, kind (header or title) and text. All are compared without white space, case and emphasis; a title by
+    its first characters. Each pattern is looked up by the one of its marks that fewest blocks of its paper have, and verified in what it meets, so
+    texts and patterns meet by hash and a frequent word pairs nobody. Shorter patterns than GRAM + WINDOW - 1 characters don't count.
+    """
+    p = patterns.where(F.col("text").isNotNull()).select("paper_id", "kind", squeezed(F.col("text")).alias("pattern"), F.length("text").alias("size"))
+    p = p.where(F.when(F.col("kind") == "title", F.col("size") >= LEAST_TITLE).otherwise(F.col("size") >= LEAST_HEADER))
+    p = p.withColumn("pattern", F.when(F.col("kind") == "title", F.substring("pattern", 1, TITLE_HEAD)).otherwise(F.col("pattern"))).where(F.length("pattern") >= GRAM + WINDOW - 1)
+    p = once(p.select("paper_id", "kind", "pattern").distinct())
+    b = blocks.select("paper_id", "block_id", squeezed(F.col("text")).alias("body"))
+    own = marked(p, "pattern").select("paper_id", "kind", "pattern", F.explode_outer("__m").alias("mark")).where("mark is not null")
+    held = marked(b.join(p.select("paper_id").distinct(), "paper_id", "left_semi"), "body").select("paper_id", "block_id", F.explode_outer("__m").alias("mark")).where("mark is not null")
+    held = once(held.join(own.select("paper_id", "mark").distinct(), ["paper_id", "mark"], "left_semi"))
+    often = held.groupBy("paper_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    # a mark that no block has: no block has the pattern
+    rarest = own.join(often, ["paper_id", "mark"], "left").groupBy("paper_id", "kind", "pattern").agg(F.min_by("mark", F.struct(F.coalesce("n", F.lit(0)), F.col("mark"))).alias("mark"))
+    met = rarest.join(held, ["paper_id", "mark"]).select("paper_id", "kind", "pattern", "block_id")
+    sure = met.join(b, ["paper_id", "block_id"]).where(F.contains("body", "pattern") & ((F.col("kind") == "title") | (F.length("body") > F.length("pattern"))))
+    return sure.groupBy("paper_id", "block_id").agg(F.count_if(F.col("kind") == "header").alias("n_headers"), F.count_if(F.col("kind") == "title").alias("n_titles"))
 
 
 def rank_chunks(docs: DataFrame, terms: list[str], size: int = 1400, step: int = 1200, k: int = 3) -> DataFrame:

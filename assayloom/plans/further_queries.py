@@ -122,6 +122,44 @@ def ev_07(t):
     return E.arm_comparison(t.run_deg.where("run_id = 'runA'"), t.run_deg.where("run_id = 'runR'"), 0.3, 0.5)
 
 
+#: Orders as tables of two parses: one as it is, one with other marks, lost lines, and parts of two orders in one table.
+TABLES = """
+a as (select o % 40 as paper_id, 'T' || lpad(o::varchar, 8, '0') as table_id, '| part | amount |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || p || ' | ' || q || ' |', chr(10) order by ln) as text from l group by o),
+b as (select paper_id, table_id, string_agg(row, chr(10) order by o, ln) as text from (select o % 40 as paper_id, 'X' || lpad((o - o % 80)::varchar, 8, '0') || case when o % 3 = 0 then 'a' else 'b' end as table_id, o, ln, '|**' || p || '**|' || case when q < 10 then '−' else '' end || q || '|' as row from l where ln % 5 <> 4) group by all)""".replace("\\u2212", "−")
+
+
+def order_tables(t):
+    l = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").cast("string").alias("p"), F.col("l_quantity").cast("long").alias("q"))  # noqa: E741
+    rows = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda r: r["row"]), "\n")
+    paper = (F.col("o") % 40).alias("paper_id")
+    a = l.withColumn("row", F.concat(F.lit("| "), "p", F.lit(" | "), "q", F.lit(" |"))).groupBy("o").agg(F.concat(F.lit("| part | amount |\n|---|---|\n"), rows(F.struct("ln", "row"))).alias("text"))
+    a = a.select(paper, F.concat(F.lit("T"), F.lpad(F.col("o").cast("string"), 8, "0")).alias("table_id"), "text")
+    b = l.where("ln % 5 <> 4").withColumn("row", F.concat(F.lit("|**"), "p", F.lit("**|"), F.when(F.col("q") < 10, "−").otherwise(""), "q", F.lit("|")))
+    b = b.groupBy(paper, F.concat(F.lit("X"), F.lpad((F.col("o") - F.col("o") % 80).cast("string"), 8, "0"), F.when(F.col("o") % 3 == 0, "a").otherwise("b")).alias("table_id"))
+    return a, b.agg(rows(F.struct("o", "ln", "row")).alias("text"))
+
+
+@query("ev_19_table_match", rf"""
+with l as (select l_orderkey as o, l_linenumber as ln, l_partkey as p, l_quantity::bigint as q from lineitem), {TABLES},
+c as (select 'a' as s, paper_id, table_id, unnest(string_split(text, chr(10))) as line from a union all select 'b', paper_id, table_id, unnest(string_split(text, chr(10))) from b),
+e as (select s, paper_id, table_id, unnest(string_split(regexp_replace(line, '^\|+|\|+$', '', 'g'), '|')) as raw from c where starts_with(line, '|') and not regexp_matches(line, '^\|[-:\s|]+$')),
+f as (select s, paper_id, table_id, regexp_replace(replace(regexp_replace(lower(raw), '[*_`]', '', 'g'), '{chr(0x2212)}', '-'), '\s+', '', 'g') as cell from e), g as (select s, paper_id, table_id, cell, count(*) as n from f where cell not in ('', '-') group by all),
+z as (select paper_id, table_id, sum(n)::bigint as n_cells from g where s = 'a' group by all), h as (select x.paper_id, x.table_id, y.table_id as match_id, sum(x.n) as k from g x join g y on x.paper_id = y.paper_id and x.cell = y.cell where x.s = 'a' and y.s = 'b' group by all),
+m as (select * from h qualify row_number() over (partition by paper_id, table_id order by k desc, match_id) = 1)
+select paper_id, table_id, n_cells, match_id, round(coalesce(k, 0) / n_cells, 6) as share from z left join m using (paper_id, table_id)""")
+def ev_19_tables(t):
+    return E.table_match(*order_tables(t))
+
+
+@query("ev_19_accession_classes", f"""
+with {FOUND}, x as (select distinct paper_id, accession, section_class from a where repo = 'geo'), y as (select distinct paper_id, accession, case when ord % 5 = 2 then 'other' else section_class end as section_class from a where repo = 'geo' and ord % 7 <> 3),
+p as (select paper_id, accession, list_sort(list(section_class)) as a from x group by all), q as (select paper_id, accession, list_sort(list(section_class)) as b from y group by all)
+select paper_id, accession, coalesce(array_to_string(a, ','), '') as first_classes, coalesce(array_to_string(b, ','), '') as second_classes, b is not null as found, case when a is not null then coalesce(list_has_any(a, b), false) end as same_class from p full join q using (paper_id, accession)""")
+def ev_19_accessions(t):
+    a = X.accessions(blocks(t)).where("repo = 'geo'")
+    return E.accession_comparison(a, a.where("ord % 7 <> 3").withColumn("section_class", F.when(F.col("ord") % 5 == 2, "other").otherwise(F.col("section_class"))))
+
+
 @query("ev_19_parse_comparison", f"""
 with a as (select paper_id, section_class, count(*) as n from ({BLOCKS}) group by all), b as (select paper_id, section_class, count(*) as n from ({BLOCKS}) where ord % 7 <> 3 group by all)
 select coalesce(a.paper_id, b.paper_id) as paper_id, coalesce(a.section_class, b.section_class) as section_class, coalesce(a.n, 0) as n_first, coalesce(b.n, 0) as n_second, coalesce(a.n, 0) = coalesce(b.n, 0) as same from a full join b on a.paper_id = b.paper_id and a.section_class = b.section_class""")

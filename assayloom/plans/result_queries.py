@@ -61,13 +61,18 @@ def win_08(t):
 
 
 @query("win_09_round_robin", """
-with r as (select c_mktsegment as source, c_custkey as id, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as place from customer),
-o as (select *, row_number() over (order by place, source) as position from r where place <= 60)
-select source, id, place, position from o where position <= 200""")
+with r as (select c_mktsegment as source, c_custkey as id, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) as place from customer where c_mktsegment <> 'MACHINERY' or c_custkey % 40 = 0),
+k as (select r.*, coalesce(cap, 0) as cap from r left join (values ('AUTOMOBILE', 60), ('BUILDING', 50), ('MACHINERY', 60), ('HOUSEHOLD', 30)) v(source, cap) using (source)),
+u as (select *, (row_number() over (order by place, source))::bigint as i from k where place <= cap), o as (select *, (row_number() over (order by place, source))::bigint as i from k where place > cap),
+p as (select source, id, place, false as beyond, i as position from u union all select source, id, place, true, i + (select count(*) from u) from o)
+select source, id, place, beyond, position from p where position <= 200""")
 def win_09(t):
+    """One source is short, one has no share."""
     from assayloom.operators.selection import interleave
 
-    return interleave(t.customer.select(F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("id"), "c_acctbal"), [F.desc("c_acctbal"), F.col("id")], 60, 200).select("source", "id", "place", "position")
+    c = t.customer.where("c_mktsegment <> 'MACHINERY' or c_custkey % 40 = 0").select(F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("id"), "c_acctbal")
+    out = interleave(c, [F.desc("c_acctbal"), F.col("id")], 200, {"AUTOMOBILE": 0.3, "BUILDING": 0.25, "MACHINERY": 0.3, "HOUSEHOLD": 0.15})
+    return out.select("source", "id", "place", "beyond", "position")
 
 
 @query("win_12_stratified_subsets", """

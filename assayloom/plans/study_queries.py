@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators import designs as D
 from assayloom.operators import joins as J
+from assayloom.operators import lattice as L
 from assayloom.operators import sets as S
 from assayloom.plans.matrix_queries import mapping
 from assayloom.plans.registry import query
@@ -121,17 +122,22 @@ def set_02(t):
 
 
 @query("set_03_multi_key_dedupe", """
-with r as (select c_custkey as id, case when c_custkey % 3 = 0 then null else 'd' || (c_custkey % 400) end as doi, case when c_custkey % 3 = 1 then null else 't' || (c_custkey % 300) end as title, case when c_custkey % 4 = 0 then null else c_name end as note from customer),
-r1 as (select id, least(id, min(id) over (partition by doi), min(id) over (partition by title)) as root0, doi, title, note, case when doi is null then id else min(id) over (partition by doi) end as d0, case when title is null then id else min(id) over (partition by title) end as t0 from r),
-s1 as (select *, least(id, d0, t0) as root1 from r1),
-s2 as (select *, least(root1, case when doi is null then root1 else min(root1) over (partition by doi) end, case when title is null then root1 else min(root1) over (partition by title) end) as root from s1)
-select root as id, arg_min(doi, id) filter (doi is not null) as doi, arg_min(title, id) filter (title is not null) as title, arg_min(note, id) filter (note is not null) as note, count(*) as n_merged from s2 group by root""")
+with recursive r as (select c_custkey as id, case when c_custkey % 3 = 0 then null else 'd' || (c_custkey * 7 % 400) end as doi, case when c_custkey % 5 < 2 then 'p' || (c_custkey * 11 % 350) end as pmid,
+  case when c_custkey % 3 = 1 then null else 'On  the ' || (c_custkey * 13 % 300) || case when c_custkey % 2 = 0 then ', part.' else '. PART' end end as title, case when c_custkey % 4 = 0 then null else c_name end as note from customer),
+n as (select *, nullif(left(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', '', 'g'), 80), '') as tkey, row_number() over (order by id) as i from r),
+k as (select *, list_filter(['doi:' || doi, 'pmid:' || pmid, 'title:' || tkey], lambda x: x is not null) as keys from n),
+s as (select 0::bigint as i, map([]::varchar[], []::bigint[]) as kept, null::bigint as id, null::bigint as root
+  union all select i, case when owner is null then map_concat(kept, map(keys, list_transform(keys, lambda x: id))) else kept end, id, coalesce(owner, id)
+  from (select k.i, s.kept, k.id, k.keys, list_filter(list_transform(k.keys, lambda x: s.kept[x]), lambda x: x is not null)[1] as owner from s join k on k.i = s.i + 1)),
+g as (select s.root, n.* from s join n using (id))
+select root as id, arg_min(doi, id) filter (doi is not null) as doi, arg_min(pmid, id) filter (pmid is not null) as pmid, arg_min(tkey, id) filter (tkey is not null) as title, arg_min(note, id) filter (note is not null) as note, count(*) as n_merged from g group by root""")
 def set_03(t):
     k = F.col("c_custkey")
+    title = F.concat(F.lit("On  the "), k * 13 % 300, F.when(k % 2 == 0, ", part.").otherwise(". PART"))
     r = t.customer.select(
-        k.alias("id"), F.when(k % 3 != 0, F.concat(F.lit("d"), k % 400)).alias("doi"), F.when(k % 3 != 1, F.concat(F.lit("t"), k % 300)).alias("title"), F.when(k % 4 != 0, F.col("c_name")).alias("note")
+        k.alias("id"), F.when(k % 3 != 0, F.concat(F.lit("d"), k * 7 % 400)).alias("doi"), F.when(k % 5 < 2, F.concat(F.lit("p"), k * 11 % 350)).alias("pmid"), F.when(k % 3 != 1, S.title_key(title)).alias("title"), F.when(k % 4 != 0, F.col("c_name")).alias("note")
     )
-    return S.dedupe_multi_key(r, ["doi", "title"], ["note"], "id")
+    return S.dedupe_multi_key(r, ["doi", "pmid", "title"], ["note"], "id")
 
 
 @query("set_04_cross_batch_union", """
@@ -202,8 +208,9 @@ def ev_05(t):
 
 
 @query("ev_11_output_identity", """
-with r as (select l_returnflag, sha256(coalesce(l_orderkey::varchar, '~') || '|' || coalesce(l_linenumber::varchar, '~') || '|' || coalesce(l_partkey::varchar, '~')) as d from lineitem)
-select l_returnflag, count(*) as n, sha256(array_to_string(list_sort(list(d)), ',')) as digest from r group by l_returnflag""")
+with r as (select l_returnflag, sha256(array_to_string(list_transform([l_orderkey::varchar, l_linenumber::varchar, l_partkey::varchar], lambda x: coalesce(strlen(x) || ':' || x, '~')), '|')) as d from lineitem),
+s as (select l_returnflag, count(*) as n, sum(('0x' || substring(d, 1, 16))::ubigint::hugeint) as a, sum(('0x' || substring(d, 17, 16))::ubigint::hugeint) as b, sum(('0x' || substring(d, 33, 16))::ubigint::hugeint) as c, sum(('0x' || substring(d, 49, 16))::ubigint::hugeint) as e from r group by all)
+select l_returnflag, n, sha256(a || ',' || b || ',' || c || ',' || e) as digest from s""")
 def ev_11(t):
     return S.output_hash(t.lineitem, "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey"])
 
@@ -256,17 +263,46 @@ def ds_06(t):
     return D.level_order(t.sample_attr, "age").union(D.level_order(t.sample_attr, "condition"))
 
 
-COMPARE = "cells as (select study_id, batch, condition, count(*) as n from {sample} group by all), c as (select study_id, b.condition || '_vs_' || a.condition || '_in_' || batch as name, a.condition as reference, b.condition as test, batch as within, a.n as n_reference, b.n as n_test, least(a.n, b.n) >= 3 as analyzable from cells a join cells b using (study_id, batch) where a.condition < b.condition)"
+#: Four factors at most: the arm, the batch without a reference, a time with more than six levels, and a stratum.
+DESIGNED = "select study_id, condition, batch, (ord * 7 % 8) || 'h' as hour, case when ord % 3 = 0 then 'f' else 'm' end as sex from {sample}"
 
 
-@query("ds_07_comparisons", f"with {COMPARE} select * from c")
+def designed(t):
+    o = F.col("ord")
+    return t.sample.select("study_id", "condition", "batch", F.concat(o * 7 % 8, F.lit("h")).alias("hour"), F.when(o % 3 == 0, "f").otherwise("m").alias("sex"))
+
+
+def lattice_sql() -> str:
+    """Common tables down to ``c``, the comparisons of DESIGNED in strata of sex."""
+    factors = ("condition", "batch", "hour")
+    out = [f"s as ({DESIGNED})", "cells as (select study_id, sex, condition, batch, hour, count(*) as n from s group by all)"]
+    for f in factors:
+        out.append(f"v{f} as (select study_id, sex, {f} as level, count(*) over w as k, count(*) over w = count(distinct try_cast(nullif(regexp_extract({f}, '-?[0-9]+([.][0-9]+)?'), '') as double)) over w as timed, try_cast(nullif(regexp_extract({f}, '-?[0-9]+([.][0-9]+)?'), '') as double) as num, regexp_matches(trim({f}), '{L.REFERENCE}') as reads from (select distinct study_id, sex, {f} from s) window w as (partition by study_id, sex))")
+        out.append(f"o{f} as (select study_id, sex, level, k, timed, row_number() over (partition by study_id, sex order by case when timed then num end nulls last, level) as place, case when sum(reads::int) over w = 1 then max(case when reads then level end) over w end as named from v{f} window w as (partition by study_id, sex))")
+        out.append(f"l{f} as (select *, coalesce(named, case when timed then max(case when place = 1 then level end) over (partition by study_id, sex) end) as ref, lag(level) over (partition by study_id, sex order by place) as prior from o{f})")
+        out.append(f"""p{f} as (select a.study_id, a.sex, case when b.level is not distinct from a.ref then a.level else b.level end as test, case when b.level is not distinct from a.ref then b.level else a.level end as reference from l{f} a join l{f} b using (study_id, sex) where a.place < b.place and a.k <= 6
+union all select study_id, sex, level, ref from l{f} where k > 6 and level <> ref union all select study_id, sex, level, prior from l{f} where k > 6 and timed and prior <> ref)""")
+    name = lambda f, where: f"trim(regexp_replace('{f}_' || test || '_vs_' || reference || {where}, '[^A-Za-z0-9._-]+', '_', 'g'), '_')"
+    every = []
+    for f in factors:
+        g, h = (x for x in factors if x != f)
+        cell = lambda k, level, f=f, g=g, h=h: f"left join cells {k} on {k}.study_id = p.study_id and {k}.sex = p.sex and {k}.{f} = {level} and {k}.{g} = x.level and {k}.{h} = y.level"
+        every.append(f"select study_id, 'simple' as kind, '{f}' as factor, test, reference, within[2:] as within, {name(f, 'within')} as name, n1 || ',' || n2 as sizes, least(n1, n2) as least_cell from (select p.study_id, test, reference, '_sex-' || p.sex || '_{g}-' || x.level || '_{h}-' || y.level as within, coalesce(a.n, 0) as n1, coalesce(b.n, 0) as n2 from p{f} p join l{g} x on x.study_id = p.study_id and x.sex = p.sex join l{h} y on y.study_id = p.study_id and y.sex = p.sex {cell('a', 'test')} {cell('b', 'reference')})")
+    for f, g, h in (("condition", "batch", "hour"), ("condition", "hour", "batch"), ("batch", "hour", "condition")):
+        cell = lambda k, u, v, f=f, g=g, h=h: f"left join cells {k} on {k}.study_id = p.study_id and {k}.sex = p.sex and {k}.{f} = {u} and {k}.{g} = {v} and {k}.{h} = y.level"
+        every.append(f"select study_id, 'interaction', '{f}:{g}', test, reference, within[2:], {name(f'{f}:{g}', 'within')}, concat_ws(',', a, b, c, d), least(a, b, c, d) from (select p.study_id, p.level || ':' || q.level as test, p.named || ':' || q.named as reference, '_sex-' || p.sex || '_{h}-' || y.level as within, coalesce(ca.n, 0) as a, coalesce(cb.n, 0) as b, coalesce(cc.n, 0) as c, coalesce(cd.n, 0) as d from l{f} p join l{g} q using (study_id, sex) join l{h} y using (study_id, sex) {cell('ca', 'p.level', 'q.level')} {cell('cb', 'p.named', 'q.level')} {cell('cc', 'p.level', 'q.named')} {cell('cd', 'p.named', 'q.named')} where p.level <> p.named and q.level <> q.named)")
+    out.append("c as (select *, least_cell >= 3 as analyzable from (" + " union all ".join(every) + "))")
+    return ", ".join(out)
+
+
+@query("ds_07_comparisons", f"with {lattice_sql()} select * from c where kind = 'simple'")
 def ds_07(t):
-    return D.comparisons(t.sample, "condition", "batch")
+    return L.lattice(designed(t), ["condition", "batch", "hour"], ["sex"]).where("kind = 'simple'")
 
 
-@query("ds_07b_interactions", f"with {COMPARE} select x.study_id, x.reference, x.test, x.within as within_a, y.within as within_b, least(x.n_reference, x.n_test, y.n_reference, y.n_test) as least_cell, least(x.n_reference, x.n_test, y.n_reference, y.n_test) >= 3 as analyzable from c x join c y using (study_id, reference, test) where x.within < y.within")
+@query("ds_07b_interactions", f"with {lattice_sql()} select * from c where kind = 'interaction'")
 def ds_07b(t):
-    return D.interactions(t.sample, "condition", "batch")
+    return L.lattice(designed(t), ["condition", "batch", "hour"], ["sex"]).where("kind = 'interaction'")
 
 
 @query("ds_08_planned_sizes", "with s as (select study_id, condition, count(*) as n from {sample} group by all), p as (select study_id, unnest(['control', 'treated', 'placebo']) as planned from (select distinct study_id from {sample})) select p.study_id, planned, coalesce(n, 0) as n, case when n is null then 'unknown' when n >= 3 then 'enough' else 'too_small' end as verdict from p left join s on s.study_id = p.study_id and s.condition = p.planned")

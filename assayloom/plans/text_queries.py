@@ -251,9 +251,20 @@ def txt_18(t):
     return t.finding.select("finding_id", F.array_join(symbol_candidates(e), ";").alias("candidates"))
 
 
-@query("txt_19_leaks", f"with {LINES}, b as ({BLOCKS}) select b.paper_id, block_id, count(*) as n_leaks from b join r using (paper_id) where contains(text, line) and length(text) > length(line) group by all")
+@query("txt_19_leaks", f"""
+with {LINES}, o as (select doc_id as paper_id, unnest(x) as line, generate_subscripts(x, 1) - 1 as i from (select doc_id, string_split(text, chr(10)) as x from documents)), b as (select paper_id, 'P' || (i // 3) as block_id, string_agg(line, ' ' order by i) as text from o group by all),
+sq as (select paper_id, block_id, regexp_replace(regexp_replace(lower(text), '[*_`\\\\]', '', 'g'), '\\s+', '', 'g') as body from b),
+t as (select paper_id, 'header' as kind, line as text from r where length(line) >= 12 union all select paper_id, 'title', quote from {{quote}} where length(quote) >= 40 union all select doc_id, 'title', substring(text, 5 + doc_id % 30, 90) from documents where length(substring(text, 5 + doc_id % 30, 90)) >= 40),
+p as (select distinct paper_id, kind, case when kind = 'title' then left(q, 60) else q end as pattern from (select paper_id, kind, regexp_replace(regexp_replace(lower(text), '[*_`\\\\]', '', 'g'), '\\s+', '', 'g') as q from t) where length(q) >= 12)
+select paper_id, block_id, count(case when kind = 'header' then 1 end) as n_headers, count(case when kind = 'title' then 1 end) as n_titles from sq join p using (paper_id) where contains(body, pattern) and (kind = 'title' or length(body) > length(pattern)) group by all""")
 def txt_19(t):
-    return X.leaks(blocks(t), X.repeated_lines(t.documents.select(F.col("doc_id").alias("paper_id"), "text")))
+    """Blocks of three lines; repeated lines are the headers, passages and a stretch of the text the titles of references."""
+    d = t.documents.select(F.col("doc_id").alias("paper_id"), "text")
+    lines = d.select("paper_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    b = lines.groupBy("paper_id", F.concat(F.lit("P"), F.floor(F.col("i") / 3)).alias("block_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("i", "line")))["line"], " ").alias("text"))
+    title = lambda df, text: df.select("paper_id", F.lit("title").alias("kind"), text.alias("text"))
+    headers = X.repeated_lines(d).select("paper_id", F.lit("header").alias("kind"), F.col("line").alias("text"))
+    return X.leaks(b, headers.unionByName(title(t.quote, F.col("quote"))).unionByName(title(d, F.expr("substring(text, int(5 + paper_id % 30), 90)"))))
 
 
 @query("txt_20_quote_offset", f'with {VERIFIED} select paper_id, quote_id, "offset" from v where "offset" is not null')
