@@ -355,11 +355,14 @@ def lowest_pair(corr: DataFrame) -> DataFrame:
 def pca(m: DataFrame, n: int = 2, value: str = "value") -> DataFrame:
     """Scores and explained variance of the samples of each study, features centred and not scaled.
 
-    Gram matrices add up over features in Arrow batches (``blocks``), and one eigenproblem of the samples a study remains.
+    Only features with a value for every sample of their study count; samples without any value aren't there. Gram matrices add up over
+    features in Arrow batches (``blocks``), and one eigenproblem of the samples a study remains.
     """
-    centred = m.withColumn("c", F.col(value).cast("double") - F.avg(value).over(Window.partitionBy("study_id", "feature_id")))
-    packed = centred.groupBy("study_id", "feature_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "c"))).alias("p"))
-    rows = packed.select("study_id", F.pmod(F.xxhash64("feature_id"), F.lit(64)).alias("block"), F.col("p.sample_id").alias("samples"), F.col("p.c").alias("c"))
+    v = m.select("study_id", "feature_id", "sample_id", F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    size = v.select("study_id", "sample_id").distinct().groupBy("study_id").agg(F.count(F.lit(1)).alias("n"))
+    packed = v.groupBy("study_id", "feature_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "v"))).alias("p"), F.avg("v").alias("mean"))
+    whole = packed.join(size, "study_id").where((F.size("p") == F.col("n")) & (F.size(F.array_distinct("p.sample_id")) == F.col("n")))
+    rows = whole.select("study_id", F.pmod(F.xxhash64("feature_id"), F.lit(64)).alias("block"), F.col("p.sample_id").alias("samples"), F.transform("p.v", lambda x: x - F.col("mean")).alias("c"))
 
     def gram(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["c"].to_list())
