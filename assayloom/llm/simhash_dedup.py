@@ -9,7 +9,7 @@ one before the expansion; so no group is unbounded and neighbours in a group suf
 For similarity on longer shingles no fingerprint decides well: texts that share 80 % of their shingles differ in about 15 % of its
 bits, give or take. ``similar_groups`` is an exact set-similarity join instead: candidates share a shingle of their prefixes (the rarest
 fifth of the set, and one more, at 0.8), pass sound bounds from positions and parity sketches, and are decided by the Jaccard
-similarity of the sets themselves.
+similarity of the sets themselves. What meets in crowds that all share a passage is told apart by the parts of the sets instead.
 
 Edge cases: a null or blank text has fingerprint zero and is linked like any other; fewer words than a shingle give one
 shingle of all words; a row with a null id takes part in no link and has a null component unless its fingerprint (or set) has
@@ -35,6 +35,10 @@ SEED, SHINGLE, RADIUS, BITS = 42, 3, 2, 64
 SIMILARITY, WIDE_SHINGLE, WORDS = 0.8, 5, 4
 #: Least bits of a parity sketch, which has two bits a shingle at least; neighbours compared in a random order at a crowded shingle.
 SKETCH, NEIGHBOURS = 512, 4
+#: Rows of a shingle that one task looks at in order; rows at a shingle that are compared pair by pair.
+BUCKET, TILE = 4096, 64
+#: Parts that alike sets must nearly have in common, see ``part_keys``.
+PARTS = 3
 #: Rows of ids and keys that are broadcast at most, some 10 MB; beyond that both sides of a join are shuffled.
 MOST_BROADCAST = 250_000
 #: One document of SAMPLE is counted for the order of shingles; RECURS times there is common; at most MOST_COMMON are ordered by count.
@@ -226,6 +230,13 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / max(len(x) + len(y) - both, 1)
 
 
+def texts_of(nodes: DataFrame, prints: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of ``nodes``: texts are lighter than sets, and only those that are wanted are moved."""
+    wanted = written(nodes.join(prints.select("node", "rep", "key"), "node"), "wanted")
+    named = docs.select(F.col(id_col).alias("rep"), row_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    return written(named.join(small(wanted), ["rep", "key"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
 def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float, size: int, id_col: str, text_col: str) -> DataFrame:
     """The distinct pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
@@ -234,10 +245,7 @@ def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: floa
     of = lambda c: prints.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     may = overlap_within(F.col("n_a"), F.col("n_b"), apart(F.col("s_a"), F.col("s_b")), similarity)
     left = written(pairs.distinct().join(of("a"), "a").join(of("b"), "b").where(may).select("a", "b"), "candidates")
-    # texts are lighter than sets, and only those of candidates are moved
-    wanted = written(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().join(prints.select("node", "rep", "key"), "node"), "wanted")
-    named = docs.select(F.col(id_col).alias("rep"), row_key(text_col).alias("key"), F.col(text_col).alias("text"))
-    texts = written(named.join(small(wanted), ["rep", "key"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = texts_of(left.select(F.col("a").alias("node")).union(left.select("b")).distinct(), prints, docs, id_col, text_col)
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +258,73 @@ def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: floa
 
 
 def crowds(met: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """The rows of ``met`` (shingle, b) at shingles where more than one component of ``found`` meets; b gets its component and brief sketch."""
+    """The rows of ``met`` (shingle, b) at shingles where more than one component of ``found`` meets; b gets its component and brief sketch.
+
+    ``many`` is how many rows are left at the shingle.
+    """
     held = met.select("shingle", "b", F.col("b.node").alias("node")).join(found, "node", "left").select("shingle", "node", "b", F.coalesce("component", "node").alias("of"))
-    open_ = held.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most")).where("least <> most").select("shingle")
-    sketched = held.join(open_, "shingle", "left_semi").join(reps.select("node", "brief"), "node")
-    return written(sketched.select("shingle", F.struct("b.node", "b.n", "b.at", "of", "brief").alias("b")), "held")
+    open_ = held.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.count(F.lit(1)).alias("many")).where("least <> most").select("shingle", "many")
+    sketched = held.join(open_, "shingle").join(reps.select("node", "brief"), "node")
+    return written(sketched.select("shingle", F.struct("b.node", "b.n", "b.at", "of", "brief").alias("b"), "many"), "held")
+
+
+def bucket(salt: int) -> Column:
+    """A part of a shingle's rows, so that no task has to look at all of a frequent one; ``many`` rows are there."""
+    return F.pmod(F.xxhash64("b.node", F.lit(salt)), F.ceil(F.col("many") / BUCKET)).alias("part")
+
+
+def size_classes(similarity: float, most: int) -> list[int]:
+    """Least sizes of classes so wide that sets of this similarity are in one class or two classes side by side."""
+    bounds = [1]
+    while bounds[-1] <= most:
+        bounds.append(max(bounds[-1] + 1, math.ceil(bounds[-1] / similarity - 1e-9)))
+    return bounds
+
+
+def part_keys(h: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a set of hashes; for each the part it belongs to, whether it stands for the whole part, and whether it is one of the next class.
+
+    In a class of sizes up to U, sets of this similarity differ in H = 2 U (1 - s) / (1 + s) elements at most. Of H // 2 + PARTS
+    parts of all elements PARTS have then one difference at most each. A part's key is the sum of its elements' hashes, and each element left out
+    gives another key, so two such parts share a key, one of them as a whole. A set has the keys of its own class and of the
+    next one, where it may be the smaller of two.
+    """
+    bounds = size_classes(similarity, len(h))
+    own = max(i for i, b in enumerate(bounds) if b <= max(len(h), 1))
+    bounds, value, out = size_classes(similarity, bounds[-1] * 2), mixed(h, 1), []
+    for k in (own, own + 1):
+        most = bounds[k + 1] - 1
+        n = math.floor(2 * most * (1 - similarity) / (1 + similarity) + 1e-9) // 2 + PARTS
+        at = (mixed(h, 2 + k) % np.uint64(n)).astype(np.int64)
+        total, place = np.zeros(n, dtype=np.uint64), mixed(np.arange(n, dtype=np.uint64), 1000 + k)
+        np.add.at(total, at, value)
+        keys = np.concatenate([mixed(total ^ place, 3), mixed((total[at] - value) ^ place[at], 3)])
+        out.append((keys.view("<i8"), np.concatenate([np.arange(n), at]), np.arange(len(keys)) < n, np.full(len(keys), k > own)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def by_parts(nodes: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, n, of) of different components that may be alike: those with PARTS parts in which they share a key.
+
+    Rows grow with the shingles of the nodes. Common passages make two texts meet at many shingles, but seldom leave one part of them
+    nearly the same, and hardly ever several, so few pairs come out of a crowd of texts that aren't alike.
+    """
+    small_batches(nodes.sparkSession)
+    names = ["key", "part", "whole", "upper", "node", "n", "of"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, n, of, text in zip(*(batch[c].to_pylist() for c in ("node", "n", "of", "text")), strict=True):
+                columns = part_keys(shingle_set(text, size), similarity)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(np.full(len(columns[0]), v)) for v in (node, n, of))], names)
+
+    kinds = "key bigint, part bigint, whole boolean, upper boolean, node bigint, n bigint, of bigint"
+    rows = written(nodes.join(texts, "node").select("node", "n", "of", "text").mapInArrow(run, kinds), "parts")
+    x, y = (rows.select("key", F.struct(*names[1:]).alias(c)) for c in "xy")
+    near = enough(F.least("x.n", "y.n"), F.col("x.n"), F.col("y.n"), similarity)
+    met = x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & (F.col("x.of") != F.col("y.of")) & (F.col("x.whole") | F.col("y.whole")) & ~(F.col("x.upper") & F.col("y.upper")) & near)
+    pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.part").alias("part")).distinct()
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PARTS).select("a", "b")
 
 
 def comparable(x: str, y: str, similarity: float) -> Column:
@@ -269,7 +339,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     ``component`` is the smallest id reachable. ``kept`` rows are those with the smallest id, and of its texts the one with the smallest
     ``key``; rows with a null id are kept too. Equal sets are one. What meets at a shingle of its prefix is compared with the one
     before it and the first one there, then with a few at random, and then with all that these links haven't brought to the same
-    component and whose sketches allow it; so no pair is missed.
+    component and whose sketches allow it; so no pair is missed. Where more than TILE rows are left at a shingle, they aren't paired there: their
+    whole sets meet by parts (``by_parts``).
     """
     common, counts = common_shingles(docs, size, id_col, text_col)
     fields = "d0 bigint, d1 bigint, n bigint, brief array<bigint>, sketch array<bigint>, prefix array<bigint>"
@@ -279,22 +350,25 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     reps = prints.where("rep is not null")
     decided = lambda pairs: written(alike(pairs.toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
     rows = reps.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", F.struct("node", "n", "at").alias("b"))
-    w = Window.partitionBy("shingle").orderBy("b.node")
-    first = F.first("b").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = rows.select("shingle", "b", F.lag("b").over(w).alias("last"), first.alias("first"), F.lead("b").over(w).alias("next"))
-    met = written(met.where("last is not null or next is not null").drop("next"), "met")
-    near = met.select("b", F.explode(F.array("last", "first")).alias("a")).where("a.node <> b.node").where(may_be_alike("a", "b", similarity))
+    at = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min("b").alias("first")).where("many > 1")
+    w = Window.partitionBy("shingle", "part").orderBy("b.node")
+    met = written(rows.join(at, "shingle").withColumn("part", bucket(0)).select("shingle", "b", F.lag("b").over(w).alias("last"), "first"), "met")
+    near = met.select("b", F.explode(F.array_compact(F.array("last", "first"))).alias("a")).where("a.node <> b.node").where(may_be_alike("a", "b", similarity))
     links = decided(near.select("a.node", "b.node"))
     # then a few neighbours in a random order, and then all, where what meets isn't in one component yet
     held = crowds(met.select("shingle", "b"), components(links), reps)
-    w = Window.partitionBy("shingle").orderBy(F.xxhash64("b.node", "shingle"))
-    beside = held.select("b", F.array(*(F.lag("b", k).over(w) for k in range(1, NEIGHBOURS + 1))).alias("before"))
+    w = Window.partitionBy("shingle", "part").orderBy(F.xxhash64("b.node", "shingle"))
+    beside = held.withColumn("part", bucket(1)).select("b", F.array(*(F.lag("b", k).over(w) for k in range(1, NEIGHBOURS + 1))).alias("before"))
     some = beside.select("b", F.explode("before").alias("a")).where(comparable("a", "b", similarity))
     links = links.union(decided(some.select("a.node", "b.node")))
     held = crowds(held.select("shingle", "b"), components(links), reps)
-    x, y = held.withColumnRenamed("b", "x"), held.withColumnRenamed("b", "y")
-    rest = x.join(y, "shingle").where(F.col("x.node") < F.col("y.node")).where(comparable("x", "y", similarity))
-    found = components(links.union(decided(rest.select("x.node", "y.node"))))
+    few, crowded = held.where(F.col("many") <= TILE), held.where(F.col("many") > TILE)
+    x, y = few.select("shingle", F.col("b").alias("x")), few.select("shingle", F.col("b").alias("y"))
+    rest = x.join(y, "shingle").where(F.col("x.node") < F.col("y.node")).where(comparable("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    nodes = written(crowded.select("b.node", "b.n", "b.of").distinct(), "crowd")
+    if not nodes.isEmpty():
+        rest = rest.union(by_parts(nodes, texts_of(nodes.select("node"), reps, docs, id_col, text_col), similarity, size))
+    found = components(links.union(decided(rest)))
     tops = written(prints.join(found, "node", "left").select("d0", "d1", F.struct("rep", "key").alias("row"), F.coalesce("component", "node").alias("top")), "tops")
     named = written(tops.join(tops.where("row.rep is not null").groupBy("top").agg(F.min("row").alias("least")), "top", "left").select("d0", "d1", "least"), "named")
     kept = F.coalesce((F.col(id_col) == F.col("least.rep")) & (F.col("key") == F.col("least.key")), F.lit(True))

@@ -161,3 +161,49 @@ def test_what_goes_may_be_too_large_to_broadcast(make_docs, words, monkeypatch):
     docs = make_docs([words(k // 2, 50) for k in range(40)])
     monkeypatch.setattr(simhash_dedup, "MOST_BROADCAST", 0)
     assert sorted(r["doc_id"] for r in one_of_each(docs, similar_groups(docs)).collect()) == list(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6])
+def test_alike_sets_nearly_share_parts(similarity):
+    """Whatever the sizes: sets of the similarity have PARTS parts with a common key, one of each as a whole."""
+    import numpy as np
+
+    from assayloom.llm.simhash_dedup import PARTS, part_keys
+
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 30), 60, 200, 777, 3000]:
+        for _ in range(6):
+            x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            most = int(2 * len(x) * (1 - similarity) / (1 + similarity) + 1e-9)
+            out = rng.integers(0, most // 2 + 1)  # as unlike as allowed, with sizes as different as that leaves
+            y = np.unique(np.concatenate([x[out:], rng.integers(0, 2**63, int(rng.integers(0, max(most - 2 * out, 0) + 1)) + 0).astype(np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            if both / max(len(x) + len(y) - both, 1) < similarity:
+                continue
+            found = set()
+            a, b = ({}, {})
+            for side, s in ((a, x), (b, y)):
+                for key, part, whole, upper in zip(*(v.tolist() for v in part_keys(s, similarity)), strict=True):
+                    side.setdefault(key, []).append((part, whole, upper))
+            for key in a.keys() & b.keys():
+                found |= {p for p, wa, ua in a[key] for q, wb, ub in b[key] if p == q and (wa or wb) and not (ua and ub)}
+            assert len(found) >= PARTS, (n, len(x), len(y), both)
+
+
+def test_crowds_met_by_parts_lose_no_link(make_docs, words, monkeypatch):
+    """Texts of common paragraphs, none alike, and near copies of some: with and without parts the classes are those of brute force."""
+    from assayloom.llm import simhash_dedup
+
+    rng = random.Random(21)
+    paragraphs = [words(9000 + k, 50).split(" ") for k in range(20)]
+    crowd = [[w for p in rng.sample(paragraphs, 8) for w in p] for _ in range(90)]
+    t = [" ".join(x) for x in crowd] + [" ".join(edited(x, rng, 1 + k)) for k, x in enumerate(crowd[:14])] + [" ".join(x[: len(x) - 20 * k]) for k, x in enumerate(crowd[20:28])]
+    sets = [shingles(x) for x in t]
+    expected = classes([(i, j) for i in range(len(t)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8], range(len(t)))
+    docs = make_docs(t)
+    assert {r["doc_id"]: r["component"] for r in similar_groups(docs).collect()} == expected
+    monkeypatch.setattr(simhash_dedup, "TILE", 1)
+    monkeypatch.setattr(simhash_dedup, "NEIGHBOURS", 1)
+    monkeypatch.setattr(simhash_dedup, "BUCKET", 16)
+    assert {r["doc_id"]: r["component"] for r in similar_groups(docs).collect()} == expected
+    assert len(set(expected.values())) > 90 and len(expected) - len(set(expected.values())) >= 10
