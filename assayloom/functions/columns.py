@@ -27,6 +27,18 @@ def bh(p: Column, *keys: str) -> Column:
     return F.when(p.isNotNull(), F.least(F.lit(1.0), p * m / rank))
 
 
+def subject_and_time(name: Column) -> tuple[Column, Column]:
+    """``q1_x`` as x and q1, else a name split at its last underscore; NULL both without one."""
+    early, split = r"^(q[12])_(.+)$", r"^(.*)_([^_]*)$"
+    of = lambda first, second: F.when(name.rlike(early), F.regexp_extract(name, early, first)).when(name.rlike(split), F.regexp_extract(name, split, second))
+    return of(2, 1), of(1, 2)
+
+
+def arm_of(title: Column) -> Column:
+    """A sample's title without the number of its replicate."""
+    return F.btrim(F.regexp_replace(F.trim(title), r"(?i)[\s_-]*(?:rep(?:licate)?[\s_-]*)?\d+$", ""), F.lit(" _-"))
+
+
 def sex_label(c: Column) -> Column:
     """female, male or NULL; female is tested first because it holds 'male'."""
     low = F.lower(F.trim(c))

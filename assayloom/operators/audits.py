@@ -160,3 +160,22 @@ def provider_stability(runs: DataFrame) -> DataFrame:
     j = a.join(b, "key").where("provider_a < provider_b")
     same = F.count_if(F.col("value_a").eqNullSafe(F.col("value_b")))
     return j.groupBy("provider_a", "provider_b").agg(F.count(F.lit(1)).alias("n_common"), same.alias("n_same"), F.round(same / F.count(F.lit(1)), 6).alias("agreement"))
+
+
+def untrusted_support(links: DataFrame, trust: DataFrame) -> DataFrame:
+    """Links that support a claim by evidence that isn't trusted (evidence_id, trusted)."""
+    return links.where("relation = 'supports'").join(trust.where("not trusted"), "evidence_id", "left_semi").select("claim_id", "evidence_id", F.lit("untrusted evidence cannot support").alias("message"))
+
+
+def artifact_check(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Paths (path, digest) that are missing, unexpected or of another content."""
+    j = expected.select("path", F.col("digest").alias("e")).join(found.select("path", F.col("digest").alias("a")), "path", "full_outer").where(~F.col("e").eqNullSafe(F.col("a")))
+    return j.select("path", F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "unexpected").otherwise("digest mismatch").alias("message"))
+
+
+def said_and_own_counts(findings: DataFrame, results: DataFrame, alpha: float) -> DataFrame:
+    """By study how many features go up and down by the paper's findings and by the own results."""
+    p = findings.groupBy("study_id").agg(F.count_if(F.col("direction") == "up").alias("up"), F.count_if(F.col("direction") == "down").alias("down"))
+    sig = F.col("padj") < alpha
+    o = results.groupBy("study_id").agg(F.count_if(sig & (F.col("log2fc") > 0)).alias("own_up"), F.count_if(sig & (F.col("log2fc") < 0)).alias("own_down"))
+    return p.join(o, "study_id", "left")

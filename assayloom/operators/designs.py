@@ -166,15 +166,40 @@ def confident(contrasts: DataFrame, viable: DataFrame, least: int = 3) -> DataFr
     return c.join(n, "study_id").select("study_id", "n_columns", "least", ((F.col("n_columns") == 1) & (F.col("least") >= least)).alias("confident"))
 
 
-def split_study(a: DataFrame, attr: str) -> DataFrame:
-    """A study for each level of an attribute and the comparisons of all pairs; a baseline level is the control, else the earlier by order."""
+def split_study(a: DataFrame, attr: str, pairing: str = "all", most: int | None = None) -> DataFrame:
+    """A study for each level of an attribute, and the comparisons between them.
+
+    ``all`` pairs every two levels, ``baseline`` each other level with each baseline one, ``baseline+adjacent`` each level with the first
+    baseline and every level with the one before it. Baseline levels come first, so the control is always the earlier of a pair. ``most``
+    keeps the first comparisons of a study, in the order of their enumeration.
+    """
     o = level_order(a, attr)
     n = a.where(F.col("attr") == attr).groupBy("study_id", "value").agg(F.count(F.lit(1)).alias("n"))
     o = o.join(n, ["study_id", "value"])
-    x, y = (o.select("study_id", F.col("value").alias(k), F.col("place").alias(f"place_{k}"), F.col("n").alias(f"n_{k}")) for k in ("control", "treatment"))
+    x, y = (o.select("study_id", F.col("value").alias(k), F.col("place").alias(f"place_{k}"), F.col("n").alias(f"n_{k}"), F.col("is_control").alias(f"base_{k}")) for k in ("control", "treatment"))
     slug = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_")
     j = x.join(y, "study_id").where("place_control < place_treatment")
-    return j.select("study_id", F.concat_ws("__", "study_id", slug(F.col("control"))).alias("control_study"), F.concat_ws("__", "study_id", slug(F.col("treatment"))).alias("treatment_study"), "control", "treatment", F.least("n_control", "n_treatment").alias("least_n"))
+    if pairing == "baseline":
+        j = j.where("base_control and not base_treatment")
+    elif pairing == "baseline+adjacent":
+        j = j.withColumn("first", F.col("base_control") & (F.col("place_control") == 1)).where(F.col("first") | (F.col("place_control") + 1 == F.col("place_treatment")))
+    elif pairing != "all":
+        raise ValueError("pairing is all, baseline or baseline+adjacent")
+    if most is not None:
+        order = [F.desc("first"), "place_treatment"] if pairing == "baseline+adjacent" else ["place_control", "place_treatment"]
+        j = j.withColumn("nth", F.row_number().over(Window.partitionBy("study_id").orderBy(*order))).where(F.col("nth") <= most)
+    return j.select("study_id", F.concat_ws("__", "study_id", slug(F.col("control"))).alias("control_study"), F.concat_ws("__", "study_id", slug(F.col("treatment"))).alias("treatment_study"), "control", "treatment", F.least("n_control", "n_treatment").alias("least_n"), (F.col("n_control") + F.col("n_treatment")).alias("both_arms_n"))
+
+
+def planned_sizes(s: DataFrame, planned: DataFrame, least: int = 3) -> DataFrame:
+    """(study_id, planned, n, verdict): samples of each planned condition; names are compared without case, white space and underscores.
+
+    A planned name without samples is unknown.
+    """
+    key = lambda c: F.regexp_replace(F.lower(c), r"[\s_-]+", "")
+    n = s.groupBy("study_id", key(F.col("condition")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    j = planned.select("study_id", "planned", key(F.col("planned")).alias("key")).join(n, ["study_id", "key"], "left")
+    return j.select("study_id", "planned", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "unknown").when(F.col("n") >= least, "enough").otherwise("too_small").alias("verdict"))
 
 
 def sex_split(s: DataFrame, least: int = 3) -> DataFrame:

@@ -16,13 +16,19 @@ def set_run_stability(runs: DataFrame, alpha: float = 0.25) -> DataFrame:
     return j.groupBy("run_a", "run_b").agg(F.count(F.lit(1)).alias("n_common"), F.round(F.corr("nes_a", "nes_b"), 6).alias("r"), both.alias("sig_both"), either.alias("sig_any"))
 
 
-def stability_gate(runs: DataFrame, alpha: float = 0.05, least_r: float = 0.99, least_jaccard: float = 0.95) -> DataFrame:
-    """Whether all pairs of runs (run_id, feature_id, log2fc, padj) agree enough; one row."""
+def stability_gate(runs: DataFrame, alpha: float = 0.05, least_r: float = 0.99, least_jaccard: float = 0.95, expected: int = 3) -> DataFrame:
+    """Whether all pairs of runs (run_id, feature_id, log2fc, padj) agree enough; one row.
+
+    ``complete``: the ``expected`` runs are there, and each has every feature with an effect that any has. What isn't complete isn't stable.
+    """
     a, b = (runs.select(F.col("run_id").alias(f"run_{x}"), "feature_id", F.col("log2fc").alias(f"fc_{x}"), (F.col("padj") < alpha).alias(f"sig_{x}")) for x in "ab")
-    jaccard = F.count_if(F.col("sig_a") & F.col("sig_b")) / F.count_if(F.col("sig_a") | F.col("sig_b"))
+    jaccard = F.try_divide(F.count_if(F.col("sig_a") & F.col("sig_b")), F.count_if(F.col("sig_a") | F.col("sig_b")))
     p = a.join(b, "feature_id").where("run_a < run_b").groupBy("run_a", "run_b").agg(F.corr("fc_a", "fc_b").alias("r"), jaccard.alias("j"))
-    stable = (F.min("r") >= least_r) & (F.min("j") >= least_jaccard)
-    return p.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.min("r"), 6).alias("least_r"), F.round(F.min("j"), 6).alias("least_jaccard"), stable.alias("stable"))
+    n = runs.where(F.col("log2fc").isNotNull()).groupBy("feature_id").agg(F.countDistinct("run_id").alias("k")).agg(F.min("k").alias("fewest"))
+    there = runs.agg(F.countDistinct("run_id").alias("n_runs")).crossJoin(n)  # one row each
+    complete = (F.col("n_runs") >= expected) & (F.col("fewest") == F.col("n_runs"))
+    pairs = p.agg(F.count(F.lit(1)).alias("n_pairs"), F.min("r").alias("r"), F.min("j").alias("j")).crossJoin(there.select("n_runs", F.coalesce(complete, F.lit(False)).alias("complete")))
+    return pairs.select("n_pairs", "n_runs", "complete", F.round("r", 6).alias("least_r"), F.round("j", 6).alias("least_jaccard"), (F.col("complete") & F.coalesce((F.col("r") >= least_r) & (F.col("j") >= least_jaccard), F.lit(False))).alias("stable"))
 
 
 def arm_comparison(a: DataFrame, b: DataFrame, alpha: float = 0.05, close: float = 1e-3) -> DataFrame:
@@ -99,9 +105,22 @@ def result_sanity(results: DataFrame, samples: DataFrame, alpha: float = 0.05, m
     return d.join(s, "study_id").select("study_id", "method", "share", "arm", F.array_join(flags, ";").alias("flags"))
 
 
-def gold_dedupe(rows: DataFrame, key: str, label: str, must_agree: str) -> DataFrame:
-    """One row a sample: its labels, how many rows it had, and whether they contradict each other."""
-    return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(label)), ";").alias("labels"), F.count(F.lit(1)).alias("n"), (F.countDistinct(must_agree) > 1).alias("conflict"))
+def gold_dedupe(rows: DataFrame, key: str, order: str, labels: list[str]) -> DataFrame:
+    """One row a sample: of every other column the distinct values in the order of ``order``, joined, how many rows it had, and whether labels contradict.
+
+    A sample's rows are few; values that are NULL don't count.
+    """
+    values = lambda c: F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(c).cast("string").alias("v")))), lambda x: x["v"])), ";")
+    others = [c for c in rows.columns if c not in (key, order)]
+    conflict = F.greatest(*(F.countDistinct(c) for c in [*labels, labels[0]])) > 1
+    return rows.groupBy(key).agg(*(values(c).alias(c) for c in others), F.count(F.lit(1)).alias("n"), conflict.alias("conflict"))
+
+
+def planted_recovery(results: DataFrame, planted, hit) -> DataFrame:
+    """By study how many planted features are found, and the share of the others that are."""
+    return results.groupBy("study_id").agg(
+        F.count_if(planted).alias("n_planted"), F.count_if(planted & hit).alias("n_found"), F.round(F.try_divide(F.count_if(planted & hit), F.count_if(planted)), 6).alias("sensitivity"), F.round(F.try_divide(F.count_if(~planted & hit), F.count_if(~planted)), 6).alias("false_rate")
+    )
 
 
 def series_summary(samples: DataFrame, rest: str, exercise: str, stratum: str) -> DataFrame:

@@ -164,3 +164,15 @@ def mechanism_chain(g: DataFrame, sets: DataFrame, findings: DataFrame, limit: f
     reported = findings.select("study_id", F.col("symbol").alias("gene"), "source").distinct()
     hit = e.join(sets, "set_id").join(reported, ["study_id", "gene"]).groupBy("study_id", "contrast_id", "set_id").agg(F.countDistinct("gene").alias("n_reported"), F.array_join(F.array_sort(F.collect_set("gene")), ";").alias("reported_genes"))
     return e.join(hit, ["study_id", "contrast_id", "set_id"], "left").withColumn("n_reported", F.coalesce("n_reported", F.lit(0))).withColumn("support", F.when(F.col("n_reported") > 0, "genes_reported").otherwise("data_only"))
+
+
+def top_set(g: DataFrame) -> DataFrame:
+    """The set of each study with the least FDR; a tie goes by name."""
+    return g.groupBy("study_id").agg(F.min_by("set_id", F.struct("fdr_q", "set_id")).alias("top_set"))
+
+
+def chain_view(g: DataFrame, samples: DataFrame, alpha: float) -> DataFrame:
+    """A readable line for each significant set of a study."""
+    n = samples.groupBy("study_id").agg(F.count(F.lit(1)).alias("n"))
+    way = F.when(F.col("nes") >= 0, "goes up").otherwise("goes down")
+    return g.where(F.col("fdr_q") < alpha).join(n, "study_id").select(F.format_string("In %s, %s %s (%d samples)", "study_id", "set_id", way, "n").alias("line"))

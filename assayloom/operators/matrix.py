@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,10 +200,20 @@ def required_data(kind: Column) -> Column:
     return out
 
 
-def labelling(methods: Column, text: Column) -> Column:
-    """labelled or label-free by the quantification methods of a project, else by its text."""
-    tags, free = r"(?i)\b(tmt|itraq|silac|dimethyl)", r"(?i)label[- ]free|\blfq\b|\bdia\b"
-    return F.coalesce(*(F.when(c.rlike(tags), "labelled").when(c.rlike(free), "label_free") for c in (F.coalesce(methods, F.lit("")), F.coalesce(text, F.lit("")))), F.lit("unknown"))
+#: Isotope labels by name, in order.
+REAGENTS = (("TMT", r"(?i)\btmt|tandem mass tag"), ("iTRAQ", r"(?i)itraq"), ("SILAC", r"(?i)silac|label:13c"), ("dimethyl", r"(?i)dimethyl"))
+
+
+def reagent(*texts: Column) -> Column:
+    """The isotope label that the first text with any names; NULL without."""
+    of = lambda c: reduce(lambda out, r: F.when(c.rlike(r[1]), r[0]).otherwise(out), reversed(REAGENTS), F.lit(None).cast("string"))
+    return F.coalesce(*(of(F.coalesce(c, F.lit(""))) for c in texts))
+
+
+def labelling(*texts: Column) -> Column:
+    """labelled or label_free by the first text that says so: quantification methods, then modifications, then the project's text."""
+    free = r"(?i)label[- ]free|\blfq\b|\bdia\b"
+    return F.coalesce(*(F.when(reagent(c).isNotNull(), "labelled").when(F.coalesce(c, F.lit("")).rlike(free), "label_free") for c in texts), F.lit("unknown"))
 
 
 def sniff(m: DataFrame, estimated: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.functions.columns import arm_of
+
 
 def sample_qc(m: DataFrame, detection: float = 1) -> DataFrame:
     """Library size, detected features, median, maximum; a library under half of the study's median is flagged."""
@@ -153,3 +155,14 @@ def first_values(a: DataFrame) -> DataFrame:
     from assayloom.functions.columns import is_blank
 
     return a.where(~is_blank("value")).groupBy("study_id", "attr").agg(F.min_by("value", "sample_id").alias("first_value"))
+
+
+def arms(a: DataFrame, attr: str = "title") -> DataFrame:
+    """Arms of each study by the titles of its samples without replicate numbers."""
+    return a.where(F.col("attr") == attr).groupBy("study_id", arm_of(F.col("value")).alias("arm")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def arm_balance(arms: DataFrame, least: int = 2, most: float = 2.0) -> DataFrame:
+    """Whether the arms of a study are two or more, large enough and not too unlike in size."""
+    g = arms.groupBy("study_id").agg(F.count(F.lit(1)).alias("n_arms"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return g.withColumn("balanced", (F.col("n_arms") >= 2) & (F.col("least") >= least) & (F.col("most") <= F.col("least") * most))

@@ -45,6 +45,17 @@ def head_and_random(rows: DataFrame, group: str, order: str, head: int, picks: i
     return r.withColumn("draw", draw).where(F.col("is_head") | (F.col("draw") <= picks)).drop("draw")
 
 
+def pick_per_stratum(rows: DataFrame, strata: list[str], rich: Column, key: str, seed: int = 42) -> DataFrame:
+    """One row of each stratum: of the rich ones, where there are any, the first in the order of a hash.
+
+    Only the best row of each task and stratum is shuffled.
+    """
+    order = F.struct((~rich).alias("poor"), F.md5(F.concat_ws("|", F.lit(seed), key)).alias("draw"), F.col(key).alias("key"))
+    others = [c for c in rows.columns if c not in strata]
+    best = rows.groupBy(*strata).agg(F.min_by(F.struct(*others), order).alias("r"))
+    return best.select(*strata, "r.*").select(*rows.columns)
+
+
 def quota_select(rows: DataFrame, quotas: list[tuple[str, Column, int]], key: str, total: int) -> DataFrame:
     """For each category in turn its first rows not taken yet, then others up to ``total``; categories are few, each is one pass."""
     taken = None

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayloom.functions.tables import once
+from assayloom.operators.results import average_rank
 
 
 def jaccard(shared: Column, a: Column, b: Column) -> Column:
@@ -58,18 +59,37 @@ def stability_verdict(pairs: DataFrame, stable: float = 0.80, moderate: float =
 
 
 def concordance(d: DataFrame, ref: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Correlation and sign agreement with a reference result, and how much of what the reference finds is found."""
-    j = d.select("feature_id", F.col("log2fc").alias("x"), F.col("padj").alias("p")).join(ref.select("feature_id", F.col("log2fc").alias("y"), F.col("padj").alias("q")), "feature_id")
-    sig = F.col("q") < alpha
+    """Agreement with a reference result over common features; one row.
+
+    Pearson and Spearman correlation of effects (ranks of ties are averaged), agreement of signs where neither is zero, overlap of
+    significant features, how much of what the reference finds is found with the same sign, and the correlation on what it finds
+    (NULL for two features or fewer). A feature that the reference repeats counts by its most significant row. What is ranked is a
+    row a common feature.
+    """
+    best = ref.groupBy("feature_id").agg(F.min_by(F.struct(F.col("log2fc").alias("y"), F.col("padj").alias("q")), F.struct("padj", "log2fc")).alias("r")).select("feature_id", "r.y", "r.q")
+    j = d.select("feature_id", F.col("log2fc").alias("x"), F.col("padj").alias("p")).join(best, "feature_id").where("x is not null and y is not null")
+    j = average_rank(average_rank(j.withColumn("k", F.lit(1)), ["k"], "x").withColumnRenamed("avg_rank", "rx"), ["k"], "y").withColumnRenamed("avg_rank", "ry")
+    same, found, own = F.signum("x") == F.signum("y"), F.coalesce(F.col("q") < alpha, F.lit(False)), F.coalesce(F.col("p") < alpha, F.lit(False))
+    r = lambda c: F.round(c, 6)
     return j.agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.corr("x", "y"), 6).alias("pearson"),
-        F.round(F.avg((F.signum("x") == F.signum("y")).cast("double")), 6).alias("sign_agreement"),
-        F.count_if(sig).alias("n_reference"),
-        F.round(F.count_if(sig & (F.col("p") < alpha) & (F.signum("x") == F.signum("y"))) / F.count_if(sig), 6).alias("recovery"),
+        r(F.corr("x", "y")).alias("pearson"),
+        r(F.corr("rx", "ry")).alias("spearman"),
+        r(F.avg(F.when((F.col("x") != 0) & (F.col("y") != 0), same.cast("double")))).alias("sign_agreement"),
+        F.count_if(found).alias("n_reference"),
+        F.count_if(own).alias("n_own"),
+        r(F.try_divide(F.count_if(found & own), F.count_if(found | own))).alias("jaccard"),
+        r(F.try_divide(F.count_if(found & own & same), F.count_if(found))).alias("recovery"),
+        r(F.when(F.count_if(found) > 2, F.corr(F.when(found, F.col("x")), F.when(found, F.col("y"))))).alias("pearson_found"),
     )
 
 
+def row_counts(rows: DataFrame, table: str, run: str, runs: list[str]) -> DataFrame:
+    """Rows of each table in each run, a column a run, 0 where a run has none."""
+    p = rows.groupBy(table).pivot(run, runs).count()
+    return p.select(table, *(F.coalesce(F.col(f"`{r}`"), F.lit(0)).alias(r.lower()) for r in runs))
+
+
 def set_stability(items: DataFrame, runs: int) -> DataFrame:
     """Items of a key in all runs, in any, and in one only."""
     n = items.groupBy("key", "item").agg(F.countDistinct("run_id").alias("r"))

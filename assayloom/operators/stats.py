@@ -305,6 +305,34 @@ def paired_change(m: DataFrame, s: DataFrame, baseline: str, follow_up: str) ->
     return a.join(b, ["study_id", "subject", "feature_id"]).withColumn("change", F.col("after") - F.col("before"))
 
 
+def subject_pairs(s: DataFrame, baseline: str, follow_up: str, time: str = "condition") -> DataFrame:
+    """(study_id, subject, n_baseline, n_follow_up, reason): which subjects are complete (reason NULL), and why the others aren't.
+
+    Complete is one baseline and one follow-up sample; what is missing or repeated is said, never guessed.
+    """
+    n = lambda level: F.count_if(F.col(time) == level)
+    g = s.where(F.col("subject").isNotNull()).groupBy("study_id", "subject").agg(n(baseline).alias("n_baseline"), n(follow_up).alias("n_follow_up"))
+    reason = F.when(F.col("n_baseline") == 0, "missing_baseline").when(F.col("n_follow_up") == 0, "missing_followup").when((F.col("n_baseline") > 1) | (F.col("n_follow_up") > 1), "duplicate_samples")
+    return g.withColumn("reason", reason)
+
+
+def change_between_groups(m: DataFrame, s: DataFrame, baseline: str, follow_up: str, group: str, control: str, treatment: str, time: str = "condition", least: int = 4, value: str = "value") -> DataFrame:
+    """The change of each complete subject, compared between two groups of subjects by a moderated test: does one group change more?
+
+    A subject's group is that of its follow-up sample. Studies with fewer than ``least`` complete subjects of the two groups have no rows.
+    """
+    whole = subject_pairs(s, baseline, follow_up, time).where("reason is null").select("study_id", "subject")
+    known = s.join(whole, ["study_id", "subject"])
+    later = known.where((F.col(time) == follow_up) & F.col(group).isin(control, treatment)).select("study_id", "subject", F.col(group).alias("condition"), F.col("sample_id").alias("after_id"))
+    both = later.join(known.where(F.col(time) == baseline).select("study_id", "subject", F.col("sample_id").alias("before_id")), ["study_id", "subject"])
+    enough = both.groupBy("study_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("study_id")
+    both = once(both.join(enough, "study_id"))
+    side = lambda which: m.select("study_id", "feature_id", F.col("sample_id").alias(f"{which}_id"), F.col(value).cast("double").alias(which))
+    change = both.join(side("after"), ["study_id", "after_id"]).join(side("before"), ["study_id", "before_id", "feature_id"])
+    change = change.select("study_id", "feature_id", F.col("subject").alias("sample_id"), (F.col("after") - F.col("before")).alias("value")).where("value is not null")
+    return moderated_two_group(change, both.select("study_id", F.col("subject").alias("sample_id"), "condition"), control, treatment, method="paired_change")
+
+
 #: Samples of a tile and features of a block of the products below.
 TILE, BLOCK = 128, 4096
 

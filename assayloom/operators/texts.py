@@ -168,6 +168,35 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return n.where((F.col("n") >= 3) | ((F.col("n") == 2) & (F.length("line") >= 15) & ~F.col("line").rlike(r"[.!?]$")))
 
 
+#: Fixed value: how a figure or table is named.
+FLOAT = r"(?i)^\W*(table|figure|fig)\.?\s*(s?\d+[a-z]?)\b"
+
+
+def float_label(text: Column) -> Column:
+    """figure 2, table s1: the normal form of a float's name at the start of a text; NULL without."""
+    kind = F.regexp_replace(F.lower(F.regexp_extract(text, FLOAT, 1)), "^fig$", "figure")
+    return F.nullif(F.trim(F.concat_ws(" ", kind, F.lower(F.regexp_extract(text, FLOAT, 2)))), F.lit(""))
+
+
+def resolve_locators(locators: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``locators`` (paper_id, locator) with the block they mean, if any: a block's id, else the first figure or table of that name. Case and spaces don't count."""
+    ids = blocks.select("paper_id", F.lower("block_id").alias("key"), "block_id")
+    floats = blocks.where(F.col("kind").isin("figure", "table")).select("paper_id", float_label(F.col("text")).alias("name"), "ord", "block_id").where("name is not null")
+    floats = floats.groupBy("paper_id", "name").agg(F.min_by("block_id", "ord").alias("float_id"))
+    l = locators.withColumn("key", F.lower(F.trim("locator"))).withColumn("name", float_label(F.col("locator")))  # noqa: E741
+    j = l.join(ids, ["paper_id", "key"], "left").join(floats, ["paper_id", "name"], "left")
+    return j.withColumn("block_id", F.coalesce("block_id", "float_id")).drop("key", "name", "float_id")
+
+
+def resolve_rate(resolved: DataFrame) -> DataFrame:
+    return resolved.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_locators"), F.count("block_id").alias("n_resolved"), F.round(F.count("block_id") / F.count(F.lit(1)), 6).alias("rate"))
+
+
+def foreign_accessions(said: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Accessions of an output (paper_id, accession) that its paper's text doesn't hold."""
+    return said.join(accessions(blocks).select("paper_id", "accession").distinct(), ["paper_id", "accession"], "left_anti")
+
+
 def outline(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("paper_id", "section_class").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length("text")).alias("n_chars"), F.min("ord").alias("first_ord"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayloom.operators import audits as A
 from assayloom.operators import catalogue as C
+from assayloom.operators import evaluation as E
 from assayloom.operators import joins as J
 from assayloom.plans.matrix_queries import MAPPING, mapping
 from assayloom.plans.registry import query
@@ -79,9 +80,9 @@ def au_08b(t):
 
 @query("au_10_foreign_accessions", f"with {FOUND}, o as (select paper_id, accession from a union select doc_id, 'GSE99' || doc_id from documents where doc_id % 9 = 0), known as (select distinct paper_id, accession from a) select paper_id, accession from o where not exists (select 1 from known k where k.paper_id = o.paper_id and k.accession = o.accession)")
 def au_10(t):
-    known = X.accessions(blocks(t)).select("paper_id", "accession").distinct()
-    said = known.union(t.documents.where("doc_id % 9 = 0").select(F.col("doc_id"), F.concat(F.lit("GSE99"), "doc_id")))
-    return said.join(known, ["paper_id", "accession"], "left_anti")
+    b = blocks(t)
+    own = X.accessions(b).select("paper_id", "accession").distinct()
+    return X.foreign_accessions(own.union(t.documents.where("doc_id % 9 = 0").select(F.col("doc_id"), F.concat(F.lit("GSE99"), "doc_id"))), b)
 
 
 @query("au_11_recount", "with e as (select study_id, method, count(case when padj < 0.5 then 1 end) + case when method = 'log_raw' then 1 else 0 end as expected from {deg} group by study_id, method), a as (select study_id, method, count(case when padj < 0.5 then 1 end) as actual from {deg} group by all) select * from e join a using (study_id, method) where expected <> actual")
@@ -92,10 +93,7 @@ def au_11(t):
 
 @query("au_12_paper_vs_own", "with p as (select study_id, count(case when direction = 'up' then 1 end) as up, count(case when direction = 'down' then 1 end) as down from {finding} group by study_id), o as (select study_id, count(case when padj < 0.6 and log2fc > 0 then 1 end) as own_up, count(case when padj < 0.6 and log2fc < 0 then 1 end) as own_down from {deg} where method = 'log_cpm' group by study_id) select * from p left join o using (study_id)")
 def au_12(t):
-    p = t.finding.groupBy("study_id").agg(F.count_if(F.col("direction") == "up").alias("up"), F.count_if(F.col("direction") == "down").alias("down"))
-    sig = (F.col("padj") < 0.6) & (F.col("method") == "log_cpm")
-    o = t.deg.groupBy("study_id").agg(F.count_if(sig & (F.col("log2fc") > 0)).alias("own_up"), F.count_if(sig & (F.col("log2fc") < 0)).alias("own_down"))
-    return p.join(o, "study_id", "left")
+    return A.said_and_own_counts(t.finding, t.deg.where("method = 'log_cpm'"), 0.6)
 
 
 @query("ev_14_link_scores", """
@@ -129,10 +127,7 @@ def ev_20(t):
 
 @query("ev_06_planted_recovery", "with d as (select * from {deg} where method = 'log_cpm'), j as (select d.*, substr(feature_id, 2)::int % 5 = 0 as planted from d) select study_id, count(case when planted then 1 end) as n_planted, count(case when planted and padj < 0.6 then 1 end) as n_found, round(count(case when planted and padj < 0.6 then 1 end) / count(case when planted then 1 end), 6) as sensitivity, round(count(case when not planted and padj < 0.6 then 1 end) / count(case when not planted then 1 end), 6) as false_rate from j group by study_id")
 def ev_06(t):
-    planted, hit = F.substring("feature_id", 2, 9).cast("int") % 5 == 0, F.col("padj") < 0.6
-    return t.deg.where("method = 'log_cpm'").groupBy("study_id").agg(
-        F.count_if(planted).alias("n_planted"), F.count_if(planted & hit).alias("n_found"), F.round(F.count_if(planted & hit) / F.count_if(planted), 6).alias("sensitivity"), F.round(F.count_if(~planted & hit) / F.count_if(~planted), 6).alias("false_rate")
-    )
+    return E.planted_recovery(t.deg.where("method = 'log_cpm'"), F.substring("feature_id", 2, 9).cast("int") % 5 == 0, F.col("padj") < 0.6)
 
 
 @query("agg_17_verdict_histogram", "with r as (select decision_status as verdict, unnest(string_split(stage || '+' || execution_status, '+')) as kind from {decision}) select kind, verdict, count(*) as n from r group by all")

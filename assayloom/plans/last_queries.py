@@ -24,10 +24,30 @@ def typ_10(t):
     return t.part.select("p_partkey", M.required_data(kinds).alias("files"))
 
 
-@query("typ_12_labelling", "select p_partkey, case p_partkey % 4 when 0 then 'labelled' when 1 then 'label_free' when 2 then 'labelled' else 'unknown' end as labelling from part")
+#: Methods, modifications and texts of projects, from the words of the parts.
+PROJECTS = """
+select p_partkey, case when p_size % 5 = 0 then 'TMT 10plex' when p_size % 5 = 1 then 'Label-free quantification' when p_size % 5 = 2 then p_brand end as methods, case when p_partkey % 6 = 0 then 'iTRAQ4plex; Oxidation' when p_partkey % 6 = 1 then 'Label:13C(6); Phospho' when p_partkey % 6 < 4 then 'Oxidation' end as ptms,
+  p_name || case when p_size % 9 = 0 then ' by dimethyl labelling' when p_size % 9 = 1 then ' with DIA' else '' end as said from part"""
+
+
+def projects(t):
+    k, n = F.col("p_partkey") % 6, F.col("p_size")
+    methods = F.when(n % 5 == 0, "TMT 10plex").when(n % 5 == 1, "Label-free quantification").when(n % 5 == 2, F.col("p_brand"))
+    ptms = F.when(k == 0, "iTRAQ4plex; Oxidation").when(k == 1, "Label:13C(6); Phospho").when(k < 4, "Oxidation")
+    return t.part.select("p_partkey", methods.alias("methods"), ptms.alias("ptms"), F.concat("p_name", F.when(n % 9 == 0, " by dimethyl labelling").when(n % 9 == 1, " with DIA").otherwise("")).alias("said"))
+
+
+def labelling_sql() -> str:
+    named = lambda c: "case " + " ".join(f"when regexp_matches({c}, '{p}') then '{n}'" for n, p in M.REAGENTS) + " end"
+    kind = lambda c: f"case when {named(c)} is not null then 'labelled' when regexp_matches({c}, '(?i)label[- ]free|\\blfq\\b|\\bdia\\b') then 'label_free' end"
+    texts = ("methods", "ptms", "said")
+    return f"select p_partkey, coalesce({', '.join(kind(c) for c in texts)}, 'unknown') as labelling, coalesce({', '.join(named(c) for c in texts)}) as reagent from ({PROJECTS})"
+
+
+@query("typ_12_labelling", labelling_sql())
 def typ_12(t):
-    k = F.col("p_partkey") % 4
-    return t.part.select("p_partkey", M.labelling(F.when(k == 0, "TMT 10plex").when(k == 1, "Label-free quantification"), F.when(k == 2, "cells were labelled by SILAC").otherwise("no word")).alias("labelling"))
+    texts = [F.col(c) for c in ("methods", "ptms", "said")]
+    return projects(t).select("p_partkey", M.labelling(*texts).alias("labelling"), M.reagent(*texts).alias("reagent"))
 
 
 @query("ds_13_multifactor_plan", "select study_id, count(*) as n, '' as dropped, count(distinct condition) + count(distinct batch) - 1 as rank, count(distinct condition) + count(distinct batch) - 1 as n_columns, count(*) - (count(distinct condition) + count(distinct batch) - 1) as residual_df, true as valid from {sample} group by study_id")

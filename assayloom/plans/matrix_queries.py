@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayloom.functions.columns import r6, sex_label, value_and_unit
+from assayloom.functions.columns import r6, sex_label, subject_and_time, value_and_unit
 from assayloom.operators import matrix as M
 from assayloom.operators import rollup as R
 from assayloom.plans.registry import query
@@ -158,16 +158,27 @@ def prj_12(t):
     return M.log_if_linear(t.measure_gaps.where("value is not null")).withColumn("value", r6("value"))
 
 
-@query("prj_14_subject_and_time", "select sample_id, regexp_extract(value, '^(.*)_([^_]*)$', 1) as subject, regexp_extract(value, '^(.*)_([^_]*)$', 2) as time from {sample_attr} where attr = 'title'")
+@query("prj_14_subject_and_time", """
+with n as (select sample_id, case when ord % 4 = 0 then 'q' || (1 + ord % 3) || '_' || subject when ord % 4 = 1 then subject else condition || '_rep_' || ord end as name from {sample})
+select sample_id, name, case when regexp_matches(name, '^(q[12])_(.+)$') then regexp_extract(name, '^(q[12])_(.+)$', 2) when contains(name, '_') then regexp_extract(name, '^(.*)_([^_]*)$', 1) end as subject, case when regexp_matches(name, '^(q[12])_(.+)$') then regexp_extract(name, '^(q[12])_(.+)$', 1) when contains(name, '_') then regexp_extract(name, '^(.*)_([^_]*)$', 2) end as time from n""")
 def prj_14(t):
-    p = r"^(.*)_([^_]*)$"
-    return t.sample_attr.where("attr = 'title'").select("sample_id", F.regexp_extract("value", p, 1).alias("subject"), F.regexp_extract("value", p, 2).alias("time"))
+    o = F.col("ord")
+    name = F.when(o % 4 == 0, F.concat(F.lit("q"), 1 + o % 3, F.lit("_"), "subject")).when(o % 4 == 1, F.col("subject")).otherwise(F.concat("condition", F.lit("_rep_"), o))
+    subject, time = subject_and_time(F.col("name"))
+    return t.sample.select("sample_id", name.alias("name")).select("sample_id", "name", subject.alias("subject"), time.alias("time"))
 
 
-@query("prj_15_replicate_suffix", r"select study_id, arm, count(*) as n from (select study_id, trim(regexp_replace(trim(value), '(?i)[\s_-]*(?:rep(?:licate)?[\s_-]*)?\d+$', ''), ' _-') as arm from {sample_attr} where attr = 'title') group by all")
+ARMS = r"(select study_id, arm, count(*) as n from (select study_id, trim(regexp_replace(trim(value), '(?i)[\s_-]*(?:rep(?:licate)?[\s_-]*)?\d+$', ''), ' _-') as arm from {sample_attr} where attr = 'title') group by all)"
+
+
+@query("prj_15_replicate_suffix", f"select * from {ARMS}")
 def prj_15(t):
-    arm = F.btrim(F.regexp_replace(F.trim("value"), r"(?i)[\s_-]*(?:rep(?:licate)?[\s_-]*)?\d+$", ""), F.lit(" _-"))
-    return t.sample_attr.where("attr = 'title'").groupBy("study_id", arm.alias("arm")).agg(F.count(F.lit(1)).alias("n"))
+    return R.arms(t.sample_attr)
+
+
+@query("prj_15b_arm_balance", f"select study_id, count(*) as n_arms, min(n) as least, max(n) as most, count(*) >= 2 and min(n) >= 2 and max(n) <= 2 * min(n) as balanced from {ARMS} group by study_id")
+def prj_15b(t):
+    return R.arm_balance(R.arms(t.sample_attr))
 
 
 @query("prj_16_value_and_unit", r"""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayloom.functions.columns import sex_label
+from assayloom.operators import audits as A
 from assayloom.operators import designs as D
 from assayloom.operators import evaluation as E
+from assayloom.operators import genesets as G
 from assayloom.operators import results as R
 from assayloom.operators import selection as L
 from assayloom.operators import sets as S
@@ -59,11 +61,33 @@ def ds_16(t):
 @query("ds_17_study_split", r"""
 with n as (select study_id, value, count(*) as n, try_cast(nullif(regexp_extract(value, '(\d+(?:\.\d+)?)', 1), '') as double) as number from {sample_attr} where attr = 'age' and value <> 'n/a' group by study_id, value),
 o as (select *, row_number() over (partition by study_id order by number nulls last, value) as place from n)
-select x.study_id, x.study_id || '__' || regexp_replace(lower(x.value), '[^a-z0-9]+', '_', 'g') as control_study, x.study_id || '__' || regexp_replace(lower(y.value), '[^a-z0-9]+', '_', 'g') as treatment_study, x.value as control, y.value as treatment, least(x.n, y.n) as least_n from o x join o y on x.study_id = y.study_id and x.place < y.place""")
+select x.study_id, x.study_id || '__' || regexp_replace(lower(x.value), '[^a-z0-9]+', '_', 'g') as control_study, x.study_id || '__' || regexp_replace(lower(y.value), '[^a-z0-9]+', '_', 'g') as treatment_study, x.value as control, y.value as treatment, least(x.n, y.n) as least_n, x.n + y.n as both_arms_n from o x join o y on x.study_id = y.study_id and x.place < y.place""")
 def ds_17(t):
     return D.split_study(t.sample_attr, "age")
 
 
+#: Ages with a baseline: the order of levels, with how many samples they have.
+AGES = r"""
+with v as (select study_id, case when value like '6 %' then 'baseline ' || value else value end as value from {sample_attr} where attr = 'age' and value <> 'n/a'),
+n as (select study_id, value, count(*) as n, try_cast(nullif(regexp_extract(value, '(\d+(?:\.\d+)?)', 1), '') as double) as number, starts_with(value, 'baseline') as base from v group by all),
+o as (select *, row_number() over (partition by study_id order by base desc, number nulls last, value) as place from n),
+j as (select x.study_id, x.study_id || '__' || regexp_replace(lower(x.value), '[^a-z0-9]+', '_', 'g') as control_study, x.study_id || '__' || regexp_replace(lower(y.value), '[^a-z0-9]+', '_', 'g') as treatment_study, x.value as control, y.value as treatment, least(x.n, y.n) as least_n, x.n + y.n as both_arms_n, x.base as cb, y.base as tb, x.place as cp, y.place as tp from o x join o y on x.study_id = y.study_id and x.place < y.place)"""
+
+
+def aged(t):
+    return t.sample_attr.withColumn("value", F.when((F.col("attr") == "age") & F.col("value").startswith("6 "), F.concat(F.lit("baseline "), "value")).otherwise(F.col("value")))
+
+
+@query("ds_17b_split_by_baseline", AGES + " select * exclude (cb, tb, cp, tp) from j where cb and not tb")
+def ds_17b(t):
+    return D.split_study(aged(t), "age", "baseline")
+
+
+@query("ds_17c_split_adjacent", AGES + " select * exclude (cb, tb, cp, tp) from j where (cb and cp = 1) or cp + 1 = tp qualify row_number() over (partition by study_id order by (cb and cp = 1) desc, tp) <= 4")
+def ds_17c(t):
+    return D.split_study(aged(t), "age", "baseline+adjacent", 4)
+
+
 @query("ev_02_set_run_stability", """
 with g as (select study_id as run_id, set_id, nes, fdr_q < 0.6 as sig from {gsea})
 select a.run_id as run_a, b.run_id as run_b, count(*) as n_common, round(corr(a.nes, b.nes), 6) as r, count(case when a.sig and b.sig then 1 end) as sig_both, count(case when a.sig or b.sig then 1 end) as sig_any from g a join g b using (set_id) where a.run_id < b.run_id group by all""")
@@ -72,10 +96,12 @@ def ev_02(t):
 
 
 @query("ev_04_stability_gate", """
-with p as (select a.run_id as x, b.run_id as y, corr(a.log2fc, b.log2fc) as r, count(case when a.padj < 0.3 and b.padj < 0.3 then 1 end) / count(case when a.padj < 0.3 or b.padj < 0.3 then 1 end) as j from {run_deg} a join {run_deg} b using (feature_id) where a.run_id < b.run_id group by all)
-select count(*) as n_pairs, round(min(r), 6) as least_r, round(min(j), 6) as least_jaccard, min(r) >= 0.99 and min(j) >= 0.95 as stable from p""")
+with d as (select * from {run_deg} where run_id <> 'runR' or feature_id <> 'F7'), p as (select a.run_id as x, b.run_id as y, corr(a.log2fc, b.log2fc) as r, count(case when a.padj < 0.3 and b.padj < 0.3 then 1 end) / count(case when a.padj < 0.3 or b.padj < 0.3 then 1 end) as j from d a join d b using (feature_id) where a.run_id < b.run_id group by all),
+n as (select count(distinct run_id) as n_runs, (select min(k) from (select feature_id, count(distinct run_id) as k from d group by feature_id)) as fewest from d)
+select count(*) as n_pairs, any_value(n_runs) as n_runs, any_value(n_runs >= 3 and fewest = n_runs) as complete, round(min(r), 6) as least_r, round(min(j), 6) as least_jaccard, any_value(n_runs >= 3 and fewest = n_runs) and min(r) >= 0.99 and min(j) >= 0.95 as stable from p, n""")
 def ev_04(t):
-    return E.stability_gate(t.run_deg, 0.3)
+    """One run lacks a feature."""
+    return E.stability_gate(t.run_deg.where("run_id <> 'runR' or feature_id <> 'F7'"), 0.3)
 
 
 @query("ev_08_contrast_gold", """
@@ -105,9 +131,13 @@ def agg_09(t):
     return E.result_sanity(t.deg, t.sample, 0.9)
 
 
-@query("agg_18_gold_sample_dedupe", "select o_custkey as sample_id, array_to_string(list_sort(list(distinct o_orderpriority)), ';') as priorities, count(*) as n, count(distinct o_orderstatus) > 1 as conflict from orders group by o_custkey")
+GOLD = ("o_orderpriority", "o_orderstatus", "o_clerk")
+
+
+@query("agg_18_gold_sample_dedupe", "with " + ", ".join(f"{c} as (select o_custkey, string_agg({c}, ';' order by k) as {c} from (select o_custkey, {c}, min(o_orderkey) as k from o group by all) group by o_custkey)" for c in GOLD).replace("o_orderpriority as (", "o as (select o_custkey, o_orderkey, o_orderpriority, o_orderstatus, 'clerk' || o_orderkey % 4 as o_clerk from orders), o_orderpriority as (", 1) + ", n as (select o_custkey, count(*) as n, count(distinct o_orderstatus) > 1 or count(distinct o_orderpriority) > 1 as conflict from o group by o_custkey) select o_custkey as sample_id, o_orderpriority, o_orderstatus, o_clerk, n, conflict from n join o_orderpriority using (o_custkey) join o_orderstatus using (o_custkey) join o_clerk using (o_custkey)")
 def agg_18(t):
-    return E.gold_dedupe(t.orders.withColumnRenamed("o_custkey", "sample_id"), "sample_id", "o_orderpriority", "o_orderstatus").withColumnRenamed("labels", "priorities")
+    o = t.orders.select(F.col("o_custkey").alias("sample_id"), "o_orderkey", "o_orderpriority", "o_orderstatus", F.concat(F.lit("clerk"), F.col("o_orderkey") % 4).alias("o_clerk"))
+    return E.gold_dedupe(o, "sample_id", "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
 @query("agg_19_series_summary", "select study_id, count(case when condition = 'control' then 1 end) as n_rest, count(case when condition = 'treated' then 1 end) as n_exercise, count(distinct batch) as n_strata, case when count(distinct subject) < count(*) then 'paired' else 'independent' end as design from {sample} group by study_id")
@@ -134,6 +164,11 @@ def win_13(t):
     return L.head_and_random(t.customer.select("c_mktsegment", "c_custkey"), "c_mktsegment", "c_custkey", 5, 5)
 
 
+@query("win_13b_pick_per_stratum", "select c_mktsegment, c_nationkey, c_custkey, c_acctbal from customer qualify row_number() over (partition by c_mktsegment, c_nationkey order by c_acctbal > 5000 desc, md5('42|' || c_custkey), c_custkey) = 1")
+def win_13b(t):
+    return L.pick_per_stratum(t.customer.select("c_mktsegment", "c_nationkey", "c_custkey", "c_acctbal"), ["c_mktsegment", "c_nationkey"], F.col("c_acctbal") > 5000, "c_custkey")
+
+
 @query("win_14_quota_selection", """
 with a as (select c_custkey, 'rich' as category from customer where c_acctbal > 9000 order by c_custkey limit 10), b as (select c_custkey, 'poor' as category from customer where c_acctbal < 500 and c_custkey not in (select c_custkey from a) order by c_custkey limit 10),
 c as (select c_custkey, 'machinery' as category from customer where c_mktsegment = 'MACHINERY' and c_custkey not in (select c_custkey from a union all select c_custkey from b) order by c_custkey limit 10), x as (select * from a union all select * from b union all select * from c),
@@ -166,19 +201,17 @@ def typ_13(t):
 
 @query("gs_10_chain_view", "select 'In ' || g.study_id || ', ' || set_id || case when nes >= 0 then ' goes up' else ' goes down' end || ' (' || n || ' samples)' as line from {gsea} g join (select study_id, count(*) as n from {sample} group by study_id) s using (study_id) where fdr_q < 0.6")
 def gs_10(t):
-    n = t.sample.groupBy("study_id").agg(F.count(F.lit(1)).alias("n"))
-    way = F.when(F.col("nes") >= 0, "goes up").otherwise("goes down")
-    return t.gsea.where("fdr_q < 0.6").join(F.broadcast(n), "study_id").select(F.format_string("In %s, %s %s (%d samples)", "study_id", "set_id", way, "n").alias("line"))
+    return G.chain_view(t.gsea, t.sample, 0.6)
 
 
 @query("au_04_trust_rules", "select claim_id, evidence_id, 'untrusted evidence cannot support' as message from {link} where relation = 'supports' and evidence_id % 4 = 3")
 def au_04(t):
     trust = t.link.select("evidence_id").distinct().withColumn("trusted", F.col("evidence_id") % 4 != 3)
-    return t.link.where("relation = 'supports'").join(trust.where("not trusted"), "evidence_id", "left_semi").select("claim_id", "evidence_id", F.lit("untrusted evidence cannot support").alias("message"))
+    return A.untrusted_support(t.link, trust)
 
 
 @query("au_13_artifact_check", "with e as (select p_partkey as path, md5(p_name) as digest from part where p_partkey % 7 <> 2), a as (select p_partkey as path, md5(case when p_partkey % 11 = 0 then 'x' else p_name end) as digest from part where p_partkey % 9 <> 4) select coalesce(e.path, a.path) as path, case when a.path is null then 'missing' when e.path is null then 'unexpected' else 'digest mismatch' end as message from e full join a on e.path = a.path where e.digest is distinct from a.digest")
 def au_13(t):
     e = t.part.where("p_partkey % 7 <> 2").select(F.col("p_partkey").alias("path"), F.md5("p_name").alias("e"))
     a = t.part.where("p_partkey % 9 <> 4").select(F.col("p_partkey").alias("path"), F.md5(F.when(F.col("p_partkey") % 11 == 0, "x").otherwise(F.col("p_name"))).alias("a"))
-    return e.join(a, "path", "full_outer").where(~F.col("e").eqNullSafe(F.col("a"))).select("path", F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "unexpected").otherwise("digest mismatch").alias("message"))
+    return A.artifact_check(e.withColumnRenamed("e", "digest"), a.withColumnRenamed("a", "digest"))

@@ -57,7 +57,7 @@ def win_07(t):
 
 @query("win_08_top_pathway", "select study_id, arg_min(set_id, (fdr_q, set_id)) as top_set from {gsea} group by study_id")
 def win_08(t):
-    return t.gsea.groupBy("study_id").agg(F.min_by("set_id", F.struct("fdr_q", "set_id")).alias("top_set"))
+    return G.top_set(t.gsea)
 
 
 @query("win_09_round_robin", """
@@ -190,6 +190,26 @@ def st_10(t):
     return S.paired_change(t.measure, t.sample, "control", "treated").select("study_id", "feature_id", "subject", "change")
 
 
+@query("st_10b_change_between_groups", """
+with c as (select study_id, subject from {sample} group by all having count(case when condition = 'control' then 1 end) = 1 and count(case when condition = 'treated' then 1 end) = 1),
+p as (select a.study_id, a.subject, a.batch as grp, a.sample_id as after_id, b.sample_id as before_id from {sample} a join {sample} b using (study_id, subject) join c using (study_id, subject) where a.condition = 'treated' and b.condition = 'control' and a.batch in ('ASIA', 'EUROPE')),
+e as (select study_id from p group by study_id having count(*) >= 4),
+d as (select p.study_id, x.feature_id, grp, x.value - y.value as v from p join e using (study_id) join {measure} x on x.study_id = p.study_id and x.sample_id = after_id join {measure} y on y.study_id = p.study_id and y.sample_id = before_id and y.feature_id = x.feature_id),
+g as (select study_id, feature_id, count(*) - 2 as df, count(case when grp = 'ASIA' then 1 end) as n1, count(case when grp = 'EUROPE' then 1 end) as n2, avg(case when grp = 'ASIA' then v end) as m1, avg(case when grp = 'EUROPE' then v end) as m2, coalesce(var_samp(case when grp = 'ASIA' then v end), 0) as v1, coalesce(var_samp(case when grp = 'EUROPE' then v end), 0) as v2 from d group by all),
+f as (select *, ((n1 - 1) * v1 + (n2 - 1) * v2) / df as s2 from g where n1 > 0 and n2 > 0 and df > 0)
+select study_id, feature_id, df::double as df, round(m2 - m1, 6) as log2fc, round(s2, 6) as s2, case when s2 > 0 then round((m2 - m1) / sqrt(s2 * (1.0 / n1 + 1.0 / n2)), 6) end as t from f""")
+def st_10b(t):
+    out = S.change_between_groups(t.measure, t.sample, "control", "treated", "batch", "ASIA", "EUROPE")
+    return out.select("study_id", "feature_id", "df", *(r6(c).alias(c) for c in ("log2fc", "s2", "t")))
+
+
+@query("st_10c_subject_pairs", """
+select *, case when n_baseline = 0 then 'missing_baseline' when n_follow_up = 0 then 'missing_followup' when n_baseline > 1 or n_follow_up > 1 then 'duplicate_samples' end as reason
+from (select study_id, subject, count(case when condition = 'control' then 1 end) as n_baseline, count(case when condition = 'treated' then 1 end) as n_follow_up from (select study_id, condition, case when ord % 11 = 0 then 'P1' else subject end as subject from {sample}) group by all)""")
+def st_10c(t):
+    return S.subject_pairs(t.sample.withColumn("subject", F.when(F.col("ord") % 11 == 0, "P1").otherwise(F.col("subject"))), "control", "treated")
+
+
 SIZE = """
 with p as (select *, ln(value) as l from {measure} qualify min(value) over (partition by study_id, feature_id) > 0),
 d as (select *, l - avg(l) over (partition by study_id, feature_id) as d from p)

@@ -200,8 +200,10 @@ def ev_03(t):
 
 
 @query("ev_05_concordance", """
-with j as (select a.log2fc as x, a.padj as p, b.log2fc as y, b.padj as q from {run_deg} a join {run_deg} b using (feature_id) where a.run_id = 'runA' and b.run_id = 'runN')
-select count(*) as n, round(corr(x, y), 6) as pearson, round(avg(case when sign(x) = sign(y) then 1.0 else 0 end), 6) as sign_agreement, count(case when q < 0.3 then 1 end) as n_reference, round(count(case when q < 0.3 and p < 0.3 and sign(x) = sign(y) then 1 end) / count(case when q < 0.3 then 1 end), 6) as recovery from j""")
+with j as (select a.log2fc as x, a.padj as p, b.log2fc as y, b.padj as q from {run_deg} a join {run_deg} b using (feature_id) where a.run_id = 'runA' and b.run_id = 'runN'),
+k as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2 as ry from j)
+select count(*) as n, round(corr(x, y), 6) as pearson, round(corr(rx, ry), 6) as spearman, round(avg(case when x <> 0 and y <> 0 then case when sign(x) = sign(y) then 1.0 else 0 end end), 6) as sign_agreement, count(case when q < 0.3 then 1 end) as n_reference, count(case when p < 0.3 then 1 end) as n_own,
+  round(count(case when q < 0.3 and p < 0.3 then 1 end) / count(case when q < 0.3 or p < 0.3 then 1 end), 6) as jaccard, round(count(case when q < 0.3 and p < 0.3 and sign(x) = sign(y) then 1 end) / count(case when q < 0.3 then 1 end), 6) as recovery, case when count(case when q < 0.3 then 1 end) > 2 then round(corr(x, y) filter (q < 0.3), 6) end as pearson_found from k""")
 def ev_05(t):
     run = lambda r: t.run_deg.where(F.col("run_id") == r)
     return S.concordance(run("runA"), run("runN"), 0.3)
@@ -217,8 +219,7 @@ def ev_11(t):
 
 @query("ev_12_row_count_stability", "select case when l_linenumber <= 3 then 'head' else 'tail' end as tbl, count(case when l_returnflag = 'A' then 1 end) as a, count(case when l_returnflag = 'N' then 1 end) as n, count(case when l_returnflag = 'R' then 1 end) as r from lineitem group by 1")
 def ev_12(t):
-    p = t.lineitem.groupBy(F.when(F.col("l_linenumber") <= 3, "head").otherwise("tail").alias("tbl")).pivot("l_returnflag", ["A", "N", "R"]).count()
-    return p.select("tbl", *(F.coalesce(c, F.lit(0)).alias(c.lower()) for c in "ANR"))
+    return S.row_counts(t.lineitem.withColumn("tbl", F.when(F.col("l_linenumber") <= 3, "head").otherwise("tail")), "tbl", "l_returnflag", ["A", "N", "R"])
 
 
 @query("ev_13_field_stability", """
@@ -305,12 +306,10 @@ def ds_07b(t):
     return L.lattice(designed(t), ["condition", "batch", "hour"], ["sex"]).where("kind = 'interaction'")
 
 
-@query("ds_08_planned_sizes", "with s as (select study_id, condition, count(*) as n from {sample} group by all), p as (select study_id, unnest(['control', 'treated', 'placebo']) as planned from (select distinct study_id from {sample})) select p.study_id, planned, coalesce(n, 0) as n, case when n is null then 'unknown' when n >= 3 then 'enough' else 'too_small' end as verdict from p left join s on s.study_id = p.study_id and s.condition = p.planned")
+@query("ds_08_planned_sizes", "with s as (select study_id, condition, count(*) as n from {sample} group by all), p as (select study_id, unnest(['Control', 'treated ', 'placebo']) as planned from (select distinct study_id from {sample})) select p.study_id, planned, coalesce(n, 0) as n, case when n is null then 'unknown' when n >= 3 then 'enough' else 'too_small' end as verdict from p left join s on s.study_id = p.study_id and s.condition = lower(trim(p.planned))")
 def ds_08(t):
-    planned = t.sample.select("study_id").distinct().select("study_id", F.explode(F.array(*map(F.lit, ("control", "treated", "placebo")))).alias("planned"))
-    s = t.sample.groupBy("study_id", F.col("condition").alias("planned")).agg(F.count(F.lit(1)).alias("n"))
-    j = planned.join(s, ["study_id", "planned"], "left")
-    return j.select("study_id", "planned", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "unknown").when(F.col("n") >= 3, "enough").otherwise("too_small").alias("verdict"))
+    planned = t.sample.select("study_id").distinct().select("study_id", F.explode(F.array(*map(F.lit, ("Control", "treated ", "placebo")))).alias("planned"))
+    return D.planned_sizes(t.sample, planned)
 
 
 CONFOUND = """

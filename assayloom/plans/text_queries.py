@@ -204,11 +204,27 @@ def txt_12(t):
     return X.select_sections(blocks(t), "S2", ["abstract"]).select("paper_id", "block_id")
 
 
-@query("txt_13_locator_resolution", f"with b as ({BLOCKS}), l as (select doc_id as paper_id, 'b' || (doc_id % 12) as locator from documents) select l.paper_id, locator, b.block_id is not null as resolved from l left join b on b.paper_id = l.paper_id and lower(b.block_id) = lower(trim(locator))")
+LOCATED = rf"""
+with {structure_sql(DOCS)}, l as (select doc_id as paper_id, unnest(['b' || (doc_id % 12), 'Fig. ' || (doc_id % 3), ' Table 2', 'elsewhere']) as locator from documents),
+fl as (select paper_id, nm, arg_min(block_id, ord) as float_id from (select *, nullif(trim(replace(regexp_replace(lower(regexp_extract(text, '(?i)^\W*(table|figure|fig)\.?\s*(s?\d+[a-z]?)\b', 1)), '^fig$', 'figure'), '', '') || ' ' || lower(regexp_extract(text, '(?i)^\W*(table|figure|fig)\.?\s*(s?\d+[a-z]?)\b', 2))), '') as nm from bl where kind in ('figure', 'table')) where nm is not null group by all),
+k as (select *, lower(trim(locator)) as key, nullif(trim(regexp_replace(lower(regexp_extract(locator, '(?i)^\W*(table|figure|fig)\.?\s*(s?\d+[a-z]?)\b', 1)), '^fig$', 'figure') || ' ' || lower(regexp_extract(locator, '(?i)^\W*(table|figure|fig)\.?\s*(s?\d+[a-z]?)\b', 2))), '') as nm from l),
+rs as (select k.paper_id, locator, coalesce(b.block_id, float_id) as block_id from k left join bl b on b.paper_id = k.paper_id and lower(b.block_id) = key left join fl on fl.paper_id = k.paper_id and fl.nm = k.nm)"""
+
+
+def located(t):
+    k = F.col("doc_id")
+    names = F.array(F.concat(F.lit("b"), k % 12), F.concat(F.lit("Fig. "), k % 3), F.lit(" Table 2"), F.lit("elsewhere"))
+    return X.resolve_locators(t.documents.select(k.alias("paper_id"), F.explode(names).alias("locator")), Z.section_blocks(docs(t)))
+
+
+@query("txt_13_locator_resolution", LOCATED + " select paper_id, locator, block_id from rs")
 def txt_13(t):
-    loc = t.documents.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("b"), F.col("doc_id") % 12).alias("locator"))
-    b = blocks(t).select("paper_id", F.lower("block_id").alias("key"), "block_id")
-    return loc.withColumn("key", F.lower(F.trim("locator"))).join(b, ["paper_id", "key"], "left").select("paper_id", "locator", F.col("block_id").isNotNull().alias("resolved"))
+    return located(t).select("paper_id", "locator", "block_id")
+
+
+@query("txt_13b_resolve_rate", LOCATED + " select paper_id, count(*) as n_locators, count(block_id) as n_resolved, round(count(block_id) / count(*), 6) as rate from rs group by paper_id")
+def txt_13b(t):
+    return X.resolve_rate(located(t))
 
 
 @query("txt_14_outline", f"select paper_id, section_class, count(*) as n_blocks, sum(length(text))::bigint as n_chars, min(ord) as first_ord from ({BLOCKS}) group by all")

@@ -36,24 +36,59 @@ def read_matrix(spark: SparkSession, paths: str | list[str], study: str = "file"
     return named.join(F.broadcast(numeric), ["file", "sample_id"], "left_semi").select(F.col("file").alias("study_id"), "feature_id", "sample_id", "value")
 
 
+def tagged_table_problems(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, problem): tagged tables that can't be read as a matrix: without protein rows, or with identifications only (no abundance columns)."""
+    lines = lines_of(spark, paths)
+    tag = F.split_part("line", F.lit("\t"), F.lit(1))
+    n = lines.groupBy("file").agg(F.count_if(tag == "PRT").alias("rows"), F.count_if((tag == "PRH") & F.col("line").rlike(r"\tprotein_abundance_assay\[\d+\]")).alias("heads"))
+    return n.select("file", F.when(F.col("rows") == 0, "no protein rows").when(F.col("heads") == 0, "identifications only").alias("problem")).where("problem is not null")
+
+
 def read_tagged_table(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """mzTab protein rows: the PRH header of each file gives the columns, PRT rows are padded or cut to it, null is NULL, decoys go."""
+    """mzTab protein rows: the PRH header of each file gives the columns, PRT rows are padded or cut to it, null is NULL, decoys go.
+
+    Files without protein rows or with identifications only give no rows; ``tagged_table_problems`` names them.
+    """
     lines = lines_of(spark, paths).withColumn("f", F.split("line", "\t"))
-    head = lines.where(F.col("f")[0] == "PRH").select("file", F.col("f").alias("h"))
-    cells = lines.where(F.col("f")[0] == "PRT").join(F.broadcast(head), "file").select("file", "n", F.col("f")[1].alias("protein"), F.posexplode("h").alias("at", "name"), "f")
+    head = lines.where(F.col("f")[0] == "PRH").select("file", F.col("f").alias("h")).where(F.exists("h", lambda c: c.rlike(r"^protein_abundance_assay\[\d+\]$")))
+    cells = lines.where(F.col("f")[0] == "PRT").join(head, "file").select("file", "n", F.col("f")[1].alias("protein"), F.posexplode("h").alias("at", "name"), "f")
     cell = cells.withColumn("v", F.when(F.col("at") < F.size("f"), F.element_at("f", F.col("at") + 1))).withColumn("v", F.when(F.col("v") != "null", F.col("v")))
     decoy = cell.where(F.col("name").rlike("(?i)decoy") & (F.col("v") == "1")).select("file", "n").distinct()
     kept = cell.where(~F.col("protein").startswith("DECOY_")).join(decoy, ["file", "n"], "left_anti").where(F.col("name").rlike(r"^protein_abundance_assay\[\d+\]$"))
     return kept.select(F.col("file").alias("study_id"), F.col("protein").alias("feature_id"), F.regexp_extract("name", r"\[(\d+)\]", 1).alias("sample_id"), F.col("v").try_cast("double").alias("value"))
 
 
+def sample_counts(lines: DataFrame) -> DataFrame:
+    """(study_id, file, gene, value) of per-sample count files (file, n, line; study_id if there are several studies).
+
+    Comments and __ summary rows are out, of a repeated gene the first counts.
+    """
+    lines = lines if "study_id" in lines.columns else lines.withColumn("study_id", F.lit(""))
+    rows = lines.where(~F.col("line").startswith("#") & ~F.col("line").startswith("__") & (F.trim("line") != "")).select("study_id", "file", "n", F.split("line", r"\s+").alias("f")).where(F.size("f") >= 2)
+    v = rows.select("study_id", "file", "n", F.col("f")[0].alias("gene"), F.element_at("f", -1).try_cast("double").alias("value")).where("value is not null")
+    return v.groupBy("study_id", "file", "gene").agg(F.min_by("value", "n").alias("value"))
+
+
 def merge_sample_files(lines: DataFrame) -> DataFrame:
-    """Per-sample count files (file, n, line) as one matrix: comments and __ summary rows out, the first of a repeated gene, zeros for the rest."""
-    rows = lines.where(~F.col("line").startswith("#") & ~F.col("line").startswith("__") & (F.trim("line") != "")).select("file", "n", F.split("line", r"\s+").alias("f")).where(F.size("f") >= 2)
-    v = rows.select("file", "n", F.col("f")[0].alias("gene"), F.element_at("f", -1).try_cast("double").alias("value")).where("value is not null")
-    once = v.groupBy("file", "gene").agg(F.min_by("value", "n").alias("value"))
-    grid = once.select("gene").distinct().crossJoin(F.broadcast(once.select("file").distinct()))
-    return grid.join(once, ["file", "gene"], "left").select(F.col("file").alias("sample_id"), F.col("gene").alias("feature_id"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    """The matrix of per-sample count files, with 0 where a sample lacks a gene that another one of its study has.
+
+    A gene is one row with its samples; the study's list of samples is joined to it and tells the zeros.
+    """
+    v = sample_counts(lines)
+    genes = v.groupBy("study_id", "gene").agg(F.map_from_entries(F.collect_list(F.struct("file", "value"))).alias("y"))
+    files = v.groupBy("study_id").agg(F.array_sort(F.collect_set("file")).alias("files"))
+    each = genes.join(files, "study_id").select("study_id", "gene", "y", F.explode("files").alias("file"))
+    out = each.select("study_id", F.col("file").alias("sample_id"), F.col("gene").alias("feature_id"), F.coalesce(F.try_element_at("y", "file"), F.lit(0.0)).alias("value"))
+    return out if "study_id" in lines.columns else out.drop("study_id")
+
+
+def shared_ids(lines: DataFrame, least: float = 0.5) -> DataFrame:
+    """(study_id, n_samples, n_union, n_shared, share, warning): ids that all samples of a study have, of those that any has."""
+    v = sample_counts(lines)
+    n = v.groupBy("study_id", "gene").agg(F.count(F.lit(1)).alias("k")).join(v.groupBy("study_id").agg(F.countDistinct("file").alias("n_samples")), "study_id")
+    s = n.groupBy("study_id", "n_samples").agg(F.count(F.lit(1)).alias("n_union"), F.count_if(F.col("k") == F.col("n_samples")).alias("n_shared"))
+    s = s.withColumn("share", F.round(F.col("n_shared") / F.col("n_union"), 6))
+    return s.withColumn("warning", F.when(F.col("share") < least, "samples share few ids"))
 
 
 def choose_count_column(cells: DataFrame) -> DataFrame:

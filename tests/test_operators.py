@@ -131,6 +131,15 @@ def test_file_scans(spark, tmp_path):
     (tmp_path / "c/b.txt").write_text("G2 4\nG3 2\n")
     counts = X.merge_sample_files(X.lines_of(spark, str(tmp_path / "c")))
     assert {(r["sample_id"], r["feature_id"]): r["value"] for r in counts.collect()} == {("a.txt", "G1"): 5, ("a.txt", "G2"): 1, ("a.txt", "G3"): 0, ("b.txt", "G1"): 0, ("b.txt", "G2"): 4, ("b.txt", "G3"): 2}
+    assert [tuple(r) for r in X.shared_ids(X.lines_of(spark, str(tmp_path / "c"))).collect()] == [("", 2, 3, 1, 0.333333, "samples share few ids")]
+    both = X.lines_of(spark, str(tmp_path / "c")).selectExpr("file", "n", "line", "substring(file, 1, 1) as study_id")
+    assert {(r["study_id"], r["sample_id"], r["feature_id"], r["value"]) for r in X.merge_sample_files(both).collect()} == {("a", "a.txt", "G1", 5), ("a", "a.txt", "G2", 1), ("b", "b.txt", "G2", 4), ("b", "b.txt", "G3", 2)}
+    assert [r["warning"] for r in X.shared_ids(both).collect()] == [None, None]
+    (tmp_path / "ids.mztab").write_text("PRH\taccession\tscore\nPRT\tP1\t3\n")
+    (tmp_path / "none.mztab").write_text("MTD\tx\n")
+    tagged = [str(tmp_path / f"{x}.mztab") for x in ("p", "ids", "none")]
+    assert sorted(map(tuple, X.tagged_table_problems(spark, tagged).collect())) == [("ids.mztab", "identifications only"), ("none.mztab", "no protein rows")]
+    assert {r["study_id"] for r in X.read_tagged_table(spark, tagged).collect()} == {"p.mztab"}
     (tmp_path / "t").mkdir()
     (tmp_path / "t/matrix.mtx").write_text("%%MatrixMarket\n2 2 2\n1 1 3\n2 2 4\n")
     (tmp_path / "t/features.tsv").write_text("G1\tx\nG2\ty\n")
