@@ -25,7 +25,7 @@ def duplicate_ids(rows: DataFrame, key: str, rule: str) -> DataFrame:
 
 def schema_errors(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows (table, row_id, keys) whose keys aren't those of their table in the registry (table, keys), and rows of unknown tables."""
-    j = rows.join(F.broadcast(registry.withColumnRenamed("keys", "known")), "table", "left")
+    j = rows.join(registry.withColumnRenamed("keys", "known"), "table", "left")
     missing, extra = F.array_except("known", "keys"), F.array_except("keys", "known")
     message = F.when(F.col("known").isNull(), "unknown table").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(F.array_sort(missing), ","))).when(F.size(extra) > 0, F.concat(F.lit("unknown "), F.array_join(F.array_sort(extra), ",")))
     return j.withColumn("message", message).where("message is not null").select("table", "row_id", "message")

@@ -90,7 +90,7 @@ def kg_edges(genes: DataFrame, contexts: DataFrame, best_set: DataFrame, finding
     data = genes.select("study_id", F.col("gene").alias("object"), word(F.when(F.col("log2fc") > 0, "up").otherwise("down")).alias("predicate"), F.lit("data").alias("origin"))
     claims = findings.where(F.col("entity_type").isin("gene", "protein")).select("study_id", F.col("entity").alias("object"), word(F.col("direction")).alias("predicate")).distinct()
     only = claims.join(data.select("study_id", "object"), ["study_id", "object"], "left_anti").withColumn("origin", F.lit("text"))
-    return data.distinct().unionByName(only).join(F.broadcast(contexts), "study_id", "left").join(F.broadcast(best_set), "study_id", "left")
+    return data.distinct().unionByName(only).join(contexts, "study_id", "left").join(best_set, "study_id", "left")
 
 
 def result_rows(d: DataFrame) -> DataFrame:

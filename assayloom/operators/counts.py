@@ -185,5 +185,5 @@ def independent_filter(d: DataFrame, alpha: float = 0.05, cuts: int = 20) -> Dat
     raw = at.withColumn("raw", F.least(F.lit(1.0), F.col("pvalue") * F.count("pvalue").over(Window.partitionBy(*keys, "cut")) / F.row_number().over(w)))
     q = raw.withColumn("padj", F.when(F.col("pvalue").isNotNull(), F.min("raw").over(w.rowsBetween(0, Window.unboundedFollowing))))
     chosen = q.groupBy(*keys, "cut").agg(F.count_if(F.col("padj") < alpha).alias("n")).groupBy(*keys).agg(F.min_by("cut", F.struct(-F.col("n"), F.col("cut"))).alias("cut"))
-    kept = q.join(F.broadcast(chosen), [*keys, "cut"], "left_semi").select(*keys, "feature_id", "padj")
+    kept = q.join(chosen, [*keys, "cut"], "left_semi").select(*keys, "feature_id", "padj")
     return d.join(kept, [*keys, "feature_id"], "left")

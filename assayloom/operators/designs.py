@@ -25,7 +25,7 @@ def column_scores(a: DataFrame) -> DataFrame:
     """Score of each attribute as the design column; constant, unique and mostly unique ones aren't candidates."""
     n = a.groupBy("study_id").agg(F.countDistinct("sample_id").alias("n"))
     v = a.where(F.col("value").isNotNull() & (F.trim("value") != "")).groupBy("study_id", "attr", "value").agg(F.count(F.lit(1)).alias("size"), F.min("ord").alias("ord"))
-    s = v.groupBy("study_id", "attr").agg(F.count(F.lit(1)).alias("levels"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("ord").alias("ord")).join(F.broadcast(n), "study_id")
+    s = v.groupBy("study_id", "attr").agg(F.count(F.lit(1)).alias("levels"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("ord").alias("ord")).join(n, "study_id")
     fits = (F.col("levels") >= 2) & (F.col("levels") < F.col("n")) & (F.col("levels") <= F.greatest(F.lit(2), F.floor(F.col("n") * 0.8)))
     axis, plain = any_of(F.col("attr"), DESIGN), any_of(F.col("attr"), DESCRIPTOR)
     score = 1 + F.when(axis, 2).otherwise(0) - F.when(plain & ~axis, 1).otherwise(0) + F.when((F.col("least") >= 2) & (F.col("most") / F.col("least") <= 4), 1).otherwise(0) - F.when(any_of(F.col("attr"), USUAL), 0).otherwise(2)
@@ -113,7 +113,7 @@ def covariance_decisions(a: DataFrame, primary: str, subject: str) -> DataFrame:
         .when(F.col("relation").isin("nested_in_primary", "primary_nested_in_it"), "check")
         .otherwise("candidate")
     )
-    return c.join(F.broadcast(k), "study_id").select("study_id", "attr", "relation", what.alias("decision"))
+    return c.join(k, "study_id").select("study_id", "attr", "relation", what.alias("decision"))
 
 
 def pairing_signal(a: DataFrame, primary: str) -> DataFrame:

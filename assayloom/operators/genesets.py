@@ -30,7 +30,7 @@ def ora(lists: DataFrame, sets: DataFrame, universe: int) -> DataFrame:
     n = lists.groupBy("list_id").agg(F.countDistinct("gene").alias("n"))
     size = sets.groupBy("collection", "set_id").agg(F.countDistinct("gene").alias("m"))
     hits = lists.distinct().join(sets, "gene").groupBy("list_id", "collection", "set_id").agg(F.count(F.lit(1)).alias("k"), F.array_join(F.array_sort(F.collect_set("gene")), ";").alias("genes"))
-    j = hits.join(size, ["collection", "set_id"]).join(F.broadcast(n), "list_id")
+    j = hits.join(size, ["collection", "set_id"]).join(n, "list_id")
     # the table of log factorials has universe + 1 entries and goes along as one array
     lf = log_factorials(lists.sparkSession, universe).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "lf"))), lambda x: x["lf"]).alias("lf"))
     j = j.join(F.broadcast(lf.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
@@ -51,13 +51,17 @@ def ranking(d: DataFrame, metric: str = "stat", least: int = 100) -> DataFrame:
     return out.where(F.col("n") >= least)
 
 
+#: Permutations that one task draws at a time.
+BLOCK = 50
+
+
 def enrichment_score(ranked: DataFrame, sets: DataFrame, least: int = 15, most: int = 500, weight: float = 1.0) -> DataFrame:
     """Weighted running-sum score of each set; only its hits are kept, misses follow from the ranks.
 
     Before and after each hit the sum can peak; of the two extremes the larger counts, a tie the positive.
     """
     keys = ["study_id", "contrast_id", "method"]
-    hits = ranked.join(F.broadcast(sets), "gene").withColumn("w", F.pow(F.abs("score"), F.lit(weight)))
+    hits = ranked.join(sets, "gene").withColumn("w", F.pow(F.abs("score"), F.lit(weight)))
     part = Window.partitionBy(*keys, "collection", "set_id")
     run = part.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     h = hits.select(*keys, "collection", "set_id", "gene", "rank", "n", "w", F.sum("w").over(run).alias("cum"), F.row_number().over(part.orderBy("rank")).alias("j"), F.sum("w").over(part).alias("total"), F.count(F.lit(1)).over(part).alias("size"))
@@ -75,34 +79,35 @@ def enrichment_score(ranked: DataFrame, sets: DataFrame, least: int = 15, most:
 def gsea(ranked: DataFrame, sets: DataFrame, permutations: int = 1000, seed: int = 42, least: int = 15, most: int = 500) -> DataFrame:
     """Normalised score, nominal p and FDR q against gene permutations, seeded by the result's keys and so the same on any cluster.
 
-    A permutation gives a gene a random rank and keeps the scores at their ranks; the null depends on the set's size alone, so a null of
-    each size is drawn once per result, in Arrow batches of ranks. The nulls of a result's sets, which a library bounds, are pooled in one task.
+    A permutation gives genes random ranks and keeps the scores at their ranks. The null of a set depends on its size alone, and the first k
+    genes of a permutation are a random set of size k, so the same permutations serve all sizes of a result; they are drawn in blocks of
+    BLOCK, each in one row of an Arrow batch. The nulls of a result's sets, which a library bounds, are pooled in one task.
     """
     keys = ["study_id", "contrast_id", "method"]
     observed = enrichment_score(ranked, sets, least, most)
-    sizes = observed.select(*keys, "size").distinct()
+    sizes = observed.groupBy(*keys).agg(F.array_sort(F.collect_set("size")).alias("sizes"))
     scores = ranked.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
+    blocks = sizes.join(scores, keys).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(-(-permutations // BLOCK) - 1))))
 
     def null(batches):
         for t in batches:
             out = []
             for r in t.itertuples(index=False):
-                w, size, n = np.abs(np.asarray(r.scores, dtype=float)), int(r.size), len(r.scores)
-                rng = np.random.default_rng([seed, size, n, zlib.crc32(f"{r.study_id}|{r.contrast_id}|{r.method}".encode())])
-                es = np.empty(permutations)
-                for k in range(0, permutations, 100):
-                    at = np.argsort(rng.random((min(100, permutations - k), n)), axis=1)[:, :size]
-                    at.sort(axis=1)
+                w, n, largest = np.abs(np.asarray(r.scores, dtype=float)), len(r.scores), int(max(r.sizes))
+                rng = np.random.default_rng([seed, n, int(r.block), zlib.crc32(f"{r.study_id}|{r.contrast_id}|{r.method}".encode())])
+                drawn = rng.permuted(np.tile(np.arange(n), (min(BLOCK, permutations - r.block * BLOCK), 1)), axis=1)[:, :largest]
+                for size in map(int, r.sizes):
+                    at = np.sort(drawn[:, :size], axis=1)
                     hit = w[at]
                     cum = np.cumsum(hit, axis=1)
                     total = np.maximum(cum[:, -1:], 1e-300)
                     miss = (at + 1 - np.arange(1, size + 1)) / max(n - size, 1)
                     top, low = (cum / total - miss).max(axis=1), ((cum - hit) / total - miss).min(axis=1)
-                    es[k : k + 100] = np.where(top >= -low, top, low)
-                out.append((r.study_id, r.contrast_id, r.method, size, es.tolist()))
-            yield pd.DataFrame(out, columns=[*keys, "size", "null"])
+                    out.append((r.study_id, r.contrast_id, r.method, size, r.block, np.where(top >= -low, top, low).tolist()))
+            yield pd.DataFrame(out, columns=[*keys, "size", "block", "part"])
 
-    nulls = sizes.join(scores, keys).mapInPandas(null, "study_id string, contrast_id string, method string, size long, null array<double>")
+    parts = blocks.mapInPandas(null, "study_id string, contrast_id string, method string, size long, block int, part array<double>")
+    nulls = parts.groupBy(*keys, "size").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"])).alias("null"))
     result = [*keys, "collection", "set_id", "size", "es", "nes", "nom_p", "fdr_q", "lead_genes"]
 
     def judged(t: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +146,7 @@ def library_overlap(ranked_genes: DataFrame, sets: DataFrame) -> DataFrame:
     known = ranked_genes.select("study_id", "gene").distinct()
     lib = sets.select("collection", "gene").distinct()
     size = lib.groupBy("collection").agg(F.count(F.lit(1)).alias("n_library"))
-    return known.join(lib, "gene").groupBy("study_id", "collection").agg(F.count(F.lit(1)).alias("n_shared")).join(F.broadcast(size), "collection").withColumn("share", F.round(F.col("n_shared") / F.col("n_library"), 6))
+    return known.join(lib, "gene").groupBy("study_id", "collection").agg(F.count(F.lit(1)).alias("n_shared")).join(size, "collection").withColumn("share", F.round(F.col("n_shared") / F.col("n_library"), 6))
 
 
 def enrichment_tables(g: DataFrame, sizes: DataFrame, limit: float = 0.25) -> tuple[DataFrame, DataFrame]:

@@ -49,7 +49,7 @@ def restrict(attrs: DataFrame, columns: DataFrame) -> DataFrame:
 def marker_rows(m: DataFrame, symbols: list[str]) -> DataFrame:
     """Rows of the first feature that equals a symbol without regard to case."""
     wanted = m.sparkSession.createDataFrame([(s, s.lower()) for s in symbols], "symbol string, low string")
-    hits = m.select("study_id", "feature_id").distinct().withColumn("low", F.lower("feature_id")).join(F.broadcast(wanted), "low")
+    hits = m.select("study_id", "feature_id").distinct().withColumn("low", F.lower("feature_id")).join(wanted, "low")
     return first_by(hits, ["study_id", "symbol"], "feature_id").select("study_id", "symbol", "feature_id")
 
 
@@ -94,7 +94,7 @@ def uncovered(findings: DataFrame, d: DataFrame, alpha: float) -> DataFrame:
 def chain(g: DataFrame, sizes: DataFrame, arms: DataFrame, limit: float) -> DataFrame:
     """Significant sets with their size and both arms of the study's contrast, one row each."""
     c, x = (arms.where(F.col("condition") == v).select("study_id", F.col("n").alias(f"n_{v}")) for v in ("control", "treated"))
-    return g.where(F.col("fdr_q") < limit).join(sizes, "set_id").join(F.broadcast(c), "study_id").join(F.broadcast(x), "study_id")
+    return g.where(F.col("fdr_q") < limit).join(sizes, "set_id").join(c, "study_id").join(x, "study_id")
 
 
 def latest(log: DataFrame, keys: list[str], at: str, *values: str) -> DataFrame:

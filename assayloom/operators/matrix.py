@@ -125,9 +125,10 @@ def drop_invariant(m: DataFrame, least: float = 0.02) -> DataFrame:
 
 def log_cpm(m: DataFrame, prior: float = 1.0) -> DataFrame:
     """Adds cpm and log_cpm; a sample without counts has 0."""
-    size = F.sum("value").over(Window.partitionBy("study_id", "sample_id"))
-    cpm = F.when(size > 0, F.col("value") * 1e6 / size).otherwise(0.0)
-    return m.withColumn("cpm", cpm).withColumn("log_cpm", F.log2(F.col("cpm") + prior))
+    size = m.groupBy("study_id", "sample_id").agg(F.sum("value").alias("__size"))  # a row a sample, so the matrix itself isn't sorted
+    cpm = F.when(F.col("__size") > 0, F.col("value") * 1e6 / F.col("__size")).otherwise(0.0)
+    j = m.join(size, ["study_id", "sample_id"], "left").withColumn("cpm", cpm)
+    return j.select(*m.columns, "cpm", F.log2(F.col("cpm") + prior).alias("log_cpm"))
 
 
 def log2p(m: DataFrame, c: float = 1.0) -> DataFrame:

@@ -45,7 +45,7 @@ def run_stability(runs: DataFrame, top: int = 50, alpha: float = 0.05) -> DataFr
         )
     )
     for x in "ab":
-        p = p.join(F.broadcast(totals.select(F.col("run_id").alias(f"run_id_{x}"), F.col("n_top").alias(f"top_{x}"), F.col("n_sig").alias(f"sig_{x}"))), f"run_id_{x}")
+        p = p.join(totals.select(F.col("run_id").alias(f"run_id_{x}"), F.col("n_top").alias(f"top_{x}"), F.col("n_sig").alias(f"sig_{x}")), f"run_id_{x}")
     return p.select(
         "run_id_a", "run_id_b", "n_common", F.round("pearson", 6).alias("pearson"), F.round("direction", 6).alias("direction"), F.round(jaccard(F.col("top_both"), F.col("top_a"), F.col("top_b")), 6).alias("top_jaccard"), F.round(jaccard(F.col("sig_both"), F.col("sig_a"), F.col("sig_b")), 6).alias("sig_jaccard")
     )

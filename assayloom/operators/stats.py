@@ -111,7 +111,7 @@ def t_pvalue(t: Column | str, df: Column | str) -> Column:
 def two_group(m: DataFrame, s: DataFrame, control: str, treatment: str, value: str = "value") -> DataFrame:
     """Means, log fold change, pooled variance, ordinary t for each feature with values in both arms and at least one spare degree of freedom."""
     y, arm = F.col(value), F.col("condition")
-    j = m.join(F.broadcast(s.where(arm.isin(control, treatment)).select("study_id", "sample_id", "condition")), ["study_id", "sample_id"])
+    j = m.join(s.where(arm.isin(control, treatment)).select("study_id", "sample_id", "condition"), ["study_id", "sample_id"])
     one, two = F.when(arm == control, y), F.when(arm == treatment, y)
     g = j.groupBy("study_id", "feature_id").agg(
         F.avg(y).alias("base_mean"), F.count(one).alias("n1"), F.count(two).alias("n2"), F.avg(one).alias("m1"), F.avg(two).alias("m2"), F.coalesce(F.var_samp(one), F.lit(0.0)).alias("v1"), F.coalesce(F.var_samp(two), F.lit(0.0)).alias("v2")
@@ -299,7 +299,7 @@ def linear_model(m: DataFrame, s: DataFrame, terms: list[str], contrasts: dict[s
 
 def paired_change(m: DataFrame, s: DataFrame, baseline: str, follow_up: str) -> DataFrame:
     """Follow-up minus baseline of each complete subject."""
-    arms = m.join(F.broadcast(s.select("study_id", "sample_id", "subject", "condition")), ["study_id", "sample_id"])
+    arms = m.join(s.select("study_id", "sample_id", "subject", "condition"), ["study_id", "sample_id"])
     a = arms.where(F.col("condition") == baseline).select("study_id", "subject", "feature_id", F.col("value").alias("before"))
     b = arms.where(F.col("condition") == follow_up).select("study_id", "subject", "feature_id", F.col("value").alias("after"))
     return a.join(b, ["study_id", "subject", "feature_id"]).withColumn("change", F.col("after") - F.col("before"))
@@ -430,7 +430,7 @@ def size_factors(m: DataFrame) -> DataFrame:
 
 def dispersions(m: DataFrame, factors: DataFrame) -> DataFrame:
     """Base mean, variance and method-of-moments dispersion of counts scaled by size factors."""
-    j = m.join(F.broadcast(factors), ["study_id", "sample_id"]).withColumn("q", F.col("value") / F.col("size_factor"))
+    j = m.join(factors, ["study_id", "sample_id"]).withColumn("q", F.col("value") / F.col("size_factor"))
     xi = F.avg(1 / F.col("size_factor"))
     s = j.groupBy("study_id", "feature_id").agg(F.avg("q").alias("base_mean"), F.var_samp("q").alias("base_var"), xi.alias("xi"))
     return s.where("base_mean > 0").select("study_id", "feature_id", "base_mean", "base_var", F.greatest(F.lit(1e-8), (F.col("base_var") - F.col("xi") * F.col("base_mean")) / F.col("base_mean") ** 2).alias("dispersion"))

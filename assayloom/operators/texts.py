@@ -215,7 +215,7 @@ def pathway_named(sets: DataFrame, docs: DataFrame, least: float = 0.6) -> DataF
     words = F.array_distinct(F.filter(F.split(F.lower("set_id"), "[^a-z0-9]+"), lambda x: (F.length(x) >= 4) & ~x.isin(*STOP)))
     s = sets.select("set_id").distinct().select("set_id", words.alias("w")).where(F.size("w") > 0).select("set_id", F.size("w").alias("n"), F.explode("w").alias("word"))
     t = docs.select("paper_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("word"))
-    hit = t.join(F.broadcast(s), "word").groupBy("paper_id", "set_id", "n").agg(F.count(F.lit(1)).alias("k"), F.max(F.length("word")).alias("longest"))
+    hit = t.join(s, "word").groupBy("paper_id", "set_id", "n").agg(F.count(F.lit(1)).alias("k"), F.max(F.length("word")).alias("longest"))
     return hit.where((F.col("k") / F.col("n") >= least) & (F.col("longest") >= 5)).select("paper_id", "set_id", F.col("k").alias("n_words"))
 
 

@@ -28,12 +28,12 @@ def read_matrix(spark: SparkSession, paths: str | list[str], study: str = "file"
     count = lambda d: F.size(F.split("header", d))
     sep = F.when((count("\t") >= count(",")) & (count("\t") >= count(";")), "\t").when(count(",") >= count(";"), ",").otherwise(";")
     head = head.withColumn("sep", sep)
-    cells = lines.where("n > 0").join(F.broadcast(head), "file")
+    cells = lines.where("n > 0").join(head, "file")
     split = lambda c: F.expr(f"split({c}, sep)")
     flat = cells.select("file", "n", split("line")[0].alias("feature_id"), F.posexplode(F.arrays_zip(split("header").alias("h"), split("line").alias("v"))).alias("at", "c")).where("at > 0")
     named = flat.select("file", "n", F.regexp_replace("feature_id", '^"|"$', "").alias("feature_id"), F.regexp_replace(F.col("c.h"), '^"|"$', "").alias("sample_id"), F.col("c.v").try_cast("double").alias("value"))
     numeric = named.groupBy("file", "sample_id").agg(F.count("value").alias("k")).where("k > 0")
-    return named.join(F.broadcast(numeric), ["file", "sample_id"], "left_semi").select(F.col("file").alias("study_id"), "feature_id", "sample_id", "value")
+    return named.join(numeric, ["file", "sample_id"], "left_semi").select(F.col("file").alias("study_id"), "feature_id", "sample_id", "value")
 
 
 def tagged_table_problems(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -135,14 +135,14 @@ def read_triples(spark: SparkSession, folder: str) -> DataFrame:
     body = entries.join(F.broadcast(first), F.col("n") > F.col("first")).select(F.split(F.trim("line"), r"\s+").alias("f"))
     cells = body.select(F.col("f")[0].cast("long").alias("i"), F.col("f")[1].cast("long").alias("j"), F.col("f")[2].cast("double").alias("value"))
     name = lambda file, at, out, part: lines_of(spark, f"{folder}/{file}").where(F.trim("line") != "").select((F.col("n") + 1).cast("long").alias(at), F.element_at(F.split("line", "\t"), part).alias(out))
-    return cells.join(F.broadcast(name("features.tsv", "i", "gene", 1)), "i").join(F.broadcast(name("barcodes.tsv", "j", "cell_id", 1)), "j").select("cell_id", "gene", "value")
+    return cells.join(name("features.tsv", "i", "gene", 1), "i").join(name("barcodes.tsv", "j", "cell_id", 1), "j").select("cell_id", "gene", "value")
 
 
 def read_series_header(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``!Sample_`` lines up to the table marker, as (study_id, sample_no, attr, ord, value); characteristics are named by their label."""
     lines = lines_of(spark, paths)
     stop = lines.where(F.col("line").startswith("!series_matrix_table_begin")).groupBy("file").agg(F.min("n").alias("stop"))
-    rows = lines.where(F.col("line").startswith("!Sample_")).join(F.broadcast(stop), "file", "left").where("stop is null or n < stop")
+    rows = lines.where(F.col("line").startswith("!Sample_")).join(stop, "file", "left").where("stop is null or n < stop")
     flat = rows.select("file", "n", F.split("line", "\t").alias("f")).select("file", "n", F.regexp_replace(F.col("f")[0], "^!Sample_", "").alias("key"), F.posexplode(F.slice("f", 2, F.size("f") - 1)).alias("sample_no", "value"))
     text = F.regexp_replace("value", '^"|"$', "")
     label = F.when(F.col("key").startswith("characteristics") & F.contains(text, F.lit(": ")), F.substring_index(text, ": ", 1)).otherwise(F.col("key"))

@@ -124,3 +124,33 @@ def test_components_without_whole_features(spark):
     kind = "study_id string, feature_id string, sample_id string, value double"
     assert S.pca(spark.createDataFrame([("s", "f", "a", 1.0), ("s", "g", "b", 1.0), ("s", "h", "a", None)], kind)).collect() == []
     assert S.pca(spark.createDataFrame([], kind)).collect() == []
+
+
+def test_permutation_nulls(spark):
+    """Sets drawn at random have evenly spread p-values; a set of the top genes stands out; the null of a size is what plain draws give."""
+    from assayloom.operators import genesets as G
+
+    rng = np.random.default_rng(5)
+    n = 400
+    score = np.sort(rng.normal(size=n))[::-1]
+    ranked = spark.createDataFrame([("s", "c", "m", f"g{i}", float(x), i + 1, n) for i, x in enumerate(score)], "study_id string, contrast_id string, method string, gene string, score double, rank long, n long")
+    drawn = {f"r{k}": rng.choice(n, 15 + k % 6, replace=False) for k in range(120)} | {"top": np.arange(20)}
+    sets = spark.createDataFrame([("lib", k, f"g{i}") for k, v in drawn.items() for i in v], "collection string, set_id string, gene string")
+    out = {r["set_id"]: r for r in G.gsea(ranked, sets, permutations=400).collect()}
+    assert len(out) == 121 and out["top"]["nom_p"] < 0.01 and out["top"]["fdr_q"] < 0.05 and out["top"]["nes"] > 2
+    p = np.array([r["nom_p"] for k, r in out.items() if k != "top"])
+    assert 0.4 < p.mean() < 0.6 and 0.0 <= (p < 0.05).mean() < 0.13
+
+    def es(at):
+        at = np.sort(at)
+        w = np.abs(score[at])
+        miss = (at - np.arange(len(at))) / (n - len(at))
+        top, low = (np.cumsum(w) / w.sum() - miss).max(), ((np.cumsum(w) - w) / w.sum() - miss).min()
+        return top if top >= -low else low
+
+    null = np.array([es(rng.choice(n, 17, replace=False)) for _ in range(4000)])
+    some = [r for k, r in out.items() if k != "top" and r["size"] == 17]
+    for r in some:
+        same = null[(null >= 0) == (r["es"] >= 0)]
+        assert abs(r["nes"] / (r["es"] / abs(same.mean())) - 1) < 0.08
+    assert some and [tuple(r) for r in G.gsea(ranked.repartition(5), sets, permutations=400).where("set_id = 'r3'").collect()] == [tuple(out["r3"])]
