@@ -269,7 +269,7 @@ def crowds(met: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def bucket(salt: int) -> Column:
-    """A part of a shingle's rows, so that no task has to look at all of a frequent one; ``many`` rows are there."""
+    """A part of a shingle's rows, so that no task has to look at all of a frequent one; about ``many`` rows are there."""
     return F.pmod(F.xxhash64("b.node", F.lit(salt)), F.ceil(F.col("many") / BUCKET)).alias("part")
 
 
@@ -304,26 +304,25 @@ def part_keys(h: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray,
 
 
 def by_parts(nodes: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(a, b): pairs of ``nodes`` (node, n, of) of different components that may be alike: those with PARTS parts in which they share a key.
+    """(a, b): pairs of ``nodes`` (node, of) of different components that may be alike: those with PARTS parts in which they share a key.
 
     Rows grow with the shingles of the nodes. Common passages make two texts meet at many shingles, but seldom leave one part of them
     nearly the same, and hardly ever several, so few pairs come out of a crowd of texts that aren't alike.
     """
     small_batches(nodes.sparkSession)
-    names = ["key", "part", "whole", "upper", "node", "n", "of"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, n, of, text in zip(*(batch[c].to_pylist() for c in ("node", "n", "of", "text")), strict=True):
-                columns = part_keys(shingle_set(text, size), similarity)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(pa.array(np.full(len(columns[0]), v)) for v in (node, n, of))], names)
-
-    kinds = "key bigint, part bigint, whole boolean, upper boolean, node bigint, n bigint, of bigint"
-    rows = written(nodes.join(texts, "node").select("node", "n", "of", "text").mapInArrow(run, kinds), "parts")
-    x, y = (rows.select("key", F.struct(*names[1:]).alias(c)) for c in "xy")
-    near = enough(F.least("x.n", "y.n"), F.col("x.n"), F.col("y.n"), similarity)
-    met = x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & (F.col("x.of") != F.col("y.of")) & (F.col("x.whole") | F.col("y.whole")) & ~(F.col("x.upper") & F.col("y.upper")) & near)
-    pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.part").alias("part")).distinct()
+            for node, of, text in zip(*(batch[c].to_pylist() for c in ("node", "of", "text")), strict=True):
+                keys, part, whole, upper = part_keys(shingle_set(text, size), similarity)
+                tags = 4 * part + 2 * whole + upper
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(tags), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), of))], ["key", "tag", "node", "of"])
+
+    rows = written(nodes.join(texts, "node").select("node", "of", "text").mapInArrow(run, "key bigint, tag bigint, node bigint, of bigint"), "parts")
+    x, y = (rows.select("key", *(F.col(n).alias(f"{n}_{c}") for n in ("tag", "node", "of"))) for c in "xy")
+    either, both = F.col("tag_x").bitwiseOR(F.col("tag_y")), F.col("tag_x").bitwiseAND(F.col("tag_y"))
+    met = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("of_x") != F.col("of_y")) & (either.bitwiseAND(F.lit(2)) != 0) & (both.bitwiseAND(F.lit(1)) == 0))
+    pairs = met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.shiftright("tag_x", 2).alias("part")).distinct()
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PARTS).select("a", "b")
 
 
@@ -338,7 +337,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
     ``component`` is the smallest id reachable. ``kept`` rows are those with the smallest id, and of its texts the one with the smallest
     ``key``; rows with a null id are kept too. Equal sets are one. What meets at a shingle of its prefix is compared with the one
-    before it and the first one there, then with a few at random, and then with all that these links haven't brought to the same
+    before it and the first one there (in its part, where a sample says that the shingle is frequent), then with a few at random, and then with all that these links haven't brought to the same
     component and whose sketches allow it; so no pair is missed. Where more than TILE rows are left at a shingle, they aren't paired there: their
     whole sets meet by parts (``by_parts``).
     """
@@ -350,9 +349,13 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     reps = prints.where("rep is not null")
     decided = lambda pairs: written(alike(pairs.toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
     rows = reps.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", F.struct("node", "n", "at").alias("b"))
-    at = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min("b").alias("first")).where("many > 1")
+    often = docs.sparkSession.createDataFrame(pa.table({"shingle": common.view("<i8"), "many": counts * SAMPLE}).filter(counts * SAMPLE > BUCKET))
     w = Window.partitionBy("shingle", "part").orderBy("b.node")
-    met = written(rows.join(at, "shingle").withColumn("part", bucket(0)).select("shingle", "b", F.lag("b").over(w).alias("last"), "first"), "met")
+    first = F.first("b").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parted = rows.join(F.broadcast(often), "shingle", "left").withColumn("many", F.coalesce("many", F.lit(1))).withColumn("part", bucket(0))
+    # rows alone in their part stay, if there are other parts
+    met = parted.select("shingle", "b", F.lag("b").over(w).alias("last"), first.alias("first"), F.lead("b").over(w).alias("next"), "many")
+    met = written(met.where("last is not null or next is not null or many > 1").drop("next", "many"), "met")
     near = met.select("b", F.explode(F.array_compact(F.array("last", "first"))).alias("a")).where("a.node <> b.node").where(may_be_alike("a", "b", similarity))
     links = decided(near.select("a.node", "b.node"))
     # then a few neighbours in a random order, and then all, where what meets isn't in one component yet
@@ -365,7 +368,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     few, crowded = held.where(F.col("many") <= TILE), held.where(F.col("many") > TILE)
     x, y = few.select("shingle", F.col("b").alias("x")), few.select("shingle", F.col("b").alias("y"))
     rest = x.join(y, "shingle").where(F.col("x.node") < F.col("y.node")).where(comparable("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    nodes = written(crowded.select("b.node", "b.n", "b.of").distinct(), "crowd")
+    nodes = written(crowded.select("b.node", "b.of").distinct(), "crowd")
     if not nodes.isEmpty():
         rest = rest.union(by_parts(nodes, texts_of(nodes.select("node"), reps, docs, id_col, text_col), similarity, size))
     found = components(links.union(decided(rest)))
