@@ -24,6 +24,8 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     shift, y = np.zeros_like(x), x.copy()
     for _ in range(8):
         low = y < 8
+        if not low.any():
+            break
         shift += np.where(low, np.log(np.where(low, y, 1.0)), 0.0)
         y = np.where(low, y + 1, y)
     inv = 1 / y

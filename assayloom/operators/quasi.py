@@ -26,9 +26,9 @@ from assayloom.functions.tables import once
 from assayloom.operators.negbin import RIDGE, by_study, designs, fit_means, lgamma, packed
 from assayloom.operators.stats import digamma, t_two_sided, tmm, trigamma, trigamma_inverse
 
-#: Log dispersions of the curves, a quarter of a doubling apart from 2^-13 to 2^4.
-STEP = math.log(2) / 4
-CURVE = np.arange(-52, 17) * STEP
+#: Log dispersions of the curves, half a doubling apart from 2^-13 to 2^4.
+STEP = math.log(2) / 2
+CURVE = np.arange(-26, 9) * STEP
 CLASSES, PRIOR_DF, LEAST_TOTAL = 100, 10.0, 5
 #: Share of the features of a study that make a neighbourhood: (10 / n)^0.23 where there are more than ten.
 SPAN_N, SPAN_POWER = 10.0, 0.23
