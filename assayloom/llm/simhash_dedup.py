@@ -36,7 +36,7 @@ SIMILARITY, WIDE_SHINGLE, WORDS = 0.8, 5, 4
 #: Least bits of a parity sketch, which has two bits a shingle at least; neighbours compared in a random order at a crowded shingle.
 SKETCH, NEIGHBOURS = 512, 4
 #: Rows of a shingle that one task looks at in order; rows at a shingle that are compared pair by pair.
-BUCKET, TILE = 4096, 64
+BUCKET, TILE = 4096, 512
 #: Parts that alike sets must nearly have in common, see ``part_keys``.
 PARTS = 3
 #: Rows of ids and keys that are broadcast at most, some 10 MB; beyond that both sides of a join are shuffled.
