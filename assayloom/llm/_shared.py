@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from assayloom import attach
 
 #: Rows of an Arrow batch turned into Python objects at once.
-SLICE = 256
-ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+SLICE = 64
+ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 256
 ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
 
 

@@ -210,9 +210,20 @@ def enough(overlap: Column, n_a: Column, n_b: Column, similarity: float) -> Colu
 
 
 def may_be_alike(x: str, y: str, similarity: float) -> Column:
-    """Sound test of rows (n, at) that share the shingle at ``at`` of their prefixes: what is before it in one can only be before it in the other."""
-    n_x, n_y, i, j = (F.col(f"{r}.{c}") for c in ("n", "at") for r in (x, y))
-    return enough(F.least(i, j) + F.least(n_x - i, n_y - j), n_x, n_y, similarity)
+    """Test of rows (n, left) that share a shingle of their prefixes, with ``left`` shingles from there on; sound if it is the first one that
+    they share: then all that they share is from there on. Every two alike sets meet at their first one, so nothing is lost if they fail at others."""
+    n_x, n_y, i, j = (F.col(f"{r}.{c}") for c in ("n", "left") for r in (x, y))
+    return enough(F.least(i, j), n_x, n_y, similarity)
+
+
+def has_partner(similarity: float) -> Column:
+    """Whether a row may be alike one before it or after it, in the order of sizes.
+
+    ``last_n``, ``first_n`` and ``next_n`` are the next smaller, the smallest and the next larger size, ``most_left`` the largest ``left`` before it.
+    """
+    n, left = F.col("n"), F.col("left")
+    smaller = enough(F.col("last_n"), F.col("last_n"), n, similarity) & enough(F.least(left, "most_left"), n, F.col("first_n"), similarity)
+    return F.coalesce(smaller, F.lit(False)) | F.coalesce(enough(left, n, F.col("next_n"), similarity), F.lit(False))
 
 
 def overlap_within(n_x: Column, n_y: Column, d: Column, similarity: float) -> Column:
@@ -250,7 +261,8 @@ def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [jaccard(shingle_set(x, size), shingle_set(y, size)) >= similarity - 1e-9 for x, y in zip(batch["t_a"].to_pylist(), batch["t_b"].to_pylist(), strict=True)]
+            # text by text, so that no more than two of them and their sets are held beside the batch
+            keep = [jaccard(shingle_set(x.as_py(), size), shingle_set(y.as_py(), size)) >= similarity - 1e-9 for x, y in zip(batch["t_a"], batch["t_b"], strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     t = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"t_{c}"))
@@ -265,12 +277,12 @@ def crowds(met: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     held = met.select("shingle", "b", F.col("b.node").alias("node")).join(found, "node", "left").select("shingle", "node", "b", F.coalesce("component", "node").alias("of"))
     open_ = held.groupBy("shingle").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.count(F.lit(1)).alias("many")).where("least <> most").select("shingle", "many")
     sketched = held.join(open_, "shingle").join(reps.select("node", "brief"), "node")
-    return written(sketched.select("shingle", F.struct("b.node", "b.n", "b.at", "of", "brief").alias("b"), "many"), "held")
+    return written(sketched.select("shingle", F.struct("b.node", "b.n", "b.left", "of", "brief").alias("b"), "many"), "held")
 
 
-def bucket(salt: int) -> Column:
+def bucket(node: str, salt: int) -> Column:
     """A part of a shingle's rows, so that no task has to look at all of a frequent one; about ``many`` rows are there."""
-    return F.pmod(F.xxhash64("b.node", F.lit(salt)), F.ceil(F.col("many") / BUCKET)).alias("part")
+    return F.pmod(F.xxhash64(node, F.lit(salt)), F.ceil(F.col("many") / BUCKET)).alias("part")
 
 
 def size_classes(similarity: float, most: int) -> list[int]:
@@ -336,8 +348,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     """(id, key, component, kept) for every row of ``docs``, linking texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     ``component`` is the smallest id reachable. ``kept`` rows are those with the smallest id, and of its texts the one with the smallest
-    ``key``; rows with a null id are kept too. Equal sets are one. What meets at a shingle of its prefix is compared with the one
-    before it and the first one there (in its part, where a sample says that the shingle is frequent), then with a few at random, and then with all that these links haven't brought to the same
+    ``key``; rows with a null id are kept too. Equal sets are one. What meets at a shingle of its prefix, and may be alike by sizes and places, is compared with the
+    two next smaller ones there (in its part, where a sample says that the shingle is frequent), then with a few at random, and then with all that these links haven't brought to the same
     component and whose sketches allow it; so no pair is missed. Where more than TILE rows are left at a shingle, they aren't paired there: their
     whole sets meet by parts (``by_parts``).
     """
@@ -348,20 +360,24 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     prints = written(seen.groupBy("d0", "d1").agg(least, same).select("d0", "d1", "least.*", "of.*", F.monotonically_increasing_id().alias("node")), "prints")
     reps = prints.where("rep is not null")
     decided = lambda pairs: written(alike(pairs.toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
-    rows = reps.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", F.struct("node", "n", "at").alias("b"))
+    rows = reps.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "node", "n", (F.col("n") - F.col("at")).alias("left"))
     often = docs.sparkSession.createDataFrame(pa.table({"shingle": common.view("<i8"), "many": counts * SAMPLE}).filter(counts * SAMPLE > BUCKET))
-    w = Window.partitionBy("shingle", "part").orderBy("b.node")
-    first = F.first("b").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    parted = rows.join(F.broadcast(often), "shingle", "left").withColumn("many", F.coalesce("many", F.lit(1))).withColumn("part", bucket(0))
-    # rows alone in their part stay, if there are other parts
-    met = parted.select("shingle", "b", F.lag("b").over(w).alias("last"), first.alias("first"), F.lead("b").over(w).alias("next"), "many")
-    met = written(met.where("last is not null or next is not null or many > 1").drop("next", "many"), "met")
-    near = met.select("b", F.explode(F.array_compact(F.array("last", "first"))).alias("a")).where("a.node <> b.node").where(may_be_alike("a", "b", similarity))
+    # plain columns in the windows: expressions in them would be shuffled too
+    parted = rows.join(F.broadcast(often), "shingle", "left").withColumn("part", F.when(F.col("many").isNotNull(), bucket("node", 0))).drop("many")
+    w = Window.partitionBy("shingle", "part").orderBy("n", "node")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    lags = [F.lag(c, k).over(w).alias(f"{name}_{c}") for k, name in ((1, "last"), (2, "second")) for c in ("node", "n", "left")]
+    met = parted.select("shingle", "node", "n", "left", "part", *lags, F.first("n").over(before).alias("first_n"), F.max("left").over(before).alias("most_left"), F.lead("n").over(w).alias("next_n"))
+    # rows without a partner in their part stay, if there are other parts
+    of = lambda name="": F.struct(*(F.col(f"{name}{c}").alias(c) for c in ("node", "n", "left")))
+    met = met.where(has_partner(similarity) | F.col("part").isNotNull()).select("shingle", of().alias("b"), *(F.when(F.col(f"{k}_node").isNotNull(), of(f"{k}_")).alias(k) for k in ("last", "second")))
+    met = written(met, "met")
+    near = met.select("b", F.explode(F.array_compact(F.array("last", "second"))).alias("a")).where(may_be_alike("a", "b", similarity))
     links = decided(near.select("a.node", "b.node"))
     # then a few neighbours in a random order, and then all, where what meets isn't in one component yet
     held = crowds(met.select("shingle", "b"), components(links), reps)
     w = Window.partitionBy("shingle", "part").orderBy(F.xxhash64("b.node", "shingle"))
-    beside = held.withColumn("part", bucket(1)).select("b", F.array(*(F.lag("b", k).over(w) for k in range(1, NEIGHBOURS + 1))).alias("before"))
+    beside = held.withColumn("part", bucket("b.node", 1)).select("b", F.array(*(F.lag("b", k).over(w) for k in range(1, NEIGHBOURS + 1))).alias("before"))
     some = beside.select("b", F.explode("before").alias("a")).where(comparable("a", "b", similarity))
     links = links.union(decided(some.select("a.node", "b.node")))
     held = crowds(held.select("shingle", "b"), components(links), reps)
