@@ -215,18 +215,46 @@ def suitability(checks: DataFrame) -> DataFrame:
 
 
 def design_rank(s: DataFrame, terms: list[str]) -> DataFrame:
-    """Samples, rank of the design, parameters and residual degrees of freedom of each study."""
+    """Samples, rank of the design, parameters and residual degrees of freedom of each study.
+
+    The factor with most levels is taken out first: its levels are independent, and what the other terms add is the rank of their products
+    within its levels, which are sums. So a study's task sees a square of the columns of all other terms, whatever the samples.
+    """
     import numpy as np
     import pandas as pd
 
-    from assayloom.operators.stats import design
-
-    def one(p: pd.DataFrame) -> pd.DataFrame:
-        names, x = design(p.sort_values("sample_id"), terms)
-        rank = int(np.linalg.matrix_rank(x))
-        return pd.DataFrame({"study_id": [p["study_id"].iloc[0]], "n_samples": [len(p)], "n_columns": [len(names)], "rank": [rank], "residual_df": [len(p) - rank]})
-
-    return s.select("study_id", "sample_id", *terms).groupBy("study_id").applyInPandas(one, "study_id string, n_samples long, n_columns long, rank long, residual_df long")
+    kind = dict(s.dtypes)
+    numbers = [t for t in terms if kind[t] in ("tinyint", "smallint", "int", "bigint", "float", "double")]
+    factors = [t for t in terms if t not in numbers]
+    s = s.select("study_id", *(F.col(t).cast("double").alias(t) for t in numbers), *(F.coalesce(F.col(t).cast("string"), F.lit("None")).alias(t) for t in factors))
+    found = s.agg(*(F.approx_count_distinct(t).alias(t) for t in factors)).first().asDict() if factors else {}
+    largest = max(factors, key=lambda t: found[t], default=None)
+    s = s.withColumn("__a", F.col(largest) if largest else F.lit(""))
+    levels = s.groupBy("study_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("__a").alias("a"), *(F.countDistinct(t).alias(f"l{i}") for i, t in enumerate(factors)))
+    columns = sum((F.col(f"l{i}") - 1 for i in range(len(factors))), F.lit(1 + len(numbers)))
+    rest = [t for t in terms if t != largest]
+    if not rest:
+        extra = s.select("study_id").limit(0).withColumn("extra", F.lit(0))
+    else:
+        column = lambda t: F.struct(F.lit(t).alias("t"), (F.lit("") if t in numbers else F.col(t)).alias("l"), (F.col(t) if t in numbers else F.lit(1.0)).alias("v"))
+        z = s.select("study_id", "__a", F.array(*map(column, rest)).alias("z"))
+        both = lambda of, by: F.flatten(F.transform(of, lambda x: F.transform(of, lambda y: F.struct(F.concat_ws("=", x["t"], x["l"]).alias("i"), F.concat_ws("=", y["t"], y["l"]).alias("j"), (x["v"] * y["v"]).alias("whole"), by(x["v"] * y["v"]).alias("g")))))
+        sums = z.select("study_id", "__a", F.explode("z").alias("z")).groupBy("study_id", "__a", "z.t", "z.l").agg(F.sum("z.v").alias("v"), F.count(F.lit(1)).alias("k"))
+        of_level = sums.groupBy("study_id", "__a").agg(F.collect_list(F.struct("t", "l", "v")).alias("z"), (F.sum("k") / len(rest)).alias("k"))
+        own = z.select("study_id", F.explode(both(F.col("z"), lambda v: v)).alias("p"))
+        less = of_level.select("study_id", F.explode(both(F.col("z"), lambda v: -v / F.col("k"))).alias("p")).withColumn("p", F.col("p").withField("whole", F.lit(0.0)))
+        products = own.union(less).groupBy("study_id", "p.i", "p.j").agg(F.sum("p.whole").alias("whole"), F.sum("p.g").alias("g"))
+
+        def one(p: pd.DataFrame) -> pd.DataFrame:
+            g = p.pivot(index="i", columns="j", values="g").fillna(0.0)
+            at = p[p["i"] == p["j"]].set_index("i")["whole"].reindex(g.index).to_numpy(float)
+            scale = np.sqrt(np.where(at > 0, at, 1.0))
+            x = g[g.index].to_numpy(float) / scale[:, None] / scale[None, :]
+            return pd.DataFrame({"study_id": [p["study_id"].iloc[0]], "extra": [int((np.linalg.eigvalsh(x) > 1e-12 * len(x)).sum())]})
+
+        extra = products.groupBy("study_id").applyInPandas(one, f"study_id {kind['study_id']}, extra int")
+    j = levels.join(extra, "study_id", "left").withColumn("rank", F.col("a") + F.coalesce("extra", F.lit(0)))
+    return j.select("study_id", F.col("n").alias("n_samples"), columns.cast("long").alias("n_columns"), "rank", (F.col("n") - F.col("rank")).alias("residual_df"))
 
 
 def multifactor_plan(s: DataFrame, terms: list[str]) -> DataFrame:

@@ -154,3 +154,49 @@ def test_permutation_nulls(spark):
         same = null[(null >= 0) == (r["es"] >= 0)]
         assert abs(r["nes"] / (r["es"] / abs(same.mean())) - 1) < 0.08
     assert some and [tuple(r) for r in G.gsea(ranked.repartition(5), sets, permutations=400).where("set_id = 'r3'").collect()] == [tuple(out["r3"])]
+
+
+def test_rank_of_two_large_factors_numbers_and_nested_terms(spark):
+    """Against numpy's rank of the whole design: nested, crossed and split factors, a number and a null level."""
+    from assayloom.operators.designs import design_rank
+
+    rng = np.random.default_rng(5)
+    rows = [("a", f"s{i}", f"P{i // 2}", "ct"[i % 2], float(i % 5), f"b{i // 4}") for i in range(40)]
+    rows += [("b", f"s{i}", f"P{i // 4}", "ct"[i % 2] if i < 20 else None, float(rng.normal()), f"b{i // 20}") for i in range(41)]
+    s = spark.createDataFrame(rows, "study_id string, sample_id string, subject string, condition string, age double, batch string")
+    frame = s.toPandas()
+    for terms in (["condition", "subject"], ["subject", "batch", "condition"], ["age", "subject", "condition"], ["age"], ["batch"]):
+        got = {r["study_id"]: r for r in design_rank(s, terms).collect()}
+        for study, t in frame.groupby("study_id"):
+            names, x = S.design(t, terms)
+            rank = int(np.linalg.matrix_rank(x))
+            r = got[study]
+            assert (r["n_samples"], r["n_columns"], r["rank"], r["residual_df"]) == (len(t), len(names), rank, len(t) - rank), (study, terms)
+
+
+def test_design_rank_takes_many_levels(spark):
+    """4,000 subjects in pairs: a dense design would be 8,000 by 4,001 numbers in one task (256 MB)."""
+    from assayloom.operators.designs import design_rank
+
+    s = spark.range(8000).selectExpr("'a' as study_id", "concat('s', id) as sample_id", "concat('P', cast(floor(id / 2) as int)) as subject", "if(id % 2 = 0, 'c', 't') as condition")
+    r = design_rank(s, ["condition", "subject"]).first()
+    assert (r["n_columns"], r["rank"], r["residual_df"]) == (4001, 4001, 3999)
+
+
+def test_pairs_of_samples_are_not_shuffled(spark):
+    """Pairs leave the task that makes them; with gaps and more than one tile they equal plain sums."""
+    rng = np.random.default_rng(3)
+    y = rng.normal(size=(23, 11))
+    y[rng.random(y.shape) < 0.2] = np.nan
+    rows = [("s", f"f{i:02d}", f"q{j:02d}", None if np.isnan(y[i, j]) else float(y[i, j])) for i in range(23) for j in range(11)]
+    df = S.sample_corr(spark.createDataFrame(rows, "study_id string, feature_id string, sample_id string, value double"), tile=4, block=8)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("MapInArrow")
+    got = {(r["sample_a"], r["sample_b"]): r["r"] for r in df.collect()}
+    c = y - np.nanmean(y, axis=0)
+    want = {}
+    for i in range(11):
+        for j in range(i + 1, 11):
+            there = ~np.isnan(c[:, i]) & ~np.isnan(c[:, j])
+            want[f"q{i:02d}", f"q{j:02d}"] = float((c[there, i] * c[there, j]).sum() / np.sqrt((c[there, i] ** 2).sum() * (c[there, j] ** 2).sum()))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
