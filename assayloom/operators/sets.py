@@ -141,13 +141,19 @@ def title_key(title: Column, size: int = 80) -> Column:
 
 
 def token_recall(got: DataFrame, gold: DataFrame, least: float = 0.6) -> DataFrame:
-    """Best share of a gold item's tokens in any candidate of its key, and whether that counts as found."""
-    tokens = lambda df, name: df.select("key", F.col("text").alias(name), F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != ""))).alias("token"))
-    size = tokens(gold, "gold").groupBy("key", "gold").agg(F.count(F.lit(1)).alias("n"))
-    hit = tokens(gold, "gold").join(tokens(got, "got"), ["key", "token"]).groupBy("key", "gold", "got").agg(F.count(F.lit(1)).alias("k"))
-    best = hit.groupBy("key", "gold").agg(F.max("k").alias("k"))
+    """Best share of a gold item's tokens in any candidate of its key, and whether that counts as found.
+
+    A token's row names its text by a digest; texts themselves are joined once, to the result.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != ""))
+    items = lambda df: df.select("key", "text").distinct().select("key", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("id"), words.alias("w"))
+    tokens = lambda df, name: df.select("key", F.col("id").alias(name), F.explode("w").alias("token"))
+    size = items(gold).where(F.size("w") > 0)
+    hit = tokens(items(gold), "id").join(tokens(items(got), "got"), ["key", "token"]).groupBy("key", "id", "got").agg(F.count(F.lit(1)).alias("k"))
+    best = hit.groupBy("key", "id").agg(F.max("k").alias("k"))
     share = F.round(F.coalesce(F.col("k"), F.lit(0)) / F.col("n"), 6)
-    return size.join(best, ["key", "gold"], "left").select("key", "gold", share.alias("share"), (share >= least).alias("found"))
+    texts = size.select("key", "id", F.col("text").alias("gold"), F.size("w").alias("n"))
+    return texts.join(best, ["key", "id"], "left").select("key", "gold", share.alias("share"), (share >= least).alias("found"))
 
 
 def field_stability(rows: DataFrame, runs: int, fields: list[str]) -> DataFrame:

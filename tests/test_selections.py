@@ -153,3 +153,52 @@ def test_leaks_equal_searching_each_pattern_in_each_block(spark):
                 want.setdefault((p, b), {})[kind] = n
     got = {(r["paper_id"], r["block_id"]): {k: v for k, v in (("header", r["n_headers"]), ("title", r["n_titles"])) if v} for r in X.leaks(spark.createDataFrame(blocks, "paper_id long, block_id string, text string"), spark.createDataFrame(patterns, "paper_id long, kind string, text string")).collect()}
     assert got == want and len(got) > 20
+
+
+def test_table_match_with_frequent_cells_equals_all_pairs(spark):
+    """However few tables make a cell frequent, the match is that of all pairs, ties and tables with frequent cells only too."""
+    import random
+
+    from assayloom.operators import evaluation as E
+
+    rng = random.Random(4)
+    table = lambda: "\n".join(f"| {rng.choice('ab')} | {rng.choice('abcd')} | {rng.randrange(60)} |" for _ in range(rng.randrange(1, 5)))
+    make = lambda x: spark.createDataFrame([(p, f"{x}{i:03d}", table()) for p in range(2) for i in range(40)] + [(0, f"{x}900", "| a | a |"), (0, f"{x}901", "| d | c |"), (1, f"{x}902", "| zz |")], "paper_id int, table_id string, text string").coalesce(2)
+    a, b = make("A").cache(), make("B").cache()
+    cells = lambda df: {(r[0], r[1]): {} for r in df.collect()}
+    x, y = cells(a), cells(b)
+    for df, of in ((a, x), (b, y)):
+        for r in E.table_cells(df).collect():
+            of[r["paper_id"], r["table_id"]][r["cell"]] = r["n"]
+    want = {}
+    for (p, t), c in x.items():
+        k = [(-sum(n for cell, n in c.items() if cell in d), u) for (q, u), d in y.items() if p == q]
+        top = min(v for v in k if v[0] < 0) if any(v[0] < 0 for v in k) else (0, None)
+        want[p, t] = (sum(c.values()), top[1], round(-top[0] / sum(c.values()), 6))
+    for frequent in (0, 3, 1000):
+        got = {(r["paper_id"], r["table_id"]): (r["n_cells"], r["match_id"], r["share"]) for r in E.table_match(a, b, frequent).collect()}
+        assert got == want, frequent
+    assert "CartesianProduct" not in E.table_match(a, b)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_recall_counts_a_repeated_candidate_once(spark):
+    """A candidate that stands twice under a key doubled its shared tokens, so shares went above 1."""
+    from assayloom.operators import sets as C
+
+    kind = "key string, text string"
+    gold = spark.createDataFrame([("a", "one two three four"), ("a", "one two three four"), ("b", "x y"), ("c", "?!"), ("d", None)], kind)
+    got = spark.createDataFrame([("a", "ONE two"), ("a", "ONE two"), ("a", "three five"), ("d", "x")], kind)
+    assert {tuple(r) for r in C.token_recall(got, gold, 0.5).collect()} == {("a", "one two three four", 0.5, True), ("b", "x y", 0.0, False)}
+
+
+def test_highest_value_of_a_study_needs_no_window(spark):
+    """A study's rows stay where they are: its highest value is joined. Studies without a name count as one."""
+    from assayloom.operators import matrix as M
+
+    m = spark.createDataFrame([("p", "f", "s", 80.0), ("p", "g", "s", 20.0), ("b", "f", "s", 0.5), (None, "f", "s", 90.0), (None, "g", "s", 10.0)], "study_id string, feature_id string, sample_id string, value double")
+    for out, want in ((M.beta_to_m(m), {("p", "g"): 0.2, (None, "g"): 0.1, ("b", "f"): 0.5}), (M.log_if_linear(m), None)):
+        assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r["study_id"], r["feature_id"]): r["value"] for r in out.collect()}
+        assert len(got) == 5
+        for k, b in (want or {}).items():
+            assert abs(2 ** got[k] - (b + 1e-3) / (1 - b + 1e-3)) < 1e-9
