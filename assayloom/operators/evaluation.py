@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayloom.functions.tables import once
+
 
 def set_run_stability(runs: DataFrame, alpha: float = 0.25) -> DataFrame:
     """Pairs of runs (run_id, set_id, nes, fdr_q): common sets, correlation of scores, sets significant in both and in either."""
@@ -73,17 +75,36 @@ def table_cells(tables: DataFrame) -> DataFrame:
     return cells.where(~F.col("cell").isin("", "-")).groupBy("paper_id", "table_id", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-def table_match(first: DataFrame, second: DataFrame) -> DataFrame:
+#: Tables of a paper beyond which a cell is frequent.
+FREQUENT = 64
+
+
+def table_match(first: DataFrame, second: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """(paper_id, table_id, n_cells, match_id, share): for each table of one parse the table of the other that holds most of its cells.
 
-    Tables meet in an index of cells by paper, so only those that share a cell are compared; the first by id wins a tie, and a table without any
-    has no match and a share of 0. Tables without cells have no row.
+    Tables meet at cells that at most ``frequent`` tables of their paper hold; frequent cells are counted for the pairs that met. A table
+    that met none holds no more than the frequent cells, so a match with more is settled. For the rest, tables with the same frequent
+    cells are one, and these meet at all of them. The first by id wins a tie, and a table without any match has a share of 0. Tables
+    without cells have no row.
     """
     a, b = table_cells(first), table_cells(second).select("paper_id", "cell", F.col("table_id").alias("match_id"))
-    size = a.groupBy("paper_id", "table_id").agg(F.sum("n").alias("n_cells"))
-    held = a.join(b, ["paper_id", "cell"]).groupBy("paper_id", "table_id", "match_id").agg(F.sum("n").alias("k"))
-    best = held.groupBy("paper_id", "table_id").agg(F.min(F.struct((-F.col("k")).alias("k"), "match_id")).alias("m"))
-    j = size.join(best, ["paper_id", "table_id"], "left")
+    held = b.groupBy("paper_id", "cell").agg(F.count(F.lit(1)).alias("df"))
+    a, b = once(a.join(held, ["paper_id", "cell"], "left")), once(b.join(held, ["paper_id", "cell"]))
+    table, often = ["paper_id", "table_id"], F.col("df") > frequent
+    of_a = F.array_sort(F.collect_list(F.when(often, F.struct("cell", "n"))))
+    size = a.groupBy(*table).agg(F.sum("n").alias("n_cells"), F.coalesce(F.sum(F.when(often, F.col("n"))), F.lit(0)).alias("f"), of_a.alias("fa"))
+    of_b = b.where(often).groupBy("paper_id", "match_id").agg(F.array_sort(F.collect_list("cell")).alias("fb"))
+    met = a.where(~often).join(b.where(~often).select("paper_id", "cell", "match_id"), ["paper_id", "cell"]).groupBy(*table, "match_id").agg(F.sum("n").alias("k"))
+    shared = F.aggregate(F.filter("fa", lambda x: F.array_contains("fb", x["cell"])), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    met = met.join(size.select(*table, "fa"), table).join(of_b, ["paper_id", "match_id"], "left").select(*table, "match_id", (F.col("k") + F.coalesce(shared, F.lit(0))).alias("k"))
+    best = met.groupBy(*table).agg(F.min(F.struct((-F.col("k")).alias("k"), "match_id")).alias("m"))
+    j = once(size.join(best, table, "left"))
+    left = j.where((F.col("f") > 0) & (F.col("m").isNull() | (-F.col("m.k") <= F.col("f")))).select("paper_id", "fa").distinct()
+    alike = of_b.groupBy("paper_id", "fb").agg(F.min("match_id").alias("match_id")).select("paper_id", "match_id", F.explode("fb").alias("cell"))
+    pairs = left.select("paper_id", "fa", F.explode("fa").alias("x")).select("paper_id", "fa", "x.cell", "x.n")
+    k = pairs.join(alike, ["paper_id", "cell"]).groupBy("paper_id", "fa", "match_id").agg(F.sum("n").alias("k"))
+    other = k.groupBy("paper_id", "fa").agg(F.min(F.struct((-F.col("k")).alias("k"), "match_id")).alias("o"))
+    j = j.join(other, ["paper_id", "fa"], "left").withColumn("m", F.when((F.col("f") > 0) & (F.col("m").isNull() | (-F.col("m.k") <= F.col("f"))), F.least("m", "o")).otherwise(F.col("m")))
     return j.select("paper_id", "table_id", "n_cells", F.col("m.match_id").alias("match_id"), F.round(F.coalesce(-F.col("m.k"), F.lit(0)) / F.col("n_cells"), 6).alias("share"))
 
 
