@@ -137,11 +137,16 @@ def log2p(m: DataFrame, c: float = 1.0) -> DataFrame:
     return m.join(ok.select("study_id"), "study_id", "left_semi").withColumn("value", F.log2(F.col("value") + c))
 
 
+def with_highest(m: DataFrame) -> DataFrame:
+    """Adds ``__high``, the highest value of a study; a row a study is joined, so no task holds a study's rows."""
+    high = m.groupBy("study_id").agg(F.max("value").alias("__high")).withColumnRenamed("study_id", "__study")
+    return m.join(high, m["study_id"].eqNullSafe(high["__study"]), "left").drop("__study")
+
+
 def beta_to_m(m: DataFrame, eps: float = 1e-3) -> DataFrame:
     """M-values; a study with a maximum over 1.5 is taken as percentages."""
-    high = F.max("value").over(Window.partitionBy("study_id"))
-    b = F.least(F.greatest(F.when(high > 1.5, F.col("value") / 100).otherwise(F.col("value")), F.lit(eps)), F.lit(1 - eps))
-    return m.withColumn("value", F.log2((b + eps) / (1 - b + eps)))
+    b = F.least(F.greatest(F.when(F.col("__high") > 1.5, F.col("value") / 100).otherwise(F.col("value")), F.lit(eps)), F.lit(1 - eps))
+    return with_highest(m).withColumn("value", F.log2((b + eps) / (1 - b + eps))).drop("__high")
 
 
 def round_counts(m: DataFrame) -> DataFrame:
@@ -155,8 +160,7 @@ def centre(m: DataFrame) -> DataFrame:
 
 
 def log_if_linear(m: DataFrame, limit: float = LOG_MAX) -> DataFrame:
-    high = F.max("value").over(Window.partitionBy("study_id"))
-    return m.withColumn("value", F.when(high >= limit, F.log2(F.greatest("value", F.lit(0.0)) + 1)).otherwise(F.col("value")))
+    return with_highest(m).withColumn("value", F.when(F.col("__high") >= limit, F.log2(F.greatest("value", F.lit(0.0)) + 1)).otherwise(F.col("value"))).drop("__high")
 
 
 def minprob(m: DataFrame, shift: float = 1.8, scale: float = 0.3, seed: int = 42) -> DataFrame:
