@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.tables import once
+from assayloom.functions.tables import once, with_study
 from assayloom.operators.negbin import GRID, RIDGE, best, by_study, designs, fit_means, lgamma, packed, profile
 from assayloom.operators.precision import voom_test
 from assayloom.operators.quasi import ql_test
@@ -164,7 +164,7 @@ def nb_wald(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, meth
             yield pd.DataFrame({"study_id": study, "contrast_id": coefficient, "method": method, "feature_id": rows["feature_id"].to_numpy(), "base_mean": mean, "log2fc": beta[:, k] / math.log(2), "lfc_se": se / math.log(2), "stat": z, "pvalue": p, "dispersion": alpha})
 
     form = "study_id string, contrast_id string, method string, feature_id string, base_mean double, log2fc double, lfc_se double, stat double, pvalue double, dispersion double"
-    out = features.join(trends(features), "study_id").mapInPandas(run, form)
+    out = once(with_study(features, trends(features)).mapInPandas(run, form))
     return shrink(out.withColumn("pvalue", F.when(~F.isnan("pvalue"), F.col("pvalue"))))
 
 

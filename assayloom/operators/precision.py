@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.functions.tables import once, with_study
 from assayloom.operators.negbin import by_study, designs, packed
 from assayloom.operators.stats import log_odds, moderated
 
@@ -115,6 +116,6 @@ def voom_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, po
             s2 = (weight * (v - beta @ x.T) ** 2).sum(axis=1) / df
             yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": v.mean(axis=1), "log2fc": beta[:, k], "s2": s2, "df": df, "u": inverse[:, k, k]})
 
-    fits = features.join(line, "study_id").mapInPandas(second, "study_id string, feature_id string, base_mean double, log2fc double, s2 double, df double, u double")
-    out = log_odds(moderated(fits))
+    fits = with_study(features, line).mapInPandas(second, "study_id string, feature_id string, base_mean double, log2fc double, s2 double, df double, u double")
+    out = log_odds(moderated(once(fits)))
     return out.select("study_id", F.lit(coefficient).alias("contrast_id"), F.lit("voom").alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue", "b")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.tables import once
+from assayloom.functions.tables import once, with_study
 from assayloom.operators.negbin import RIDGE, by_study, designs, fit_means, lgamma, packed
 from assayloom.operators.stats import digamma, t_two_sided, tmm, trigamma, trigamma_inverse
 
@@ -124,7 +124,7 @@ def tagwise(p: DataFrame, prior_df: float = PRIOR_DF) -> DataFrame:
     def peak(v: pd.Series) -> pd.Series:
         return pd.Series(top(np.stack(v.to_list())) if len(v) else [], dtype=float)
 
-    j = p.join(shared, "study_id")
+    j = with_study(p, shared)
     return j.withColumn("tagwise", F.pandas_udf(peak, "double")(own)).withColumn("trended", F.element_at("trended", c + 1)).drop("cuts", "local", "curve", "n")
 
 

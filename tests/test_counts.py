@@ -263,3 +263,21 @@ def test_log_odds_equal_numpy(spark):
 def test_critical_values():
     assert np.allclose(S.t_critical(np.array([0.05, 0.05, 0.01]), np.array([10.0, math.inf, 1.0])), [2.228139, 1.959964, 63.656741], rtol=1e-6)
     assert np.allclose(S.t_two_sided(S.t_critical(np.array([0.3, 1e-12]), np.array([4.0, 50.0])), np.array([4.0, 50.0])), [0.3, 1e-12], rtol=1e-6)
+
+
+def test_a_row_a_study_is_joined_by_parts(spark):
+    """Features of one study came together in one task where its trend was joined, and so did their fits."""
+    from pyspark.sql import functions as F
+
+    from assayloom.functions.tables import with_study
+
+    f = spark.range(500).select(F.lit("s").alias("study_id"), F.concat(F.lit("f"), "id").alias("feature_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        j = with_study(f, spark.createDataFrame([("s", 2.0)], "study_id string, a double"))
+        assert j.columns == ["study_id", "feature_id", "a"] and j.count() == j.distinct().count() == 500
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        shuffles = [x for x in plan.splitlines() if "hashpartitioning(" in x]
+        assert len(shuffles) == 2 and all("__part#" in x.split("hashpartitioning(")[1] for x in shuffles)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
