@@ -2,7 +2,8 @@
 
 Each round every node points to the neighbour (or itself) with the smallest hash, links are rewritten to the nodes pointed
 to, and loops and repeats go. A hash of node and round is as good as a random order, so a constant share of the nodes
-disappears each round, long chains included. Rounds are written to the shared folder; the pointers are joined back
+disappears each round, long chains included. The round goes into the hash as a string: numbers become part of the code that Spark
+compiles, strings don't, so all rounds share theirs and executors don't gather compiled classes. Rounds are written to the shared folder; the pointers are joined back
 from the last round to the first. Hubs never meet in one task: minima are combined before the shuffle, and joins start
 from written tables on both sides, so adaptive execution splits skewed keys.
 """
@@ -25,8 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not now.isEmpty():
         k = len(rounds)
         both = now.select(F.col("a").alias("node"), F.col("b").alias("other")).union(now.select("b", "a"))
-        first = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("other", F.lit(k)).alias("h"), "other")).alias("m"))
-        own = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("other"))
+        first = both.groupBy("node").agg(F.min(F.struct(F.xxhash64("other", F.lit(f"{k}")).alias("h"), "other")).alias("m"))
+        own = F.struct(F.xxhash64("node", F.lit(f"{k}")).alias("h"), F.col("node").alias("other"))
         to = written(first.select("node", F.least("m", own)["other"].alias("to")), "pointers")
         rounds.append(to)
         left = now.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a").select("x", "b")

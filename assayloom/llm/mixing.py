@@ -166,8 +166,12 @@ def memberships(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text
 
 
 def score(y: np.ndarray) -> Column:
-    """What the steps, added up in ``y``, add to the rate of a document with posteriors p0, p1, p2."""
-    return sum((F.col(f"p{k}") * float(v) for k, v in enumerate(y)), F.lit(0.0))
+    """What the steps, added up in ``y``, add to the rate of a document with posteriors p0, p1, p2.
+
+    ``y`` is one array: single numbers become part of the code that Spark compiles, and executors would gather classes for each step.
+    """
+    p = F.array(*(F.col(f"p{k}") for k in range(len(y))))
+    return F.aggregate(F.zip_with(p, F.lit([float(v) for v in y]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
 
 def rate(y: np.ndarray) -> Column:

@@ -7,7 +7,8 @@ by more fingerprints than there are masks (65 for r = 2), however many documents
 one before the expansion; so no group is unbounded and neighbours in a group suffice as links.
 
 For similarity on longer shingles no fingerprint decides well: texts that share 80 % of their shingles differ in about 15 % of its
-bits, give or take. ``similar_groups`` is an exact set-similarity join instead: candidates share a shingle of their prefixes (the rarest
+bits, give or take. ``similar_groups`` takes what meets by ball hashing first, decided by the Jaccard similarity of the sets, and goes on with
+an exact set-similarity join for the pairs whose fingerprints are farther apart: candidates share a shingle of their prefixes (the rarest
 fifth of the set, and one more, at 0.8), pass sound bounds from positions and parity sketches, and are decided by the Jaccard
 similarity of the sets themselves. What meets in crowds that all share a passage is told apart by the parts of the sets instead.
 
@@ -60,9 +61,18 @@ def shingle_hashes(words: list[bytes], size: int) -> list[int]:
     return [h(joined[a:b], SEED) for a, b in zip(starts[:last], ends[min(size, len(words)) - 1 :], strict=True)]
 
 
+def text_hashes(text: str | None, size: int) -> list[int]:
+    """Hashes of the text's shingles. Bytes are split at ASCII white space and only A-Z is lower-cased."""
+    return shingle_hashes((text or "").encode().lower().split(), size)
+
+
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The fingerprint as a signed long. Bytes are split at ASCII white space and only A-Z is lower-cased."""
-    hashes = shingle_hashes((text or "").encode().lower().split(), size)
+    """The fingerprint as a signed long."""
+    return majority(text_hashes(text, size))
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits that are set in over half of the hashes, as a signed long."""
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), BLOCK):
         block = np.array(hashes[i : i + BLOCK], dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -144,7 +154,7 @@ def most_bits(similarity: float) -> int:
 
 def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
     """The distinct shingle hashes, ascending, from the same words as ``fingerprint``."""
-    return np.unique(np.array(shingle_hashes((text or "").encode().lower().split(), size), dtype="<u8"))
+    return np.unique(np.array(text_hashes(text, size), dtype="<u8"))
 
 
 def row_key(text_col: str) -> Column:
@@ -173,19 +183,20 @@ def parities(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def set_columns(text: str | None, size: int, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple:
-    """Digest (two longs), number, brief and full parity sketch, and prefix of the text's shingle set.
+    """Digest (two longs), number, brief and full parity sketch, and prefix of the text's shingle set; at the end the text's fingerprint.
 
     Sets of this similarity share a shingle of their prefixes, if prefixes follow one order of all shingles: here rare ones first, then
     by hash. Each shingle flips one bit of a sketch, so sketches differ in at most as many bits as the sets differ in shingles.
     """
-    h = shingle_set(text, size)
+    hashes = text_hashes(text, size)
+    h = np.unique(np.array(hashes, dtype="<u8"))
     d0, d1 = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), dtype="<i8").tolist()
     often = np.zeros(len(h), dtype=np.int64)
     if len(common) and len(h):
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         often = np.where(common[at] == h, counts[at], 0)
     first = h[np.lexsort((h, often))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]
-    return d0, d1, len(h), parities(h, SKETCH), parities(h, max(SKETCH, 1 << (2 * len(h)).bit_length())), first.view("<i8")
+    return d0, d1, len(h), parities(h, SKETCH), parities(h, max(SKETCH, 1 << (2 * len(h)).bit_length())), first.view("<i8"), majority(hashes)
 
 
 def differing(x: Column, y: Column) -> Column:
@@ -269,6 +280,13 @@ def alike(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: floa
     return left.join(t("a"), "a").join(t("b"), "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def ball_pairs(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs that connect the nodes of ``reps`` (node, fp) whose fingerprints are equal or meet by ball hashing."""
+    prints = written(reps.groupBy("fp").agg(F.min("node").alias("rep")), "balls")
+    equal = reps.select("fp", "node").join(prints, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    return equal.union(ball_links(prints, radius))
+
+
 def crowds(met: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     """The rows of ``met`` (shingle, b) at shingles where more than one component of ``found`` meets; b gets its component and brief sketch.
 
@@ -348,16 +366,17 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     """(id, key, component, kept) for every row of ``docs``, linking texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     ``component`` is the smallest id reachable. ``kept`` rows are those with the smallest id, and of its texts the one with the smallest
-    ``key``; rows with a null id are kept too. Equal sets are one. What meets at a shingle of its prefix, and may be alike by sizes and places, is compared with the
+    ``key``; rows with a null id are kept too. Equal sets are one. Ball hashing of the fingerprints gives the first candidates, decided like all
+others by their sets; what it leaves apart is searched by shingles. What meets at a shingle of its prefix, and may be alike by sizes and places, is compared with the
     two next smaller ones there (in its part, where a sample says that the shingle is frequent), then with a few at random, and then with all that these links haven't brought to the same
     component and whose sketches allow it; so no pair is missed. Where more than TILE rows are left at a shingle, they aren't paired there: their
     whole sets meet by parts (``by_parts``).
     """
     common, counts = common_shingles(docs, size, id_col, text_col)
-    fields = "d0 bigint, d1 bigint, n bigint, brief array<bigint>, sketch array<bigint>, prefix array<bigint>"
+    fields = "d0 bigint, d1 bigint, n bigint, brief array<bigint>, sketch array<bigint>, prefix array<bigint>, fp bigint"
     seen = written(map_texts(docs.withColumn("__key", row_key(text_col)), [id_col, "__key"], text_col, lambda text: set_columns(text, size, similarity, common, counts), fields).withColumnRenamed("__key", "key"), "sets")
-    same, least = F.first(F.struct("n", "brief", "sketch", "prefix")).alias("of"), F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("rep"), "key"))).alias("least")
-    prints = written(seen.groupBy("d0", "d1").agg(least, same).select("d0", "d1", "least.*", "of.*", F.monotonically_increasing_id().alias("node")), "prints")
+    same, fp, least = F.first(F.struct("n", "brief", "sketch", "prefix")).alias("of"), F.min("fp").alias("fp"), F.min(F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("rep"), "key"))).alias("least")
+    prints = written(seen.groupBy("d0", "d1").agg(least, same, fp).select("d0", "d1", "least.*", "of.*", "fp", F.monotonically_increasing_id().alias("node")), "prints")
     reps = prints.where("rep is not null")
     decided = lambda pairs: written(alike(pairs.toDF("a", "b"), reps, docs, similarity, size, id_col, text_col), "alike")
     rows = reps.select("node", "n", F.posexplode("prefix").alias("at", "shingle")).select("shingle", "node", "n", (F.col("n") - F.col("at")).alias("left"))
@@ -373,7 +392,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     met = met.where(has_partner(similarity) | F.col("part").isNotNull()).select("shingle", of().alias("b"), *(F.when(F.col(f"{k}_node").isNotNull(), of(f"{k}_")).alias(k) for k in ("last", "second")))
     met = written(met, "met")
     near = met.select("b", F.explode(F.array_compact(F.array("last", "second"))).alias("a")).where(may_be_alike("a", "b", similarity))
-    links = decided(near.select("a.node", "b.node"))
+    links = decided(ball_pairs(reps).union(near.select("a.node", "b.node")))
     # then a few neighbours in a random order, and then all, where what meets isn't in one component yet
     held = crowds(met.select("shingle", "b"), components(links), reps)
     w = Window.partitionBy("shingle", "part").orderBy(F.xxhash64("b.node", "shingle"))

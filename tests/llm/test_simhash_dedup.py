@@ -207,3 +207,33 @@ def test_crowds_met_by_parts_lose_no_link(make_docs, words, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "BUCKET", 16)
     assert {r["doc_id"]: r["component"] for r in similar_groups(docs).collect()} == expected
     assert len(set(expected.values())) > 90 and len(expected) - len(set(expected.values())) >= 10
+
+
+def test_similar_groups_link_what_ball_hashing_meets(make_docs, words, monkeypatch):
+    """Without the search by shingles near copies are still linked: by their fingerprints, and only if their sets are alike."""
+    from pyspark.sql import functions as F
+
+    from assayloom.llm import simhash_dedup
+
+    nobody = lambda *_: F.lit(False)
+    for step in ("has_partner", "may_be_alike", "comparable"):
+        monkeypatch.setattr(simhash_dedup, step, nobody)
+    rng, t = random.Random(31), []
+    for k in range(30):
+        base = words(12000 + k, 400).split(" ")
+        t += [" ".join(base), " ".join(edited(base, rng, 1))]
+    far = [(fingerprint(t[i], 5) ^ fingerprint(t[i + 1], 5)) & (2**64 - 1) for i in range(0, len(t), 2)]
+    near = [x.bit_count() <= 2 for x in far]
+    assert 5 <= sum(near) < 30
+    got = {r["doc_id"]: r["component"] for r in similar_groups(make_docs(t)).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(30)] == near
+
+
+def test_rounds_and_steps_share_their_compiled_code(spark):
+    """What changes from round to round is no number in the plan, so the same code is compiled for all."""
+    from assayloom.llm.mixing import score
+
+    rows = spark.range(3).selectExpr("id", "id * 0.25d p0", "id * 0.5d p1", "1d p2")
+    code = lambda y: rows.select(score(y).alias("s"))._jdf.queryExecution().debug().codegenToSeq().apply(0)._2()
+    assert code([0.125, -2.0, 3.5]) == code([7.0, 11.0, -0.5])
+    assert [r["s"] for r in rows.select(score([1.0, 2.0, 3.0]).alias("s")).collect()] == [3.0, 4.25, 5.5]
