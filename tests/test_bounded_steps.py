@@ -30,3 +30,7 @@ def test_few_patterns_of_a_paper_need_no_marks(spark, monkeypatch):
 
     monkeypatch.setattr(X, "marked", never)
     assert sorted(map(tuple, X.leaks(blocks, patterns).collect())) == by_marks
+
+
+def test_blocks_are_made_once_for_both_sides_of_au_10(spark):
+    assert "Window" not in optimized(QUERIES["au_10_foreign_accessions"](spark, DATA))
