@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assayloom.functions.tables import once
 from assayloom.operators import alignment as A
 from assayloom.operators import catalogue as C
 from assayloom.operators import evaluation as E
@@ -156,7 +157,7 @@ with {FOUND}, x as (select distinct paper_id, accession, section_class from a wh
 p as (select paper_id, accession, list_sort(list(section_class)) as a from x group by all), q as (select paper_id, accession, list_sort(list(section_class)) as b from y group by all)
 select paper_id, accession, coalesce(array_to_string(a, ','), '') as first_classes, coalesce(array_to_string(b, ','), '') as second_classes, b is not null as found, case when a is not null then coalesce(list_has_any(a, b), false) end as same_class from p full join q using (paper_id, accession)""")
 def ev_19_accessions(t):
-    a = X.accessions(blocks(t)).where("repo = 'geo'")
+    a = once(X.accessions(blocks(t)).where("repo = 'geo'").select("paper_id", "ord", "accession", "section_class"))
     return E.accession_comparison(a, a.where("ord % 7 <> 3").withColumn("section_class", F.when(F.col("ord") % 5 == 2, "other").otherwise(F.col("section_class"))))
 
 

@@ -34,3 +34,7 @@ def test_few_patterns_of_a_paper_need_no_marks(spark, monkeypatch):
 
 def test_blocks_are_made_once_for_both_sides_of_au_10(spark):
     assert "Window" not in optimized(QUERIES["au_10_foreign_accessions"](spark, DATA))
+
+
+def test_blocks_are_made_once_for_both_parses_of_ev_19(spark):
+    assert "Window" not in optimized(QUERIES["ev_19_accession_classes"](spark, DATA))
