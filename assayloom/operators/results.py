@@ -87,12 +87,23 @@ def concordance_of_methods(d: DataFrame, least: int = 10) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping or touching (start, end) ranges of a key as one, by gaps and islands."""
+    """Overlapping or touching (start, end) ranges of a key as one, by gaps and islands.
+
+    An island is told at its last row, by running values in one order: one shuffle, one sort and no hash table of islands.
+    """
     w = Window.partitionBy(*keys).orderBy("start", "end")
+    upto, c = w.rowsBetween(Window.unboundedPreceding, 0), F.col
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
-    island = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return ranges.withColumn("new", new).withColumn("island", island).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("island")
+    rows = ranges.select(*keys, "start", "end", before.alias("before"), F.lag("start").over(w).alias("last"), F.row_number().over(w).alias("at"))
+    new = F.coalesce(c("before").isNull() | (c("start") > c("before")), F.lit(False))
+    rows = rows.select(*keys, "start", "end", "last", "at", new.alias("new"))
+    # the first start of an island that isn't null, its first place, and whether the next row opens another
+    begin, first = F.last(F.when(c("new") | c("last").isNull(), c("start")), ignorenulls=True).over(upto), F.last(F.when(c("new"), c("at")), ignorenulls=True).over(upto)
+    rows = rows.select(*keys, "start", "end", "at", begin.alias("begin"), first.alias("first"), F.lead("new", 1, True).over(w).alias("closes"))
+    # firsts never decrease, so the largest pair has the largest end of this island
+    most = F.max(F.struct("first", "end")).over(upto)
+    done = rows.select(*keys, "begin", "at", "first", "closes", most["end"].alias("end")).where("closes")
+    return done.select(*keys, c("begin").alias("start"), "end", (c("at") - c("first") + 1).cast("long").alias("n"))
 
 
 def stratified_subsets(s: DataFrame, runs: int = 3, fraction: float = 0.8, least: int = 2, seed: int = 42) -> DataFrame:

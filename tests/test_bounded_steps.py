@@ -38,3 +38,23 @@ def test_blocks_are_made_once_for_both_sides_of_au_10(spark):
 
 def test_blocks_are_made_once_for_both_parses_of_ev_19(spark):
     assert "Window" not in optimized(QUERIES["ev_19_accession_classes"](spark, DATA))
+
+
+def test_merged_ranges_of_odd_rows_hold_no_table_of_islands(spark):
+    rng = random.Random(5)
+    starts = [rng.randrange(60) for _ in range(500)]
+    rows = [(rng.randrange(40), None if rng.random() < 0.05 else s, None if rng.random() < 0.05 else s + rng.randrange(-3, 9)) for s in starts]
+    expected = []
+    for k in sorted({r[0] for r in rows}):
+        top, islands = None, []
+        for s, e in sorted(((s, e) for x, s, e in rows if x == k), key=lambda r: tuple((v is not None, v or 0) for v in r)):
+            if top is None or (s is not None and s > top):
+                islands.append([])
+            islands[-1].append((s, e))
+            top = e if top is None else top if e is None else max(top, e)
+        least = lambda v, f: f(v) if (v := [x for x in v if x is not None]) else None
+        expected += [(k, least([s for s, _ in i], min), least([e for _, e in i], max), len(i)) for i in islands]
+    got = R.merge_ranges(spark.createDataFrame(rows, "k long, start long, end long"), ["k"])
+    order = lambda r: tuple((v is not None, v or 0) for v in r)
+    assert sorted(map(tuple, got.select("k", "start", "end", "n").collect()), key=order) == sorted(expected, key=order)
+    assert "Aggregate" not in optimized(got)
