@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayloom.functions.tables import once
+
 INTEGER, LOG_MAX, RAW_MAX = 0.99, 50.0, 100.0
 #: Kinds of identifiers, first match wins.
 ID_PATTERNS = (
@@ -26,19 +28,24 @@ ID_PATTERNS = (
 
 
 def profile(m: DataFrame) -> DataFrame:
-    """One row a study: size, range, median, share of integers (absolute tolerance 1e-8), negatives and missing values."""
+    """One row a study: size, range, median, share of integers (absolute tolerance 1e-8), negatives and missing values.
+
+    Values are counted before they are summed up, apart from the names: a median beside distinct counts would sort every row three times.
+    """
     v = F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("double"))
-    return m.groupBy("study_id").agg(
-        F.countDistinct("feature_id").alias("n_features"),
-        F.countDistinct("sample_id").alias("n_samples"),
-        F.count(v).alias("n_values"),
-        F.sum(v.isNull().cast("long")).alias("n_missing"),
+    m = once(m.select("study_id", "feature_id", "sample_id", v.alias("v")))
+    names = m.groupBy("study_id").agg(F.countDistinct("feature_id").alias("n_features"), F.countDistinct("sample_id").alias("n_samples"))
+    v, n, there = F.col("v"), F.col("n"), F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)
+    values = m.groupBy("study_id", "v").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("study_id").alias("study")).agg(
+        F.sum(there).alias("n_values"),
+        F.sum(n - there).alias("n_missing"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
-        F.percentile(v, F.lit(0.5)).alias("median"),
-        F.avg((F.abs(v - F.rint(v)) <= 1e-8).cast("double")).alias("integer_fraction"),
-        F.sum((v < 0).cast("long")).alias("n_negative"),
+        F.percentile(v, F.lit(0.5), n).alias("median"),
+        (F.sum(F.when(F.abs(v - F.rint(v)) <= 1e-8, n).when(v.isNotNull(), 0)) / F.sum(F.when(v.isNotNull(), n))).alias("integer_fraction"),
+        F.sum(F.when(v < 0, n).when(v.isNotNull(), 0)).alias("n_negative"),
     )
+    return names.join(values, F.col("study_id").eqNullSafe(F.col("study"))).drop("study")
 
 
 def type_candidates(p: DataFrame) -> DataFrame:

@@ -58,3 +58,13 @@ def test_merged_ranges_of_odd_rows_hold_no_table_of_islands(spark):
     order = lambda r: tuple((v is not None, v or 0) for v in r)
     assert sorted(map(tuple, got.select("k", "start", "end", "n").collect()), key=order) == sorted(expected, key=order)
     assert "Aggregate" not in optimized(got)
+
+
+def test_median_of_a_profile_is_apart_from_its_distinct_counts(spark):
+    from assayloom.operators.matrix import profile
+
+    rows = [("A", "f1", "s1", 1.0), ("A", "f1", "s2", 3.0), ("A", "f2", "s1", -2.5), ("A", "f2", "s2", None), ("A", "f3", "s1", float("nan")), ("A", "f3", "s2", 3.0), (None, "f1", "s1", 2.0), ("B", "f1", "s1", None)]
+    df = profile(spark.createDataFrame(rows, "study_id string, feature_id string, sample_id string, value double"))
+    got = {r["study_id"]: tuple(r)[1:] for r in df.collect()}
+    assert got == {"A": (3, 2, 4, 2, -2.5, 3.0, 2.0, 0.75, 1), None: (1, 1, 1, 0, 2.0, 2.0, 2.0, 1.0, 0), "B": (1, 1, 0, 1, None, None, None, None, None)}
+    assert all("gid" not in x for x in optimized(df).splitlines() if "percentile(" in x)
