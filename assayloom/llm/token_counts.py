@@ -20,7 +20,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -31,7 +32,7 @@ from assayloom.llm._shared import map_texts, table
 
 CHUNK, LIMIT = 65_536, 2048
 #: Memory bounds of a worker: beyond them the tables are emptied and filled anew.
-MOST_STATES, MOST_WORDS, MOST_PAIRS = 250_000, 250_000, 400_000
+MOST_STATES, MOST_WORDS, MOST_PAIRS = 250_000, 50_000, 400_000
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = regex.compile(f"[{SPACES}]")
 #: Characters whose class, case and composition are alike in every Unicode version; for others the library is asked.
@@ -52,6 +53,11 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def packed(elements: Iterable[int]) -> bytes:
+    """A state: its elements, ascending, as eight bytes each, a third of what a tuple of numbers takes."""
+    return array("q", sorted(elements)).tobytes()
+
+
 class WordTransducer:
     """Counts the tokens of a word (bytes) for a BPE vocabulary whose last letter carries an end mark."""
 
@@ -86,9 +92,9 @@ class WordTransducer:
         self.proper: dict[int, bool] = {}
         self.reset()
 
-    def reset(self, *keep: tuple) -> None:
+    def reset(self, *keep: bytes) -> None:
         """Empties the tables, but for the states of ``keep``, which are numbered from 1."""
-        start = (ROOT * NODE,)
+        start = packed([ROOT * NODE])
         self.states = [start, *(k for k in keep if k != start)]
         self.number = {k: i for i, k in enumerate(self.states)}
         self.step: dict[int, int] = {}
@@ -151,14 +157,14 @@ class WordTransducer:
     def advance(self, state: int, symbol: int) -> int:
         """The transition, as next state * 64 + tokens emitted."""
         after = []
-        for element in self.states[state]:
+        for element in memoryview(self.states[state]).cast("q"):
             node, before, more = element // NODE, element % NODE // BEFORE - 1, element % BEFORE
             if (to := self.child.get(node << 10 | symbol)) is not None:
                 after.append((to * NODE + (before + 1) * BEFORE, more))
                 if self.closes(to, before):
                     after.append((ROOT * NODE + (self.entry[to] + 1) * BEFORE, more + 1))
         least = min(m for _, m in after)
-        key = tuple(sorted(e + m - least for e, m in after))
+        key = packed(e + m - least for e, m in after)
         if (to := self.number.get(key)) is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
@@ -166,7 +172,7 @@ class WordTransducer:
 
     def finish(self, state: int, symbol: int) -> int:
         """The tokens emitted by the last letter."""
-        for element in self.states[state]:
+        for element in memoryview(self.states[state]).cast("q"):
             to = self.child.get(element // NODE << 10 | symbol)
             if to is not None and self.closes(to, element % NODE // BEFORE - 1):
                 return element % BEFORE + 1
@@ -218,7 +224,8 @@ class TokenCounter:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"[^\s", f"[^{SPACES}"))
         from tokenizers import Tokenizer
 
-        library = Tokenizer.from_file(path)
+        # the library only splits and normalizes here, so it gets no vocabulary; workers stay for later stages and keep what they hold
+        self.library = library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.normalized, self.split = library.normalizer.normalize_str, library.pre_tokenizer[0].pre_tokenize_str
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None

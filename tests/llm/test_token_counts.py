@@ -103,3 +103,13 @@ def test_vocabularies_beyond_the_packed_fields_are_refused():
         vocab[word] = len(vocab)
     with pytest.raises(ValueError):
         WordTransducer(vocab, merges, "</w>")
+
+
+def test_workers_hold_little():
+    """A worker keeps its tables for the stages that follow: states are packed, the library has no vocabulary of its own."""
+    import assayloom.llm.token_counts as T
+
+    c = TokenCounter(PATH)
+    assert c.count("plain words <|endoftext|> stra\u00dfe") > 4
+    assert len(c.counts.transducer.states) > 1 and all(isinstance(s, bytes) for s in c.counts.transducer.states)
+    assert c.library.get_vocab_size() == 0 and T.MOST_WORDS <= 50_000
