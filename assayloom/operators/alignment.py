@@ -53,13 +53,16 @@ def sharing(left: DataFrame, right: DataFrame, tokens: int) -> DataFrame:
     often = b.select("study_id", F.explode("b").alias("token")).groupBy("study_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
     def rare(side: DataFrame, key: str, words: str) -> DataFrame:
-        w = Window.partitionBy("study_id", key).orderBy(F.desc("n"), "token")
-        each = side.select("study_id", key, F.explode(words).alias("token")).join(often, ["study_id", "token"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        return each.withColumn("at", F.row_number().over(w)).where(F.col("at") >= tokens).select("study_id", "token", key)
-
-    meet = rare(a, "col", "a").join(rare(b, "row", "b"), ["study_id", "token"]).select("study_id", "col", "row").distinct()
-    both = meet.join(a, ["study_id", "col"]).join(b, ["study_id", "row"])
-    return both.select("study_id", "col", "row", F.size(F.array_intersect("a", "b")).alias("score")).where(F.col("score") >= tokens)
+        """Rows by each of their rare tokens, with all tokens and the rare ones."""
+        each = side.select("study_id", key, words, F.explode(words).alias("token")).join(often, ["study_id", "token"], "left")
+        ranked = each.groupBy("study_id", key).agg(F.first(words).alias(words), F.sort_array(F.collect_list(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), "token"))).alias("l"))
+        kept = F.slice(F.col("l")["token"], F.lit(tokens), F.size("l"))
+        return ranked.select("study_id", key, words, kept.alias(f"rare_{words}")).select("*", F.explode(f"rare_{words}").alias("token"))
+
+    # a pair counts at the first rare token that both have, so pairs needn't be told apart and nothing is held but the sides of the join
+    meet = rare(a, "col", "a").join(rare(b, "row", "b"), ["study_id", "token"])
+    once_each = meet.where(F.col("token") == F.array_min(F.array_intersect("rare_a", "rare_b")))
+    return once_each.select("study_id", "col", "row", F.size(F.array_intersect("a", "b")).alias("score")).where(F.col("score") >= tokens)
 
 
 def assigned(edges: DataFrame, keys: list[str], rounds: int = 10_000) -> DataFrame:

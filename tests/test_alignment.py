@@ -99,3 +99,14 @@ def test_assignment_alone(spark, seed):
             taken.add(free[1])
             want.add((r, free[1]))
     assert got == want
+
+
+def test_shared_tokens_hold_no_pairs(spark):
+    """Pairs that meet at several rare tokens come out once, and no task gathers pairs to tell them apart."""
+    names = [("s", f"a{i % 7}_b{i % 5}_c{i % 3}_{i % 4}") for i in range(60)] + [("s", "x y"), ("t", "a1_b1_c1")]
+    texts = [("s", f"r{i}", f"a{i % 7} b{i % 5} c{i % 3} {i % 6} of of") for i in range(80)] + [("s", "q", "a1 b1"), ("u", "r", "a1 b1 c1")]
+    left, right = spark.createDataFrame(sorted(set(names)), "study_id string, col string"), spark.createDataFrame(texts, "study_id string, row string, text string")
+    out = A.sharing(left, right, 3)
+    want = sorted((s, c, r, n) for s, c in set(names) for u, r, t in texts if s == u and (n := len(words(c) & words(t))) >= 3)
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 100
+    assert not re.search(r"Aggregate \[study_id#\d+, col#\d+, row#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())
