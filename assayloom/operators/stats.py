@@ -109,10 +109,13 @@ def t_pvalue(t: Column | str, df: Column | str) -> Column:
     return F.when(~F.isnan(p), p)
 
 
-def two_group(m: DataFrame, s: DataFrame, control: str, treatment: str, value: str = "value") -> DataFrame:
-    """Means, log fold change, pooled variance, ordinary t for each feature with values in both arms and at least one spare degree of freedom."""
+def two_group(m: DataFrame, s: DataFrame | None, control: str, treatment: str, value: str = "value") -> DataFrame:
+    """Means, log fold change, pooled variance, ordinary t for each feature with values in both arms and at least one spare degree of freedom.
+
+    Without ``s`` the rows of ``m`` have their condition already.
+    """
     y, arm = F.col(value), F.col("condition")
-    j = m.join(s.where(arm.isin(control, treatment)).select("study_id", "sample_id", "condition"), ["study_id", "sample_id"])
+    j = m.where(arm.isin(control, treatment)) if s is None else m.join(s.where(arm.isin(control, treatment)).select("study_id", "sample_id", "condition"), ["study_id", "sample_id"])
     one, two = F.when(arm == control, y), F.when(arm == treatment, y)
     g = j.groupBy("study_id", "feature_id").agg(
         F.avg(y).alias("base_mean"), F.count(one).alias("n1"), F.count(two).alias("n2"), F.avg(one).alias("m1"), F.avg(two).alias("m2"), F.coalesce(F.var_samp(one), F.lit(0.0)).alias("v1"), F.coalesce(F.var_samp(two), F.lit(0.0)).alias("v2")
@@ -218,8 +221,9 @@ def log_odds(fits: DataFrame, keys: tuple[str, ...] = ("study_id",), changed: fl
     return fits.join(scales, keys, "left").withColumn("b", F.lit(math.log(changed / (1 - changed))) - F.log(r) / 2 + kernel).drop("v0")
 
 
-def moderated_two_group(m: DataFrame, s: DataFrame, control: str, treatment: str, value: str = "value", contrast: str | None = None, method: str = "limma") -> DataFrame:
-    fit = log_odds(moderated(two_group(m, s, control, treatment, value)))
+def moderated_two_group(m: DataFrame, s: DataFrame | None, control: str, treatment: str, value: str = "value", contrast: str | None = None, method: str = "limma") -> DataFrame:
+    # a row a feature, read for the priors, for their sums and for itself; the matrix is gone through once
+    fit = log_odds(moderated(once(two_group(m, s, control, treatment, value))))
     return fit.select("study_id", F.lit(contrast or f"{treatment}_vs_{control}").alias("contrast_id"), F.lit(method).alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue", "b", "s2", "t", "df", "df_total")
 
 

@@ -77,10 +77,10 @@ def st_20(t):
 
 @query("st_22_subset_stability")
 def st_22(t):
-    sub = R.stratified_subsets(t.sample)
-    keyed = lambda df: df.withColumn("study_id", F.concat_ws(":", "study_id", "run"))
-    m = M.log_cpm(t.measure).join(sub.select("study_id", "run", "sample_id"), ["study_id", "sample_id"])
-    return R.adjusted(S.moderated_two_group(keyed(m), keyed(sub), "control", "treated", "log_cpm"))
+    # a row a sample with its runs, so that values meet their arms and runs at once, by the key that they are shuffled by
+    drawn = R.stratified_subsets(t.sample).groupBy("study_id", "sample_id", "condition").agg(F.collect_list("run").alias("runs"))
+    m = M.log_cpm(t.measure).join(drawn, ["study_id", "sample_id"]).withColumn("run", F.explode("runs"))
+    return R.adjusted(S.moderated_two_group(m.withColumn("study_id", F.concat_ws(":", "study_id", "run")), None, "control", "treated", "log_cpm"))
 
 
 JOINT = "select m.study_id, feature_id, batch, condition, value from {measure} m join {sample} s on m.study_id = s.study_id and m.sample_id = s.sample_id where batch in ('ASIA', 'EUROPE')"

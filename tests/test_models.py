@@ -249,3 +249,14 @@ def test_components_by_the_shorter_side_equal_numpy(spark):
             w = w if w[np.argmax(np.abs(w))] > 0 else -w
             assert np.allclose([got[k, i + 1, f"s{j:02d}"]["score"] for j in range(x.shape[1])], w, atol=1e-8)
             assert abs(got[k, i + 1, "s00"]["ratio"] - d[i] ** 2 / (d**2).sum()) < 1e-9
+
+
+def test_two_group_fits_are_made_once(spark):
+    """Priors, their sums and the fits themselves read kept fits, not the matrix again; arms may stand in the matrix."""
+    m = spark.range(400).select(F.lit("s").alias("study_id"), F.concat(F.lit("F"), F.col("id") % 40).alias("feature_id"), F.concat(F.lit("S"), (F.col("id") / 40).cast("int")).alias("sample_id"), (F.hash("id") % 100 / 10.0).alias("value"))
+    s = m.select("study_id", "sample_id").distinct().withColumn("condition", F.when(F.substring("sample_id", 2, 9).cast("int") < 5, "a").otherwise("b"))
+    out = S.moderated_two_group(m, s, "a", "b")
+    assert "Range (" not in out._jdf.queryExecution().optimizedPlan().toString()
+    held = S.moderated_two_group(m.join(s, ["study_id", "sample_id"]), None, "a", "b")
+    near = lambda x: {r["feature_id"]: [round(v, 9) for v in (r["base_mean"], r["log2fc"], r["stat"], r["pvalue"])] for r in x.collect()}
+    assert near(out) == near(held) and out.count() == 40
