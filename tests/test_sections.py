@@ -143,3 +143,21 @@ def test_papers_without_text(spark):
     docs = spark.createDataFrame([(1, None, "", ""), (2, "", "", ""), (3, " \n\n", "", ""), (None, "Methods\nx", "", "")], KIND)
     assert [tuple(r)[0] for r in Z.section_blocks(docs).collect()] == [None]
     assert Z.section_blocks(docs.limit(0)).collect() == [] and Z.sections(docs.limit(0)).collect() == []
+
+
+def test_sentences_are_not_searched_for_headings(spark):
+    """Long lines without marks aren't cleaned, headings with marks, numbers and colons still are; each line is cleaned once, each text searched only for accessions it may hold."""
+    from assayloom.operators.sections import classified
+    from assayloom.operators.texts import accessions
+
+    heads = ["Methods", " 1.2  Materials   and methods and materials :", "**Data and code** availability [statement](a b c d e f g h i j k) :", "<b class='a b c d e f g h i'>Results</b>", "## one two three four five six seven eight nine ten"]
+    others = ["one two three four five six seven eight methods", "2 mice were given more than nine words of food a day", "methods and results of one two three four five"]
+    df = classified(spark.createDataFrame([(1, "\n".join(heads + others))], "paper_id long, text string"))
+    kinds = [r["kind"] for r in df.orderBy("ord").collect()]
+    assert kinds == ["heading"] * len(heads) + ["body"] * len(others)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 6
+    texts = ["see GSE1234, PXD123456 and E-MTAB-12.", "PRJNA123 PRJEB456 SRP1234 CRA123456 HRA123456 PRJCA123456 phs123456", "gse1234 xGSE1234 none"]
+    blocks = spark.createDataFrame([(1, i, f"B{i}", "other", t) for i, t in enumerate(texts)], "paper_id long, ord long, block_id string, section_class string, text string")
+    found = accessions(blocks)
+    assert sorted((r["block_id"], r["accession"]) for r in found.collect()) == sorted([("B0", a) for a in ("GSE1234", "PXD123456", "E-MTAB-12")] + [("B1", a) for a in texts[1].split()])
+    assert "Contains(text" in found._jdf.queryExecution().optimizedPlan().toString()
