@@ -113,3 +113,32 @@ def test_workers_hold_little():
     assert c.count("plain words <|endoftext|> stra\u00dfe") > 4
     assert len(c.counts.transducer.states) > 1 and all(isinstance(s, bytes) for s in c.counts.transducer.states)
     assert c.library.get_vocab_size() == 0 and T.MOST_WORDS <= 50_000
+
+
+def test_words_of_the_language_stay_while_others_pass(monkeypatch):
+    """Words met once don't push out the others: those run through the transducer a few times, and no table grows beyond its bound."""
+    import assayloom.llm.token_counts as T
+
+    monkeypatch.setattr(T, "MOST_WORDS", 100)
+    c, seen = TokenCounter(PATH), []
+    count = c.counts.transducer.count
+    c.counts.transducer.count = lambda word: seen.append(word) or count(word)
+    known = [f"{a}{b}" for a in "abcde" for b in "fghi"]
+    for k in range(200):
+        assert c.count(" ".join([*known, *(f"once{'xyzuvwabcd'[k % 10]}{'mnop'[i % 4]}{chr(97 + i)}{chr(97 + k // 10)}" for i in range(8))])) > 28
+        assert len(c.counts) + len(c.counts.old) <= 101
+    assert max(seen.count(w.encode()) for w in known) <= 3
+
+
+def test_the_written_out_split_is_that_of_the_library(library):
+    import unicodedata
+
+    import assayloom.llm.token_counts as T
+
+    settled = [c for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if not T.UNSETTLED.match(c)]
+    rng, c = random.Random(4), TokenCounter(PATH)
+    for _ in range(300):
+        text = "".join(rng.choice(settled if rng.random() < 0.5 else "ab'sstremd ve ll09.,-\x1ćΣ\n") for _ in range(60))
+        lower = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        assert T.settled_words().findall(lower) == [w for w, _ in c.split(lower)]
+        assert c.count(text) == library(text)
