@@ -38,6 +38,8 @@ SIMILARITY, WIDE_SHINGLE, WORDS = 0.8, 5, 4
 SKETCH, NEIGHBOURS = 512, 4
 #: Rows of a shingle that one task looks at in order; rows at a shingle that are compared pair by pair.
 BUCKET, TILE = 4096, 512
+#: Rows of a crowd that the others are measured by, about, to find the one in its middle.
+MEASURES = 32
 #: Parts that alike sets must nearly have in common, see ``part_keys``.
 PARTS = 3
 #: Rows of ids and keys that are broadcast at most, some 10 MB; beyond that both sides of a join are shuffled.
@@ -303,6 +305,20 @@ def bucket(node: str, salt: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(salt)), F.ceil(F.col("many") / BUCKET)).alias("part")
 
 
+def hub_pairs(crowded: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the row in the middle of each shingle's crowd, with those rows of other components whose sketches allow it.
+
+    Where a crowd is made of copies with a few changes each, most are like the one with the fewest, so one row for each brings them together. The middle
+    row has the least sum of differences from a few at random; which one it is decides how many links are found, never whether a link is right.
+    """
+    drawn = crowded.where(F.pmod(F.xxhash64("b.node", "shingle"), F.greatest(F.lit(1), F.floor(F.col("many") / MEASURES))) == 0)
+    measures = drawn.groupBy("shingle").agg(F.collect_list("b.brief").alias("measures"))
+    away = F.aggregate("measures", F.lit(0), lambda n, x: n + differing(F.col("b.brief"), x))
+    hubs = written(crowded.join(measures, "shingle").groupBy("shingle").agg(F.min_by("b", F.struct(away.alias("away"), "b.node")).alias("a")), "hubs")
+    near = overlap_within(F.col("a.n"), F.col("b.n"), differing(F.col("a.brief"), F.col("b.brief")), similarity)
+    return crowded.join(hubs, "shingle").where((F.col("a.of") != F.col("b.of")) & near).select("a.node", "b.node")
+
+
 def size_classes(similarity: float, most: int) -> list[int]:
     """Least sizes of classes so wide that sets of this similarity are in one class or two classes side by side."""
     bounds = [1]
@@ -369,8 +385,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     ``key``; rows with a null id are kept too. Equal sets are one. Ball hashing of the fingerprints gives the first candidates, decided like all
 others by their sets; what it leaves apart is searched by shingles. What meets at a shingle of its prefix, and may be alike by sizes and places, is compared with the
     two next smaller ones there (in its part, where a sample says that the shingle is frequent), then with a few at random, and then with all that these links haven't brought to the same
-    component and whose sketches allow it; so no pair is missed. Where more than TILE rows are left at a shingle, they aren't paired there: their
-    whole sets meet by parts (``by_parts``).
+    component and whose sketches allow it; so no pair is missed. Where more than TILE rows are left at a shingle, they aren't paired there: they
+    are compared with the one in their middle (``hub_pairs``), and what that leaves in several components meets by parts of the whole sets (``by_parts``).
     """
     common, counts = common_shingles(docs, size, id_col, text_col)
     fields = "d0 bigint, d1 bigint, n bigint, brief array<bigint>, sketch array<bigint>, prefix array<bigint>, fp bigint"
@@ -400,6 +416,10 @@ others by their sets; what it leaves apart is searched by shingles. What meets a
     some = beside.select("b", F.explode("before").alias("a")).where(comparable("a", "b", similarity))
     links = links.union(decided(some.select("a.node", "b.node")))
     held = crowds(held.select("shingle", "b"), components(links), reps)
+    crowded = held.where(F.col("many") > TILE)
+    if not crowded.isEmpty():
+        links = links.union(decided(hub_pairs(crowded, similarity)))
+        held = crowds(held.select("shingle", "b"), components(links), reps)
     few, crowded = held.where(F.col("many") <= TILE), held.where(F.col("many") > TILE)
     x, y = few.select("shingle", F.col("b").alias("x")), few.select("shingle", F.col("b").alias("y"))
     rest = x.join(y, "shingle").where(F.col("x.node") < F.col("y.node")).where(comparable("x", "y", similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))

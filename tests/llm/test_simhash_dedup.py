@@ -237,3 +237,23 @@ def test_rounds_and_steps_share_their_compiled_code(spark):
     code = lambda y: rows.select(score(y).alias("s"))._jdf.queryExecution().debug().codegenToSeq().apply(0)._2()
     assert code([0.125, -2.0, 3.5]) == code([7.0, 11.0, -0.5])
     assert [r["s"] for r in rows.select(score([1.0, 2.0, 3.0]).alias("s")).collect()] == [3.0, 4.25, 5.5]
+
+
+def test_the_middle_of_a_crowd_brings_most_of_it_together(spark, words):
+    """Copies with up to four changed words: the unchanged one is found, and one pair for each that is like it; before, all of other components were paired."""
+    from assayloom.llm.simhash_dedup import SKETCH, hub_pairs, parities, shingle_set
+
+    rng, base = random.Random(41), words(15000, 150).split(" ")
+    t = [" ".join(base)]
+    for k in range(300):
+        x = list(base)
+        for at in rng.sample(range(5, 145), rng.choice([1, 2, 3, 3, 4])):
+            x[at] = f"new{k}at{at}"
+        t.append(" ".join(x))
+    sets = [shingle_set(x) for x in t]
+    rows = [(shingle, (k, len(h), len(h), k, parities(h, SKETCH).tolist()), len(t)) for shingle in (5, 6) for k, h in enumerate(sets)]
+    crowded = spark.createDataFrame(rows, "shingle long, b struct<node: long, n: long, left: long, of: long, brief: array<bigint>>, many long")
+    got = [tuple(r) for r in hub_pairs(crowded, 0.8).collect()]
+    assert {a for a, _ in got} == {0} and len(got) <= 2 * len(t)
+    assert {b for _, b in got} >= {k for k in range(1, len(t)) if jaccard(shingles(t[0]), shingles(t[k])) >= 0.8}
+    assert len({b for _, b in got}) > 200
