@@ -7,17 +7,18 @@ prior widths are aggregates over features between two passes; nothing is collect
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.tables import once, with_study
-from assayloom.operators.negbin import GRID, RIDGE, best, by_study, designs, fit_means, lgamma, packed, profile
+from assayloom.functions.tables import once, stored
+from assayloom.operators.negbin import GRID, best, by_study, designs, fit_means, information, inverted, lgamma, numbers, packed_rows, profile, with_columns
 from assayloom.operators.precision import voom_test
 from assayloom.operators.quasi import ql_test
-from assayloom.operators.stats import beta_tail, size_factors, trigamma
+from assayloom.operators.stats import beta_tail, gathered, gathered_size_factors, trigamma
 
 __all__ = ["independent_filter", "lgamma", "nb_wald", "ql_test", "shrink", "voom_test"]
 FLOOR = 0.25
@@ -33,13 +34,13 @@ def gene_dispersion(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 def genewise(features: DataFrame, terms: list[str]) -> DataFrame:
-    """``features`` with base mean, gene-wise dispersion and residual degrees of freedom."""
+    """``features`` with base mean, gene-wise dispersion and residual degrees of freedom, without what is their study's."""
 
     def run(batches):
         for _, rows, y, _, x, size in by_study(batches, terms):
-            yield rows.assign(base_mean=(y / size).mean(axis=1), dispersion=gene_dispersion(y, x, size), df=float(x.shape[0] - x.shape[1]))
+            yield with_columns(rows, ["study_id", "feature_id", "y"], {"base_mean": (y / size).mean(axis=1), "dispersion": gene_dispersion(y, x, size), "df": float(x.shape[0] - x.shape[1])})
 
-    return features.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields) + ", base_mean double, dispersion double, df double")
+    return features.mapInArrow(run, "study_id string, feature_id string, y array<double>, base_mean double, dispersion double, df double")
 
 
 #: Fixed values of the published trend: least dispersion that counts, ratios to the trend that count, coefficients to begin with.
@@ -109,11 +110,12 @@ def cooks(y: np.ndarray, mu: np.ndarray, x: np.ndarray, alpha: np.ndarray, size:
     mean = q.mean(axis=1)
     robust = np.maximum(0.04, (v - mean) / np.maximum(mean, 1e-8) ** 2)[:, None]
     w = mu / (1 + alpha[:, None] * mu)
-    inverse = np.linalg.inv(np.einsum("gn,np,nq->gpq", w, x, x) + RIDGE * np.eye(x.shape[1]))
-    h = np.clip(w * np.einsum("np,gpq,nq->gn", x, inverse, x), 0, 1 - 1e-9)
+    inverse = inverted(information(w, x))
+    h = np.clip(w * (inverse.reshape(len(w), -1) @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1).T), 0, 1 - 1e-9)
     return (y - mu) ** 2 / (mu + robust * mu * mu) / x.shape[1] * h / (1 - h) ** 2
 
 
+@cache
 def f_quantile(p: float, a: int, b: int) -> float:
     """The p-quantile of Fisher's F by halving."""
     low, high = 0.0, 1.0
@@ -132,7 +134,9 @@ def nb_wald(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, meth
     stay those of the plain estimate. Counts beyond the 0.99 quantile of Cook's distance are replaced by the feature's trimmed mean and
     the feature is fitted again where a cell of the design has seven samples or more; in cells of three to six its p-value is NULL.
     """
-    features = once(genewise(packed(m, designs(s, terms, size_factors(m), "size_factor")), terms))
+    rows = stored(gathered(m))
+    lists = once(designs(s, terms, gathered_size_factors(rows), "size_factor"))
+    features = stored(genewise(packed_rows(rows, lists), terms))
 
     def fit(y, x, size, own, a0, a1, spread, sd):
         mean = (y / size).mean(axis=1)
@@ -143,11 +147,11 @@ def nb_wald(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, meth
         return mean, alpha, *fit_means(y, x, np.log(size), alpha)
 
     def run(batches):
-        for study, rows, y, names, x, size in by_study(batches, terms):
+        for _, rows, y, names, x, size in by_study(batches, terms):
             if coefficient not in names:
                 continue
-            k, trend = names.index(coefficient), rows[["a0", "a1", "spread", "sd"]].iloc[0]
-            own = rows["dispersion"].to_numpy(float)
+            k, trend = names.index(coefficient), [rows.column(c)[0].as_py() for c in ("a0", "a1", "spread", "sd")]
+            own = numbers(rows, "dispersion")
             mean, alpha, beta, mu, inverse = fit(y, x, size, own, *trend)
             cells = np.unique(x, axis=0, return_inverse=True)[1].ravel()
             n = np.bincount(cells)[cells]
@@ -161,11 +165,13 @@ def nb_wald(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, meth
             z = beta[:, k] / se
             p = np.array([math.erfc(abs(v) / math.sqrt(2)) for v in z])
             p[(far & (n >= FILTERED) & (n < REPLACED)).any(axis=1)] = np.nan
-            yield pd.DataFrame({"study_id": study, "contrast_id": coefficient, "method": method, "feature_id": rows["feature_id"].to_numpy(), "base_mean": mean, "log2fc": beta[:, k] / math.log(2), "lfc_se": se / math.log(2), "stat": z, "pvalue": p, "dispersion": alpha})
+            yield with_columns(rows, ["study_id", "feature_id"], {"base_mean": mean, "log2fc": beta[:, k] / math.log(2), "lfc_se": se / math.log(2), "stat": z, "pvalue": p, "dispersion": alpha})
 
-    form = "study_id string, contrast_id string, method string, feature_id string, base_mean double, log2fc double, lfc_se double, stat double, pvalue double, dispersion double"
-    out = once(with_study(features, trends(features)).mapInPandas(run, form))
-    return shrink(out.withColumn("pvalue", F.when(~F.isnan("pvalue"), F.col("pvalue"))))
+    form = "study_id string, feature_id string, base_mean double, log2fc double, lfc_se double, stat double, pvalue double, dispersion double"
+    known = lists.drop("__order").join(trends(features), "study_id")
+    out = stored(features.select("study_id", "feature_id", "y", "dispersion").join(F.broadcast(known), "study_id").mapInArrow(run, form))
+    named = out.select("study_id", F.lit(coefficient).alias("contrast_id"), F.lit(method).alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", F.when(~F.isnan("pvalue"), F.col("pvalue")).alias("pvalue"), "dispersion")
+    return shrink(named)
 
 
 def shrink(d: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.tables import once, with_study
-from assayloom.operators.negbin import by_study, designs, packed
-from assayloom.operators.stats import log_odds, moderated
+from assayloom.functions.tables import once, stored
+from assayloom.operators.negbin import by_study, designs, inverted, packed_rows, with_columns
+from assayloom.operators.stats import gathered, log_odds, moderated
 
 #: Share of the points that a local line is fitted to, rounds of reweighting, and points a study.
 SPAN, ROUNDS, POINTS = 0.5, 3, 2000
@@ -44,14 +44,20 @@ def local_lines(x: np.ndarray, y: np.ndarray, robust: np.ndarray, at: np.ndarray
 
 
 def lowess(x: np.ndarray, y: np.ndarray, span: float = SPAN, rounds: int = ROUNDS, apart: float = 0.0) -> np.ndarray:
-    """Robust local regression of ``y`` on the rising ``x``.
+    """Robust local regression of ``y`` on the rising ``x``, at its points."""
+    at, fit = lowess_knots(x, y, span, rounds, apart)
+    return np.interp(x, x[at], fit) if len(at) else fit
+
+
+def lowess_knots(x: np.ndarray, y: np.ndarray, span: float = SPAN, rounds: int = ROUNDS, apart: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the points that lines are fitted at, and their values.
 
     Lines are fitted at points more than ``apart`` from the last one and joined straight between them; after each of ``rounds`` rounds the
     bisquare of residuals over six median residuals weights the points anew.
     """
     n = len(x)
     if n < 3 or x[-1] == x[0]:
-        return np.full(n, y.mean() if n else 0.0)
+        return np.arange(n)[:1], np.full(min(n, 1), y.mean() if n else 0.0)
     k = max(2, min(n, int(span * n + 1e-9)))
     at = [0]
     for i in range(1, n):
@@ -59,16 +65,28 @@ def lowess(x: np.ndarray, y: np.ndarray, span: float = SPAN, rounds: int = ROUND
             # the last point within reach, as lines between fitted points must not leave gaps
             at.append(i - 1 if i - 1 > at[-1] and x[i - 1] > x[at[-1]] and apart else i)
     at = np.unique([*at, n - 1])
-    robust, fit = np.ones(n), y
+    robust = np.ones(n)
     for r in range(rounds + 1):
-        fit = np.interp(x, x[at], local_lines(x, y, robust, at, k))
-        rest = np.abs(y - fit)
+        fit = local_lines(x, y, robust, at, k)
+        rest = np.abs(y - np.interp(x, x[at], fit))
         scale = 6 * np.median(rest)
         if r == rounds or scale <= 1e-7 * rest.mean():
             break
         u = rest / scale
         robust = np.where(u < 0.001, 1.0, np.where(u < 0.999, (1 - u * u) ** 2, 0.0))
-    return fit
+    return at, fit
+
+
+def pseudo_inverse(info: np.ndarray) -> np.ndarray:
+    """Pseudo-inverses of many small matrices; two columns that are far from equal, the usual case, by their formula."""
+    if info.shape[1] != 2:
+        return np.linalg.pinv(info)
+    det, most = info[:, 0, 0] * info[:, 1, 1] - info[:, 0, 1] * info[:, 1, 0], info[:, 0, 0] * info[:, 1, 1]
+    sound = det > 1e-8 * most
+    out = np.empty_like(info)
+    out[sound] = inverted(info[sound])
+    out[~sound] = np.linalg.pinv(info[~sound])
+    return out
 
 
 def voom_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, points: int = POINTS) -> DataFrame:
@@ -76,46 +94,48 @@ def voom_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, po
 
     The trend is a robust local regression over ``points`` classes of equal size at most a study; with fewer features each is a point.
     """
-    lib = m.groupBy("study_id", "sample_id").agg(F.sum("value").alias("lib"))
-    features = packed(m, designs(s, terms, lib, "lib"))
+    counts = stored(gathered(m))
+    each = counts.select("study_id", F.explode(F.arrays_zip("samples", "values")).alias("p")).groupBy("study_id", F.col("p.samples").alias("sample_id")).agg(F.sum("p.values").alias("lib"))
+    features = packed_rows(counts, once(designs(s, terms, each, "lib")))
 
     def logs(y, lib):
         return np.log2((y + 0.5) / (lib + 1) * 1e6)
 
     def first(batches):
-        for study, rows, y, _, x, lib in by_study(batches, terms):
+        for _, rows, y, _, x, lib in by_study(batches, terms):
             v = logs(y, lib)
             rest = v - v @ np.linalg.pinv(x).T @ x.T
             sd = np.sqrt((rest**2).sum(axis=1) / (x.shape[0] - x.shape[1]))
-            yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "mean": v.mean(axis=1) + np.mean(np.log2(lib + 1)) - math.log2(1e6), "root": np.sqrt(sd)})
+            yield with_columns(rows, ["study_id", "feature_id"], {"mean": v.mean(axis=1) + np.mean(np.log2(lib + 1)) - math.log2(1e6), "root": np.sqrt(sd)})
 
-    spread = features.mapInPandas(first, "study_id string, feature_id string, mean double, root double")
+    spread = features.mapInArrow(first, "study_id string, feature_id string, mean double, root double")
     w = Window.partitionBy("study_id").orderBy("mean", "feature_id")
     classes = spread.withColumn("bin", F.ntile(points).over(w)).groupBy("study_id", "bin").agg(F.avg("mean").alias("mean"), F.avg("root").alias("root"))
 
     def trend(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["mean", "bin"])
         x = t["mean"].to_numpy(float)
-        line = lowess(x, t["root"].to_numpy(float), SPAN, ROUNDS, 0.01 * (x[-1] - x[0]))
-        return pd.DataFrame({"study_id": [t["study_id"].iloc[0]], "mean": [x.tolist()], "root": [np.maximum(line, 1e-6).tolist()]})
+        # a line is straight between the points it is fitted at, so these, about a hundred, go to each feature
+        at, line = lowess_knots(x, t["root"].to_numpy(float), SPAN, ROUNDS, 0.01 * (x[-1] - x[0]))
+        return pd.DataFrame({"study_id": [t["study_id"].iloc[0]], "mean": [x[at].tolist()], "root": [line.tolist()]})
 
     line = classes.groupBy("study_id").applyInPandas(trend, "study_id string, mean array<double>, root array<double>")
 
     def second(batches):
-        for study, rows, y, names, x, lib in by_study(batches, terms):
+        for _, rows, y, names, x, lib in by_study(batches, terms):
             if coefficient not in names:
                 continue
             k = names.index(coefficient)
             v = logs(y, lib)
             fitted = v @ np.linalg.pinv(x).T @ x.T + np.log2(lib + 1) - math.log2(1e6)
-            weight = np.interp(fitted, rows["mean"].iloc[0], rows["root"].iloc[0]) ** -4
-            info = np.einsum("gn,np,nq->gpq", weight, x, x)
-            inverse = np.linalg.pinv(info)
-            beta = np.einsum("gpq,gq->gp", inverse, np.einsum("gn,np->gp", weight * v, x))
+            knots = (np.asarray(rows.column(c)[0].as_py(), dtype=float) for c in ("mean", "root"))
+            weight = np.maximum(np.interp(fitted, *knots), 1e-6) ** -4
+            inverse = pseudo_inverse(np.einsum("gn,np,nq->gpq", weight, x, x))
+            beta = np.einsum("gpq,gq->gp", inverse, (weight * v) @ x)
             df = float(x.shape[0] - x.shape[1])
             s2 = (weight * (v - beta @ x.T) ** 2).sum(axis=1) / df
-            yield pd.DataFrame({"study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": v.mean(axis=1), "log2fc": beta[:, k], "s2": s2, "df": df, "u": inverse[:, k, k]})
+            yield with_columns(rows, ["study_id", "feature_id"], {"base_mean": v.mean(axis=1), "log2fc": beta[:, k], "s2": s2, "df": df, "u": inverse[:, k, k]})
 
-    fits = with_study(features, line).mapInPandas(second, "study_id string, feature_id string, base_mean double, log2fc double, s2 double, df double, u double")
-    out = log_odds(moderated(once(fits)))
+    fits = features.join(F.broadcast(once(line)), "study_id").mapInArrow(second, "study_id string, feature_id string, base_mean double, log2fc double, s2 double, df double, u double")
+    out = log_odds(moderated(stored(fits)))
     return out.select("study_id", F.lit(coefficient).alias("contrast_id"), F.lit("voom").alias("method"), "feature_id", "base_mean", "log2fc", "lfc_se", "stat", "pvalue", "b")

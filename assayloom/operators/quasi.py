@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.tables import once, with_study
-from assayloom.operators.negbin import RIDGE, by_study, designs, fit_means, lgamma, packed
-from assayloom.operators.stats import digamma, t_two_sided, tmm, trigamma, trigamma_inverse
+from assayloom.functions.tables import once, stored
+from assayloom.operators.negbin import by_study, designs, fit_means, likelihoods, numbers, packed_rows, with_columns
+from assayloom.operators.stats import digamma, gathered, gathered_tmm, t_two_sided, trigamma, trigamma_inverse
 
 #: Log dispersions of the curves, half a doubling apart from 2^-13 to 2^4.
 STEP = math.log(2) / 2
@@ -37,8 +37,11 @@ KNOTS = (0.0, 1 / 3, 2 / 3, 1.0)
 
 def effective_sizes(m: DataFrame) -> DataFrame:
     """Library sizes times TMM factors (study_id, sample_id, size)."""
-    lib = m.groupBy("study_id", "sample_id").agg(F.sum("value").cast("double").alias("lib"))
-    return lib.join(tmm(m), ["study_id", "sample_id"]).select("study_id", "sample_id", (F.col("lib") * F.col("tmm_factor")).alias("size"))
+    return gathered_sizes(stored(gathered(m)))
+
+
+def gathered_sizes(rows: DataFrame) -> DataFrame:
+    return gathered_tmm(rows).select("study_id", "sample_id", (F.col("lib") * F.col("tmm_factor")).alias("size"))
 
 
 def abundance(y: np.ndarray, size: np.ndarray, prior: float = 2.0) -> np.ndarray:
@@ -47,22 +50,17 @@ def abundance(y: np.ndarray, size: np.ndarray, prior: float = 2.0) -> np.ndarray
     return np.log2(((y + extra) / (size + 2 * extra)).mean(axis=1) * 1e6)
 
 
-def likelihood(y: np.ndarray, mu: np.ndarray, x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Adjusted profile likelihood of each row at the dispersions ``a`` and the means fitted there."""
-    r, a = 1 / a[:, None], a[:, None]
-    ll = lgamma(y + r) - lgamma(np.broadcast_to(r, y.shape)) + y * np.log(a * mu / (1 + a * mu)) - r * np.log1p(a * mu)
-    info = np.einsum("gn,np,nq->gpq", mu / (1 + a * mu), x, x) + RIDGE * np.eye(x.shape[1])
-    return ll.sum(axis=1) - 0.5 * np.linalg.slogdet(info)[1]
+def curves(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The curve of each row over CURVE: adjusted profile likelihoods at means fitted there; a point starts from the coefficients of the one before."""
 
+    def fitted():
+        beta = None
+        for log_a in CURVE:
+            a = math.exp(log_a)
+            beta, mu, _ = fit_means(y, x, np.log(size), np.full(len(y), a), rounds=25 if beta is None else 6, start=beta)
+            yield a, mu
 
-def curves(y: np.ndarray, x: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The curve of each row over CURVE; a point starts from the coefficients of the one before."""
-    out, beta = np.empty((len(y), len(CURVE))), None
-    for k, log_a in enumerate(CURVE):
-        a = np.full(len(y), math.exp(log_a))
-        beta, mu, _ = fit_means(y, x, np.log(size), a, rounds=25 if beta is None else 6, start=beta)
-        out[:, k] = likelihood(y, mu, x, a)
-    return out
+    return np.stack(list(likelihoods(y, x, fitted())), axis=1)
 
 
 def top(curve: np.ndarray) -> np.ndarray:
@@ -75,29 +73,32 @@ def top(curve: np.ndarray) -> np.ndarray:
     return np.exp(CURVE[at] + np.clip(move, -1, 1) * STEP)
 
 
+PROFILED = "study_id string, feature_id string, y array<double>, abundance double, total double, df double, curve array<double>"
+
+
 def profiled(features: DataFrame, terms: list[str]) -> DataFrame:
-    """``features`` with abundance, total, df and curve."""
+    """``features`` with abundance, total, df and curve, without what is their study's."""
 
     def run(batches):
         for _, rows, y, _, x, size in by_study(batches, terms):
-            yield rows.assign(abundance=abundance(y, size), total=y.sum(axis=1), df=float(x.shape[0] - x.shape[1]), curve=list(curves(y, x, size)))
+            yield with_columns(rows, ["study_id", "feature_id", "y"], {"abundance": abundance(y, size), "total": y.sum(axis=1), "df": float(x.shape[0] - x.shape[1]), "curve": curves(y, x, size)})
 
-    return features.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields) + ", abundance double, total double, df double, curve array<double>")
+    return features.mapInArrow(run, PROFILED)
 
 
-def neighbourhoods(p: DataFrame) -> DataFrame:
-    """(study_id, cuts, local, common, trended, n): by class of abundance the mean curve around it and its top, and the common dispersion."""
-    cuts = p.groupBy("study_id").agg(F.percentile_approx("abundance", F.array(*(F.lit(k / CLASSES) for k in range(1, CLASSES))), F.lit(100_000)).alias("cuts"))
+def neighbourhoods(p: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(study_id, cuts), and a row a class of abundance (study_id, class, local, common, trended): the mean curve around it and its top, and the common dispersion."""
+    cuts = once(p.groupBy("study_id").agg(F.percentile_approx("abundance", F.array(*(F.lit(k / CLASSES) for k in range(1, CLASSES))), F.lit(100_000)).alias("cuts")))
     kept = F.col("total") >= LEAST_TOTAL
     sums = [F.sum(F.when(kept, F.col("curve")[k])).alias(f"_{k}") for k in range(len(CURVE))]
-    by_class = p.join(cuts, "study_id").groupBy("study_id", "cuts", class_of(F.col("abundance"), F.col("cuts")).alias("class")).agg(F.count_if(kept).alias("n"), *sums)
+    by_class = classed(p, cuts).groupBy("study_id", "class").agg(F.count_if(kept).alias("n"), *sums)
 
     def around(t: pd.DataFrame) -> pd.DataFrame:
         s, n = np.zeros((CLASSES, len(CURVE))), np.zeros(CLASSES)
         s[t["class"]], n[t["class"]] = t[[f"_{k}" for k in range(len(CURVE))]].fillna(0.0).to_numpy(), t["n"]
         total = n.sum()
         if not total:
-            return pd.DataFrame({c: [] for c in ("study_id", "cuts", "local", "common", "trended", "n")})
+            return pd.DataFrame({c: [] for c in ("study_id", "class", "local", "common", "trended")})
         share = (SPAN_N / total) ** SPAN_POWER if total > SPAN_N else 1.0
         middle = np.cumsum(n) - n / 2
         near = np.abs(middle[:, None] - middle[None, :]) <= max(share * total / 2, 0.5)
@@ -105,27 +106,26 @@ def neighbourhoods(p: DataFrame) -> DataFrame:
         count = near @ n
         # a class with nothing around takes the mean of all
         local = np.where(count[:, None] > 0, (near @ s) / np.maximum(count, 1)[:, None], s.sum(axis=0) / total)
-        return pd.DataFrame({"study_id": [t["study_id"].iloc[0]], "cuts": [t["cuts"].iloc[0]], "local": [local.ravel().tolist()], "common": top(s.sum(axis=0)[None, :]), "trended": [top(local).tolist()], "n": [int(total)]})
+        return pd.DataFrame({"study_id": t["study_id"].iloc[0], "class": np.arange(CLASSES, dtype=np.int32), "local": local.tolist(), "common": float(top(s.sum(axis=0)[None, :])[0]), "trended": top(local)})
 
-    return by_class.groupBy("study_id").applyInPandas(around, "study_id string, cuts array<double>, local array<double>, common double, trended array<double>, n bigint")
+    return cuts, by_class.groupBy("study_id").applyInPandas(around, "study_id string, class int, local array<double>, common double, trended double")
 
 
-def class_of(a: Column, cuts: Column) -> Column:
-    """How many cuts are below ``a``."""
-    return F.size(F.filter(cuts, lambda c: c < a))
+def classed(p: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``p`` with its class of abundance: how many cuts of its study are below it."""
+    return p.join(F.broadcast(cuts), "study_id").withColumn("class", F.size(F.filter("cuts", lambda c: c < F.col("abundance")))).drop("cuts")
 
 
 def tagwise(p: DataFrame, prior_df: float = PRIOR_DF) -> DataFrame:
-    """``p`` (with curves) plus the columns common, trended and tagwise."""
-    shared = neighbourhoods(p)
-    c = class_of(F.col("abundance"), F.col("cuts"))
-    own = F.zip_with("curve", F.slice("local", c * len(CURVE) + 1, len(CURVE)), lambda a, b: a + b * prior_df / F.col("df"))
+    """``p`` (with curves) plus the columns common, trended and tagwise. Features meet the curve of their class, not all of their study's."""
+    cuts, shared = neighbourhoods(p)
+    own = F.zip_with("curve", "local", lambda a, b: a + b * prior_df / F.col("df"))
 
     def peak(v: pd.Series) -> pd.Series:
         return pd.Series(top(np.stack(v.to_list())) if len(v) else [], dtype=float)
 
-    j = with_study(p, shared)
-    return j.withColumn("tagwise", F.pandas_udf(peak, "double")(own)).withColumn("trended", F.element_at("trended", c + 1)).drop("cuts", "local", "curve", "n")
+    j = classed(p, cuts).join(F.broadcast(once(shared)), ["study_id", "class"])
+    return j.withColumn("tagwise", F.pandas_udf(peak, "double")(own)).drop("class", "local", "curve")
 
 
 def deviance(y: np.ndarray, mu: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -165,10 +165,10 @@ def trended_prior(fits: DataFrame) -> DataFrame:
 
     The expected log of a scaled chi-square variance is ``shift`` off its log, its variance is ``tri``; both are computed where the fit is.
     """
-    fits = once(fits)
+    fits = stored(fits)
     use = F.col("df") > 0
     shape = fits.where(use).groupBy("study_id").agg(F.percentile_approx("abundance", F.array(*map(F.lit, KNOTS)), F.lit(100_000)).alias("knots"), F.percentile_approx("s2", 0.5, F.lit(100_000)).alias("mid"), F.sum("df").alias("pooled"))
-    j = fits.join(shape, "study_id", "left")
+    j = fits.join(F.broadcast(once(shape)), "study_id", "left")
     basis = spline(F.col("abundance"), F.col("knots"))
     z = F.log(F.greatest(F.col("s2"), F.col("mid") * 1e-5, F.lit(1e-300))) - F.col("shift")
     b = j.withColumns({**{f"b{i}": v for i, v in enumerate(basis)}, "z": z})
@@ -190,7 +190,7 @@ def trended_prior(fits: DataFrame) -> DataFrame:
 
     solved = sums.groupBy("study_id").applyInPandas(solve, "study_id string, d0 double, level double, coef array<double>")
     fitted = sum((F.col(f"b{i}") * F.col("coef")[i] for i in range(size)), F.col("level"))
-    return b.join(solved, "study_id").withColumn("s02", F.exp(fitted)).drop("knots", "mid", "z", "coef", "level", *(f"b{i}" for i in range(size)))
+    return b.join(F.broadcast(solved), "study_id").withColumn("s02", F.exp(fitted)).drop("knots", "mid", "z", "coef", "level", *(f"b{i}" for i in range(size)))
 
 
 def ql_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, dispersion: str = "common", prior_df: float = PRIOR_DF) -> DataFrame:
@@ -200,14 +200,16 @@ def ql_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, disp
     """
     if dispersion not in ("common", "trended", "tagwise"):
         raise ValueError("dispersion is common, trended or tagwise")
-    p = once(profiled(packed(m, designs(s, terms, effective_sizes(m), "size")), terms))
+    counts = stored(gathered(m))
+    lists = once(designs(s, terms, gathered_sizes(counts), "size"))
+    p = stored(profiled(packed_rows(counts, lists), terms))
     kept = ["abundance", "common", "trended", "tagwise"]
 
     def run(batches):
         for study, rows, y, names, x, size in by_study(batches, terms):
             if coefficient not in names:
                 continue
-            k, a, less = names.index(coefficient), rows[dispersion].to_numpy(float), np.delete(x, names.index(coefficient), axis=1)
+            k, a, less = names.index(coefficient), numbers(rows, dispersion), np.delete(x, names.index(coefficient), axis=1)
             beta, mu, _ = fit_means(y, x, np.log(size), a)
             _, mu0, _ = fit_means(y, less, np.log(size), a)
             none = np.zeros(len(y))
@@ -215,14 +217,14 @@ def ql_test(m: DataFrame, s: DataFrame, terms: list[str], coefficient: str, disp
             _, pmu0, _ = fit_means(y, less, np.log(size), none)
             df, full = spare(y, mu, x), deviance(y, mu, a)
             half = np.maximum(df, 1e-9) / 2
-            yield pd.DataFrame({
-                "study_id": study, "feature_id": rows["feature_id"].to_numpy(), "base_mean": (y / (size / size.mean())).mean(axis=1), "log2fc": beta[:, k] / math.log(2),
+            yield with_columns(rows, ["study_id", "feature_id"], {
+                "base_mean": (y / (size / size.mean())).mean(axis=1), "log2fc": beta[:, k] / math.log(2),
                 "lr": np.maximum(deviance(y, mu0, a) - full, 0), "poisson": np.maximum(deviance(y, pmu0, none) - deviance(y, pmu, none), 0),
-                "s2": np.where(df > 0, full / np.maximum(df, 1e-9), 0.0), "df": df, "shift": np.where(df > 0, digamma(half) - np.log(half), 0.0), "tri": np.where(df > 0, trigamma(half), 0.0), **{c: rows[c].to_numpy(float) for c in kept},
+                "s2": np.where(df > 0, full / np.maximum(df, 1e-9), 0.0), "df": df, "shift": np.where(df > 0, digamma(half) - np.log(half), 0.0), "tri": np.where(df > 0, trigamma(half), 0.0), **{c: numbers(rows, c) for c in kept},
             })
 
     form = "study_id string, feature_id string, base_mean double, log2fc double, lr double, poisson double, s2 double, df double, shift double, tri double, " + ", ".join(f"{c} double" for c in kept)
-    fits = trended_prior(tagwise(p, prior_df).mapInPandas(run, form))
+    fits = trended_prior(tagwise(p, prior_df).join(F.broadcast(lists.drop("__order")), "study_id").mapInArrow(run, form))
     inf = F.col("d0") == float("inf")
     post = F.when(inf, F.col("s02")).otherwise((F.col("d0") * F.col("s02") + F.col("df") * F.col("s2")) / (F.col("d0") + F.col("df")))
     total = F.least(F.when(inf, F.col("pooled")).otherwise(F.col("d0") + F.col("df")), F.col("pooled"))

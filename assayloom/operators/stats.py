@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayloom.functions.tables import once
+from assayloom.functions.tables import once, stored
 from assayloom.operators.results import average_rank
 
 
@@ -81,7 +81,7 @@ def beta_tail(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             f = f * d * c
-        if np.all(np.abs(d * c - 1) < 1e-14):
+        if not np.any(np.abs(d * c - 1) >= 1e-14):  # NaN never settles
             break
     out = np.where(x2 <= 0, 0.0, front * f)
     return np.where(flip, 1 - out, out)
@@ -566,13 +566,24 @@ def pca(m: DataFrame, n: int = 2, value: str = "value") -> DataFrame:
     return scores.join(side, ["study_id", "component"]).select("study_id", "component", "sample_id", F.when(F.col("side") < 0, -F.col("score")).otherwise(F.col("score")).alias("score"), "ratio")
 
 
+def gathered(m: DataFrame) -> DataFrame:
+    """A row a feature: its samples in order and their values, as two arrays."""
+    rows = m.groupBy("study_id", "feature_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", F.col("value").cast("double").alias("v")))).alias("p"))
+    return rows.select("study_id", "feature_id", F.col("p.sample_id").alias("samples"), F.col("p.v").alias("values"))
+
+
 def size_factors(m: DataFrame) -> DataFrame:
     """Median over features with all counts positive of exp(ln count - mean ln count)."""
-    keys = ["study_id", "feature_id"]
-    all_positive = F.min("value").over(Window.partitionBy(*keys)) > 0
-    logs = m.withColumn("ok", all_positive).where("ok").withColumn("ln", F.log(F.col("value").cast("double")))
-    centred = logs.withColumn("d", F.col("ln") - F.avg("ln").over(Window.partitionBy(*keys)))
-    return centred.groupBy("study_id", "sample_id").agg(F.exp(F.percentile("d", F.lit(0.5))).alias("size_factor"))
+    return gathered_size_factors(gathered(m))
+
+
+def gathered_size_factors(rows: DataFrame) -> DataFrame:
+    """``size_factors`` of rows of ``gathered``: what a feature's samples share is told within its row."""
+    logs = rows.where(F.array_min("values") > 0).select("study_id", "samples", F.transform("values", lambda v: F.log(v)).alias("ln"))
+    known = F.filter("ln", lambda v: v.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)
+    each = logs.select("study_id", mean.alias("mean"), F.explode(F.arrays_zip("samples", "ln")).alias("p")).select("study_id", F.col("p.samples").alias("sample_id"), (F.col("p.ln") - F.col("mean")).alias("d"))
+    return each.groupBy("study_id", "sample_id").agg(F.exp(F.percentile("d", F.lit(0.5))).alias("size_factor"))
 
 
 def dispersions(m: DataFrame, factors: DataFrame) -> DataFrame:
@@ -585,21 +596,35 @@ def dispersions(m: DataFrame, factors: DataFrame) -> DataFrame:
 
 def tmm(m: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
     """Trimmed means of M values against the sample whose upper quartile is nearest the mean one; factors have geometric mean 1."""
-    lib = m.groupBy("study_id", "sample_id").agg(F.sum("value").alias("lib"))
-    q = m.join(lib, ["study_id", "sample_id"]).groupBy("study_id", "sample_id").agg(F.percentile(F.col("value") / F.col("lib"), F.lit(0.75)).alias("q"))
+    return gathered_tmm(stored(gathered(m)), trim_m, trim_a).drop("lib")
+
+
+def gathered_tmm(rows: DataFrame, trim_m: float = 0.3, trim_a: float = 0.05) -> DataFrame:
+    """(study_id, sample_id, lib, tmm_factor) of a written table of ``gathered``.
+
+    A feature's row holds the reference's count too, so rows don't meet. A sample's features with equal counts there and in the reference
+    have equal M and A values: they are one row with a number, and ranks are sums of numbers.
+    """
+    keys, n = ["study_id", "sample_id"], F.col("n")
+    each = rows.select("study_id", F.explode(F.arrays_zip("samples", "values")).alias("p")).select("study_id", F.col("p.samples").alias("sample_id"), F.col("p.values").alias("value"))
+    counts = each.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    lib = once(each.groupBy(*keys).agg(F.sum("value").alias("lib")))
+    q = counts.join(F.broadcast(lib), keys).groupBy(*keys).agg(F.percentile(F.col("value") / F.col("lib"), F.lit(0.75), n).alias("q"))
     off = F.abs(F.col("q") - F.avg("q").over(Window.partitionBy("study_id")))
     ref = q.withColumn("off", off).groupBy("study_id").agg(F.min_by("sample_id", F.struct("off", "sample_id")).alias("ref"))
-    j = m.join(lib, ["study_id", "sample_id"])
-    r = j.join(ref, "study_id").where("sample_id = ref").select("study_id", "feature_id", F.col("value").alias("rv"), F.col("lib").alias("rl"))
-    p = j.join(r, ["study_id", "feature_id"]).where("value > 0 and rv > 0")
+    ref = ref.join(lib.select("study_id", F.col("sample_id").alias("ref"), F.col("lib").alias("rl")), ["study_id", "ref"])
+    r = rows.join(F.broadcast(ref), "study_id").withColumn("rv", F.try_element_at("values", F.nullif(F.array_position("samples", F.col("ref")), F.lit(0).cast("long")).cast("int"))).where("rv > 0")
+    pairs = r.select("study_id", "rv", "rl", F.explode(F.arrays_zip("samples", "values")).alias("p")).select("study_id", F.col("p.samples").alias("sample_id"), F.col("p.values").alias("value"), "rv", "rl").where("value > 0")
+    p = pairs.groupBy(*keys, "value", "rv", "rl").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(lib), keys)
     x, y = F.col("value") / F.col("lib"), F.col("rv") / F.col("rl")
-    p = p.select("study_id", "sample_id", "feature_id", F.log2(x / y).alias("mv"), (F.log2(x * y) / 2).alias("av"), ((F.col("lib") - F.col("value")) / F.col("lib") / F.col("value") + (F.col("rl") - F.col("rv")) / F.col("rl") / F.col("rv")).alias("var"))
-    keys = ["study_id", "sample_id"]
-    ranked = average_rank(average_rank(p, keys, "mv").withColumnRenamed("avg_rank", "rm"), keys, "av").withColumnRenamed("avg_rank", "ra").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    inside = lambda rank, trim: (rank >= F.floor(F.col("n") * trim) + 1) & (rank <= F.col("n") - F.floor(F.col("n") * trim))
-    f = ranked.where(inside(F.col("rm"), trim_m) & inside(F.col("ra"), trim_a) & (F.col("var") > 0)).groupBy(*keys).agg((F.sum(F.col("mv") / F.col("var")) / F.sum(1 / F.col("var"))).alias("lf"))
+    p = p.select(*keys, "n", F.log2(x / y).alias("mv"), (F.log2(x * y) / 2).alias("av"), ((F.col("lib") - F.col("value")) / F.col("lib") / F.col("value") + (F.col("rl") - F.col("rv")) / F.col("rl") / F.col("rv")).alias("var"))
+    # the mean rank of ties, from how many are no larger and how many are equal
+    rank = lambda c: F.sum(n).over(Window.partitionBy(*keys).orderBy(c)) - (F.sum(n).over(Window.partitionBy(*keys, c)) - 1) / 2
+    ranked = p.withColumn("rm", rank("mv")).withColumn("ra", rank("av")).withColumn("all", F.sum(n).over(Window.partitionBy(*keys)))
+    inside = lambda rank, trim: (rank >= F.floor(F.col("all") * trim) + 1) & (rank <= F.col("all") - F.floor(F.col("all") * trim))
+    f = ranked.where(inside(F.col("rm"), trim_m) & inside(F.col("ra"), trim_a) & (F.col("var") > 0)).groupBy(*keys).agg((F.sum(n * F.col("mv") / F.col("var")) / F.sum(n / F.col("var"))).alias("lf"))
     every = lib.join(f, keys, "left").withColumn("lf", F.coalesce("lf", F.lit(0.0)))
-    return every.select(*keys, F.pow(F.lit(2.0), F.col("lf") - F.avg("lf").over(Window.partitionBy("study_id"))).alias("tmm_factor"))
+    return every.select(*keys, "lib", F.pow(F.lit(2.0), F.col("lf") - F.avg("lf").over(Window.partitionBy("study_id"))).alias("tmm_factor"))
 
 
 def infer_sex(cpm: DataFrame, y_genes: list[str], x_gene: str, margin: float = 1.0) -> DataFrame:

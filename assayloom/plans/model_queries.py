@@ -11,13 +11,13 @@ from assayloom.operators import results as R
 from assayloom.operators import rollup as U
 from assayloom.operators import stats as S
 from assayloom.plans.registry import query
-from assayloom.plans.result_queries import big
+from assayloom.plans.result_queries import big, big_cells
 
 TREATED = "condition=treated"
 
 
 def big_samples(t):
-    return big(t).select("study_id", "sample_id").distinct().withColumn("condition", F.when(F.substring("sample_id", 2, 9).cast("int") % 4 < 2, "control").otherwise("treated"))
+    return big_cells(t).select("study_id", "sample_id").distinct().withColumn("condition", F.when(F.substring("sample_id", 2, 9).cast("int") % 4 < 2, "control").otherwise("treated"))
 
 
 @query("st_13_negative_binomial_wald")

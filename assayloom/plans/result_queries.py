@@ -218,12 +218,14 @@ select study_id, sample_id, exp(quantile_cont(d, 0.5)) as size_factor from d gro
 BIG = "select 'B' || (s_nationkey % 2) as study_id, 'F' || l_partkey as feature_id, 'N' || s_nationkey as sample_id, sum(l_quantity)::bigint as value from lineitem join supplier on l_suppkey = s_suppkey group by all"
 
 
+def big_cells(t):
+    names = (F.concat(F.lit("B"), F.col("s_nationkey") % 2).alias("study_id"), F.concat(F.lit("F"), F.col("l_partkey")).alias("feature_id"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("sample_id"))
+    return t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(*names, "l_quantity")
+
+
 def big(t):
-    return (
-        t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(F.concat(F.lit("B"), F.col("s_nationkey") % 2).alias("study_id"), F.concat(F.lit("F"), F.col("l_partkey")).alias("feature_id"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("sample_id"))
-        .agg(F.sum("l_quantity").cast("long").alias("value"))
-    )
+    # dealt by feature, so that counts are added up and a feature's samples come together in one shuffle
+    return big_cells(t).repartition("study_id", "feature_id").groupBy("study_id", "feature_id", "sample_id").agg(F.sum("l_quantity").cast("long").alias("value"))
 
 
 @query("st_11_size_factors", "select study_id, sample_id, round(size_factor, 6) as size_factor from (" + SIZE.replace("{measure}", f"({BIG})") + ")")

@@ -281,3 +281,81 @@ def test_a_row_a_study_is_joined_by_parts(spark):
         assert len(shuffles) == 2 and all("__part#" in x.split("hashpartitioning(")[1] for x in shuffles)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_features_meet_the_curve_of_their_class_where_they_are(spark):
+    """Features were shuffled with their curves to meet all curves of their study, 28 kB a feature."""
+    rng = np.random.default_rng(7)
+    rows = [("s", f"f{i}", float(a), 50.0, 4.0, (-rng.random() * (Q.CURVE + a) ** 2).tolist()) for i, a in enumerate(rng.random(300))]
+    p = spark.createDataFrame(rows, "study_id string, feature_id string, abundance double, total double, df double, curve array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = Q.tagwise(p)
+        assert out.count() == 300 and "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_trimmed_means_with_ties_equal_numpy(spark):
+    rng = np.random.default_rng(12)
+    y = rng.poisson(3, (400, 5)).astype(int)
+    rows = [("s", f"f{i}", f"n{k}", int(v)) for i, r in enumerate(y) for k, v in enumerate(r) if v or i % 3]
+    got = {r["sample_id"]: r["tmm_factor"] for r in S.tmm(spark.createDataFrame(rows, "study_id string, feature_id string, sample_id string, value long")).collect()}
+    there = np.zeros_like(y, dtype=bool)
+    for _, f, n, _ in rows:
+        there[int(f[1:]), int(n[1:])] = True
+    lib = y.sum(axis=0)
+    q = np.array([np.percentile(y[there[:, k], k] / lib[k], 75) for k in range(5)])
+    ref = int(np.abs(q - q.mean()).argmin())
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    log_f = []
+    for k in range(5):
+        both = (y[:, k] > 0) & (y[:, ref] > 0)
+        a, b = y[both, k], y[both, ref]
+        x, z = a / lib[k], b / lib[ref]
+        mv, av, var, n = np.log2(x / z), np.log2(x * z) / 2, (lib[k] - a) / lib[k] / a + (lib[ref] - b) / lib[ref] / b, len(a)
+        keep = np.ones(n, bool)
+        for v, trim in ((mv, 0.3), (av, 0.05)):
+            keep &= (rank(v) >= math.floor(n * trim) + 1) & (rank(v) <= n - math.floor(n * trim))
+        log_f.append((mv[keep] / var[keep]).sum() / (1 / var[keep]).sum() if keep.any() else 0.0)
+    assert np.allclose([got[f"n{k}"] for k in range(5)], 2 ** (np.array(log_f) - np.mean(log_f)), rtol=1e-9)
+
+
+def test_adjusted_values_take_one_running_minimum(spark):
+    """The frame to the last row was gone through again for each row, so the time grew with the square of a study's features."""
+    rng = np.random.default_rng(5)
+    p = [None, float("1"), *np.round(rng.random(300) ** 3, 2).tolist()]
+    d = R.adjusted(spark.createDataFrame([("s", "c", "m", f"f{i}", v) for i, v in enumerate(p)], "study_id string, contrast_id string, method string, feature_id string, pvalue double"))
+    known = np.array(p[1:])
+    want = {v: min(1.0, min(u * len(known) / (known <= u).sum() for u in known if u >= v)) for v in set(known)}
+    got = {r["feature_id"]: r["q"] for r in d.collect()}
+    assert got["f0"] is None and all(math.isclose(got[f"f{i}"], want[v], rel_tol=1e-12) for i, v in enumerate(p) if v is not None)
+    assert "currentrow$(), unboundedfollowing" not in d._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_the_line_of_precision_weights_is_its_knots(spark):
+    """All points of a study's line went to Python with each of its features."""
+    rng = np.random.default_rng(6)
+    x = np.sort(rng.random(3000))
+    y = 0.3 + np.exp(-3 * x) + rng.normal(0, 0.05, 3000)
+    at, line = P.lowess_knots(x, y, apart=0.01)
+    assert len(at) < 110 and np.abs(np.interp(x, x[at], line) - P.lowess(x, y, apart=0.01)).max() == 0
+
+
+def test_fits_of_several_columns_and_lone_rows_equal_plain_rounds():
+    """Rows leave the rounds once they don't move; systems of two unknowns are solved by their formula."""
+    rng = np.random.default_rng(9)
+    y = rng.negative_binomial(2, 0.05, (300, 9)).astype(float)
+    y[0] = 0
+    y[1, :4] = 0
+    for x in (np.ones((9, 1)), np.column_stack([np.ones(9), np.arange(9) > 4]).astype(float), np.column_stack([np.ones(9), np.arange(9) > 4, np.arange(9) % 2]).astype(float)):
+        size, alpha = np.log(rng.uniform(0.5, 2, 9)), np.full(300, 0.4)
+        beta = np.log((y + 0.5) / np.exp(size)) @ np.linalg.pinv(x).T
+        for _ in range(25):
+            eta = np.clip(beta @ x.T + size, -30, 30)
+            mu = np.exp(eta)
+            w = mu / (1 + alpha[:, None] * mu)
+            step = np.linalg.solve(np.einsum("gn,np,nq->gpq", w, x, x) + B.RIDGE * np.eye(x.shape[1]), np.einsum("gn,np->gp", w * (eta - size + (y - mu) / mu), x)[:, :, None])[:, :, 0] - beta
+            beta = beta + step * np.minimum(1, 2 / np.maximum(np.abs(step @ x.T).max(axis=1), 1e-12))[:, None]
+        got, mu, inverse = B.fit_means(y, x, size, alpha)
+        assert np.abs(got - beta).max() < 1e-6 and np.allclose(inverse, np.linalg.inv(np.einsum("gn,np,nq->gpq", mu / (1 + alpha[:, None] * mu), x, x) + B.RIDGE * np.eye(x.shape[1])), rtol=1e-5)
