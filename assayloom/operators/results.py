@@ -24,7 +24,8 @@ def first_n(df: DataFrame, keys: list[str], n: int, *order: Column | str) -> Dat
 def adjusted(d: DataFrame, p: str = "pvalue") -> DataFrame:
     """Benjamini-Hochberg q: the reverse cumulative minimum of p * m / rank within each contrast and method."""
     raw = d.withColumn("raw", bh(F.col(p), *KEYS))
-    w = Window.partitionBy(*KEYS).orderBy(F.col(p).asc_nulls_last()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a running minimum from the largest p down, ties together; a frame that ends at the last row would be gone through again for each row
+    w = Window.partitionBy(*KEYS).orderBy(F.col(p).desc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return raw.withColumn("q", F.when(F.col(p).isNotNull(), F.min("raw").over(w))).drop("raw")
 
 
