@@ -359,3 +359,18 @@ def test_fits_of_several_columns_and_lone_rows_equal_plain_rounds():
             beta = beta + step * np.minimum(1, 2 / np.maximum(np.abs(step @ x.T).max(axis=1), 1e-12))[:, None]
         got, mu, inverse = B.fit_means(y, x, size, alpha)
         assert np.abs(got - beta).max() < 1e-6 and np.allclose(inverse, np.linalg.inv(np.einsum("gn,np,nq->gpq", mu / (1 + alpha[:, None] * mu), x, x) + B.RIDGE * np.eye(x.shape[1])), rtol=1e-5)
+
+
+def test_features_are_fitted_where_they_are_packed(spark):
+    """The samples of a study were joined by study, so that all its features were fitted in one task."""
+    import re
+
+    m, s = table(spark, draw(3, 30, 6))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = B.packed(m, B.designs(s, ["condition"], m.groupBy("study_id", "sample_id").agg({"value": "sum"}).withColumnRenamed("sum(value)", "lib"), "lib"))
+        assert out.count() == 30
+        features = out._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Join Inner, .*rightHint=\(strategy=broadcast\)", features)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
