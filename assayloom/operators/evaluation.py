@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayloom.functions.tables import once
+from assayloom.functions.tables import once, stored
 
 
 def set_run_stability(runs: DataFrame, alpha: float = 0.25) -> DataFrame:
@@ -68,44 +71,156 @@ def normal_cell(text: Column) -> Column:
     return F.regexp_replace(bare, r"\s+", "")
 
 
+def cells_of(text: Column) -> Column:
+    """The normal cells of a table of pipes; rules, empty cells and single dashes don't count."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.startswith("|") & ~x.rlike(r"^\|[-:\s|]+$"))
+    raw = F.flatten(F.transform(lines, lambda x: F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|")))
+    return F.filter(F.transform(raw, normal_cell), lambda c: ~c.isin("", "-"))
+
+
 def table_cells(tables: DataFrame) -> DataFrame:
-    """(paper_id, table_id, cell, n): how often a cell stands in a table of pipes; rules, empty cells and single dashes don't count."""
-    rows = tables.select("paper_id", "table_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").startswith("|") & ~F.col("line").rlike(r"^\|[-:\s|]+$"))
-    cells = rows.select("paper_id", "table_id", F.explode(F.split(F.regexp_replace(F.trim("line"), r"^\|+|\|+$", ""), r"\|")).alias("raw")).select("paper_id", "table_id", normal_cell(F.col("raw")).alias("cell"))
-    return cells.where(~F.col("cell").isin("", "-")).groupBy("paper_id", "table_id", "cell").agg(F.count(F.lit(1)).alias("n"))
+    """(paper_id, table_id, cell, n): how often a cell stands in a table of pipes."""
+    return tables.select("paper_id", "table_id", F.explode(cells_of(F.col("text"))).alias("cell")).groupBy("paper_id", "table_id", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Tables of a paper beyond which a cell is frequent.
-FREQUENT = 64
+#: Tables of a tile beyond which a cell is frequent, and about how many cells of either parse meet in a task.
+FREQUENT, TILE_CELLS = 64, 1 << 21
 
 
-def table_match(first: DataFrame, second: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+def table_match(first: DataFrame, second: DataFrame, frequent: int = FREQUENT, tile: int = TILE_CELLS) -> DataFrame:
     """(paper_id, table_id, n_cells, match_id, share): for each table of one parse the table of the other that holds most of its cells.
 
-    Tables meet at cells that at most ``frequent`` tables of their paper hold; frequent cells are counted for the pairs that met. A table
-    that met none holds no more than the frequent cells, so a match with more is settled. For the rest, tables with the same frequent
-    cells are one, and these meet at all of them. The first by id wins a tie, and a table without any match has a share of 0. Tables
-    without cells have no row.
+    A table is one row with its cells as a string. Both parses of a paper are cut into tiles of about ``tile`` cells, each pair of tiles is
+    matched in a task (``matched``), and the best of a table's tiles counts, so pairs of tables are never written. The first by id wins a tie, and
+    a table without any match has a share of 0. Tables without cells have no row.
+    """
+    kind, keys = first.schema["paper_id"].dataType.simpleString(), ["paper_id", "table_id"]
+    whole = lambda df: stored(df.groupBy(*keys).agg(F.flatten(F.collect_list(cells_of(F.col("text")))).alias("c")).where(F.size("c") > 0).select(*keys, F.array_join("c", "|").alias("cells"), F.size("c").alias("size")))
+    a, b = whole(first), whole(second.select(F.col("paper_id").cast(kind).alias("paper_id"), "table_id", "text"))
+    parts = lambda df, name: df.groupBy("paper_id").agg(F.ceil(F.sum("size") / tile).cast("int").alias(name))
+    counts = once(parts(a, "parts_a").join(parts(b, "parts_b"), "paper_id", "left").select("paper_id", "parts_a", F.coalesce("parts_b", F.lit(1)).alias("parts_b")))
+    of = lambda n: F.pmod(F.xxhash64("table_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(F.broadcast(counts), "paper_id").select("paper_id", of("parts_a").alias("at"), every("parts_b").alias("tile"), "table_id", "cells")
+    b = b.join(F.broadcast(counts), "paper_id").select("paper_id", every("parts_a").alias("at"), of("parts_b").alias("tile"), "table_id", "cells")
+    pair = ["paper_id", "at", "tile"]
+
+    def match(x: pa.Table, y: pa.Table) -> pa.Table:
+        order = pc.sort_indices(y.column("table_id"))  # by bytes, as Spark compares
+        ids = y.column("table_id").take(order)
+        n, k, best = matched(split_cells(x.column("cells")), split_cells(y.column("cells").take(order)), frequent)
+        return pa.table({"paper_id": x.column("paper_id"), "table_id": x.column("table_id"), "n_cells": pa.array(n), "k": pa.array(k), "match_id": ids.take(pa.array(best, mask=k == 0)) if len(ids) else pa.nulls(len(n), pa.string())})
+
+    told = a.groupBy(*pair).cogroup(b.groupBy(*pair)).applyInArrow(match, f"paper_id {kind}, table_id string, n_cells bigint, k bigint, match_id string")
+    best = told.groupBy(*keys).agg(F.max("n_cells").alias("n_cells"), F.min(F.when(F.col("k") > 0, F.struct((-F.col("k")).alias("k"), "match_id"))).alias("m"))
+    return best.select(*keys, "n_cells", F.col("m.match_id").alias("match_id"), F.round(F.coalesce(-F.col("m.k"), F.lit(0)) / F.col("n_cells"), 6).alias("share"))
+
+
+def split_cells(cells: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """All cells and the row of each."""
+    lists = pc.split_pattern(cells.combine_chunks(), "|")
+    return lists.flatten(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+
+
+#: Rows of the first parse whose pairs are held at once.
+ROWS_AT_ONCE = 1 << 15
+
+
+def matched(first: tuple[pa.Array, np.ndarray], second: tuple[pa.Array, np.ndarray], frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``first`` its number of cells, the most of them that a row of ``second`` holds, and the earliest such row.
+
+    Rows meet at cells that at most ``frequent`` rows of ``second`` hold; frequent cells are added for the pairs that met. A row that met none
+    holds no more than the frequent cells, so a match with more is settled. For the rest, rows with the same frequent cells are one, and
+    all rows of ``second`` are counted at once with a bit each (``most_held``).
     """
-    a, b = table_cells(first), table_cells(second).select("paper_id", "cell", F.col("table_id").alias("match_id"))
-    held = b.groupBy("paper_id", "cell").agg(F.count(F.lit(1)).alias("df"))
-    a, b = once(a.join(held, ["paper_id", "cell"], "left")), once(b.join(held, ["paper_id", "cell"]))
-    table, often = ["paper_id", "table_id"], F.col("df") > frequent
-    of_a = F.array_sort(F.collect_list(F.when(often, F.struct("cell", "n"))))
-    size = a.groupBy(*table).agg(F.sum("n").alias("n_cells"), F.coalesce(F.sum(F.when(often, F.col("n"))), F.lit(0)).alias("f"), of_a.alias("fa"))
-    of_b = b.where(often).groupBy("paper_id", "match_id").agg(F.array_sort(F.collect_list("cell")).alias("fb"))
-    met = a.where(~often).join(b.where(~often).select("paper_id", "cell", "match_id"), ["paper_id", "cell"]).groupBy(*table, "match_id").agg(F.sum("n").alias("k"))
-    shared = F.aggregate(F.filter("fa", lambda x: F.array_contains("fb", x["cell"])), F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    met = met.join(size.select(*table, "fa"), table).join(of_b, ["paper_id", "match_id"], "left").select(*table, "match_id", (F.col("k") + F.coalesce(shared, F.lit(0))).alias("k"))
-    best = met.groupBy(*table).agg(F.min(F.struct((-F.col("k")).alias("k"), "match_id")).alias("m"))
-    j = once(size.join(best, table, "left"))
-    left = j.where((F.col("f") > 0) & (F.col("m").isNull() | (-F.col("m.k") <= F.col("f")))).select("paper_id", "fa").distinct()
-    alike = of_b.groupBy("paper_id", "fb").agg(F.min("match_id").alias("match_id")).select("paper_id", "match_id", F.explode("fb").alias("cell"))
-    pairs = left.select("paper_id", "fa", F.explode("fa").alias("x")).select("paper_id", "fa", "x.cell", "x.n")
-    k = pairs.join(alike, ["paper_id", "cell"]).groupBy("paper_id", "fa", "match_id").agg(F.sum("n").alias("k"))
-    other = k.groupBy("paper_id", "fa").agg(F.min(F.struct((-F.col("k")).alias("k"), "match_id")).alias("o"))
-    j = j.join(other, ["paper_id", "fa"], "left").withColumn("m", F.when((F.col("f") > 0) & (F.col("m").isNull() | (-F.col("m.k") <= F.col("f"))), F.least("m", "o")).otherwise(F.col("m")))
-    return j.select("paper_id", "table_id", "n_cells", F.col("m.match_id").alias("match_id"), F.round(F.coalesce(-F.col("m.k"), F.lit(0)) / F.col("n_cells"), 6).alias("share"))
+    (cells, row), (cells_b, row_b) = first, second
+    n_rows, n_b = int(row[-1]) + 1 if len(row) else 0, int(row_b[-1]) + 1 if len(row_b) else 0
+    size = np.bincount(row, minlength=n_rows)
+    k, best = np.zeros(n_rows, dtype=np.int64), np.zeros(n_rows, dtype=np.int64)
+    if not n_b:
+        return size, k, best
+    words = pc.unique(cells_b)
+    code = pc.index_in(cells, value_set=words)
+    known = code.is_valid().to_numpy(zero_copy_only=False)
+    # a cell of a row once, with how often it stands there
+    key, n = np.unique(row[known] * len(words) + code.drop_null().to_numpy(), return_counts=True)
+    row, code = key // len(words), key % len(words)
+    key_b = np.unique(pc.index_in(cells_b, value_set=words).to_numpy() * np.int64(n_b) + row_b)
+    held = np.bincount(key_b // n_b, minlength=len(words))
+    start, rows_b = np.concatenate([[0], np.cumsum(held)]), key_b % n_b
+    often = held[code] > frequent
+    common = np.bincount(row[often], n[often], minlength=n_rows).astype(np.int64)
+    for low in range(0, n_rows, ROWS_AT_ONCE):
+        at = slice(*np.searchsorted(row, (low, low + ROWS_AT_ONCE)))
+        r, c, w, f = row[at] - low, code[at], n[at], often[at]
+        times = held[c[~f]]
+        place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(start[c[~f]], times)
+        pairs, which = np.unique(np.repeat(r[~f], times) * n_b + rows_b[place], return_inverse=True)
+        got = np.bincount(which, np.repeat(w[~f], times), minlength=len(pairs)).astype(np.int64)
+        pr, pb = pairs // n_b, pairs % n_b
+        # frequent cells of the pairs that met
+        first_f, many = np.searchsorted(r[f], pr), np.bincount(r[f], minlength=ROWS_AT_ONCE)[pr]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_f, many)
+        wanted = c[f][place] * n_b + np.repeat(pb, many)
+        there = key_b[np.minimum(np.searchsorted(key_b, wanted), len(key_b) - 1)] == wanted
+        got += np.bincount(np.repeat(np.arange(len(pairs)), many), w[f][place] * there, minlength=len(pairs)).astype(np.int64)
+        order = np.lexsort((pb, -got, pr))
+        lead = order[np.flatnonzero(np.diff(pr[order], prepend=-1))]
+        k[low + pr[lead]], best[low + pr[lead]] = got[lead], pb[lead]
+    mine = often & ((common > 0) & (k <= common))[row]
+    r, c, w = row[mine], code[mine], n[mine]
+    begin = np.flatnonzero(np.diff(r, prepend=-1))
+    asked: dict[bytes, tuple[int, int]] = {}
+    kept: dict[int, np.ndarray] = {}
+
+    def bits(c: int) -> np.ndarray:
+        if c in kept:
+            return kept[c]
+        flags = np.zeros(-(-n_b // 64) * 64, dtype=bool)
+        flags[rows_b[start[c] : start[c + 1]]] = True
+        out = np.packbits(flags).view(np.uint64)
+        if held[c] * 64 >= n_b:  # no larger than the cell's list of rows
+            kept[c] = out
+        return out
+
+    for x, y in zip(begin, np.append(begin, len(r))[1:], strict=True):
+        name = c[x:y].tobytes() + w[x:y].tobytes()
+        if name not in asked:
+            asked[name] = most_held([bits(v) for v in c[x:y].tolist()], w[x:y].tolist())
+        (most, where), i = asked[name], r[x]
+        if most > k[i] or (most == k[i] > 0 and where < best[i]):
+            k[i], best[i] = most, where
+    return size, k, best
+
+
+def most_held(bits: list[np.ndarray], weights: list[int]) -> tuple[int, int]:
+    """The largest sum of weights that a place has over the bitmaps in which it is set, and the first place that has it."""
+    every = bits[0]
+    for x in bits[1:]:
+        every = every & x
+    if every.any():
+        return sum(weights), first_bit(every)
+    planes: list[np.ndarray] = []  # sums of all places, a bit of them each
+    for x, w in zip(bits, weights, strict=True):
+        for shift in range(w.bit_length()):
+            carry, i = x, shift
+            while w >> shift & 1 and carry.any():
+                while len(planes) <= i:
+                    planes.append(np.zeros_like(x))
+                planes[i], carry, i = planes[i] ^ carry, planes[i] & carry, i + 1
+    most, top = 0, None
+    for i in reversed(range(len(planes))):
+        x = planes[i] if top is None else top & planes[i]
+        if x.any():
+            most, top = most | 1 << i, x
+    return most, first_bit(top) if most else 0
+
+
+def first_bit(bits: np.ndarray) -> int:
+    at = int((bits != 0).argmax()) * 8
+    each = bits.view(np.uint8)[at : at + 8]
+    byte = int((each != 0).argmax())
+    return (at + byte) * 8 + 8 - int(each[byte]).bit_length()
 
 
 def accession_comparison(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -130,13 +130,16 @@ b as (select paper_id, table_id, string_agg(row, chr(10) order by o, ln) as text
 
 
 def order_tables(t):
-    l = t.lineitem.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"), F.col("l_partkey").cast("string").alias("p"), F.col("l_quantity").cast("long").alias("q"))  # noqa: E741
-    rows = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda r: r["row"]), "\n")
-    paper = (F.col("o") % 40).alias("paper_id")
-    a = l.withColumn("row", F.concat(F.lit("| "), "p", F.lit(" | "), "q", F.lit(" |"))).groupBy("o").agg(F.concat(F.lit("| part | amount |\n|---|---|\n"), rows(F.struct("ln", "row"))).alias("text"))
-    a = a.select(paper, F.concat(F.lit("T"), F.lpad(F.col("o").cast("string"), 8, "0")).alias("table_id"), "text")
-    b = l.where("ln % 5 <> 4").withColumn("row", F.concat(F.lit("|**"), "p", F.lit("**|"), F.when(F.col("q") < 10, "−").otherwise(""), "q", F.lit("|")))
-    b = b.groupBy(paper, F.concat(F.lit("X"), F.lpad((F.col("o") - F.col("o") % 80).cast("string"), 8, "0"), F.when(F.col("o") % 3 == 0, "a").otherwise("b")).alias("table_id"))
+    o, q, paper = F.col("l_orderkey"), F.col("l_quantity").cast("long").alias("q"), (F.col("l_orderkey") % 40).alias("paper_id")
+    p = F.col("l_partkey").cast("string")
+    rows = lambda x: F.array_join(F.transform(F.sort_array(F.collect_list(x)), lambda r: r["row"]), "\n")
+    # dealt by table, so that lines become texts and texts are told apart by the same shuffle
+    dealt = lambda df: df.repartition("paper_id", "table_id")
+    a = dealt(t.lineitem.select(paper, F.concat(F.lit("T"), F.lpad(o.cast("string"), 8, "0")).alias("table_id"), F.col("l_linenumber").alias("ln"), "l_partkey", q)).withColumn("row", F.concat(F.lit("| "), p, F.lit(" | "), "q", F.lit(" |")))
+    a = a.groupBy("paper_id", "table_id").agg(F.concat(F.lit("| part | amount |\n|---|---|\n"), rows(F.struct("ln", "row"))).alias("text"))
+    name = F.concat(F.lit("X"), F.lpad((o - o % 80).cast("string"), 8, "0"), F.when(o % 3 == 0, "a").otherwise("b"))
+    b = dealt(t.lineitem.where("l_linenumber % 5 <> 4").select(paper, name.alias("table_id"), o.alias("o"), F.col("l_linenumber").alias("ln"), "l_partkey", q))
+    b = b.withColumn("row", F.concat(F.lit("|**"), p, F.lit("**|"), F.when(F.col("q") < 10, "−").otherwise(""), "q", F.lit("|"))).groupBy("paper_id", "table_id")
     return a, b.agg(rows(F.struct("o", "ln", "row")).alias("text"))
 
 

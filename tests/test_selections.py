@@ -202,3 +202,45 @@ def test_highest_value_of_a_study_needs_no_window(spark):
         assert len(got) == 5
         for k, b in (want or {}).items():
             assert abs(2 ** got[k] - (b + 1e-3) / (1 - b + 1e-3)) < 1e-9
+
+
+def test_tables_in_tiles_equal_all_pairs(spark):
+    """Tables left with frequent cells only met all others of their paper in rows; now no pair is a row, whatever the tiles."""
+    import random
+
+    from assayloom.operators import evaluation as E
+
+    rng = random.Random(11)
+    text = lambda n: "\n".join(f"| {rng.choice('abcdefgh')} | {rng.randrange(30)} |" for _ in range(rng.randrange(1, n)))
+    make = lambda x, k: [(p, f"{x}{i:03d}", text(6)) for p in range(2) for i in range(k)] + [(0, f"{x}000", "| a | a |\n| a | h |")]
+    x, y = [*make("A", 50), (7, "A1", "| only here |")], make("B", 70)
+    k = "paper_id int, table_id string, text string"
+    a, b = spark.createDataFrame(x, k), spark.createDataFrame(y, k)
+    held = []
+    for rows, df in ((x, a), (y, b)):
+        cells = {r[:2]: {} for r in rows}
+        for r in E.table_cells(df).collect():
+            cells[r["paper_id"], r["table_id"]][r["cell"]] = r["n"]
+        held.append(cells)
+    want = {}
+    for (p, t), c in held[0].items():
+        best = min([(-s, u) for (q, u), d in held[1].items() if p == q and (s := sum(n for v, n in c.items() if v in d))], default=(0, None))
+        want[p, t] = (sum(c.values()), best[1], round(-best[0] / sum(c.values()), 6))
+    for frequent, tile in ((3, 60), (0, 100), (10, 1 << 20)):
+        out = E.table_match(a, b, frequent, tile)
+        assert "CoGroup" in out._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r["paper_id"], r["table_id"]): (r["n_cells"], r["match_id"], r["share"]) for r in out.collect()} == want, (frequent, tile)
+
+
+def test_most_held_places_equal_sums():
+    import numpy as np
+
+    from assayloom.operators import evaluation as E
+
+    rng = np.random.default_rng(2)
+    for k in (1, 3, 9):
+        for share in (0.01, 0.3, 0.9):
+            flags, w = rng.random((k, 640)) < share, rng.integers(1, 9, k)
+            sums = (flags * w[:, None]).sum(axis=0)
+            got = E.most_held([np.packbits(f).view(np.uint64) for f in flags], w.tolist())
+            assert got == (sums.max(), sums.argmax() if sums.max() else 0)
