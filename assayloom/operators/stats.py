@@ -392,26 +392,34 @@ def change_between_groups(m: DataFrame, s: DataFrame, baseline: str, follow_up:
     return moderated_two_group(change, both.select("study_id", F.col("subject").alias("sample_id"), "condition"), control, treatment, method="paired_change")
 
 
-#: Most samples of a tile, tiles that a study should have before they grow, least samples of a tile, features of one product, pairs of a batch.
-TILE, TILES, LEAST_TILE, BLOCK, PAIRS = 2048, 16, 64, 1024, 1 << 18
+#: Samples of a matrix of products, tiles of a study, least samples of a tile, values of a tile that are held, features of one product, pairs of a batch.
+TILE, TILES, LEAST_TILE, HELD, BLOCK, PAIRS = 2048, 8, 64, 1 << 23, 1024, 1 << 18
+HELD_BLOCK = 64
+#: How far from the lowest correlation a pair may be to be told: more than rounding moves it.
+NEAR = 1e-5
 
 
-def sample_corr(m: DataFrame, method: str = "pearson", tile: int = TILE, block: int = BLOCK) -> DataFrame:
-    """Correlation of all pairs of samples of a study over the features that both have.
+def sample_corr(m: DataFrame, method: str = "pearson", tile: int = TILE, block: int = BLOCK, held: int = HELD, lowest: bool = False) -> DataFrame:
+    """Correlation of all pairs of samples of a study over the features that both have; with ``lowest`` at least the pairs within NEAR of the lowest.
 
-    Samples are cut into tiles. A feature's values for a tile are one row, so rows meet once for each pair of tiles, not of samples. The
-    rows of a pair of tiles stream by in one task, which adds up their products and gives the pairs with their names: pairs are never
-    shuffled, and a task holds a few matrices of a tile by a tile, whatever the features.
+    Samples are cut into tiles, TILES a study, since values go to as many tasks as there are tiles. A feature's values for a tile are one row, so
+    rows meet once for each pair of tiles, not of samples. A pair of tiles comes to one task, which gives the pairs with their names: pairs are
+    never shuffled. Tiles of no more than ``tile`` samples stream by while their products are added up, whatever the features. Larger ones, of
+    ``held`` values at most, are held, and their products made ``tile`` by ``tile``.
     """
     v = m.where(F.col("value").isNotNull()).withColumn("v", F.col("value").cast("double"))
     if method == "spearman":
         v = average_rank(v, ["study_id", "sample_id"], "v").withColumn("v", F.col("avg_rank"))
     means = v.groupBy("study_id", "sample_id").agg(F.avg("v").alias("mean"))
     place = F.row_number().over(Window.partitionBy("study_id").orderBy("sample_id")) - 1
-    width = F.least(F.lit(tile), F.greatest(F.lit(LEAST_TILE), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("study_id")) / TILES)))
-    placed = means.select("study_id", "sample_id", "mean", place.alias("at"), width.alias("width")).withColumn("tile", F.floor(F.col("at") / F.col("width")).cast("int")).withColumn("at", (F.col("at") % F.col("width")).cast("int"))
+    features = v.groupBy("study_id").agg(F.approx_count_distinct("feature_id").alias("features"))
+    most = F.greatest(F.lit(tile), F.floor(F.lit(held) / F.col("features")))
+    width = F.least(most, F.greatest(F.lit(min(tile, LEAST_TILE)), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("study_id")) / TILES)))
+    placed = means.join(F.broadcast(features), "study_id").select("study_id", "sample_id", "mean", place.alias("at"), width.alias("width")).withColumn("tile", F.floor(F.col("at") / F.col("width")).cast("int")).withColumn("at", (F.col("at") % F.col("width")).cast("int"))
     c = v.select("study_id", "feature_id", "sample_id", "v").join(placed.select("study_id", "sample_id", "tile", "at"), ["study_id", "sample_id"])
-    tiles = c.groupBy("study_id", "feature_id", "tile").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("i"), "v"))).alias("p"))
+    tiles = c.groupBy("study_id", "feature_id", "tile").agg(F.sort_array(F.collect_list(F.struct(F.col("at").alias("i"), "v"))).alias("p"))
+    # places aren't written where they are 0, 1, 2 and so on
+    tiles = tiles.select("study_id", "feature_id", "tile", F.struct(F.when(F.element_at("p.i", -1) + 1 != F.size("p"), F.col("p.i")).alias("i"), F.col("p.v").alias("v")).alias("p"))
     heads = placed.groupBy("study_id", "tile").agg(F.array_sort(F.collect_list(F.struct("at", "sample_id", "mean"))).alias("p"))
     form = {"i": "array<int>", "v": "array<double>", "name": f"array<{m.schema['sample_id'].dataType.simpleString()}>", "mean": "array<double>"}
 
@@ -426,68 +434,111 @@ def sample_corr(m: DataFrame, method: str = "pearson", tile: int = TILE, block:
     keys = ["study_id", "tile_x", "tile_y"]
     kind = {k: m.schema[k].dataType.simpleString() for k in ("study_id", "sample_id")}
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "data")
-    return ordered.mapInArrow(lambda batches: tile_pairs(batches, block), f"study_id {kind['study_id']}, sample_a {kind['sample_id']}, sample_b {kind['sample_id']}, r double")
+    return ordered.mapInArrow(lambda batches: tile_pairs(batches, block, tile, lowest), f"study_id {kind['study_id']}, sample_a {kind['sample_id']}, sample_b {kind['sample_id']}, r double")
 
 
 class TileSums:
     """Sums of products of two tiles. Where no value is missing, squares and counts are those of a sample, not of a pair."""
 
-    def __init__(self, head: dict, block: int):
-        self.names = [head["name_x"], head["name_y"]]
-        self.means = [np.array(head["mean_x"]), np.array(head["mean_y"])]
-        self.same = head["tile_x"] == head["tile_y"]
-        self.rows = [np.full((block, len(x)), np.nan) for x in self.means]
-        self.filled, self.n, self.squares = 0, 0, [np.zeros(len(x)) for x in self.means]
-        self.xy, self.pairwise = np.zeros((len(self.means[0]), len(self.means[1]))), None
-
-    def add(self, x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> None:
-        if self.filled == len(self.rows[0]):
-            self.flush()
-        for rows, mean, (i, v) in zip(self.rows, self.means, (x, y), strict=True):
-            rows[self.filled] = np.nan
-            rows[self.filled, i] = v - mean[i]
-        self.filled += 1
+    def __init__(self, sizes: tuple[int, int], same: bool):
+        self.same, self.n, self.squares = same, 0, [np.zeros(k) for k in sizes]
+        self.xy, self.pairwise = np.zeros(sizes), None
 
-    def flush(self) -> None:
-        x, y = (r[: self.filled] for r in self.rows)
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Rows of features, less the means of samples, NaN where a value is missing."""
         if np.isnan(x).any() or np.isnan(y).any():
             hx, hy = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
             x, y = np.nan_to_num(x), np.nan_to_num(y)
             more = (hx.T @ hy, (x * x).T @ hy, hx.T @ (y * y))
             self.pairwise = more if self.pairwise is None else tuple(a + b for a, b in zip(self.pairwise, more, strict=True))
         else:
-            self.n += self.filled
+            self.n += len(x)
             self.squares = [s + (z * z).sum(axis=0) for s, z in zip(self.squares, (x, y), strict=True)]
         self.xy += x.T @ y
-        self.filled = 0
 
-    def correlations(self):
+    def correlations(self, lowest: bool = False):
         """(i, j, r) of the pairs with a common feature, a batch of rows at a time; r is NaN without variance."""
-        self.flush()
         step = max(1, PAIRS // max(1, self.xy.shape[1]))
         for a in range(0, len(self.xy), step):
             at = slice(a, a + step)
-            n, xx, yy = np.full(self.xy[at].shape, float(self.n)), self.squares[0][at, None], self.squares[1][None, :]
+            n, xx, yy = self.n, self.squares[0][at, None], self.squares[1][None, :]
             if self.pairwise is not None:
                 n, xx, yy = n + self.pairwise[0][at], xx + self.pairwise[1][at], yy + self.pairwise[2][at]
-            i, j = np.nonzero(n)
-            if self.same:
-                later = i + a < j
-                i, j = i[later], j[later]
             with np.errstate(divide="ignore", invalid="ignore"):
                 r = self.xy[at] / np.sqrt(xx * yy)
+            there = np.broadcast_to(n > 0, r.shape)
+            if self.same:
+                there = there & (np.arange(a, a + len(r))[:, None] < np.arange(r.shape[1])[None, :])
+            if lowest:
+                unknown = there & np.isnan(r)
+                first = np.flatnonzero(unknown)[:1]  # of pairs without variance the first by name
+                there = there & (r <= np.min(r, where=there & ~unknown, initial=np.inf) + NEAR)
+                there.ravel()[first] = True
+            i, j = np.nonzero(there)
             yield i + a, j, r[i, j]
 
 
-def tile_pairs(batches, block: int):
+class TilePair:
+    """The rows of a pair of tiles: added up as they come if the tiles are small, else held until all are there."""
+
+    def __init__(self, head: dict, block: int, tile: int):
+        self.names = [head["name_x"], head["name_y"]]
+        self.means = [np.array(head["mean_x"]), np.array(head["mean_y"])]
+        self.same, self.tile, self.filled, self.rows, self.kept = head["tile_x"] == head["tile_y"], tile, 0, None, ([], [])
+        sizes = tuple(map(len, self.means))
+        self.sums = TileSums(sizes, self.same) if max(sizes) <= tile else None
+        self.block = block if self.sums else min(block, HELD_BLOCK)
+
+    def add(self, x: tuple[np.ndarray | None, np.ndarray], y: tuple[np.ndarray | None, np.ndarray]) -> None:
+        if self.rows is None:
+            self.rows = [np.full((self.block, len(m)), np.nan) for m in self.means]
+        for rows, mean, (i, v) in zip(self.rows, self.means, (x, y), strict=True):
+            i = slice(len(v)) if i is None else i
+            rows[self.filled] = np.nan
+            rows[self.filled, i] = v - mean[i]
+        self.filled += 1
+        if self.filled == self.block:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.filled:
+            return
+        if self.sums:
+            self.sums.add(*(r[: self.filled] for r in self.rows))
+        else:
+            for kept, r in zip(self.kept, self.rows, strict=True):
+                kept.append(r[: self.filled].copy() if self.filled < self.block else r)
+            self.rows = None
+        self.filled = 0
+
+    def correlations(self, lowest: bool):
+        self.flush()
+        if self.sums:
+            yield from self.sums.correlations(lowest)
+            return
+        whole = []
+        for side in self.kept:
+            whole.append(np.concatenate(side) if side else np.zeros((0, len(self.means[len(whole)]))))
+            side.clear()
+        for a in range(0, len(self.means[0]), self.tile):
+            for b in range(a if self.same else 0, len(self.means[1]), self.tile):
+                x, y = slice(a, a + self.tile), slice(b, b + self.tile)
+                sums = TileSums((len(self.means[0][x]), len(self.means[1][y])), self.same and a == b)
+                for low in range(0, len(whole[0]), BLOCK):
+                    sums.add(whole[0][low : low + BLOCK, x], whole[1][low : low + BLOCK, y])
+                for i, j, r in sums.correlations(lowest):
+                    yield i + a, j + b, r
+
+
+def tile_pairs(batches, block: int, tile: int = TILE, lowest: bool = False):
     """Batches of pairs with their correlation, from rows of pairs of tiles that come in order, each pair's names and means first."""
     key, sums, study = None, None, None
 
     def told():
         if sums is not None:
-            for i, j, r in sums.correlations():
-                a, b = (pa.array(names, kinds[k]).take(pa.array(at)) for k, (names, at) in enumerate(zip(sums.names, (i, j), strict=True)))
-                yield pa.RecordBatch.from_arrays([pa.repeat(study, len(r)), a, b, pa.array(r, mask=np.isnan(r))], ["study_id", "sample_a", "sample_b", "r"])
+            named = [pa.array(names, k) for names, k in zip(sums.names, kinds, strict=True)]
+            for i, j, r in sums.correlations(lowest):
+                yield pa.RecordBatch.from_arrays([pa.repeat(study, len(r)), named[0].take(pa.array(i)), named[1].take(pa.array(j)), pa.array(r, mask=np.isnan(r))], ["study_id", "sample_a", "sample_b", "r"])
 
     kinds = None
     for t in batches:
@@ -498,14 +549,16 @@ def tile_pairs(batches, block: int):
             if now != key:
                 yield from told()
                 key, study = now, now[0]
-                sums = TileSums({"tile_x": now[1], "tile_y": now[2], **{c: columns[c][row].as_py() for c in ("name_x", "name_y", "mean_x", "mean_y")}}, block)
+                sums = TilePair({"tile_x": now[1], "tile_y": now[2], **{c: columns[c][row].as_py() for c in ("name_x", "name_y", "mean_x", "mean_y")}}, block, tile)
             else:
-                sums.add(*((columns[f"i_{k}"][row].values.to_numpy(), columns[f"v_{k}"][row].values.to_numpy()) for k in "xy"))
+                side = lambda k: (columns[f"i_{k}"][row].values, columns[f"v_{k}"][row].values.to_numpy())
+                sums.add(*((i if i is None else i.to_numpy(), v) for i, v in map(side, "xy")))
     yield from told()
 
 
 def lowest_pair(corr: DataFrame) -> DataFrame:
-    return corr.groupBy("study_id").agg(F.min(F.struct("r", "sample_a", "sample_b")).alias("m")).select("study_id", "m.sample_a", "m.sample_b", "m.r")
+    """The pair with the lowest correlation of each study, the first by name of equal ones; pairs without one come last."""
+    return corr.groupBy("study_id").agg(F.min(F.struct(F.col("r").isNull().alias("none"), "r", "sample_a", "sample_b")).alias("m")).select("study_id", "m.sample_a", "m.sample_b", "m.r")
 
 
 def pca(m: DataFrame, n: int = 2, value: str = "value") -> DataFrame:

@@ -124,7 +124,7 @@ def st_01(t):
 
 @query("st_01b_lowest_pair", "with f as (select * from {measure}), c as (select a.study_id, a.sample_id as sample_a, b.sample_id as sample_b, round(corr(a.value, b.value), 6) as r from f a join f b on a.study_id = b.study_id and a.feature_id = b.feature_id and a.sample_id < b.sample_id group by all) select * from c qualify row_number() over (partition by study_id order by r, sample_a, sample_b) = 1")
 def st_01b(t):
-    return S.lowest_pair(S.sample_corr(t.measure).withColumn("r", r6("r")))
+    return S.lowest_pair(S.sample_corr(t.measure, lowest=True).withColumn("r", r6("r")))
 
 
 @query("st_02_sample_spearman", """

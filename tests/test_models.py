@@ -260,3 +260,20 @@ def test_two_group_fits_are_made_once(spark):
     held = S.moderated_two_group(m.join(s, ["study_id", "sample_id"]), None, "a", "b")
     near = lambda x: {r["feature_id"]: [round(v, 9) for v in (r["base_mean"], r["log2fc"], r["stat"], r["pvalue"])] for r in x.collect()}
     assert near(out) == near(held) and out.count() == 40
+
+
+def test_wide_tiles_are_held_and_equal_small_ones(spark):
+    """Values went to as many tasks as a study has tiles of a fixed width, and all pairs left their tasks where only the lowest was asked for."""
+    rng = np.random.default_rng(8)
+    y = np.round(rng.normal(size=(30, 90)), 1)
+    rows = [(st, f"f{i:02d}", f"q{j:02d}", float(y[i, j])) for st in "st" for i in range(30) for j in range(90) if st == "s" or rng.random() < 0.9]
+    rows += [("s", f"f{i:02d}", "zero", 1.0) for i in range(30)]
+    m = spark.createDataFrame(rows, "study_id string, feature_id string, sample_id string, value double")
+    of = lambda df: {(r["study_id"], r["sample_a"], r["sample_b"]): r["r"] for r in df.collect()}
+    plain, wide = of(S.sample_corr(m, held=1)), of(S.sample_corr(m, tile=5, block=7, held=1 << 20))
+    assert plain.keys() == wide.keys() and len(plain) == 91 * 90 // 2 + 90 * 89 // 2
+    assert all((plain[k] is None) == (wide[k] is None) and (plain[k] is None or abs(plain[k] - wide[k]) < 1e-9) for k in plain)
+    few = S.sample_corr(m, tile=5, block=7, held=1 << 20, lowest=True)
+    assert few.count() < len(plain) / 5
+    got = {r["study_id"]: (r["sample_a"], r["sample_b"]) for r in S.lowest_pair(few).collect()}
+    assert got == {st: min((r, a, b) for (s, a, b), r in plain.items() if s == st and r is not None)[1:] for st in "st"}
